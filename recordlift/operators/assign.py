@@ -23,6 +23,11 @@ def _bit(mask: Column, field: Column) -> Column:
     return (field >= 0) & (F.call_function("shiftright", mask, F.greatest(field, F.lit(0))).bitwiseAND(F.lit(1).cast("long")) == 1)
 
 
+def _notable(t: Column) -> Column:
+    """Keywords, stop words, and tokens that a heuristic may recognise."""
+    return (t["trig"] >= 0) | t["gstop"] | (t["stop"] != 0) | (t["heur"] != 0)
+
+
 def _table(values: list, kind: str, field: Column) -> Column:
     """values[field], for a field from -1 on: the first value stands for none."""
     return F.get(F.array(*(F.lit(v).cast(kind) for v in values)), field + 1)
@@ -73,12 +78,16 @@ def openings(toks: Column, spec: Spec) -> Column:
             )
 
         entered = F.struct(F.when(in_collector, none).otherwise(acc["cur"]).alias("cur"), F.when(in_collector, acc["cur"]).otherwise(acc["last"]).alias("last"))
-        return F.when(stays, acc).otherwise(let(let(entered, chosen), moved))
+        # most tokens just follow the open field, or none
+        follows = ~in_collector & ~_notable(t) & ~_bit(F.lit(multi).cast("long"), acc["cur"])
+        return F.when(follows | stays, acc).otherwise(let(let(entered, chosen), moved))
 
     zero = F.lit(0).cast("int")
     start = F.struct(none.cast("int").alias("cur"), none.cast("int").alias("last"), zero.alias("start"), zero.alias("kind"), F.array().cast(OPENINGS).alias("done"))
     end = F.coalesce(F.get(toks, F.lit(0))["i"], F.lit(0)) + F.size(toks)
-    return F.aggregate(toks, start, advance, lambda acc: F.when(acc["cur"] >= 0, F.concat(acc["done"], opening(acc, end))).otherwise(acc["done"]))
+    # without collectors and multi-token fields, only these tokens can change the state
+    events = toks if multi or collecting else F.filter(toks, _notable)
+    return F.aggregate(events, start, advance, lambda acc: F.when(acc["cur"] >= 0, F.concat(acc["done"], opening(acc, end))).otherwise(acc["done"]))
 
 
 def assigned(records: DataFrame, spec: Spec) -> DataFrame:
