@@ -123,3 +123,27 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(documents(spark, sf_dir))
+
+
+def _sql_values() -> str:
+    return ", ".join(f"('{name}', {sorted(set(t.split()))!r}::VARCHAR[])" for name, t in TEMPLATES.items())
+
+
+OP6_SQL = (
+    r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+p AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + n], ' ') = phrase)) AS place
+      FROM (SELECT doc_id, w, phrase, label, len(string_split(phrase, ' ')) AS n FROM w, (VALUES PHRASES) v(phrase, label) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' '))),
+o AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS own FROM p GROUP BY doc_id),
+b AS (SELECT doc_id, list_distinct(regexp_extract_all(block, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s
+      FROM (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])[ \t\n\x0B\f\r]', '\1' || chr(10), 'g'), chr(10))) AS block FROM d)),
+m AS (SELECT doc_id, name, len(list_intersect(s, words)) / len(words) AS share FROM b, (VALUES TEMPLATES) v(name, words) WHERE len(list_intersect(s, words)) >= ceil(0.8 * len(words) - 1e-9)),
+n AS (SELECT doc_id, list(DISTINCT name) AS names, max(share) AS share FROM m GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(names, [])))), ',') AS labels, CASE WHEN own IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM w LEFT JOIN o USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+    .replace("PHRASES", ", ".join(map(str, PHRASES.items())))
+    .replace("TEMPLATES", _sql_values())
+)

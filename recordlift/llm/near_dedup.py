@@ -265,7 +265,7 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM d WHERE len(w) > 0),
 e AS (SELECT doc_id, unnest(x) AS g FROM s),
 n AS (SELECT doc_id, CAST(len(x) AS BIGINT) AS n FROM s),
-f AS (SELECT g FROM e GROUP BY g HAVING count(*) BETWEEN 2 AND 100000),
+f AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b USING (g) JOIN f USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
 u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_decontamination": decontamination.OP3_SQL,
     "op4_secrets": secrets.OP4_SQL,
+    "op6_licenses": licenses.OP6_SQL,
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op10_substrings": substrings.OP10_SQL,
 }

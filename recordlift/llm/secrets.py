@@ -155,9 +155,12 @@ def redact(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(text, 256)).alias("blob"))
     flat = F.flatten(F.transform("found", lambda f: f["spans"]))
     marked = rows.join(ledger.findings().select("blob", F.array_sort(flat).alias("spans")), "blob", "left")
-    new = F.when(F.size("spans") > 0, masked(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
-    fields = [new.alias("text") if c == "text" else (F.when(F.size("spans") > 0, F.length(new)).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c)) for c in docs.columns]
-    return marked.select(*fields)
+    found = F.size("spans") > 0
+    row = F.col("row").withField("text", F.when(found, masked(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")))
+    if "n_chars" in docs.columns:
+        # the struct is taken apart as a whole, so no column name can clash with those used here
+        row = row.withField("n_chars", F.when(found, F.length(masked(F.col("row.text"), F.col("spans")))).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType))
+    return marked.select(row.alias("row")).select("row.*")
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

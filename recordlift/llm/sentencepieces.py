@@ -167,15 +167,18 @@ class Codec:
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_fallback", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
 SCHEMA = "doc_id long, n_tokens long, n_fallback long, ids array<int>, decoded_sha256 string, round_trip boolean"
-_here: dict[int, Codec] = {}
+_here: dict[str, Codec] = {}
 
 
 def encode_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_fallback (byte ids), ids, decoded_sha256, round_trip: a row for each document."""
-    compiled = docs.sparkSession.sparkContext.broadcast(PieceTransducer(model or piece_model()))
+    path = model or piece_model()
+    compiled = docs.sparkSession.sparkContext.broadcast(PieceTransducer(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _here.setdefault(id(compiled.value), Codec(compiled.value))
+        if path not in _here:
+            _here[path] = Codec(compiled.value)
+        codec = _here[path]
         low, high = min(codec.t.byte_ids.values(), default=0), max(codec.t.byte_ids.values(), default=-1)
         for batch in batches:
             docs_, texts = batch.column(0), batch.column(1)
