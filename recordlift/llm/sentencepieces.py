@@ -51,14 +51,16 @@ class PieceTransducer:
         order = sorted(usable, key=lambda i: -sp.get_score(i))
         self.rank = {i: r for r, i in enumerate(order)}
         self.byte_ids = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(size) if sp.is_byte(i)}
-        self.longest = max(map(len, self.ids))
         # the last merge that makes each piece; pieces that merging never makes have no arc
         self.halves: dict[int, tuple[int, int] | None] = {}
         for i in usable:
             made = self._last_merge(self.text[i])
             if made is not False:
                 self.halves[i] = made
-        self.arcs = {self.text[i]: i for i in self.halves}
+        # character -> (node it leads to, piece that ends there or -1)
+        self.trie: dict[str, tuple[dict, int]] = {}
+        for i in sorted(self.halves, key=lambda i: len(self.text[i])):
+            self._add_arc(i)
         self.put_out = [sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
         for b, i in self.byte_ids.items():
             self.put_out[i] = bytes([b])
@@ -66,6 +68,12 @@ class PieceTransducer:
             if sp.is_control(i):
                 self.put_out[i] = b""
 
+    def _add_arc(self, piece: int) -> None:
+        node, text = self.trie, self.text[piece]
+        for ch in text[:-1]:
+            node = node.setdefault(ch, ({}, -1))[0]
+        node[text[-1]] = (node[text[-1]][0] if text[-1] in node else {}, piece)
+
     def _last_merge(self, piece: str):
         parts, last = list(piece), None
         while len(parts) > 1:
@@ -96,26 +104,30 @@ class PieceTransducer:
                 return True
 
     def path(self, word: str, seams: dict[tuple[int, int], bool]) -> list[int]:
-        """Ids of the shortest path through one word."""
-        arcs, longest, n = self.arcs, self.longest, len(word)
-        ends: list[tuple[int, int]] = [(-1, 0)]  # piece that ends at each place (-1: any may follow), where it began
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                piece = arcs.get(word[j:i])
-                if piece is None:
+        """Ids of the shortest path through one word. From each place the arcs' trie is followed as far as it goes."""
+        n = len(word)
+        # piece that ends at each place (-1: any may follow, -2: no path of finite weight), and where it began
+        ends: list[tuple[int, int] | None] = [(-1, 0), *[None] * n]
+        for j in range(n + 1):
+            state = ends[j]
+            if state is None:
+                state = ends[j] = (-2 if word[j - 1] in self.ids else -1, j - 1)
+            before, node = state[0], self.trie
+            if before == -2:
+                continue
+            for i in range(j, n):
+                arc = node.get(word[i])
+                if arc is None:
+                    break
+                node, piece = arc
+                if piece < 0 or ends[i + 1] is not None:
                     continue
-                before = ends[j][0]
                 if before >= 0:
                     if (seam := seams.get((before, piece))) is None:
                         seam = seams[before, piece] = self.stay_apart(before, piece)
                     if not seam:
                         continue
-                elif before == -2:
-                    continue
-                ends.append((piece, j))
-                break
-            else:
-                ends.append((-1, i - 1) if word[i - 1] not in self.ids else (-2, i - 1))
+                ends[i + 1] = (piece, j)
         out: list[int] = []
         while n:
             piece, j = ends[n]
