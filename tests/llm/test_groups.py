@@ -219,11 +219,11 @@ def plain_substrings(data):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batches", [1, 2, 6])
-def test_substrings(spark, batches):
-    texts = [t for _, t in rows()] + family(11, 40)
+@pytest.mark.parametrize("batches, bits", [(1, 3), (2, 18), (6, 3)])
+def test_substrings(spark, batches, bits):
+    texts = [t for _, t in rows(n=60 if bits < 9 else 3) if bits < 9 or len(t or "") < 5000] + family(11, 40 if bits < 9 else 4)
     data = list(enumerate(texts))
-    index = substrings.FingerprintIndex(spark, cell_bits=3, buckets=5, fanout=3)
+    index = substrings.FingerprintIndex(spark, cell_bits=bits, buckets=5, fanout=3)
     got = substrings.dedup_substrings(frame(spark, data), index, batches).collect()
     assert sorted(map(tuple, got)) == plain_substrings(data)
     assert len(index.runs) <= 3
