@@ -20,7 +20,9 @@ long; repeated rows are sequences of their own; an empty table writes no shard;
 
 from __future__ import annotations
 
+import array
 import struct
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -61,6 +63,14 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = 4) -> np
     return out.astype(np.int64)
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian 16-bit ids."""
+    out = array.array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PieceIds:
     """Texts to uint16 ids with a public sentencepiece vocabulary.
 
@@ -82,9 +92,9 @@ class PieceIds:
         if len(self.known) > self.bound:
             self.known.clear()
         known = self.known
-        new = list({w for p, ok in zip(parts, plain, strict=True) if ok for w in p if w not in known})
-        known.update(zip(new, (np.array(x, "<u2").tobytes() for x in self.sp.encode(new, num_threads=1)), strict=True))
-        return [b"".join([known[w] for w in p]) if ok else (np.array(self.sp.encode(t), "<u2").tobytes() if t else b"") for t, p, ok in zip(texts, parts, plain, strict=True)]
+        new = list(set().union(*(p for p, ok in zip(parts, plain, strict=True) if ok)).difference(known))
+        known.update(zip(new, map(_packed, self.sp.encode(new, num_threads=1)), strict=True))
+        return [b"".join(map(known.__getitem__, p)) if ok else (_packed(self.sp.encode(t)) if t else b"") for t, p, ok in zip(texts, parts, plain, strict=True)]
 
 
 def piece_model() -> str:
