@@ -9,9 +9,9 @@ on at s + 1 with one seek, and any range of slots is a sequential read.
 A sequence is a record of 16 + 2 * length bytes, little-endian: doc_id (8), number within the document (4), tokens
 used (4), token ids (2 each; unused ones are 0).
 
-Numbering needs the number of sequences in each scan partition, which a first pass counts; only that list comes to
-the driver. The second pass tokenises again, which costs less than keeping all ids in between. The input must
-therefore be scanned alike twice, as Parquet files are; the second pass stops with an error where it is not.
+Texts are tokenised once: the ids go to a table in the shared folder, each document with its scan partition and the
+number of sequences before it there. Numbering needs the number of sequences in each scan partition; only that list
+comes to the driver. Numbers stand in the table, so no later scan has to see the rows in the same order.
 Shards are written under a temporary name and renamed, so a task that runs again leaves the same file.
 
 Defined results: null and empty texts have no tokens and no sequence; a null doc_id is written as the smallest
@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recordlift.llm.common import documents, fresh_path, id_and_bytes
+from recordlift.llm.common import documents, fresh_path, id_and_bytes, stored
 
 LENGTH, PER_SHARD, KEY = 256, 16384, 0x5EED_0F_1D5
 NO_ID = -(1 << 63)
@@ -127,11 +128,22 @@ def _ids(batch: pa.RecordBatch, encode: Callable) -> Iterator[tuple[int, bytes]]
             yield (NO_ID if i is None else i), x
 
 
-def _count(tokenizer: Tokenizer, length: int):
+_TOKENS = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+
+
+def _tokenised(tokenizer: Tokenizer, length: int):
+    """Documents that have tokens, with the number of sequences before each in its scan partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer()
-        n = sum(-(-len(x) // (2 * length)) for b in batches for _, x in _ids(b, encode))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
+        encode, part, first = tokenizer(), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            rows = []
+            for doc, ids in _ids(batch, encode):
+                if ids:
+                    rows.append((part, first, doc, ids))
+                    first += -(-len(ids) // (2 * length))
+            columns = zip(*rows, strict=True) if rows else ([] for _ in _TOKENS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TOKENS, strict=True)], schema=_TOKENS)
 
     return run
 
@@ -139,25 +151,24 @@ def _count(tokenizer: Tokenizer, length: int):
 _RECORD = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("seq_no", pa.int32()), ("ids", pa.binary())])
 
 
-def _sequences(tokenizer: Tokenizer, length: int, per_shard: int, key: int, counts: dict[int, int]):
+def _sequences(length: int, per_shard: int, key: int, counts: dict[int, int]):
+    """Sequences with their slots; ids are packed for the shuffle."""
     n, before, at = sum(counts.values()), {}, 0
     for part in sorted(counts):
         before[part], at = at, at + counts[part]
     width = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = tokenizer(), TaskContext.get().partitionId()
-        number = first = before.get(part, 0)
-        for batch in batches:
-            rows = [(d, k // width, x[k : k + width]) for d, x in _ids(batch, encode) for k in range(0, len(x), width)]
-            slots = permuted(np.arange(number, number + len(rows)), n, key) if rows else np.array([], np.int64)
-            number += len(rows)
-            if number > first + counts.get(part, 0):
-                raise RuntimeError("the input was scanned differently the second time: write it to a table first")
-            docs, nos, ids = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(slots // per_shard, pa.int32()), pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(ids, pa.binary())], schema=_RECORD)
-        if number != first + counts.get(part, 0):
-            raise RuntimeError("the input was scanned differently the second time: write it to a table first")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                rows, numbers = [], []
+                for part, first, doc, ids in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns), strict=True):
+                    for no, k in enumerate(range(0, len(ids), width)):
+                        numbers.append(before[part] + first + no)
+                        rows.append((doc, no, zlib.compress(ids[k : k + width], 1)))
+                slots = permuted(np.array(numbers, np.int64), n, key)
+                docs, nos, packed = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(slots // per_shard, pa.int32()), pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(packed, pa.binary())], schema=_RECORD)
 
     return run
 
@@ -208,7 +219,7 @@ def _write(folder: str, length: int, per_shard: int, key: int):
                     yield write(store, root, now, rows)
                     rows = []
                 now = shard
-                rows.append((slot, doc, no, ids))
+                rows.append((slot, doc, no, zlib.decompress(ids)))
         if rows:
             yield write(store, root, now, rows)
 
@@ -218,9 +229,11 @@ def _write(folder: str, length: int, per_shard: int, key: int):
 def materialise(docs: DataFrame, folder: str, tokenizer: Tokenizer | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
     """Writes the shards and returns their index: doc_id, seq_no, slot, shard, byte_offset, n_tokens, ids_crc32 (as read back)."""
     tokenizer, texts = tokenizer or pieces(), id_and_bytes(docs)
-    counts = {r.part: r.n for r in texts.mapInArrow(_count(tokenizer, length), "part int, n long").where("n > 0").collect()}
+    tokens = stored(texts.mapInArrow(_tokenised(tokenizer, length), "part int, first long, doc_id long, ids binary"), "token-ids")
+    sequences = F.ceil(F.octet_length("ids") / (2 * length)).cast("long")
+    counts = {r.part: r.n for r in tokens.groupBy("part").agg(F.sum(sequences).alias("n")).collect()}
     n = sum(counts.values())
-    rows = texts.mapInArrow(_sequences(tokenizer, length, per_shard, key, counts), "slot long, shard int, doc_id long, seq_no int, ids binary")
+    rows = tokens.mapInArrow(_sequences(length, per_shard, key, counts), "slot long, shard int, doc_id long, seq_no int, ids binary")
     dealt = rows.repartitionById(max(1, -(-n // per_shard)), "shard").sortWithinPartitions("slot")
     return dealt.mapInArrow(_write(folder, length, per_shard, key), "doc_id long, seq_no int, slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long")
 
