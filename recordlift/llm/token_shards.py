@@ -152,7 +152,7 @@ _RECORD = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("doc_id", pa.
 
 
 def _sequences(length: int, per_shard: int, key: int, counts: dict[int, int]):
-    """Sequences with their slots; ids are packed for the shuffle."""
+    """Sequences with their slots."""
     n, before, at = sum(counts.values()), {}, 0
     for part in sorted(counts):
         before[part], at = at, at + counts[part]
@@ -165,10 +165,10 @@ def _sequences(length: int, per_shard: int, key: int, counts: dict[int, int]):
                 for part, first, doc, ids in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns), strict=True):
                     for no, k in enumerate(range(0, len(ids), width)):
                         numbers.append(before[part] + first + no)
-                        rows.append((doc, no, zlib.compress(ids[k : k + width], 1)))
+                        rows.append((doc, no, ids[k : k + width]))
                 slots = permuted(np.array(numbers, np.int64), n, key)
-                docs, nos, packed = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(slots // per_shard, pa.int32()), pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(packed, pa.binary())], schema=_RECORD)
+                docs, nos, parts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(slots // per_shard, pa.int32()), pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(parts, pa.binary())], schema=_RECORD)
 
     return run
 
@@ -219,7 +219,7 @@ def _write(folder: str, length: int, per_shard: int, key: int):
                     yield write(store, root, now, rows)
                     rows = []
                 now = shard
-                rows.append((slot, doc, no, zlib.decompress(ids)))
+                rows.append((slot, doc, no, ids))
         if rows:
             yield write(store, root, now, rows)
 
