@@ -9,9 +9,9 @@ on at s + 1 with one seek, and any range of slots is a sequential read.
 A sequence is a record of 16 + 2 * length bytes, little-endian: doc_id (8), number within the document (4), tokens
 used (4), token ids (2 each; unused ones are 0).
 
-Texts are tokenised once: the ids go to a table in the shared folder, each document with its scan partition and the
-number of sequences before it there. Numbering needs the number of sequences in each scan partition; only that list
-comes to the driver. Numbers stand in the table, so no later scan has to see the rows in the same order.
+Texts are scanned twice: first to count the sequences of each scan partition, of which only a row for each comes to
+the driver, then to number and write them. Both scans must see the same rows in the same order, which stored files
+do; each partition's documents and sizes are summed to a check value, and a second scan that differs is an error.
 Shards are written under a temporary name and renamed, so a task that runs again leaves the same file.
 
 Defined results: null and empty texts have no tokens and no sequence; a null doc_id is written as the smallest
@@ -28,14 +28,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlift.llm.common import documents, fresh_path, id_and_bytes, stored
+from recordlift.llm.common import documents, fresh_path, id_and_bytes
 
 LENGTH, PER_SHARD, KEY = 256, 16384, 0x5EED_0F_1D5
 NO_ID = -(1 << 63)
+CHUNK = 8 << 20
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -86,16 +88,27 @@ class PieceIds:
         if any("▁" in p.lstrip("▁") for p in map(self.sp.id_to_piece, range(self.sp.get_piece_size()))):
             raise ValueError("the vocabulary has pieces that span a space")
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The library adds a space in front, so the part behind each single space is encoded as a text of its own."""
-        parts = [t.replace("▁", " ").split(" ") for t in texts]
-        plain = ["" not in p for p in parts]
+    def _words(self, texts: list[str]) -> list[list[str]]:
+        """The library adds a space in front, so the part behind each single space is encoded as a text of its own.
+        A text with other spaces is one part."""
+        texts = [t.replace("▁", " ") for t in texts]
+        parts = [[t] if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") if t else [] for t in texts]
         if len(self.known) > self.bound:
             self.known.clear()
+        new = list(set().union(*parts).difference(self.known))
+        self.known.update(zip(new, map(_packed, self.sp.encode(new, num_threads=1)), strict=True))
+        return parts
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        parts = self._words(texts)
         known = self.known
-        new = list(set().union(*(p for p, ok in zip(parts, plain, strict=True) if ok)).difference(known))
-        known.update(zip(new, map(_packed, self.sp.encode(new, num_threads=1)), strict=True))
-        return [b"".join(map(known.__getitem__, p)) if ok else (_packed(self.sp.encode(t)) if t else b"") for t, p, ok in zip(texts, parts, plain, strict=True)]
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+    def sizes(self, texts: list[str]) -> list[int]:
+        """Bytes that __call__ gives for each text."""
+        parts = self._words(texts)
+        known = self.known
+        return [sum(map(len, map(known.__getitem__, p))) for p in parts]
 
 
 def piece_model() -> str:
@@ -104,7 +117,8 @@ def piece_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-Tokenizer = Callable[[], Callable[[list[str]], list[bytes]]]
+#: opens an object that gives the ids of texts when called, and their sizes by sizes()
+Tokenizer = Callable[[], "PieceIds"]
 _loaded: dict[str, PieceIds] = {}
 
 
@@ -120,30 +134,32 @@ def pieces(model: str | None = None) -> Tokenizer:
     return open_here
 
 
-def _ids(batch: pa.RecordBatch, encode: Callable) -> Iterator[tuple[int, bytes]]:
-    ids = batch.column(0).to_pylist()
-    texts = batch.column(1).to_pylist()
-    for k in range(0, len(ids), 256):
-        for i, x in zip(ids[k : k + 256], encode([t.decode("utf-8", "replace") for t in texts[k : k + 256]]), strict=True):
-            yield (NO_ID if i is None else i), x
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """doc_ids and texts, cut where the texts reach CHUNK bytes: words that repeat within a chunk are encoded once."""
+    for batch in batches:
+        ids = [NO_ID if i is None else i for i in batch.column(0).to_pylist()]
+        begin = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))))
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(begin, begin[at] + CHUNK)))
+            to = min(to, len(ids))
+            yield ids[at:to], [t.decode("utf-8", "replace") for t in batch.column(1).slice(at, to - at).to_pylist()]
+            at = to
 
 
-_TOKENS = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+def _check(value: int, ids: list[int], counts: list[int]) -> int:
+    return zlib.crc32(np.array(counts, "<i8").tobytes(), zlib.crc32(np.array(ids, "<i8").tobytes(), value))
 
 
-def _tokenised(tokenizer: Tokenizer, length: int):
-    """Documents that have tokens, with the number of sequences before each in its scan partition."""
+def _count(tokenizer: Tokenizer, length: int):
+    """Number of sequences of a scan partition and its check value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, first = tokenizer(), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            rows = []
-            for doc, ids in _ids(batch, encode):
-                if ids:
-                    rows.append((part, first, doc, ids))
-                    first += -(-len(ids) // (2 * length))
-            columns = zip(*rows, strict=True) if rows else ([] for _ in _TOKENS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TOKENS, strict=True)], schema=_TOKENS)
+        encode, n, check = tokenizer(), 0, 0
+        for ids, texts in _chunks(batches):
+            counts = [-(-size // (2 * length)) for size in encode.sizes(texts)]
+            n, check = n + sum(counts), _check(check, ids, counts)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64()), "sum": pa.array([check], pa.int64())})
 
     return run
 
@@ -151,24 +167,33 @@ def _tokenised(tokenizer: Tokenizer, length: int):
 _RECORD = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("doc_id", pa.int64()), ("seq_no", pa.int32()), ("ids", pa.binary())])
 
 
-def _sequences(length: int, per_shard: int, key: int, counts: dict[int, int]):
+def _sequences(tokenizer: Tokenizer, length: int, per_shard: int, key: int, counted: dict[int, tuple[int, int]]):
     """Sequences with their slots."""
-    n, before, at = sum(counts.values()), {}, 0
-    for part in sorted(counts):
-        before[part], at = at, at + counts[part]
+    n, before = 0, {}
+    for part in sorted(counted):
+        before[part] = n
+        n += counted[part][0]
     width = 2 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                rows, numbers = [], []
-                for part, first, doc, ids in zip(*(c.to_pylist() for c in whole.slice(at, 512).columns), strict=True):
-                    for no, k in enumerate(range(0, len(ids), width)):
-                        numbers.append(before[part] + first + no)
-                        rows.append((doc, no, ids[k : k + width]))
-                slots = permuted(np.array(numbers, np.int64), n, key)
-                docs, nos, parts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(slots // per_shard, pa.int32()), pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(parts, pa.binary())], schema=_RECORD)
+        encode, part, check = tokenizer(), TaskContext.get().partitionId(), 0
+        number = before.get(part, 0)
+        for ids, texts in _chunks(batches):
+            rows, counts = [], []
+            for doc, x in zip(ids, encode(texts), strict=True):
+                counts.append(-(-len(x) // width))
+                rows.extend((doc, k // width, x[k : k + width]) for k in range(0, len(x), width))
+            check = _check(check, ids, counts)
+            if not rows:
+                continue
+            if number + len(rows) > n:
+                raise RuntimeError("the second scan saw other rows than the first: write the documents to a table")
+            slots = permuted(np.arange(number, number + len(rows)), n, key)
+            number += len(rows)
+            docs, nos, parts = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(slots // per_shard, pa.int32()), pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(parts, pa.binary())], schema=_RECORD)
+        if (number - before.get(part, 0), check) != counted.get(part, (0, 0)):
+            raise RuntimeError("the second scan saw other rows than the first: write the documents to a table")
 
     return run
 
@@ -229,11 +254,10 @@ def _write(folder: str, length: int, per_shard: int, key: int):
 def materialise(docs: DataFrame, folder: str, tokenizer: Tokenizer | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
     """Writes the shards and returns their index: doc_id, seq_no, slot, shard, byte_offset, n_tokens, ids_crc32 (as read back)."""
     tokenizer, texts = tokenizer or pieces(), id_and_bytes(docs)
-    tokens = stored(texts.mapInArrow(_tokenised(tokenizer, length), "part int, first long, doc_id long, ids binary"), "token-ids")
-    sequences = F.ceil(F.octet_length("ids") / (2 * length)).cast("long")
-    counts = {r.part: r.n for r in tokens.groupBy("part").agg(F.sum(sequences).alias("n")).collect()}
-    n = sum(counts.values())
-    rows = tokens.mapInArrow(_sequences(length, per_shard, key, counts), "slot long, shard int, doc_id long, seq_no int, ids binary")
+    found = texts.mapInArrow(_count(tokenizer, length), "part int, n long, sum long").collect()
+    counted = {r.part: (r.n, r["sum"]) for r in found}
+    n = sum(r.n for r in found)
+    rows = texts.mapInArrow(_sequences(tokenizer, length, per_shard, key, counted), "slot long, shard int, doc_id long, seq_no int, ids binary")
     dealt = rows.repartitionById(max(1, -(-n // per_shard)), "shard").sortWithinPartitions("slot")
     return dealt.mapInArrow(_write(folder, length, per_shard, key), "doc_id long, seq_no int, slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long")
 
