@@ -1,7 +1,8 @@
 """Substring deduplication over a log-structured fingerprint index.
 
 A window is 13 consecutive words. Its fingerprint has 64 bits, of which a cell number (the top bits) and 48 more are
-kept. The index is a list of immutable runs: for each cell the sorted fingerprints of one batch, stored as gaps.
+kept. The index is a list of immutable runs: for each cell the sorted fingerprints of one batch, stored as gaps, and
+beside each a check.
 A new batch is dealt by cell, sorted, and merge-joined with the runs of its cell: a window is a repeat if its
 fingerprint is in an earlier run or belongs to a smaller doc_id of the batch. The batch's new fingerprints become
 the next run; when there are more than `fanout` runs they are merged into one (compaction).
@@ -11,9 +12,11 @@ order of the documents, and back, for each cell and bucket of documents, one row
 neither a frequent window nor a large document makes a long list of rows. Text is dealt once, by bucket of doc_id,
 to meet the bits and drop the words.
 
-Fingerprints that agree are verified where chance could have made them agree: a repeat whose neighbours are repeats
-too is 48 further bits for each neighbour; a repeat that stands alone is checked by a second, independent 64-bit
-hash of its words, taken from every document that has a window with that fingerprint.
+Every agreement of fingerprints is verified by the check: 32 bits of a second hash of the window, made from other
+hashes of the words and with another step. It goes with the fingerprint of every window, through the shuffle and into
+the runs, so a repeat is one only if both agree with the same smaller document or the same entry of a run. That is 87
+to 96 bits; of n windows n * n / 2 ** (bits + 1) are expected to agree by chance (5e9 windows at 91 bits: 5e-9;
+1e13 at 96 bits: 6e-4).
 
 Defined results: null and empty texts have no words and lose none; a document of fewer than 13 words has no window;
 a null doc_id counts as smaller than all others; rows that repeat a document (same doc_id, same text) all lose the
@@ -40,7 +43,7 @@ CHUNK = 2_000_000
 #: bytes of text for each cell and each bucket
 SHARE = 16 << 20
 _PRIME, _LEHMER = 2147483647, 48271
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _CHECK_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class WordHashes(dict):
@@ -63,7 +66,7 @@ class WordHashes(dict):
 _hashes: dict[int, WordHashes] = {}
 
 
-def window_hashes(words: np.ndarray, width: int = WINDOW) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int = WINDOW, step: np.uint64 = _STEP) -> np.ndarray:
     """A 64-bit hash of each `width` consecutive words, from the words' hashes."""
     n = len(words) - width + 1
     if n <= 0:
@@ -71,11 +74,17 @@ def window_hashes(words: np.ndarray, width: int = WINDOW) -> np.ndarray:
     with np.errstate(over="ignore"):
         out = np.zeros(n, np.uint64)
         for j in range(width):
-            out = out * _STEP + words[j : j + n]
+            out = out * step + words[j : j + n]
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(32))
 
 
+def window_checks(words: list[bytes], width: int = WINDOW) -> np.ndarray:
+    """32 bits of a hash that shares nothing with the fingerprint."""
+    known = _hashes.setdefault(1, WordHashes(1))
+    return (window_hashes(known.of(words), width, _CHECK_STEP) >> np.uint64(32)).astype("<u4")
+
+
 def _pack6(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -87,7 +96,7 @@ def _unpack6(data: bytes) -> np.ndarray:
 
 
 def _gaps(x: np.ndarray) -> bytes:
-    """Sorted distinct 48-bit numbers as 32-bit gaps; a gap too wide is told by steps of the largest gap."""
+    """Sorted 48-bit numbers as 32-bit gaps; a gap too wide is told by steps of the largest gap."""
     top = np.uint64(0xFFFFFFFF)
     gaps = np.diff(x, prepend=np.uint64(0))
     steps = (gaps // top).astype(np.int64)
@@ -111,8 +120,13 @@ def _bucket_column(doc_id: Column, buckets: int) -> Column:
     return F.pmod(F.pmod(F.pmod(doc_id, F.lit(_PRIME)) * _LEHMER, F.lit(_PRIME)), F.lit(buckets)).cast("int")
 
 
-_CELLS = pa.schema([("cell", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("fps", pa.binary())])
-CELLS = "cell int, kind int, ids binary, counts binary, fps binary"
+def _pairs(order_first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where a new pair begins, in sorted pairs."""
+    return np.concatenate(([True], (order_first[1:] != order_first[:-1]) | (second[1:] != second[:-1]))) if len(order_first) else np.zeros(0, bool)
+
+
+_CELLS = pa.schema([("cell", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("fps", pa.binary()), ("checks", pa.binary())])
+CELLS = "cell int, kind int, ids binary, counts binary, fps binary, checks binary"
 _FOUND = pa.schema([("bucket", pa.int32()), ("cell", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary())])
 FOUND = "bucket int, cell int, ids binary, counts binary, bits binary"
 
@@ -120,19 +134,20 @@ FOUND = "bucket int, cell int, ids binary, counts binary, bits binary"
 def _fingerprints(bits: int, width: int):
     """Scan batches -> for each chunk and cell a row of fingerprints in the order of the documents."""
 
-    def flush(ids: list[int], sizes: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        fps = np.concatenate(parts)
+    def flush(ids: list[int], sizes: list[int], parts: list[np.ndarray], others: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        fps, checks = np.concatenate(parts), np.concatenate(others)
         cells = (fps >> np.uint64(64 - bits)).astype(np.int32)
         order = np.argsort(cells, kind="stable")
         owner = np.repeat(np.arange(len(ids)), sizes)[order]
         low = _pack6((fps[order] << np.uint64(bits)) >> np.uint64(16))
+        checks = checks[order].tobytes()
         edges = np.searchsorted(cells[order], np.arange((1 << bits) + 1))
         all_ids = np.array(ids, np.int64)
         rows = []
         for c in np.flatnonzero(np.diff(edges)).tolist():
             a, b = int(edges[c]), int(edges[c + 1])
             own, n = np.unique(owner[a:b], return_counts=True)
-            rows.append((c, 0, zlib.compress(np.diff(all_ids[own], prepend=0).tobytes(), 1), zlib.compress(n.astype("<u4").tobytes(), 1), low[6 * a : 6 * b]))
+            rows.append((c, 0, zlib.compress(np.diff(all_ids[own], prepend=0).tobytes(), 1), zlib.compress(n.astype("<u4").tobytes(), 1), low[6 * a : 6 * b], checks[4 * a : 4 * b]))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _CELLS, strict=True)], schema=_CELLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,59 +155,71 @@ def _fingerprints(bits: int, width: int):
         ids: list[int] = []
         sizes: list[int] = []
         parts: list[np.ndarray] = []
+        others: list[np.ndarray] = []
         n = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fps = window_hashes(known.of(text.split()), width)
+                words = text.split()
+                fps = window_hashes(known.of(words), width)
                 if len(fps):
                     ids.append(NO_ID if doc_id is None else doc_id)
                     sizes.append(len(fps))
                     parts.append(fps)
+                    others.append(window_checks(words, width))
                     n += len(fps)
                 if n >= CHUNK:
-                    yield from flush(ids, sizes, parts)
-                    ids, sizes, parts, n = [], [], [], 0
+                    yield from flush(ids, sizes, parts, others)
+                    ids, sizes, parts, others, n = [], [], [], [], 0
         if n:
-            yield from flush(ids, sizes, parts)
+            yield from flush(ids, sizes, parts, others)
 
     return run
 
 
 def _merge_join(buckets: int):
     """One cell: the batch's rows (kind 0) against the runs' (kind 1) -> repeats (kind 0 rows) and the new run."""
-    out = pa.schema([("run", pa.bool_()), *_FOUND])
+    out = pa.schema([("run", pa.bool_()), *_FOUND, ("checks", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
         cell = table["cell"][0].as_py()
-        docs, fps, starts_of, history, counts_all = [], [], [], [], []
-        for kind, ids, counts, data in zip(*(table[c].to_pylist() for c in ("kind", "ids", "counts", "fps")), strict=True):
+        docs, fps, checks, counts_all, past, past_checks = [], [], [], [], [], []
+        for kind, ids, counts, data, check in zip(*(table[c].to_pylist() for c in ("kind", "ids", "counts", "fps", "checks")), strict=True):
             if kind:
-                history.append(_from_gaps(zlib.decompress(data)))
+                past.append(_from_gaps(zlib.decompress(data)))
+                past_checks.append(np.frombuffer(check, "<u4"))
                 continue
             docs.append(np.cumsum(np.frombuffer(zlib.decompress(ids), np.int64)))
             counts_all.append(np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64))
             fps.append(_unpack6(data))
+            checks.append(np.frombuffer(check, "<u4"))
         if not docs:
             return out.empty_table()
-        entry, sizes, x = np.concatenate(docs), np.concatenate(counts_all), np.concatenate(fps)
-        del docs, fps
+        entry, sizes, x, y = np.concatenate(docs), np.concatenate(counts_all), np.concatenate(fps), np.concatenate(checks)
+        del docs, fps, checks
         owner = np.repeat(entry, sizes)
-        order = np.lexsort((owner, x))
-        f, d = x[order], owner[order]
-        first = np.concatenate(([True], f[1:] != f[:-1]))
+        order = np.lexsort((owner, y, x))
+        f, g, d = x[order], y[order], owner[order]
+        first = _pairs(f, g)
         heads = np.flatnonzero(first)
-        least = d[heads][np.cumsum(first) - 1]
-        repeat = d > least
-        own = f[heads]
-        if history:
-            past = np.unique(np.concatenate(history))
-            at = np.minimum(np.searchsorted(past, own), len(past) - 1)
-            old = past[at] == own if len(past) else np.zeros(len(own), bool)
-            repeat |= old[np.cumsum(first) - 1]
-            own = own[~old]
+        group = np.cumsum(first) - 1
+        repeat = d > d[heads][group]
+        own, own_checks = f[heads], g[heads]
+        if past:
+            # the runs' pairs and the batch's, sorted together: a pair of both sides stands twice, the run's first
+            old = np.zeros(len(own), bool)
+            both, both_checks = np.concatenate([*past, own]), np.concatenate([*past_checks, own_checks])
+            n_past = len(both) - len(own)
+            side = np.arange(len(both)) >= n_past
+            at = np.lexsort((side, both_checks, both))
+            starts = _pairs(both[at], both_checks[at])
+            known = ~side[at][np.flatnonzero(starts)][np.cumsum(starts) - 1]
+            mine = side[at]
+            old[at[mine] - n_past] = known[mine]
+            repeat |= old[group]
+            own, own_checks = own[~old], own_checks[~old]
         mark = np.zeros(len(x), bool)
         mark[order] = repeat
-        rows = [(True, 0, cell, None, None, zlib.compress(_gaps(own), 1))] if len(own) else []
+        rows = [(True, 0, cell, None, None, zlib.compress(_gaps(own), 1), own_checks.tobytes())] if len(own) else []
         begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         hit = np.add.reduceat(mark.astype(np.int64), begins) > 0
         if hit.any():
@@ -201,7 +228,7 @@ def _merge_join(buckets: int):
             for b in np.unique(where[flagged]).tolist():
                 mine = flagged[where[flagged] == b]
                 taken = np.concatenate([mark[begins[i] : begins[i] + sizes[i]] for i in mine])
-                rows.append((False, b, cell, zlib.compress(np.diff(entry[mine], prepend=0).tobytes(), 1), zlib.compress(sizes[mine].astype("<u4").tobytes(), 1), np.packbits(taken).tobytes()))
+                rows.append((False, b, cell, zlib.compress(np.diff(entry[mine], prepend=0).tobytes(), 1), zlib.compress(sizes[mine].astype("<u4").tobytes(), 1), np.packbits(taken).tobytes(), None))
         if not rows:
             return out.empty_table()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
@@ -210,12 +237,17 @@ def _merge_join(buckets: int):
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    fps = np.unique(np.concatenate([_from_gaps(zlib.decompress(x)) for x in table["fps"].to_pylist()]))
-    return pa.Table.from_arrays([pa.array([table["cell"][0].as_py()], pa.int32()), pa.array([zlib.compress(_gaps(fps), 1)])], schema=pa.schema([("cell", pa.int32()), ("fps", pa.binary())]))
+    fps = np.concatenate([_from_gaps(zlib.decompress(x)) for x in table["fps"].to_pylist()])
+    checks = np.concatenate([np.frombuffer(x, "<u4") for x in table["checks"].to_pylist()])
+    order = np.lexsort((checks, fps))
+    fps, checks = fps[order], checks[order]
+    new = _pairs(fps, checks)
+    schema = pa.schema([("cell", pa.int32()), ("fps", pa.binary()), ("checks", pa.binary())])
+    return pa.Table.from_arrays([pa.array([table["cell"][0].as_py()], pa.int32()), pa.array([zlib.compress(_gaps(fps[new]), 1)]), pa.array([checks[new].tobytes()])], schema=schema)
 
 
 class FingerprintIndex:
-    """Runs of fingerprints of what was seen, under a folder of the shared file system."""
+    """Runs of fingerprints and checks of what was seen, under a folder of the shared file system."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, cell_bits: int = 7, buckets: int = 128, fanout: int = 8, width: int = WINDOW):
         if not 0 < cell_bits <= 22:
@@ -227,8 +259,8 @@ class FingerprintIndex:
     def _history(self) -> DataFrame | None:
         if not self.runs:
             return None
-        runs = self.spark.read.schema("run boolean, bucket int, cell int, ids binary, counts binary, bits binary").parquet(*self.runs).where("run")
-        return runs.select("cell", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("counts"), F.col("bits").alias("fps"))
+        runs = self.spark.read.schema("run boolean, " + FOUND + ", checks binary").parquet(*self.runs).where("run")
+        return runs.select("cell", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("counts"), F.col("bits").alias("fps"), "checks")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Merge-joins a batch with the runs, appends its run, and returns the repeats as packed bits."""
@@ -237,7 +269,7 @@ class FingerprintIndex:
         if history is not None:
             rows = rows.unionByName(history)
         path = f"{self.path}/run-{self.written:06d}"
-        rows.groupBy("cell").applyInArrow(_merge_join(self.buckets), "run boolean, " + FOUND).write.option("compression", "zstd").parquet(path)
+        rows.groupBy("cell").applyInArrow(_merge_join(self.buckets), "run boolean, " + FOUND + ", checks binary").write.option("compression", "zstd").parquet(path)
         self.runs.append(path)
         self.written += 1
         found = self.spark.read.schema("run boolean, " + FOUND).parquet(path).where("not run").drop("run")
@@ -248,9 +280,9 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merges all runs into one, cell by cell. Runs that were merged are left to whoever clears the folder."""
         path = f"{self.path}/run-{self.written:06d}"
-        whole = self._history().select("cell", "fps").groupBy("cell").applyInArrow(_merged, "cell int, fps binary")
+        whole = self._history().select("cell", "fps", "checks").groupBy("cell").applyInArrow(_merged, "cell int, fps binary, checks binary")
         none = F.lit(None).cast("binary")
-        whole.select(F.lit(True).alias("run"), F.lit(0).alias("bucket"), "cell", none.alias("ids"), none.alias("counts"), F.col("fps").alias("bits")).write.option("compression", "zstd").parquet(path)
+        whole.select(F.lit(True).alias("run"), F.lit(0).alias("bucket"), "cell", none.alias("ids"), none.alias("counts"), F.col("fps").alias("bits"), "checks").write.option("compression", "zstd").parquet(path)
         self.runs, self.written = [path], self.written + 1
 
 

@@ -5,6 +5,8 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +250,36 @@ def test_index_remembers_earlier_batches(spark):
     assert removed == [0, 0, 30]
 
 
+@pytest.mark.parametrize("fanout", [8, 1])
+def test_equal_fingerprints_are_verified(spark, fanout):
+    words = [f"v{i}" for i in range(27)]
+    low = np.arange(5, dtype=np.uint64) << np.uint64(16)
+
+    def cell(ids, values, checks, kind=0):
+        packed = [zlib.compress(np.diff(np.array(ids, np.int64), prepend=0).tobytes()), zlib.compress(np.ones(len(ids), "<u4").tobytes())]
+        data = substrings._pack6(values) if kind == 0 else zlib.compress(substrings._gaps(values))
+        return (3, kind, *(packed if kind == 0 else (None, None)), data, np.array(checks, "<u4").tobytes())
+
+    def joined(rows):
+        return substrings._merge_join(1)(pa.Table.from_pylist([dict(zip(substrings._CELLS.names, r, strict=True)) for r in rows], schema=substrings._CELLS)).to_pylist()
+
+    # documents 1 to 4 have one fingerprint, but only 1 and 3 the same words; a run knows the words of 4
+    same = np.repeat(low[2:3], 4)
+    run, *found = joined([cell([1, 2, 3, 4], same, [7, 8, 7, 9]), cell([], low[1:3], [9, 9], kind=1)])
+    hit = [np.cumsum(np.frombuffer(zlib.decompress(r["ids"]), np.int64)).tolist() for r in found]
+    assert hit == [[3, 4]]
+    assert substrings._from_gaps(zlib.decompress(run["bits"])).tolist() == [int(low[2])] * 2 and np.frombuffer(run["checks"], "<u4").tolist() == [7, 8]
+    # a check of its own for each window, and the whole path with compaction
+    enc = [w.encode() for w in words]
+    assert len({*substrings.window_checks(enc).tolist()}) == 15
+    index = substrings.FingerprintIndex(spark, cell_bits=1, buckets=2, fanout=fanout)
+    removed = []
+    for k, text in enumerate([words, words[::-1], words]):
+        docs = spark.createDataFrame([(k, " ".join(text))], "doc_id long, text string")
+        removed.append(substrings.strip_repeats(docs, index.add(docs), index).first().n_removed)
+    assert removed == [0, 0, 27]
+
+
 # --- pipeline ---
 
 
