@@ -5,7 +5,9 @@ fewer. Each document is normalised to words with one space between them and scan
 mapped through the positions of the spaces to a word, and through the words to the original text.
 
 The automaton is sent to the tasks, so its text is measured first. Beyond `max_bytes` the items are dealt into
-parts that each fit, every part is scanned on its own, and the parts' hits are joined by document.
+parts that each fit. The rows are then written once with a number of their own, every part is scanned on its own, and
+the parts' hits are joined by that number, so the results are the same for any number of parts. The hits of a part are
+written before the next one is read: the driver holds the windows of one part at a time.
 
 Defined results: a null or empty text has no words; null or empty items have no windows; an item with a null
 item_id takes no part; repeated items count once; a document is judged by itself, so ties and repeated rows each
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlift.llm.common import documents, folded_words, id_and_bytes, row_map, sha256_hex
+from recordlift.llm.common import documents, folded_words, id_and_bytes, row_map, sha256_hex, stored
 
 WINDOW = 13
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -76,38 +78,65 @@ def scan(doc_id: int, text: bytes, auto) -> tuple:
     return doc_id, len(words), np.packbits(hit).tobytes(), sorted(items), original_spans(text, hit)
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_bytes: int = 64 << 20) -> list[DataFrame]:
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+
+
+def _n_parts(items: DataFrame, width: int, max_bytes: int) -> int:
     # a window repeats each word up to `width` times
-    volume = width * (items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0)
-    parts = volume // max_bytes + 1
-    found = []
+    return width * (items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0) // max_bytes + 1
+
+
+def _windows(items: DataFrame, width: int) -> dict[bytes, tuple[int, set[int]]]:
+    return windows_of([(r.item_id, bytes(r.text)) for r in items.toLocalIterator()], width)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as written to the shared folder, each with a number, and the name of its column."""
+    name = "_number"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "decontamination-rows"), name
+
+
+def part_hits(rows: DataFrame, items: DataFrame, parts: int, width: int) -> DataFrame:
+    """number, n_words, n_hit, hits, items of the rows (number, text) that any part hits."""
+    found = None
     for k in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        windows = windows_of([(r.item_id, bytes(r.text)) for r in own.toLocalIterator()], width)
-        found.append(id_and_bytes(docs).mapInArrow(row_map(scan, _OUT, lambda windows=windows: automaton(windows)), SCHEMA))
-    return found
+        windows = _windows(items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k), width)
+        part = stored(rows.mapInArrow(row_map(scan, _OUT, lambda windows=windows: automaton(windows)), SCHEMA).where("hits <> X''"), "decontamination-hits")
+        found = part if found is None else found.unionByName(part)
+    whole = found.groupBy("doc_id", "n_words").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+    return whole.mapInArrow(row_map(_merge, _HITS), "number long, n_words long, n_hit long, hits binary, items array<long>")
+
 
+_HITS = pa.schema([("number", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.int64()))])
 
-def _merge(doc_id: int, n_words: int, hits: list[bytes], items: list[list[int]], spans: list[str]) -> tuple:
+
+def _merge(number: int, n_words: int, hits: list[bytes], items: list[list[int]]) -> tuple:
     bits = np.zeros((n_words + 7) // 8, np.uint8)
     for h in hits:
-        if h:
-            bits |= np.frombuffer(h, np.uint8)
-    return doc_id, n_words, bits.tobytes() if bits.any() else b"", sorted({i for x in items for i in x}), ",".join(s for s in spans if s)
+        bits |= np.frombuffer(h, np.uint8)
+    return number, n_words, int(np.unpackbits(bits).sum()), bits.tobytes(), sorted({i for x in items for i in x})
+
+
+def _told(doc_id: int, text: bytes, hits: bytes | None, items: list[int] | None) -> tuple:
+    n_words = len(folded_words(text))
+    hit = np.unpackbits(np.frombuffer(hits, np.uint8), count=n_words).astype(bool) if hits else None
+    return doc_id, n_words, hits or b"", items or [], original_spans(text, hit) if hits else ""
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans: a row for each document."""
-    parts = scanned(docs, benchmark, width, max_bytes)
-    out = parts[0]
-    if len(parts) > 1:
-        # documents that share an id stay apart by their number of words only; ids are expected to be unique here
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        whole = whole.groupBy("doc_id", "n_words").agg(*(F.collect_list(c).alias(c) for c in ("hits", "items", "spans")))
-        out = whole.mapInArrow(row_map(_merge, _OUT), SCHEMA)
+    items = _items(benchmark)
+    parts = _n_parts(items, width, max_bytes)
+    if parts == 1:
+        windows = _windows(items, width)
+        out = id_and_bytes(docs).mapInArrow(row_map(scan, _OUT, lambda: automaton(windows)), SCHEMA)
+    else:
+        rows, number = numbered(id_and_bytes(docs))
+        hits = part_hits(rows.select(number, "text"), items, parts, width).withColumnRenamed("number", number)
+        out = rows.join(hits, number, "left").select("doc_id", "text", "hits", "items").mapInArrow(row_map(_told, _OUT), SCHEMA)
     return out.mapInArrow(row_map(_digest, _FINAL), FINAL).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")
 
 
@@ -121,13 +150,16 @@ def _digest(doc_id: int, n_words: int, hits: bytes, items: list[int], spans: str
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_bytes: int = 64 << 20) -> DataFrame:
-    """The documents that are not contaminated, all columns kept. The scan decides row by row, so no join is needed;
-    a benchmark too large for one automaton is joined by doc_id instead, and a row without one is judged as clean."""
-    items = benchmark.where("item_id is not null")
-    if width * (items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0) > max_bytes:
-        bad = decontaminate(docs, benchmark, width, max_bytes).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
-    windows = windows_of([(r.item_id, (r.text or "").encode()) for r in items.select("item_id", "text").toLocalIterator()], width)
+    """The documents that are not contaminated, all columns kept. Each row is judged by itself; with a benchmark too
+    large for one automaton, rows are told apart by a number of their own."""
+    items = _items(benchmark)
+    parts = _n_parts(items, width, max_bytes)
+    if parts > 1:
+        rows, number = numbered(docs)
+        texts = rows.select(number, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+        bad = part_hits(texts, items, parts, width).where("20 * n_hit >= n_words")
+        return rows.join(bad.select(F.col("number").alias(number)), number, "left_anti").select(*docs.columns)
+    windows = _windows(items, width)
 
     def run(batches):
         auto = automaton(windows)

@@ -110,6 +110,18 @@ def test_contamination(spark, max_bytes):
     assert sorted(str(r.doc_id) for r in kept.collect() if r.doc_id is not None) == sorted(str(r[0]) for r in want if r[0] not in bad and r[0] is not None)
 
 
+def test_contamination_is_the_same_in_parts(spark):
+    data = [x for x in rows(n=25) if len(x[1] or "") < 5000]
+    items = [(i, data[i][1]) for i in range(3, 9)] + [(1, "w1 w2"), (2, "w2 w3")]
+    clean = " ".join(f"u{i}" for i in range(len(folded(data[3][1]))))
+    odd = [data[3], data[3], (data[3][0], clean), (None, data[4][1]), (None, "w1 w2 w3"), (None, clean), (None, None), (None, None)]
+    docs, bench = frame(spark, data + odd), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: tuple(map(str, r))
+    whole, parts = ([sorted(map(tuple, f(docs, bench, max_bytes=m).collect()), key=key) for f in (decontamination.decontaminate, decontamination.clean)] for m in (64 << 20, 3000))
+    assert len(whole[0]) == len(data + odd) and parts == whole
+    assert [r[1] for r in whole[1]].count(clean) == 2 and data[3][1] not in [r[1] for r in whole[1]]
+
+
 def test_contamination_spans_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "é W1,  w2! no")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "w1 w2")], "item_id long, text string")
