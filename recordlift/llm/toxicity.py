@@ -7,8 +7,8 @@ that was copied a thousand times do not become terms. The lexicon is a trie; the
 a set of (trie node, edits), made once when first reached, so a word is read once whatever the number of terms.
 
 Scores: a hit weighs as evidence of abuse or, where quotation marks or a reporting word stand within 3 words of it,
-as quotation; a misspelled hit counts apart. A logistic model over these counts is fitted on a bounded sample of
-training rows (`max_rows`, by smallest hash of doc_id); everything else sees all rows. Labels are taken only from
+as quotation; a misspelled hit counts apart. The lexicon is gathered from all training rows. Only the logistic model
+over the counts is fitted on a bounded sample of them (`max_rows`, by smallest hash of doc_id). Labels are taken only from
 rows whose crc32(doc_id as text) mod 3 is not 1, and only texts are inputs of a score.
 
 Defined results: null and empty texts have no words and the score of a document without a hit; a null doc_id is not
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from recordlift.llm.common import documents, row_map, stored
 
 MAX_ROWS, MAX_TERMS, THRESHOLD = 20_000, 5_000, 0.7
+#: entries of a task's table of counts before it is sent on
+COUNTS = 500_000
 STEMS = (4, 5, 6)
 # fixed values: words that report speech
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes word term sagte schrieb nannte zitat dit écrit appelé cita dijo llamó".split())
@@ -152,15 +154,21 @@ def _terms(word: str) -> list[str]:
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(counts: Counter) -> Iterator[pa.RecordBatch]:
+        rows = [(t, n if label else 0, 0 if label else n) for (t, label), n in counts.items()]
+        for k in range(0, len(rows), 100_000):
+            terms, toxic, clean = zip(*rows[k : k + 100_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["term", "toxic", "clean"])
+
     counts: Counter = Counter()
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = {word_of(t) for t in (text or "").lower().split()}
             counts.update((t, label) for t in {t for w in words if 3 <= len(w) <= 24 and w.isalpha() for t in _terms(w)})
-    rows = [(t, n if label else 0, 0 if label else n) for (t, label), n in counts.items()]
-    for k in range(0, len(rows), 100_000):
-        terms, toxic, clean = zip(*rows[k : k + 100_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["term", "toxic", "clean"])
+            if len(counts) > COUNTS:
+                yield from sent(counts)
+                counts.clear()
+    yield from sent(counts)
 
 
 def _surroundings(wanted: frozenset[str]):
@@ -179,13 +187,12 @@ def _surroundings(wanted: frozenset[str]):
     return run
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """label, text of at most max_rows labelled documents that are not held out, each text once."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """label, text, h of all labelled documents that are not held out, each text once; h is the smallest hash of doc_id."""
     usable = labels.where("doc_id is not null and toxic is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").where("text is not null")
-    return rows.groupBy(F.sha2("text", 256)).agg(F.max("label").alias("label"), F.first("text").alias("text")).select("label", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(usable, "doc_id").where("text is not null")
+    return rows.groupBy(F.sha2("text", 256)).agg(F.max("label").alias("label"), F.first("text").alias("text"), F.min(F.xxhash64("doc_id")).alias("h")).select("label", "text", "h")
 
 
 def _evidence(toxic: float, clean: float, share: float) -> float:
@@ -196,7 +203,8 @@ def _evidence(toxic: float, clean: float, share: float) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
-    train = stored(training_rows(docs, labels, max_rows), "toxicity-train")
+    whole = stored(training_rows(docs, labels), "toxicity-train")
+    train = whole.select("label", "text")
     sizes = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Model((), (), ())
@@ -213,7 +221,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_term
     words = sorted(t[1:] for t in strong if t[0] == "=")
     stems = sorted(t for t in strong if t[0] != "=" and not any(t.startswith(s) and s != t for s in strong if s[0] != "="))
     matcher_args = (words, stems)
-    rows = train.mapInArrow(_featured_text(matcher_args), "label int, f array<double>").collect()
+    last = whole.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    rows = whole.where(F.col("h") <= last).select("label", "text").mapInArrow(_featured_text(matcher_args), "label int, f array<double>").collect()
     x, y = np.array([r.f for r in rows]), np.array([r.label for r in rows], float)
     return Model(tuple(words), tuple(stems), tuple(fit_logistic(x, y)))
 

@@ -201,6 +201,27 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
+def labelled(spark, texts):
+    """Documents (doc_id, text) and labels (doc_id, toxic) of (text, toxic), none of them held out."""
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows_ = [(i, t, y) for i, (t, y) in zip(ids, texts)]
+    full = spark.createDataFrame(rows_, "doc_id long, text string, toxic int")
+    return full.select("doc_id", "text"), full.select("doc_id", "toxic")
+
+
+def around(rng, word):
+    own = lambda: "".join(rng.choices("aeiou", k=9))
+    return f"{own()} {own()} {word} {own()} {own()}"
+
+
+def test_lexicon_is_gathered_from_all_rows(spark):
+    rng = random.Random(8)
+    texts = [(around(rng, "zzgrumpf" if k % 20 == 0 else "tree"), int(k % 20 == 0)) for k in range(600)]
+    docs, labels = labelled(spark, texts)
+    model = toxicity.learn(docs, labels, max_rows=30)
+    assert "zzgrumpf" in model.words
+
+
 # --- 10 ---
 
 
