@@ -2,7 +2,9 @@
 
 Lexicon: words, and stems of 4 to 6 letters for languages that inflect, which stand in toxic training documents in
 many different surroundings and hardly in others. Surroundings, not documents, are counted, so the words of a text
-that was copied a thousand times do not become terms. The lexicon is a trie; the Levenshtein automaton of every term
+that was copied a thousand times do not become terms. Terms that stand in toxic documents at least four times as
+often as in others are candidates, however many: their surroundings are counted and tested on Spark, for `PART` of
+them at a time, and only terms that pass every test come to the driver. The lexicon is a trie; the Levenshtein automaton of every term
 (one edit, for words of 5 letters or more with the same first letter) is intersected with it on the fly: a state is
 a set of (trie node, edits), made once when first reached, so a word is read once whatever the number of terms.
 
@@ -28,12 +30,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlift.llm.common import documents, row_map, stored
 
-MAX_ROWS, MAX_TERMS, THRESHOLD = 20_000, 5_000, 0.7
+MAX_ROWS, THRESHOLD = 20_000, 0.7
+#: candidate terms whose surroundings are counted in one pass
+PART = 500_000
+#: bytes of a lexicon that is sent to the tasks; a larger one is refused, not cut
+LEXICON_BYTES = 16 << 20
 #: entries of a task's table of counts before it is sent on
 COUNTS = 500_000
 STEMS = (4, 5, 6)
@@ -195,14 +201,31 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy(F.sha2("text", 256)).agg(F.max("label").alias("label"), F.first("text").alias("text"), F.min(F.xxhash64("doc_id")).alias("h")).select("label", "text", "h")
 
 
-def _evidence(toxic: float, clean: float, share: float) -> float:
+def _evidence(toxic: Column, clean: Column, share: float) -> Column:
     """Log-likelihood ratio of a term's counts against the share of toxic text."""
     n = toxic + clean
-    got = lambda k, q: k * math.log(k / (n * q)) if k else 0.0
+    got = lambda k, q: F.when(k > 0, k * F.log(k / (n * q))).otherwise(0.0)
     return 2 * (got(toxic, share) + got(clean, 1 - share))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Model:
+def strong_terms(train: DataFrame, candidates: DataFrame, share: float, part: int = PART) -> set[str]:
+    """The candidates (term) whose distinct surroundings pass all tests."""
+    found: set[str] = set()
+    parts = candidates.count() // part + 1
+    for k in range(parts):
+        wanted = frozenset(r.term for r in candidates.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).toLocalIterator())
+        if not wanted:
+            continue
+        around = train.mapInArrow(_surroundings(wanted), "term string, label int, around long").distinct()
+        counts = around.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
+        passed = counts.where("toxic >= 3 and toxic >= 4 * clean").where(_evidence(F.col("toxic"), F.col("clean"), share) >= 12).select("term")
+        found.update(r.term for r in passed.toLocalIterator())
+        if (size := sum(len(t.encode()) for t in found)) > LEXICON_BYTES:
+            raise ValueError(f"a lexicon of {size} bytes or more is not sent to the tasks")
+    return found
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, part: int = PART) -> Model:
     whole = stored(training_rows(docs, labels), "toxicity-train")
     train = whole.select("label", "text")
     sizes = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -210,16 +233,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_term
         return Model((), (), ())
     share = sizes[1] / (sizes[0] + sizes[1])
     counts = train.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # the driver gets at most max_terms candidates
-    candidates = counts.where("toxic >= 2 and toxic >= 4 * clean").orderBy(F.desc(F.col("toxic") - 4 * F.col("clean")), "term").limit(max_terms).collect()
-    wanted = frozenset(r.term for r in candidates)
-    around = train.mapInArrow(_surroundings(wanted), "term string, label int, around long").groupBy("term", "label").agg(F.countDistinct("around").alias("n")).collect()
-    found: dict[str, list[int]] = {}
-    for r in around:
-        found.setdefault(r.term, [0, 0])[r.label] = r.n
-    strong = {t for t, (clean, toxic) in found.items() if toxic >= 3 and toxic >= 4 * clean and _evidence(toxic, clean, share) >= 12}
+    candidates = stored(counts.where("toxic >= 2 and toxic >= 4 * clean").select("term"), "toxicity-terms")
+    strong = strong_terms(train, candidates, share, part)
     words = sorted(t[1:] for t in strong if t[0] == "=")
-    stems = sorted(t for t in strong if t[0] != "=" and not any(t.startswith(s) and s != t for s in strong if s[0] != "="))
+    stems = sorted(t for t in strong if t[0] != "=" and not any(t[:k] in strong for k in range(1, len(t))))
     matcher_args = (words, stems)
     last = whole.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
     rows = whole.where(F.col("h") <= last).select("label", "text").mapInArrow(_featured_text(matcher_args), "label int, f array<double>").collect()

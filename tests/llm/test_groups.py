@@ -222,6 +222,15 @@ def test_lexicon_is_gathered_from_all_rows(spark):
     assert "zzgrumpf" in model.words
 
 
+@pytest.mark.parametrize("part", [toxicity.PART, 2000])
+def test_copies_do_not_displace_terms(spark, part):
+    rng = random.Random(9)
+    copied = [f"{''.join(rng.choices('bcdfgh', k=10))}" for _ in range(1800)]
+    texts = [(" ".join([*copied, f"n{k}"]), 1) for k in range(12)] + [(around(rng, "zzgrumpf" if k % 10 == 0 else "tree"), int(k % 10 == 0)) for k in range(100)]
+    model = toxicity.learn(*labelled(spark, texts), part=part)
+    assert "zzgrumpf" in model.words and not set(copied[:-1]) & set(model.words)
+
+
 # --- 10 ---
 
 
