@@ -5,11 +5,14 @@ many different surroundings and hardly in others. Surroundings, not documents, a
 that was copied a thousand times do not become terms. Terms that stand in toxic documents at least four times as
 often as in others are candidates, however many: their surroundings are counted and tested on Spark, for `PART` of
 them at a time, and only terms that pass every test come to the driver. The lexicon is a trie; the Levenshtein automaton of every term
-(one edit, for words of 5 letters or more with the same first letter) is intersected with it on the fly: a state is
-a set of (trie node, edits), made once when first reached, so a word is read once whatever the number of terms.
+(one edit anywhere, swapped neighbours being one) is intersected with it on the fly: a state is a set of (trie node,
+edits, letter awaited after a swap), made once when first reached, so a word is read once whatever the number of
+terms. Signs that mask letters (f**l) stand for any letter. Matcher's default is narrower: same first letter, 5
+letters or more, no swaps, no masks; learn() and score() use the wide one.
 
 Scores: a hit weighs as evidence of abuse or, where quotation marks or a reporting word stand within 3 words of it,
-as quotation; a misspelled hit counts apart. The lexicon is gathered from all training rows. Only the logistic model
+as quotation; a misspelled hit counts apart, and one of a term under 5 letters, which honest words often resemble,
+apart from both, so that the fit decides what each is worth. The lexicon is gathered from all training rows. Only the logistic model
 over the counts is fitted on a bounded sample of them (`max_rows`, by smallest hash of doc_id). Labels are taken only from
 rows whose crc32(doc_id as text) mod 3 is not 1, and only texts are inputs of a score.
 
@@ -47,17 +50,25 @@ STEMS = (4, 5, 6)
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes word term sagte schrieb nannte zitat dit écrit appelé cita dijo llamó".split())
 _QUOTES = '"“”„«»‹›'
 _EDGES = re.compile(r"^\W+|\W+$")
+MASKS = frozenset("*#$%@!•?_+×✱")
+# signs that end a sentence or set off a word mask nothing at its end
+_MASKED_EDGES = re.compile(r"^[^\w*#$%@•×✱]+|[^\w*#$%@•×✱]+$")
 
 
 def word_of(token: str) -> str:
     return _EDGES.sub("", token)
 
 
+def masked_of(token: str) -> str:
+    """The token with the signs that may mask its first or last letters."""
+    return _MASKED_EDGES.sub("", token)
+
+
 class Matcher:
     """The lexicon's trie with lazily determinised Levenshtein automata."""
 
-    def __init__(self, words: list[str], stems: list[str], edits: int = 1):
-        self.edits = edits
+    def __init__(self, words: list[str], stems: list[str], edits: int = 1, wide: bool = False):
+        self.edits, self.wide = edits, wide
         self.children: list[dict[str, int]] = [{}]
         self.word_end, self.stem_end, self.fuzzy = [False], [False], [False]
         for terms, ends in ((words, "word_end"), (stems, "stem_end")):
@@ -75,49 +86,91 @@ class Matcher:
                 getattr(self, ends)[node] = True
                 if ends == "word_end" and len(term) >= 5:
                     self.fuzzy[node] = True
-        self.start = self._closed({(0, 0)})
-        self.step: dict[tuple[frozenset, str], frozenset] = {}
-
-    def _closed(self, states: set[tuple[int, int]]) -> frozenset:
-        """With letters of a term left out of the text; never the first one."""
+        self._reset()
+
+    def _reset(self) -> None:
+        self.ids: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        #: for each state: the next one by letter; ends[state]: exact stem, exact word, long misspelled, short misspelled, masked
+        self.step: list[dict[str, int]] = []
+        self.ends: list[tuple[bool, bool, bool, bool, bool]] = []
+        self.n_steps = 0
+        self.start = self._known(self._closed({(0, 0, "")}))
+
+    def _known(self, state: frozenset) -> int:
+        got = self.ids.get(state)
+        if got is None:
+            got = self.ids[state] = len(self.sets)
+            self.sets.append(state)
+            self.step.append({})
+            ends = [(n, e) for n, e, wait in state if not wait]
+            self.ends.append((
+                any(e == 0 and self.stem_end[n] for n, e in ends), any(e == 0 and self.word_end[n] for n, e in ends),
+                any(self.fuzzy[n] for n, _ in ends), self.wide and any(self.word_end[n] and not self.fuzzy[n] for n, _ in ends),
+                any(e == 0 and self.word_end[n] for n, e in ends),
+            ))
+        return got
+
+    def _closed(self, states: set[tuple[int, int, str]]) -> frozenset:
+        """With letters of a term left out of the text; the first one only if wide."""
         todo = list(states)
         while todo:
-            node, e = todo.pop()
-            if e < self.edits and node:
+            node, e, wait = todo.pop()
+            if e < self.edits and (node or self.wide) and not wait:
                 for child in self.children[node].values():
-                    if (child, e + 1) not in states:
-                        states.add((child, e + 1))
-                        todo.append((child, e + 1))
+                    if (child, e + 1, "") not in states:
+                        states.add((child, e + 1, ""))
+                        todo.append((child, e + 1, ""))
         return frozenset(states)
 
     def _next(self, state: frozenset, ch: str) -> frozenset:
-        out: set[tuple[int, int]] = set()
-        for node, e in state:
-            if (child := self.children[node].get(ch)) is not None:
-                out.add((child, e))
-            if e < self.edits and node:
-                out.add((node, e + 1))
-                out.update((c, e + 1) for c in self.children[node].values())
+        out: set[tuple[int, int, str]] = set()
+        mask = self.wide and ch in MASKS
+        for node, e, wait in state:
+            if wait:
+                if ch == wait:
+                    out.add((node, e, ""))
+                continue
+            own = self.children[node]
+            if mask:
+                out.update((c, e, "") for c in own.values())
+            elif (child := own.get(ch)) is not None:
+                out.add((child, e, ""))
+            if e < self.edits and (node or self.wide):
+                out.add((node, e + 1, ""))
+                out.update((c, e + 1, "") for c in own.values())
+                if self.wide:
+                    out.update((second, e + 1, a) for a, c in own.items() if a != ch and (second := self.children[c].get(ch)) is not None)
         return self._closed(out)
 
     def match(self, word: str) -> int:
-        """0: no term; 1: a term or a word that begins with a stem; 2: a misspelled term."""
+        """0: no term; 1: a term or a word that begins with a stem; 2: a misspelled or masked term; 3: a misspelled term of under 5 letters."""
+        if self.n_steps > 200_000:
+            self._reset()
         state, stem = self.start, False
+        signs = sum(ch in MASKS for ch in word) if self.wide else 0
         for ch in word:
-            key = (state, ch)
-            nxt = self.step.get(key)
+            nxt = self.step[state].get(ch)
             if nxt is None:
-                if len(self.step) > 200_000:
-                    self.step.clear()
-                nxt = self.step[key] = self._next(state, ch)
+                nxt = self.step[state][ch] = self._known(self._next(self.sets[state], ch))
+                self.n_steps += 1
             state = nxt
-            if not state:
+            if not self.sets[state]:
                 break
-            if not stem and any(e == 0 and self.stem_end[n] for n, e in state):
-                stem = True
-        if stem or any(e == 0 and self.word_end[n] for n, e in state):
-            return 1
-        return 2 if any(self.fuzzy[n] for n, _ in state) else 0
+            stem = stem or self.ends[state][0]
+        _, exact, long, short, masked = self.ends[state]
+        if signs:
+            # a mask in every place is no word; more edits beside masks only where most letters are there
+            return 2 if signs < len(word) and (masked or long and 2 * signs < len(word)) else 0
+        return 1 if stem or exact else 2 if long else 3 if short else 0
+
+    def match_token(self, token: str) -> int:
+        """The better of the token's word and, if wide, the word with its masking signs."""
+        word = word_of(token)
+        code = self.match(word)
+        if self.wide and code != 1 and (other := masked_of(token)) != word:
+            return min((c for c in (code, self.match(other)) if c), default=0)
+        return code
 
 
 @dataclass(frozen=True)
@@ -127,7 +180,7 @@ class Model:
     weights: tuple[float, ...]  # intercept first; empty: no evidence, score 0
 
 
-N_FEATURES = 6
+N_FEATURES = 7
 
 
 def features_of(text: str, matcher: Matcher, known: dict[str, int]) -> list[float]:
@@ -138,12 +191,15 @@ def features_of(text: str, matcher: Matcher, known: dict[str, int]) -> list[floa
     for i, token in enumerate(tokens):
         code = known.get(token)
         if code is None:
-            code = known[token] = matcher.match(word_of(token))
+            code = known[token] = matcher.match_token(token)
         if code:
             hits.append((i, code))
-    plain = quoted = fuzzy = 0
+    plain = quoted = fuzzy = short = 0
     kinds = set()
     for i, code in hits:
+        if code == 3:
+            short += 1
+            continue
         near = tokens[max(0, i - 3) : i + 4]
         if code == 2:
             fuzzy += 1
@@ -152,7 +208,7 @@ def features_of(text: str, matcher: Matcher, known: dict[str, int]) -> list[floa
         else:
             plain += 1
         kinds.add(word_of(tokens[i])[:4])
-    return [math.log1p(plain), float(plain >= 2), math.log1p(quoted), math.log1p(fuzzy), float(min(3, len(kinds))), min(1.0, 20 * (plain + quoted) / max(1, len(tokens)))]
+    return [math.log1p(plain), float(plain >= 2), math.log1p(quoted), math.log1p(fuzzy), float(min(3, len(kinds))), min(1.0, 20 * (plain + quoted) / max(1, len(tokens))), math.log1p(short)]
 
 
 def _terms(word: str) -> list[str]:
@@ -262,7 +318,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 
 def _featured_text(lexicon: tuple[list[str], list[str]]):
     known: dict[str, int] = {}
-    return row_map(lambda label, text, m: (label, features_of(text or "", m, known)), pa.schema([("label", pa.int32()), ("f", pa.list_(pa.float64()))]), lambda: Matcher(*lexicon))
+    return row_map(lambda label, text, m: (label, features_of(text or "", m, known)), pa.schema([("label", pa.int32()), ("f", pa.list_(pa.float64()))]), lambda: Matcher(*lexicon, wide=True))
 
 
 def _scored(model: Model):
@@ -274,7 +330,7 @@ def _scored(model: Model):
         z = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], features_of(text or "", m, known), strict=True))
         return key, 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    return each, lambda: Matcher(list(model.words), list(model.stems))
+    return each, lambda: Matcher(list(model.words), list(model.stems), wide=True)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -201,6 +201,35 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
+def osa(a, b):
+    """Edits with swapped neighbours as one."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i and j and x == b[j - 1] and a[i - 1] == y:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_disguised_terms():
+    m = toxicity.Matcher(["idiot", "fool"], [], wide=True)
+    for token in ("1diot", "*diot", "udiot", "diot", "idoit", "diiot", "id*ot", "i**ot", "(i***t)", "i.diot", "xidiot", "idiot*", "f**l", "*ool", "foo*"):
+        assert m.match_token(token) == 2 or token == "idiot*" and m.match_token(token) == 1, token
+    assert [m.match_token(t) for t in ("idiot!", "fol", "cool", "****", "***", "*", "", "ditoi", "tree", "a*")] == [1, 3, 3, 0, 0, 0, 0, 0, 0, 0]
+    rng = random.Random(6)
+    terms = ["".join(rng.choices("abc", k=rng.randrange(3, 9))) for _ in range(12)]
+    m = toxicity.Matcher(terms, ["caba"], wide=True)
+    for _ in range(3000):
+        w = "".join(rng.choices("abcd", k=rng.randrange(1, 10)))
+        near = [len(t) for t in terms if osa(t, w) <= 1]
+        want = 1 if w in terms or w.startswith("caba") else 2 if max(near, default=0) >= 5 else 3 if near else 0
+        assert m.match(w) == want, w
+    # without a term at all: features of the disguised word are those of a hit
+    m = toxicity.Matcher(["idiot"], [], wide=True)
+    assert all(toxicity.features_of(f"you {t} here", m, {})[3] > 0 for t in ("*diot", "udiot", "idoit"))
+
+
 def labelled(spark, texts):
     """Documents (doc_id, text) and labels (doc_id, toxic) of (text, toxic), none of them held out."""
     ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 3 != 1)
