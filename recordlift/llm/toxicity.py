@@ -43,6 +43,8 @@ MAX_ROWS, THRESHOLD = 20_000, 0.7
 PART = 500_000
 #: bytes of a lexicon that is sent to the tasks; a larger one is refused, not cut
 LEXICON_BYTES = 16 << 20
+#: labels up to which their ids go to the texts instead of the texts to them; the rows are the same either way
+SENT_LABELS = 5_000_000
 #: entries of a task's table of counts before it is sent on
 COUNTS = 500_000
 STEMS = (4, 5, 6)
@@ -253,6 +255,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """label, text, h of all labelled documents that are not held out, each text once; h is the smallest hash of doc_id."""
     usable = labels.where("doc_id is not null and toxic is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    if usable.count() <= SENT_LABELS:
+        usable = F.broadcast(usable)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(usable, "doc_id").where("text is not null")
     return rows.groupBy(F.sha2("text", 256)).agg(F.max("label").alias("label"), F.first("text").alias("text"), F.min(F.xxhash64("doc_id")).alias("h")).select("label", "text", "h")
 
