@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: the largest file that is read; larger ones are left out by their listed size
-MAX_BYTES = 32 << 20
 _HIGH = bytes(b for b in range(0x80, 0x100) if b != 0x98)
 _LATIN, _CYRILLIC = _HIGH.decode("latin-1"), _HIGH.decode("cp1251")
 
@@ -22,9 +20,13 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "^\ufeff", "")
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, glob: str = "*") -> DataFrame:
-    """doc_id (the path), text, encoding, odd_encoding for every file that is not empty."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where((F.col("length") > 0) & (F.col("length") <= max_bytes))
+def read_files(spark: SparkSession, path: str, max_bytes: int | None = None, glob: str = "*") -> DataFrame:
+    """doc_id (the path), text, encoding, odd_encoding for every file that is not empty.
+
+    With max_bytes, files that are larger by their listed size are left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(F.col("length") > 0)
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
     return decode_files(files.select(F.col("path").alias("doc_id"), "content"))
 
 

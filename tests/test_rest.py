@@ -97,6 +97,11 @@ def test_files(spark, tmp_path):
     assert rows == {"a.txt": ("Яч 1", "utf-8-sig", False), "b.txt": ("Яч 2", "cp1251", True), "c.txt": ("\x98é", "latin-1", True)}
 
 
+def test_large_files_are_read(spark, tmp_path):
+    (tmp_path / "large.txt").write_bytes(b"x" * ((32 << 20) + 1))
+    assert [Path(r.doc_id).name for r in read_files(spark, str(tmp_path)).select("doc_id").collect()] == ["large.txt"]
+
+
 def test_exports(spark, tmp_path):
     spec = compile_config(base())
     rows = parsed(spark, ['alpha =1"x, beta y', "gamma z"], base()).coalesce(1).sortWithinPartitions("doc_id")
