@@ -12,6 +12,8 @@ from recordlift.functions.rules import Rule, rule
 from recordlift.functions.steps import DEFAULT, Step, normalizer
 
 MODES, SPLITS = ("exact", "fuzzy", "regex"), ("whitespace", "whitespace_and_punctuation")
+# fixed value: the key of a configuration's name
+NAME_KEY = "parser_name"
 #: a field is a bit of a long in the state machine
 MOST_TRIGGERS = 62
 
@@ -87,10 +89,10 @@ def validate_config(raw: Any) -> list[str]:
     """All that is wrong with the configuration; empty if it can be compiled. Never raises."""
     if not isinstance(raw, dict):
         return ["the configuration must be an object"]
-    found = [f"missing key: {k!r}" for k in ("parser_name", "csv_columns", "triggers") if k not in raw]
+    found = [f"missing key: {k!r}" for k in (NAME_KEY, "csv_columns", "triggers") if k not in raw]
     columns = raw.get("csv_columns", [])
-    if not isinstance(raw.get("parser_name", ""), str):
-        found.append("parser_name must be a string")
+    if not isinstance(raw.get(NAME_KEY, ""), str):
+        found.append(f"{NAME_KEY} must be a string")
     if not isinstance(columns, list) or not all(isinstance(c, str) for c in columns):
         found.append("csv_columns must be a list of strings")
         columns = []
@@ -176,7 +178,7 @@ def compile_config(raw: dict[str, Any]) -> Spec:
     if "detect_by" in (detection.get("continuation_heuristics") or {}):
         predicate(detection["continuation_heuristics"]["detect_by"])  # accepted and checked; it never changes a result
     return Spec(
-        name=raw["parser_name"], columns=tuple(raw["csv_columns"]), triggers=tuple(_compiled(n, t) for n, t in sorted(raw["triggers"].items(), key=rank)),
+        name=raw[NAME_KEY], columns=tuple(raw["csv_columns"]), triggers=tuple(_compiled(n, t) for n, t in sorted(raw["triggers"].items(), key=rank)),
         max_distance=raw.get("max_distance", 1), require_first_char=raw.get("require_first_char", True), stop=frozenset(w.lower() for w in raw.get("stop_words", [])),
         keep_lost=bool(raw.get("log_suspicious", False)), split_by=(raw.get("tokenizer") or {}).get("split_by") or "whitespace", record_trigger=detection.get("trigger"),
         dedup_key=dedup.get("key"), dedup_code=dedup.get("error_code", "errDUP"), dedup_case=dedup.get("case_sensitive", False), tests=tuple(raw.get("tests", [])), version=raw.get("version", "1.0"), raw=raw,

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from recordlift.plans.config import compile_config
+from recordlift.plans.config import NAME_KEY, compile_config
 from recordlift.plans.parse import parse, raw_records
 from tests.plain import Plain
 from tests.registry import CONFIG, ROWS, TEXT
@@ -20,7 +20,7 @@ def test_sample_registry(spark):
 
 
 def base(**more):
-    return {"parser_name": "p", "csv_columns": ["a", "b", "c"], "triggers": {"a": {"aliases": ["alpha"], "search_mode": "fuzzy"}, "b": {"aliases": ["beta"], "search_mode": "fuzzy"}, "c": {"aliases": ["gamma"], "search_mode": "fuzzy"}}} | more
+    return {NAME_KEY: "p", "csv_columns": ["a", "b", "c"], "triggers": {"a": {"aliases": ["alpha"], "search_mode": "fuzzy"}, "b": {"aliases": ["beta"], "search_mode": "fuzzy"}, "c": {"aliases": ["gamma"], "search_mode": "fuzzy"}}} | more
 
 
 def one(spark, text, raw):
