@@ -86,3 +86,9 @@ def test_text(spark):
     assert applied(spark, lambda c: tokenize(c, "whitespace_and_punctuation"), ["a,,b ,c"]) == [["a", ",", ",", "b", ",c"]]
     odd = "".join(c for c in map(chr, range(0x3100)) if c.isspace())
     assert applied(spark, words, ["x".join(odd), "", " "]) == [["x"] * (len(odd) - 1), [], []]
+
+
+def test_brackets_nested_deeply(spark):
+    deep = 10_500
+    values = ["a " + "[" * deep + "x" + "]" * deep + " b", "[" * deep + "x] y", "c " + "[q] " * deep + "d", "[" * 3 + "]" * 5]
+    assert applied(spark, clean_text, values) == ["a b", "[" * (deep - 1) + " y", "c d", "]]"]
