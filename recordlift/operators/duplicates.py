@@ -25,10 +25,14 @@ def mark_duplicates(records: DataFrame, spec: Spec) -> DataFrame:
     if spec.dedup_key is None:
         return records
     value = strip(F.coalesce(_quoted(spec.dedup_key), F.lit("")))
-    rows = records.withColumn("_key", value if spec.dedup_case else F.lower(value)).withColumn("_alone", F.when(F.col("_key") == "", F.col("rec_idx")))
-    earlier = F.row_number().over(Window.partitionBy("doc_id", "_key", "_alone").orderBy("rec_idx")) > 1
-    marked = rows.withColumn("_again", earlier & (F.col("_key") != ""))
-    return marked.select(*(F.when(F.col("_again"), with_code(F.col("err"), spec.dedup_code)).otherwise(F.col("err")).alias("err") if c == "err" else _quoted(c) for c in records.columns))
+    # the record stands in a struct, so its columns may have any name
+    rows = records.select(F.struct(*(_quoted(c) for c in records.columns)).alias("record"), (value if spec.dedup_case else F.lower(value)).alias("key"), "doc_id", "rec_idx")
+    rows = rows.withColumn("alone", F.when(F.col("key") == "", F.col("rec_idx")))
+    earlier = F.row_number().over(Window.partitionBy("doc_id", "key", "alone").orderBy("rec_idx")) > 1
+    again = rows.select("record", (earlier & (F.col("key") != "")).alias("again"))
+    kept = {c: F.col("record")[c] for c in records.columns}
+    kept["err"] = F.when(F.col("again"), with_code(kept["err"], spec.dedup_code)).otherwise(kept["err"])
+    return again.select(*(v.alias(c) for c, v in kept.items()))
 
 
 def count_duplicates(records: DataFrame, spec: Spec) -> DataFrame:

@@ -18,10 +18,11 @@ from recordlift.operators import profile
 from recordlift.operators.selftest import run_tests
 from recordlift.operators.tokens import classified
 from recordlift.operators.trace import trace
-from recordlift.plans.config import Spec, compile_config
-from recordlift.plans.parse import parse, tokens_of
-from recordlift.sources.exports import csv_escaped
-from recordlift.sources.files import decode_files
+from recordlift.plans.config import NAME_KEY, Spec, compile_config, validate_config
+from recordlift.plans.parse import first_records, parse, tokens_of
+from recordlift.sources.exports import csv_escaped, write_csv, write_json_array, write_parquet
+from recordlift.sources.files import decode_files, read_files
+from recordlift.sources.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,7 +46,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 # --- registry text of the orders table ---------------------------------------------------------------------------
 
 BASE = {
-    "parser_name": "orders",
+    NAME_KEY: "orders",
     "csv_columns": ["cell", "prio", "price", "stat"],
     "record_detection": {"trigger": "cell"},
     "triggers": {
@@ -120,6 +121,13 @@ def extract_typos(spark, sf_dir):
     return _fields(parse(registry(spark, sf_dir, _record(prio=typos)), spec()))
 
 
+@query(fields_sql())
+def extract_regex_trigger(spark, sf_dir):
+    """A keyword given by a regular expression, which the whole token must match in any case."""
+    keyword = "concat(if(o_orderkey % 2 = 0, 'PR-', 'p-'), o_orderkey, ' ', o_orderpriority)"
+    return _fields(parse(registry(spark, sf_dir, _record(prio=keyword)), spec(prio={"aliases": ["pr?-[0-9]+"], "search_mode": "regex"})))
+
+
 @query(fields_sql(prio="CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END"))
 def extract_two_triggers_one_column(spark, sf_dir):
     kinds = "concat(if(o_orderkey % 2 = 0, 'firm ', 'human '), o_orderpriority)"
@@ -183,11 +191,16 @@ def dedup_case_sensitive(spark, sf_dir):
     return _fields(parse(registry(spark, sf_dir, _record(prio=prio)), spec(dedup={"key": "prio", "case_sensitive": True, "error_code": "twice"})))
 
 
-def mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Spec]:
-    """Records with errors of several kinds: a missing keyword, a stop word, a broken rule, duplicates."""
+def mixed_text(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Spec]:
+    """Text of records with errors of several kinds: a missing keyword, a stop word, a broken rule, duplicates."""
     record = _record(prio=MAYBE_PRIO, stat="concat('stat ', o_orderstatus, if(o_orderkey % 3 = 0, ' void', ''))")
     made = spec(prio=GUESS, stat={"stop_words": ["void"]}, price={"validation": {"rule": "regex:[0-9]+[.][0-4][0-9]", "error_code": "errPRICE"}}, dedup={"key": "prio"})
-    return parse(registry(spark, sf_dir, record), made), made
+    return registry(spark, sf_dir, record), made
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Spec]:
+    docs, made = mixed_text(spark, sf_dir)
+    return parse(docs, made), made
 
 
 MIXED_SQL = f"""m AS (SELECT o_custkey AS doc_id, o_orderkey, CAST(o_orderkey AS VARCHAR) AS cell, o_orderpriority AS prio, {PRICE_SQL} AS price, o_orderstatus AS stat,
@@ -216,6 +229,16 @@ def field_fill(spark, sf_dir):
     return profile.field_fill(*mixed(spark, sf_dir))
 
 
+@query(
+    """WITH f AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 3 > 0) AS prio, count(*) FILTER (o_orderkey % 8 = 0) AS price FROM orders)
+    SELECT field, filled, CAST(round_even(100.0 * filled / n, 0) AS BIGINT) AS percent FROM (SELECT n, unnest(['cell', 'prio', 'price', 'stat']) AS field, unnest([n, prio, price, 0]) AS filled FROM f)"""
+)
+def field_fill_partly(spark, sf_dir):
+    """Columns that many records lack, one of them everywhere."""
+    record = _record(prio="if(o_orderkey % 3 > 0, concat('prio ', o_orderpriority), null)", price=f"if(o_orderkey % 8 = 0, concat('price ', {PRICE}), null)", stat="'stat'")
+    return profile.field_fill(parse(registry(spark, sf_dir, record), spec()), spec())
+
+
 @query(
     f"""WITH {MIXED_SQL}, {CELLS_SQL}, c AS (SELECT field, value, count(*) AS cnt, min({{'d': doc_id, 'o': o_orderkey}}) AS seen FROM v GROUP BY field, value),
     r AS (SELECT field, string_agg(value || '=' || cnt, ',' ORDER BY n) AS repeated FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY cnt DESC, seen) AS n FROM c WHERE cnt > 1) WHERE n <= 8 GROUP BY field)
@@ -228,7 +251,8 @@ def value_distribution(spark, sf_dir):
 
 @query(f"WITH {MIXED_SQL} SELECT doc_id, cell, err FROM (SELECT doc_id, cell, nullif(err, '') AS err, row_number() OVER (ORDER BY doc_id, o_orderkey) AS n FROM m) WHERE n <= 50")
 def preview(spark, sf_dir):
-    return profile.preview(mixed(spark, sf_dir)[0]).select("doc_id", "cell", "err")
+    docs, made = mixed_text(spark, sf_dir)
+    return first_records(docs, made, profile.PREVIEW).select("doc_id", "cell", "err")
 
 
 def unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,6 +314,18 @@ def tokenize_punctuation(spark, sf_dir):
     return rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
+# a comma at the start or behind white space stays with what follows; every other one stands alone
+COMMAS_SQL = f"regexp_replace(replace(text, '. ', ',,'), '(^|{WS_SQL}),', '\\1' || chr(2), 'g')"
+COMMAS_SQL = f"replace(replace({COMMAS_SQL}, ',', ' , '), chr(2), ',')"
+
+
+@query(f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {TOKENS_SQL.replace('(text,', '(' + COMMAS_SQL + ',')} AS w FROM documents)")
+def tokenize_commas(spark, sf_dir):
+    """Commas one behind another."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", tokenize(F.replace("text", F.lit(". "), F.lit(",,")), "whitespace_and_punctuation").alias("w"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
 @query(f"SELECT doc_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT doc_id, {CLEAN_SQL} AS c FROM (SELECT doc_id, concat('[a [b]] ', chr(65279), text, chr(160), ' [c') AS text FROM documents))")
 def clean_documents(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", clean_text(F.concat(F.lit("[a [b]] \ufeff"), F.col("text"), F.lit("\u00a0 [c"))).alias("c"))
@@ -302,12 +338,12 @@ def token_frequency(spark, sf_dir):
     return rows.groupBy("token").agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT doc_id, text, encoding FROM (SELECT doc_id, text, 'utf-8-sig' AS encoding FROM documents UNION ALL SELECT -1 - c_custkey, c_name || ' Ёж', 'cp1251' FROM customer)")
+@query("SELECT doc_id, text, encoding, encoding <> 'utf-8-sig' AS odd_encoding FROM (SELECT doc_id, text, 'utf-8-sig' AS encoding FROM documents UNION ALL SELECT -1 - c_custkey, c_name || ' Ёж', 'cp1251' FROM customer)")
 def decode_bytes(spark, sf_dir):
     """Texts as UTF-8 bytes with a byte-order mark, and names as cp1251 bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(b"\xef\xbb\xbf"), F.col("text").cast("binary")).alias("content"))
     names = table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("doc_id"), F.concat(F.col("c_name").cast("binary"), F.lit(" Ёж".encode("cp1251"))).alias("content"))
-    return decode_files(docs.unionByName(names)).select("doc_id", "text", "encoding")
+    return decode_files(docs.unionByName(names)).select("doc_id", "text", "encoding", "odd_encoding")
 
 
 # --- predicates and rules ----------------------------------------------------------------------------------------
@@ -395,7 +431,7 @@ for _name, (_step, _source, _text, _sql) in STEPS.items():
 # --- classification, output --------------------------------------------------------------------------------------
 
 LEV = compile_config({
-    "parser_name": "parts", "csv_columns": ["size", "color", "thing", "old"], "stop_words": ["hot"],
+    NAME_KEY: "parts", "csv_columns": ["size", "color", "thing", "old"], "stop_words": ["hot"],
     "triggers": {"size": {"aliases": ["smell", "large"], "search_mode": "fuzzy"}, "color": {"aliases": ["rad", "blue"], "search_mode": "fuzzy"}, "thing": {"aliases": ["rings", "bolts", "gear"], "search_mode": "fuzzy"}, "old": {"aliases": ["old"], "search_mode": "exact"}},
 })
 ALIASES_SQL = "a(pos, name, alias) AS (VALUES (0, 'size', 'smell'), (0, 'size', 'large'), (1, 'color', 'rad'), (1, 'color', 'blue'), (2, 'thing', 'rings'), (2, 'thing', 'bolts'), (2, 'thing', 'gear'))"
@@ -426,6 +462,79 @@ def csv_escape(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", csv_escaped(value).alias("value"))
 
 
+SHOWN = ("cell", "prio", "price", "stat", "err")
+
+
+def risky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Spec]:
+    """Records of which some columns are absent and some values look like formulas or need quotation marks."""
+    record = _record(prio="if(o_orderkey % 3 = 0, null, concat('prio =', o_orderpriority))", stat="concat('stat \"', o_orderstatus, ',Ж\"')")
+    return parse(registry(spark, sf_dir, record), spec()), spec()
+
+
+def _written(rows: DataFrame, made: Spec, write: Callable[[DataFrame, str, Spec], None]) -> str:
+    path = fresh_path(rows.sparkSession, "export")
+    write(rows, path, made)
+    return path
+
+
+RISKY_STAT = "'\"' || o_orderstatus || ',Ж\"'"
+RISKY_SQL = f"SELECT CAST(o_orderkey AS VARCHAR) AS cell, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE PRIO END AS prio, {PRICE_SQL} AS price, {RISKY_STAT} AS stat, '' AS err FROM orders"
+
+
+@query(RISKY_SQL.replace("PRIO", "chr(39) || '=' || o_orderpriority"))
+def sink_csv(spark, sf_dir):
+    """Records written as CSV and read again; what a spreadsheet would take for a formula has its quotation mark."""
+    path = _written(*risky(spark, sf_dir), write_csv)
+    rows = spark.read.option("header", True).option("escape", '"').csv(path).toDF(*SHOWN)
+    return rows.select(*(F.coalesce(c, F.lit("")).alias(c) for c in SHOWN))
+
+
+@query("SELECT count(*) AS lines, true AS marked, true AS ended FROM orders")
+def sink_csv_bytes(spark, sf_dir):
+    """Every file begins with a byte-order mark and the header, and every line ends with CRLF."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(_written(*risky(spark, sf_dir), write_csv))
+    text = F.col("content").cast("string")
+    counts = files.select((F.size(F.split(text, "\r\n", -1)) - 2).alias("n"), F.startswith(text, F.lit("﻿" + ",".join(SHOWN) + "\r\n")).alias("marked"), F.endswith(text, F.lit("\r\n")).alias("ended"))
+    return counts.agg(F.sum("n").alias("lines"), F.bool_and("marked").alias("marked"), F.bool_and("ended").alias("ended"))
+
+
+@query(RISKY_SQL.replace("PRIO", "'=' || o_orderpriority"))
+def sink_json_array(spark, sf_dir):
+    """Records written as arrays of objects and read again."""
+    path = _written(*risky(spark, sf_dir), write_json_array)
+    return spark.read.schema(", ".join(f"{c} string" for c in SHOWN)).option("multiLine", True).json(path).select(*SHOWN)
+
+
+@query(fields_sql(prio="CASE WHEN o_orderkey % 3 > 0 THEN '=' || o_orderpriority END", stat=RISKY_STAT, more=", o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS rec_idx"))
+def sink_parquet(spark, sf_dir):
+    return spark.read.parquet(_written(*risky(spark, sf_dir), write_parquet)).select(*SHOWN, "doc_id", "rec_idx")
+
+
+@query(
+    """SELECT 1 AS doc_seq, 'utf-8-sig' AS encoding, string_agg(c_name, chr(10) ORDER BY c_custkey) || chr(10) AS text FROM customer GROUP BY c_nationkey
+    UNION ALL SELECT 0, 'utf-8-sig', string_agg(s_name || ' Ж', chr(10) ORDER BY s_suppkey) || chr(10) FROM supplier GROUP BY s_nationkey"""
+)
+def scan_folders(spark, sf_dir):
+    """A file for each nation in two folders, read in the order of the folders."""
+    folders = []
+    for name, key, nation, text in (("supplier", "s_suppkey", "s_nationkey", F.concat("s_name", F.lit(" Ж"))), ("customer", "c_custkey", "c_nationkey", F.col("c_name"))):
+        lines = table(spark, sf_dir, name).repartition(F.col(nation)).sortWithinPartitions(nation, key).select(text.alias("value"), F.col(nation).alias("nation"))
+        folders.append(path := fresh_path(spark, f"texts-{name}"))
+        lines.write.partitionBy("nation").text(path)
+    return read_files(spark, folders, glob="part-*").select("doc_seq", "encoding", "text")
+
+
+PROBLEMS = ["missing key: 'triggers'", "csv_columns must be a list of strings", "tokenizer.split_by must be one of whitespace, whitespace_and_punctuation", "dedup.key 'x' is not in csv_columns", "tests[0]: expect is missing", "max_distance must be a whole number"]
+PROBLEMS_SQL = ", ".join(f"({k}::BIGINT, '{p.replace(chr(39), 2 * chr(39))}')" for k, p in enumerate(PROBLEMS))
+
+
+@query(f"SELECT nth, problem FROM (VALUES {PROBLEMS_SQL}) v(nth, problem)")
+def config_problems(spark, sf_dir):
+    """All problems of a configuration, not the first one only."""
+    found = validate_config({NAME_KEY: "p", "csv_columns": 5, "tokenizer": {"split_by": "x"}, "dedup": {"key": "x"}, "tests": [{"input": ""}], "max_distance": "1"})
+    return spark.createDataFrame(list(enumerate(found)), "nth long, problem string")
+
+
 @query("SELECT c_custkey, lower(trim(c_name)) AS value FROM customer")
 def normalize_key(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.lower(strip(F.concat(F.lit(" "), F.col("c_name"), F.lit(" ")))).alias("value"))

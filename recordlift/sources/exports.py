@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,38 @@ def write_json(records: DataFrame, path: str, spec: Spec, mode: str = "error") -
     shown(records, spec).write.mode(mode).json(path)
 
 
+def _json_text(v: Column) -> Column:
+    """The value as a string of JSON: an array of it without its brackets."""
+    array = F.to_json(F.array(v))
+    return F.substr(array, F.lit(2), F.length(array) - 2)
+
+
+def json_object(spec: Spec) -> Column:
+    """The output columns as one object of an array, indented by two spaces; characters beyond ASCII stay."""
+    member = lambda c: F.concat(F.lit("    " + json.dumps(c, ensure_ascii=False) + ": "), _json_text(F.col(f"`{c}`")))
+    return F.concat(F.lit("  {\n"), F.concat_ws(",\n", *(member(c) for c in spec.output)), F.lit("\n  }"))
+
+
+def write_json_array(records: DataFrame, path: str, spec: Spec, mode: str = "error") -> None:
+    """Part files that are one array of objects each, in the records' order. A task holds two thousand of them at a time."""
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = lambda value: pa.RecordBatch.from_pydict({"value": [value]})
+        yield line("[")
+        held = None
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                if held is not None:
+                    yield line(held + ",")
+                held = ",\n".join(batch.column(0).slice(k, 1000).to_pylist())
+        if held is not None:
+            yield line(held)
+        yield line("]")
+
+    objects = shown(records, spec).select(json_object(spec).alias("value"))
+    objects.mapInArrow(bracketed, "value string").write.mode(mode).text(path)
+
+
 def write_parquet(records: DataFrame, path: str, spec: Spec, mode: str = "error") -> None:
     records.select("doc_id", "rec_idx", *(F.col(f"`{c}`") for c in spec.output)).write.mode(mode).parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,17 +22,21 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "^\ufeff", "")
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int | None = None, glob: str = "*") -> DataFrame:
-    """doc_id (the path), text, encoding, odd_encoding for every file that is not empty.
+def read_files(spark: SparkSession, path: str | list[str], max_bytes: int | None = None, glob: str = "*") -> DataFrame:
+    """doc_id (the path), doc_seq, text, encoding, odd_encoding for every file that is not empty.
 
-    With max_bytes, files that are larger by their listed size are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where(F.col("length") > 0)
+    A list of paths is read in its order: doc_seq is the place of the file's path, or of the folder that holds it, in
+    the list, so that "doc_seq, doc_id" is the order of the files. Files of any size are read; only if max_bytes is
+    given are files left out that are larger by their listed size."""
+    paths = [path] if isinstance(path, str) else path
+    each = [spark.read.format("binaryFile").option("pathGlobFilter", glob).load(p).where(F.col("length") > 0).withColumn("doc_seq", F.lit(i)) for i, p in enumerate(paths)]
+    files = reduce(DataFrame.unionByName, each)
     if max_bytes is not None:
         files = files.where(F.col("length") <= max_bytes)
-    return decode_files(files.select(F.col("path").alias("doc_id"), "content"))
+    return decode_files(files.select(F.col("path").alias("doc_id"), "doc_seq", "content"))
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """(doc_id, content) -> doc_id, text, encoding, odd_encoding."""
+    """(content and further columns) -> the further columns, text, encoding, odd_encoding."""
     encoding = encoding_of(F.col("content"))
-    return files.select("doc_id", decoded(F.col("content")).alias("text"), encoding.alias("encoding"), (encoding != "utf-8-sig").alias("odd_encoding"))
+    return files.select(*(c for c in files.columns if c != "content"), decoded(F.col("content")).alias("text"), encoding.alias("encoding"), (encoding != "utf-8-sig").alias("odd_encoding"))

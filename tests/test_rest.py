@@ -9,9 +9,9 @@ from recordlift.operators import profile
 from recordlift.operators.duplicates import count_duplicates
 from recordlift.operators.selftest import run_tests, test_totals
 from recordlift.operators.trace import trace
-from recordlift.plans.config import compile_config, load_config, validate_config
-from recordlift.plans.parse import parse
-from recordlift.sources.exports import write_csv, write_json, write_parquet, write_xlsx
+from recordlift.plans.config import NAME_KEY, compile_config, load_config, validate_config
+from recordlift.plans.parse import first_records, parse
+from recordlift.sources.exports import write_csv, write_json, write_json_array, write_parquet, write_xlsx
 from recordlift.sources.files import read_files
 from recordlift.streaming.records import stream_files, stream_records, write_records
 from tests.registry import CONFIG, TEXT
@@ -26,7 +26,7 @@ def test_config_problems():
     assert len(validate_config([])) == 1
     assert len(validate_config({})) == 3
     bad = {
-        "parser_name": 1, "csv_columns": 5, "triggers": {"a": 1, "b": {"aliases": [], "search_mode": "x", "csv_column": "z", "stop_words": 1, "heuristics": {"priority": "1"}}}, "tokenizer": {"split_by": "x"}, "dedup": {"key": "q"},
+        NAME_KEY: 1, "csv_columns": 5, "triggers": {"a": 1, "b": {"aliases": [], "search_mode": "x", "csv_column": "z", "stop_words": 1, "heuristics": {"priority": "1"}}}, "tokenizer": {"split_by": "x"}, "dedup": {"key": "q"},
         "tests": [1, {}], "max_distance": "1", "require_first_char": 1, "stop_words": 1, "record_detection": {"mode": "x"},
     }
     assert len(validate_config(bad)) == 18
@@ -40,7 +40,7 @@ def test_config_file(tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps(CONFIG, ensure_ascii=False), encoding="utf-8")
     spec = load_config(str(path))
-    assert [t.name for t in spec.triggers] == ["фио", "орг", "адр", "яч", "ном", "dok", "кад"]
+    assert [t.name for t in spec.triggers] == ["kapitän", "firma", "kai", "vermerk", "fracht", "platz", "rumpf"]
 
 
 def parsed(spark, texts, raw, **more):
@@ -50,10 +50,10 @@ def parsed(spark, texts, raw, **more):
 def test_statistics_of_the_sample(spark):
     spec = compile_config(CONFIG)
     rows = parsed(spark, [TEXT], CONFIG, lost=True).cache()
-    assert tuple(profile.summary(rows).first()) == (5, 3, 2, 40.0, 0)
-    assert [tuple(r) for r in profile.top_errors(rows).collect()] == [("errADR1", 2), ("errFIO1", 1), ("errFIO2", 1), ("errSTOP", 1)]
-    assert {r.field: (r.filled, r.percent) for r in profile.field_fill(rows, spec).collect()}["кад"] == (3, 60)
-    assert [tuple(r) for r in profile.lost_tokens(rows).collect()] == [("Опись", 1)]
+    assert tuple(profile.summary(rows).first()) == (6, 1, 5, 83.3, 0)
+    assert [tuple(r) for r in profile.top_errors(rows).collect()] == [("geschwärzt", 3), ("kaiFehlt", 1), ("errKAPITÄN", 1), ("errFIRMA", 1), ("namensLänge", 1), ("rumpfForm", 1)]
+    assert {r.field: (r.filled, r.percent) for r in profile.field_fill(rows, spec).collect()}["rumpf"] == (4, 67)
+    assert [tuple(r) for r in profile.lost_tokens(rows).collect()] == [("Hafenbuch", 1), ("XX.7", 1), ("Holm", 1)]
     empty = parsed(spark, [], CONFIG)
     assert tuple(profile.summary(empty).first()) == (0, 0, 0, 0.0, 0)
     assert {r.unique for r in profile.value_distribution(empty, spec).collect()} == {0}
@@ -67,6 +67,30 @@ def test_duplicates_stay_within_a_document(spark):
     assert profile.summary(rows).first().duplicates == 0
 
 
+def test_duplicates_keep_columns_of_any_name(spark):
+    names = ["_key", "_alone", "_again", "key", "again", "record", "a.b"]
+    triggers = {n: {"aliases": [a], "search_mode": "exact"} for n, a in zip(names, ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"], strict=True)}
+    raw = {NAME_KEY: "p", "csv_columns": names, "triggers": triggers, "record_detection": {"trigger": "_key"}, "dedup": {"key": "key"}}
+    rows = parsed(spark, ["alpha 1 beta 2 gamma 3 delta X eps 4 zeta 5 eta 6 alpha 7 delta x alpha 8 alpha 9"], raw).orderBy("rec_idx")
+    assert [tuple(r)[2:] for r in rows.collect()] == [("1", "2", "3", "X", "4", "5", "6", None), ("7", None, None, "x", None, None, None, "errDUP"), ("8", *[None] * 7), ("9", *[None] * 7)]
+
+
+def test_files_keep_the_order_of_the_list(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "2.txt").write_text(name)
+        (tmp_path / name / "1.txt").write_text(name + "1")
+    rows = read_files(spark, [str(tmp_path / "b"), str(tmp_path / "a")]).orderBy("doc_seq", "doc_id")
+    assert [(r.doc_seq, r.text) for r in rows.collect()] == [(0, "b1"), (0, "b"), (1, "a1"), (1, "a")]
+
+
+@pytest.mark.parametrize("most", [1, 3, 7, 50])
+def test_first_records_are_those_of_the_whole(spark, most):
+    docs = spark.createDataFrame([(i, "alpha 1 alpha 2" if i % 3 == 0 else "") for i in range(12)], "doc_id long, text string")
+    spec = compile_config(base(record_detection={"trigger": "a"}))
+    assert first_records(docs, spec, most).collect() == profile.preview(parse(docs, spec), most).collect()
+
+
 def test_trace(spark):
     raw = base(stop_words=["z"], triggers=base()["triggers"] | {"b": {"aliases": ["beta"], "search_mode": "fuzzy", "heuristics": {"if_missing_after": "a", "detect_by": "starts_upper"}, "collector": {"max_tokens": 2}}})
     docs = spark.createDataFrame([(1, "q z alpha 1 z Up two three gamma x")], "doc_id long, text string")
@@ -77,24 +101,24 @@ def test_trace(spark):
 
 def test_self_tests(spark):
     cases = [
-        {"description": "name", "input": "Яч 1. Ном. 418.4. Фио. Смирнов. Николай. Евгеньевич.", "expect": {"яч": "1", "ном": "418/4", "фио/орг": "Смирнов Николай Евгеньевич"}},
-        {"input": "Яч 9. Ном. 101.8. Морозов. Андрей. Андреевич.", "expect_record": -1, "expect": {"фио/орг": "Морозов Андрей Андреевич", "err": "errFIO1"}},
-        {"input": "Яч 3. орг. ООО Арболит.", "expect": {"фио/орг": "АО"}},
+        {"description": "captain", "input": "Platz 1. Rumpf DE-4 Kapitän Ida Kern.", "expect": {"platz": "001", "rumpf": "de-4", "halter": "IDA KERN"}},
+        {"input": "Platz 9 Rumpf DE-5 Ida Kern Fracht Heu", "expect_record": -1, "expect": {"halter": "IDA KERN", "err": "errKAPITÄN"}},
+        {"input": "Platz 3 Firma Blau & Co", "expect": {"halter": "Blau"}},
         {"input": "", "expect": {}},
     ]
     results = run_tests(spark, compile_config(CONFIG | {"tests": cases})).orderBy("nth").collect()
     assert [r.status for r in results] == ["pass", "pass", "fail", "fail"]
-    assert [tuple(d) for d in results[2].details] == [("фио/орг", "АО", "ООО Арболит", False)]
+    assert [tuple(d) for d in results[2].details] == [("halter", "Blau", "Blau & Co", False)]
     assert results[3].details[0].field == "(records)"
     assert tuple(test_totals(run_tests(spark, compile_config(CONFIG | {"tests": cases}))).first()) == (4, 2, 2)
     assert run_tests(spark, compile_config(CONFIG)).count() == 0
 
 
 def test_files(spark, tmp_path):
-    for name, data in {"a.txt": "Яч 1".encode("utf-8-sig"), "b.txt": "Яч 2".encode("cp1251"), "c.txt": b"\x98\xe9", "d.txt": b"", "e.txt": b"x" * 100}.items():
+    for name, data in {"a.txt": "Тест 1".encode("utf-8-sig"), "b.txt": "Тест 2".encode("cp1251"), "c.txt": b"\x98\xe9", "d.txt": b"", "e.txt": b"x" * 100}.items():
         (tmp_path / name).write_bytes(data)
     rows = {Path(r.doc_id).name: (r.text, r.encoding, r.odd_encoding) for r in read_files(spark, str(tmp_path), max_bytes=50).collect()}
-    assert rows == {"a.txt": ("Яч 1", "utf-8-sig", False), "b.txt": ("Яч 2", "cp1251", True), "c.txt": ("\x98é", "latin-1", True)}
+    assert rows == {"a.txt": ("Тест 1", "utf-8-sig", False), "b.txt": ("Тест 2", "cp1251", True), "c.txt": ("\x98é", "latin-1", True)}
 
 
 def test_large_files_are_read(spark, tmp_path):
@@ -111,6 +135,11 @@ def test_exports(spark, tmp_path):
     write_json(rows, str(tmp_path / "json"), spec)
     (part,) = (tmp_path / "json").glob("part-*")
     assert [json.loads(x) for x in part.read_text().splitlines()] == [{"a": '=1"x,', "b": "y", "c": "", "err": ""}, {"a": "", "b": "", "c": "z", "err": ""}]
+    write_json_array(rows, str(tmp_path / "array"), spec)
+    (part,) = (tmp_path / "array").glob("part-*")
+    assert part.read_text() == json.dumps([{"a": '=1"x,', "b": "y", "c": "", "err": ""}, {"a": "", "b": "", "c": "z", "err": ""}], indent=2) + "\n"
+    write_json_array(rows.limit(0), str(tmp_path / "none"), spec)
+    assert spark.read.schema("a string").option("multiLine", True).json(str(tmp_path / "none")).count() == 0
     write_parquet(rows, str(tmp_path / "parquet"), spec)
     assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
     assert write_xlsx(rows, str(tmp_path / "x.xlsx"), spec) in (True, False)
