@@ -3,33 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlift.sources.shared import fresh_path
+
 #: Bytes that separate words once case is folded: everything in ASCII but digits and letters.
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="recordlift-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
@@ -55,14 +42,79 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def row_map(each: Callable[..., tuple | None], out: pa.Schema, setup: Callable[[], object] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow: each(row values..., state) gives a row or None. One batch is held at a time."""
+class Table(dict):
+    """A table that a task fills as it goes; emptied when its entries take `room` bytes, and by release()."""
+
+    def __init__(self, room: int = 24 << 20):
+        super().__init__()
+        self.room = self.left = room
+
+    def keep(self, key, value, size: int):
+        """Adds an entry of about `size` bytes besides the table's own share of it."""
+        self.left -= size + 200
+        if self.left < 0:
+            self.release()
+        self[key] = value
+        return value
+
+    def release(self) -> None:
+        self.clear()
+        self.left = self.room
+
+
+class WordHashes(Table):
+    """64-bit hashes of words."""
+
+    def __init__(self, seed: int = 0, room: int = 24 << 20):
+        super().__init__(room)
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        return self.keep(word, xxhash.xxh64_intdigest(word, self.seed), len(word))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def sliced(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `size` bytes or of one row, so that only few of its rows stand as Python objects."""
+    if batch.num_rows > 1 and batch.nbytes > size:
+        half = batch.num_rows // 2
+        yield from sliced(batch.slice(0, half), size)
+        yield from sliced(batch.slice(half), size)
+    elif batch.num_rows:
+        yield batch
+
+
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """The texts of a string column as bytes, whether they are UTF-8 or not; null is empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def texts_of(column: pa.Array) -> list[str]:
+    return [t.decode("utf-8", "replace") for t in bytes_of(column)]
+
+
+def released(*tables: Table) -> None:
+    """Frees what a task needed no longer than itself: its worker lives on and serves other operators."""
+    for table in tables:
+        table.release()
+    pa.default_memory_pool().release_unused()
+
+
+def row_map(each: Callable[..., tuple | None], out: pa.Schema, setup: Callable[[], object] | None = None, tables: Callable[[], list[Table]] = list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow: each(row values..., state) gives a row or None. The tables, which a worker keeps
+    from batch to batch, are released when the task's rows are done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = (setup(),) if setup else ()
-        for batch in batches:
-            rows = [r for r in (each(*x, *state) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)) if r is not None]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        try:
+            for whole in batches:
+                for batch in sliced(whole):
+                    rows = [r for r in (each(*x, *state) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)) if r is not None]
+                    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in out]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        finally:
+            released(*tables())
 
     return run

@@ -9,8 +9,12 @@ the next run; when there are more than `fanout` runs they are merged into one (c
 
 What travels between tasks is packed: for each chunk of a scan and each cell one row with the fingerprints in the
 order of the documents, and back, for each cell and bucket of documents, one row with a bit for each window. So
-neither a frequent window nor a large document makes a long list of rows. Text is dealt once, by bucket of doc_id,
-to meet the bits and drop the words.
+neither a frequent window nor a large document makes a long list of rows. A window that stands in many documents is
+reduced where it is read: of the documents of a chunk that have it, only the smallest doc_id sends it, the others are
+known to repeat it. Text is dealt once, compressed, by bucket of documents, to meet the bits and drop the words.
+
+Documents are told apart by doc_id; rows that have none, or share one, also by a hash of their text, and these take
+no part in the reduction.
 
 Every agreement of fingerprints is verified by the check: 32 bits of a second hash of the window, made from other
 hashes of the words and with another step. It goes with the fingerprint of every window, through the shuffle and into
@@ -19,8 +23,9 @@ to 96 bits; of n windows n * n / 2 ** (bits + 1) are expected to agree by chance
 1e13 at 96 bits: 6e-4).
 
 Defined results: null and empty texts have no words and lose none; a document of fewer than 13 words has no window;
-a null doc_id counts as smaller than all others; rows that repeat a document (same doc_id, same text) all lose the
-same words, and none because of each other; an empty table gives an empty result; further columns are ignored.
+a null doc_id counts as smaller than all others; rows that share a doc_id, or have none, lose no words because of each
+other, and those with equal texts lose the same words; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,39 +36,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlift.llm.common import documents, fresh_path, id_and_bytes, stored
+from recordlift.llm.common import WordHashes, documents, fresh_path, id_and_bytes, released, sliced, stored
 
 WINDOW = 13
 NO_ID = -(1 << 63)
 CHUNK = 2_000_000
+#: shared ids up to which they are sent to all tasks (16 bytes each)
+MOST_SENT = 1_000_000
 #: bytes of text for each cell and each bucket
 SHARE = 16 << 20
 _PRIME, _LEHMER = 2147483647, 48271
 _STEP, _CHECK_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; emptied when it reaches its bound."""
-
-    def __init__(self, seed: int = 0, bound: int = 400_000):
-        super().__init__()
-        self.seed, self.bound = seed, bound
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-_hashes: dict[int, WordHashes] = {}
+_hashes, _other_hashes = WordHashes(), WordHashes(1)
 
 
 def window_hashes(words: np.ndarray, width: int = WINDOW, step: np.uint64 = _STEP) -> np.ndarray:
@@ -79,10 +68,18 @@ def window_hashes(words: np.ndarray, width: int = WINDOW, step: np.uint64 = _STE
         return out ^ (out >> np.uint64(32))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return _hashes.of(words)
+
+
+def release() -> None:
+    """Frees the worker's tables; a function of the module, since functions made for a task have copies of its globals."""
+    released(_hashes, _other_hashes)
+
+
 def window_checks(words: list[bytes], width: int = WINDOW) -> np.ndarray:
     """32 bits of a hash that shares nothing with the fingerprint."""
-    known = _hashes.setdefault(1, WordHashes(1))
-    return (window_hashes(known.of(words), width, _CHECK_STEP) >> np.uint64(32)).astype("<u4")
+    return (window_hashes(_other_hashes.of(words), width, _CHECK_STEP) >> np.uint64(32)).astype("<u4")
 
 
 def _pack6(x: np.ndarray) -> bytes:
@@ -116,8 +113,37 @@ def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (ids % _PRIME) * _LEHMER % _PRIME % buckets
 
 
-def _bucket_column(doc_id: Column, buckets: int) -> Column:
-    return F.pmod(F.pmod(F.pmod(doc_id, F.lit(_PRIME)) * _LEHMER, F.lit(_PRIME)), F.lit(buckets)).cast("int")
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id (the smallest long for none), text and tag: 0, or a hash of the text for rows whose doc_id is not theirs
+    alone. Their ids are counted before they are broadcast."""
+    rows = id_and_bytes(docs)
+    shared = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    several, n = F.lit(False), shared.count()
+    if n:
+        shared = shared.withColumn("several", F.lit(True))
+        rows = rows.join(F.broadcast(shared) if n <= MOST_SENT else shared, "doc_id", "left")
+        several = F.coalesce("several", F.lit(False))
+    own = F.xxhash64("text").bitwiseOR(F.lit(1))
+    return rows.select("doc_id", "text", F.when(F.col("doc_id").isNull() | several, own).otherwise(0).alias("tag"))
+
+
+def _packed_ids(ids: np.ndarray, tags: np.ndarray) -> bytes:
+    """Ids as differences, then their tags if any differs from 0."""
+    parts = [np.diff(ids, prepend=0), tags] if tags.any() else [np.diff(ids, prepend=0)]
+    return zlib.compress(np.concatenate(parts).astype(np.int64).tobytes(), 1)
+
+
+def _unpacked_ids(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), np.int64)
+    return np.cumsum(both[:n]), both[n:] if len(both) > n else np.zeros(n, np.int64)
+
+
+def _packed_counts(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+
+
+def _unpacked_counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
 
 
 def _pairs(order_first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -131,47 +157,69 @@ _FOUND = pa.schema([("bucket", pa.int32()), ("cell", pa.int32()), ("ids", pa.bin
 FOUND = "bucket int, cell int, ids binary, counts binary, bits binary"
 
 
-def _fingerprints(bits: int, width: int):
-    """Scan batches -> for each chunk and cell a row of fingerprints in the order of the documents."""
-
-    def flush(ids: list[int], sizes: list[int], parts: list[np.ndarray], others: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        fps, checks = np.concatenate(parts), np.concatenate(others)
+def _repeated_in(fps: np.ndarray, checks: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Windows that a smaller owner has too."""
+    repeated = np.zeros(len(fps), bool)
+    order = np.argsort(fps)
+    same = fps[order][1:] == fps[order][:-1]
+    at = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(fps) else order
+    if len(at):
+        at = at[np.lexsort((owner[at], checks[at], fps[at]))]
+        first = _pairs(fps[at], checks[at])
+        repeated[at] = owner[at] > owner[at][first][np.cumsum(first) - 1]
+    return repeated
+
+
+def _fingerprints(bits: int, width: int, buckets: int):
+    """Scan batches -> for each chunk and cell a row of fingerprints in the order of the documents (kind 0), and for
+    each chunk and bucket a row of the repeats found already (kind 2, in a cell of its own below 0)."""
+
+    def flush(docs: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, tags = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64)
+        fps, checks = np.concatenate([d[2] for d in docs]), np.concatenate([d[3] for d in docs])
+        sizes = np.array([len(d[2]) for d in docs], np.int64)
+        docs.clear()
+        begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        known = _repeated_in(fps, checks, np.repeat(ids, sizes)) & np.repeat(tags == 0, sizes)
+        rows = []
+        found = np.flatnonzero(np.add.reduceat(known.astype(np.int64), begins))
+        where = _bucket(ids ^ tags, buckets)[found]
+        for b in np.unique(where).tolist():
+            mine = found[where == b]
+            marks = np.concatenate([known[begins[i] : begins[i] + sizes[i]] for i in mine])
+            rows.append((-1 - b, 2, _packed_ids(ids[mine], tags[mine]), _packed_counts(sizes[mine]), np.packbits(marks).tobytes(), None))
+        fps, checks, owner = fps[~known], checks[~known], np.repeat(np.arange(len(ids)), sizes)[~known]
         cells = (fps >> np.uint64(64 - bits)).astype(np.int32)
         order = np.argsort(cells, kind="stable")
-        owner = np.repeat(np.arange(len(ids)), sizes)[order]
+        owner = owner[order]
         low = _pack6((fps[order] << np.uint64(bits)) >> np.uint64(16))
         checks = checks[order].tobytes()
         edges = np.searchsorted(cells[order], np.arange((1 << bits) + 1))
-        all_ids = np.array(ids, np.int64)
-        rows = []
         for c in np.flatnonzero(np.diff(edges)).tolist():
             a, b = int(edges[c]), int(edges[c + 1])
             own, n = np.unique(owner[a:b], return_counts=True)
-            rows.append((c, 0, zlib.compress(np.diff(all_ids[own], prepend=0).tobytes(), 1), zlib.compress(n.astype("<u4").tobytes(), 1), low[6 * a : 6 * b], checks[4 * a : 4 * b]))
+            rows.append((c, 0, _packed_ids(ids[own], tags[own]), _packed_counts(n), low[6 * a : 6 * b], checks[4 * a : 4 * b]))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _CELLS, strict=True)], schema=_CELLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _hashes.setdefault(0, WordHashes())
-        ids: list[int] = []
-        sizes: list[int] = []
-        parts: list[np.ndarray] = []
-        others: list[np.ndarray] = []
+        docs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         n = 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = text.split()
-                fps = window_hashes(known.of(words), width)
-                if len(fps):
-                    ids.append(NO_ID if doc_id is None else doc_id)
-                    sizes.append(len(fps))
-                    parts.append(fps)
-                    others.append(window_checks(words, width))
-                    n += len(fps)
-                if n >= CHUNK:
-                    yield from flush(ids, sizes, parts, others)
-                    ids, sizes, parts, others, n = [], [], [], [], 0
-        if n:
-            yield from flush(ids, sizes, parts, others)
+        try:
+            for whole in batches:
+                for batch in sliced(whole):
+                    for doc_id, text, tag in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "tag")), strict=True):
+                        words = text.split()
+                        fps = window_hashes(word_hashes(words), width)
+                        if len(fps):
+                            docs.append((NO_ID if doc_id is None else doc_id, tag, fps, window_checks(words, width)))
+                            n += len(fps)
+                        if n >= CHUNK:
+                            yield from flush(docs)
+                            n = 0
+            if n:
+                yield from flush(docs)
+        finally:
+            release()
 
     return run
 
@@ -182,20 +230,25 @@ def _merge_join(buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         cell = table["cell"][0].as_py()
-        docs, fps, checks, counts_all, past, past_checks = [], [], [], [], [], []
+        if cell < 0:  # found in the scan already
+            rows = [(False, -1 - cell, -1, ids, counts, marks, None) for ids, counts, marks in zip(*(table[c].to_pylist() for c in ("ids", "counts", "fps")), strict=True)]
+            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+        docs, marks, fps, checks, counts_all, past, past_checks = [], [], [], [], [], [], []
         for kind, ids, counts, data, check in zip(*(table[c].to_pylist() for c in ("kind", "ids", "counts", "fps", "checks")), strict=True):
             if kind:
                 past.append(_from_gaps(zlib.decompress(data)))
                 past_checks.append(np.frombuffer(check, "<u4"))
                 continue
-            docs.append(np.cumsum(np.frombuffer(zlib.decompress(ids), np.int64)))
-            counts_all.append(np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64))
+            counts_all.append(_unpacked_counts(counts))
+            own_ids, own_tags = _unpacked_ids(ids, len(counts_all[-1]))
+            docs.append(own_ids)
+            marks.append(own_tags)
             fps.append(_unpack6(data))
             checks.append(np.frombuffer(check, "<u4"))
         if not docs:
             return out.empty_table()
-        entry, sizes, x, y = np.concatenate(docs), np.concatenate(counts_all), np.concatenate(fps), np.concatenate(checks)
-        del docs, fps, checks
+        entry, tags, sizes, x, y = np.concatenate(docs), np.concatenate(marks), np.concatenate(counts_all), np.concatenate(fps), np.concatenate(checks)
+        del docs, marks, fps, checks
         owner = np.repeat(entry, sizes)
         order = np.lexsort((owner, y, x))
         f, g, d = x[order], y[order], owner[order]
@@ -223,12 +276,12 @@ def _merge_join(buckets: int):
         begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         hit = np.add.reduceat(mark.astype(np.int64), begins) > 0
         if hit.any():
-            where = _bucket(entry, buckets)
+            where = _bucket(entry ^ tags, buckets)
             flagged = np.flatnonzero(hit)
             for b in np.unique(where[flagged]).tolist():
                 mine = flagged[where[flagged] == b]
                 taken = np.concatenate([mark[begins[i] : begins[i] + sizes[i]] for i in mine])
-                rows.append((False, b, cell, zlib.compress(np.diff(entry[mine], prepend=0).tobytes(), 1), zlib.compress(sizes[mine].astype("<u4").tobytes(), 1), np.packbits(taken).tobytes(), None))
+                rows.append((False, b, cell, _packed_ids(entry[mine], tags[mine]), _packed_counts(sizes[mine]), np.packbits(taken).tobytes(), None))
         if not rows:
             return out.empty_table()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
@@ -264,7 +317,11 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Merge-joins a batch with the runs, appends its run, and returns the repeats as packed bits."""
-        rows = id_and_bytes(docs).mapInArrow(_fingerprints(self.bits, self.width), CELLS)
+        return self.add_tagged(tagged(docs))
+
+    def add_tagged(self, docs: DataFrame) -> DataFrame:
+        """The same for rows of tagged()."""
+        rows = docs.mapInArrow(_fingerprints(self.bits, self.width, self.buckets), CELLS)
         history = self._history()
         if history is not None:
             rows = rows.unionByName(history)
@@ -298,36 +355,84 @@ def covered(starts: np.ndarray, n_words: int, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+_TEXTS = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("none", pa.binary()), ("lengths", pa.binary()), ("size", pa.int64()), ("data", pa.binary())])
+TEXTS = "bucket int, ids binary, none binary, lengths binary, size long, data binary"
+
+
+def _dealt_texts(buckets: int):
+    """Rows of tagged() -> for each chunk and bucket a row of compressed texts."""
+
+    def flush(docs: list[tuple[int | None, bytes, int]]) -> Iterator[pa.RecordBatch]:
+        ids, tags = np.array([NO_ID if d is None else d for d, _, _ in docs], np.int64), np.array([t for _, _, t in docs], np.int64)
+        where = _bucket(ids ^ tags, buckets)
+        rows = []
+        for b in np.unique(where).tolist():
+            mine = np.flatnonzero(where == b)
+            texts = [docs[i][1] for i in mine]
+            data = b"".join(texts)
+            none = np.packbits([docs[i][0] is None for i in mine])
+            rows.append((b, _packed_ids(ids[mine], tags[mine]), none.tobytes(), _packed_counts(np.array([len(t) for t in texts])), len(data), pa.compress(data, codec="zstd", asbytes=True)))
+        docs.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _TEXTS, strict=True)], schema=_TEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[tuple[int | None, bytes, int]] = []
+        size = 0
+        for whole in batches:
+            for batch in sliced(whole):
+                docs.extend(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "tag")), strict=True))
+                size += batch.nbytes
+                if size >= SHARE:
+                    yield from flush(docs)
+                    size = 0
+        if docs:
+            yield from flush(docs)
+
+    return run
+
+
 def _strip(bits: int, width: int, texts: bool):
-    def marks(found: pa.Table) -> dict[int, dict[int, np.ndarray]]:
-        out: dict[int, dict[int, np.ndarray]] = {}
+    def marks(found: pa.Table) -> dict[tuple[int, int], dict[int, np.ndarray]]:
+        out: dict[tuple[int, int], dict[int, np.ndarray]] = {}
         for cell, ids, counts, data in zip(*(found[c].to_pylist() for c in ("cell", "ids", "counts", "bits")), strict=True):
-            docs = np.cumsum(np.frombuffer(zlib.decompress(ids), np.int64)).tolist()
-            sizes = np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64)
+            sizes = _unpacked_counts(counts)
+            docs, tags = _unpacked_ids(ids, len(sizes))
             flags = np.unpackbits(np.frombuffer(data, np.uint8), count=int(sizes.sum())).astype(bool)
-            for doc, part in zip(docs, np.split(flags, np.cumsum(sizes)[:-1]), strict=True):
-                out.setdefault(doc, {})[cell] = part
+            for doc, tag, part in zip(docs.tolist(), tags.tolist(), np.split(flags, np.cumsum(sizes)[:-1]), strict=True):
+                out.setdefault((doc, tag), {})[cell] = part
         return out
 
+    def stripped(doc_id: int | None, text: bytes, mine: dict[int, np.ndarray] | None) -> tuple:
+        words, removed = text.split(), 0
+        kept = words
+        if mine and len(words) >= width:
+            fps = window_hashes(word_hashes(words), width)
+            starts = mine.pop(-1).copy() if -1 in mine else np.zeros(len(fps), bool)
+            sent = np.flatnonzero(~starts)
+            cells = (fps[sent] >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(cells, kind="stable")
+            for c, part in mine.items():
+                a, b = np.searchsorted(cells[order], [c, c + 1])
+                starts[sent[order[a:b]]] = part
+            gone = covered(starts, len(words), width)
+            removed = int(gone.sum())
+            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+        joined = b" ".join(kept)
+        return doc_id, len(words), removed, hashlib.sha256(joined).hexdigest(), joined if texts else None
+
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        known, repeats = _hashes.setdefault(0, WordHashes()), marks(found)
+        repeats = marks(found)
         rows = []
-        for doc_id, text in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
-            words = text.split()
-            mine, removed = repeats.get(NO_ID if doc_id is None else doc_id), 0
-            if mine and len(words) >= width:
-                cells = (window_hashes(known.of(words), width) >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.argsort(cells, kind="stable")
-                edges = np.searchsorted(cells[order], np.arange((1 << bits) + 1))
-                starts = np.zeros(len(cells), bool)
-                for c, part in mine.items():
-                    starts[order[edges[c] : edges[c + 1]]] = part
-                gone = covered(starts, len(words), width)
-                removed = int(gone.sum())
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if removed else b" ".join(words)
-            else:
-                kept = b" ".join(words)
-            rows.append((doc_id, len(words), removed, hashlib.sha256(kept).hexdigest(), kept if texts else None))
+        for ids, none, lengths, size, data in zip(*(docs[c].to_pylist() for c in ("ids", "none", "lengths", "size", "data")), strict=True):
+            sizes = _unpacked_counts(lengths)
+            keys, tags = _unpacked_ids(ids, len(sizes))
+            missing = np.unpackbits(np.frombuffer(none, np.uint8), count=len(sizes)).astype(bool)
+            whole = pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+            at = np.concatenate(([0], np.cumsum(sizes))).tolist()
+            for k, (key, tag, no_id) in enumerate(zip(keys.tolist(), tags.tolist(), missing.tolist(), strict=True)):
+                own = repeats.get((key, tag))
+                rows.append(stripped(None if no_id else key, whole[at[k] : at[k + 1]], dict(own) if own else None))
+        release()
         if not rows:
             return _KEPT.empty_table()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _KEPT, strict=True)], schema=_KEPT)
@@ -337,8 +442,12 @@ def _strip(bits: int, width: int, texts: bool):
 
 def strip_repeats(docs: DataFrame, found: DataFrame, index: FingerprintIndex, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words: a row for each document."""
-    text = id_and_bytes(docs).withColumn("bucket", _bucket_column(F.coalesce("doc_id", F.lit(NO_ID)), index.buckets))
-    both = text.groupBy("bucket").cogroup(found.groupBy("bucket"))
+    return _stripped(tagged(docs), found, index, texts)
+
+
+def _stripped(rows: DataFrame, found: DataFrame, index: FingerprintIndex, texts: bool) -> DataFrame:
+    dealt = rows.mapInArrow(_dealt_texts(index.buckets), TEXTS)
+    both = dealt.groupBy("bucket").cogroup(found.groupBy("bucket"))
     out = both.applyInArrow(_strip(index.bits, index.width, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string")) if texts else out.drop("kept")
 
@@ -350,17 +459,18 @@ def dedup_substrings(docs: DataFrame, index: FingerprintIndex | None = None, bat
     if index is None:
         shares = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARE + 1
         index = FingerprintIndex(docs.sparkSession, cell_bits=min(22, max(7, (shares - 1).bit_length())), buckets=max(128, shares))
+    rows = tagged(docs)
     cuts = docs.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.02) if batches > 1 else []
     found, low = None, None
     for high in [*sorted({int(c) for c in cuts}), None]:
-        part = docs
+        part = rows
         if low is not None:
             part = part.where(F.col("doc_id") > low)
         if high is not None:
             part = part.where(F.col("doc_id").isNull() | (F.col("doc_id") <= high) if low is None else F.col("doc_id") <= high)
-        new = index.add(part)
+        new = index.add_tagged(part)
         found, low = new if found is None else found.unionByName(new), high
-    return strip_repeats(docs, found, index, texts)
+    return _stripped(rows, found, index, texts)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
