@@ -1,9 +1,13 @@
 """Near-duplicate documents by HyperMinHash, with every link confirmed on the full shingle sets.
 
-1. Sketch: a document's distinct 2-word shingles are hashed to 64 bits. The top 7 bits name one of 128 registers;
-   of the smallest remainder in a register its number of leading zeros and 10 bits behind them are kept.
-2. Documents with the same set (128-bit digest) are one node, named by its smallest doc_id.
-3. Banding: 32 bands of 4 registers. A link of similarity 0.8 misses all bands with probability 5e-8.
+1. Sketch: a document's distinct 2-word shingles are hashed to 64 bits. Each of 128 registers takes the smallest hash
+   of its bucket of shingles and keeps its number of leading zeros and 10 bits behind them. In sets of 1,638 shingles
+   or more, the top 7 bits of a hash name its bucket. In sets of up to 2,048, most buckets of which would be empty or
+   hold one common shingle, every register sees all shingles, hashed anew for each. Sets of 1,638 to 2,048 have both
+   sketches: two sets that can be linked (the smaller one has 0.8 of the larger one's shingles) share a kind.
+2. Documents with the same set (128-bit digest) are one node, named by a number of its own.
+3. Banding: 32 bands of 4 registers of one kind, all of them filled. A link of similarity 0.8 misses all bands with
+   probability 5e-8.
 4. In each bucket the member that shares most buckets with others is the centre; every member is paired with it.
    Pairs are dropped where the collision-corrected estimate is 5 standard errors below the threshold, and then
    confirmed by intersecting the full sets. Linked nodes are contracted to components.
@@ -14,12 +18,14 @@
 So no bucket is expanded into all its pairs, and no bucket is cut short.
 
 Hot buckets: copies are merged before banding, counts and centres are partial aggregates, and the joins are plain
-equi-joins whose large partitions adaptive execution splits. No link list or component comes to the driver.
+equi-joins whose large partitions adaptive execution splits. Two documents that share four registers by nature are
+alike, so a common shingle makes no bucket. No link list or component comes to the driver.
 
 Defined results: null and empty texts have no shingle and are linked with nothing, not even each other; one word is
 one shingle; a null doc_id cannot name a component: such a row is linked with nothing, its component_id is null and
-it is kept; rows that share a doc_id are one document; an empty table gives an empty result; further columns are
-ignored by find() and kept by dedup().
+it is kept; rows that share a doc_id but not the text are documents of their own, and each is kept if its component is
+named by that id; an empty table gives an empty result; further columns are ignored by find() and kept by dedup(), of
+which one row of the id that names a component stays.
 """
 
 from __future__ import annotations
@@ -29,16 +35,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordlift.llm.common import documents, id_and_bytes, row_map, stored
-from recordlift.llm.substrings import WordHashes
+from recordlift.llm.common import Table, WordHashes, documents, id_and_bytes, row_map, sliced, stored
 
 P, MANTISSA, BANDS, ROWS = 7, 10, 32, 4
 REGISTERS = 1 << P
+#: shingles of a set up to which every register sees all of them
+FEW = 2048
 SMALL = 40
-_words: dict[int, WordHashes] = {}
+_words = WordHashes(seed=7)
+_rng = np.random.Generator(np.random.PCG64(0x5EED))
+# multipliers and summands of the hash functions of small sets, one for each register
+_TIMES, _PLUS = _rng.integers(0, 1 << 63, (REGISTERS, 1), np.uint64) * np.uint64(2) + np.uint64(1), _rng.integers(0, 1 << 63, (REGISTERS, 1), np.uint64) * np.uint64(2)
+
+
+def _tables() -> list[Table]:
+    """The worker's tables; a function of the module, since functions made for a task have copies of its globals."""
+    return [_words]
 
 
 def shingles(text: bytes, width: int = 2) -> np.ndarray:
@@ -46,7 +61,7 @@ def shingles(text: bytes, width: int = 2) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = _words.setdefault(0, WordHashes(seed=7)).of(words)
+    h = _words.of(words)
     width = min(width, len(words))
     with np.errstate(over="ignore"):
         out = np.full(len(h) - width + 1, np.uint64(width), np.uint64)
@@ -56,21 +71,35 @@ def shingles(text: bytes, width: int = 2) -> np.ndarray:
     return np.unique(out)
 
 
+def _registers(rest: np.ndarray, bits: int) -> np.ndarray:
+    """(leading zeros + 1) << 10 | mantissa of numbers of so many bits."""
+    # as a float a number is 1.mantissa * 2^e
+    fraction, exponent = np.frexp(np.maximum(rest, 1).astype(np.float64))
+    mantissa = ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64) & ((1 << MANTISSA) - 1)
+    return ((np.clip(bits - exponent, 0, 62) + 1) << MANTISSA | mantissa).astype(np.uint16)
+
+
 def sketch(s: np.ndarray) -> bytes:
-    """128 registers of 16 bits: (leading zeros + 1) << 10 | mantissa; 0 where no shingle fell."""
+    """128 registers of 16 bits from sorted hashes, dealt to buckets by their top bits; 0 where no shingle fell."""
     out = np.zeros(REGISTERS, np.uint16)
     if len(s):
         register = (s >> np.uint64(64 - P)).astype(np.int64)
+        # s is sorted, so the first of each register has its smallest remainder
         at = np.flatnonzero(np.concatenate(([True], register[1:] != register[:-1])))
-        rest = s[at] & np.uint64((1 << (64 - P)) - 1)
-        # s is sorted, so the first of each register has its smallest remainder; as a float it is 1.mantissa * 2^e
-        fraction, exponent = np.frexp(np.maximum(rest, 1).astype(np.float64))
-        zeros = (64 - P) - exponent
-        mantissa = ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64) & ((1 << MANTISSA) - 1)
-        out[register[at]] = ((np.minimum(zeros, 62) + 1) << MANTISSA | mantissa).astype(np.uint16)
+        out[register[at]] = _registers(s[at] & np.uint64((1 << (64 - P)) - 1), 64 - P)
     return out.tobytes()
 
 
+def small_sketch(s: np.ndarray) -> bytes:
+    """128 registers of 16 bits, each of all hashes in an order of its own."""
+    least = np.full(REGISTERS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    with np.errstate(over="ignore"):
+        for k in range(0, len(s), 256):
+            mixed = s[None, k : k + 256] * _TIMES + _PLUS
+            np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1), out=least)
+    return _registers(least, 64).tobytes()
+
+
 def estimate(a: bytes, b: bytes, n: int, m: int) -> tuple[float, int]:
     """Jaccard similarity from two sketches, corrected for registers that agree by chance, and the registers used."""
     x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
@@ -81,34 +110,40 @@ def estimate(a: bytes, b: bytes, n: int, m: int) -> tuple[float, int]:
     return max(0.0, same - chance) / max(1, used), used
 
 
-def _sketched(width: int):
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("registers", pa.binary())])
+def _kinds(s: np.ndarray, threshold: float) -> tuple[bytes | None, bytes | None]:
+    """Sketches of the set as a small and as a large one, null where it cannot be linked with a set of that kind."""
+    return small_sketch(s) if 0 < len(s) <= FEW else None, sketch(s) if len(s) >= threshold * FEW else None
 
-    def each(doc_id: int, text: bytes) -> tuple:
+
+def _sketched(width: int, threshold: float):
+    out = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("few", pa.binary()), ("many", pa.binary())])
+
+    def each(doc_id: int, text: bytes, text_hash: int) -> tuple:
         s = shingles(text, width)
-        return doc_id, len(s), xxhash.xxh128_digest(s.tobytes()), sketch(s)
+        return doc_id, text_hash, len(s), xxhash.xxh128_digest(s.tobytes()), *_kinds(s, threshold)
 
-    return row_map(each, out)
+    return row_map(each, out, tables=_tables)
 
 
 def _sets(width: int):
     out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("set", pa.binary())])
 
-    def each(doc_id: int, text: bytes) -> tuple:
+    def each(node: int, digest: bytes, text: bytes) -> tuple | None:
         s = shingles(text, width)
-        return doc_id, len(s), s.tobytes()
+        # another text of the same doc_id is another node
+        return (node, len(s), s.tobytes()) if xxhash.xxh128_digest(s.tobytes()) == digest else None
 
-    return row_map(each, out)
+    return row_map(each, out, tables=_tables)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _likely(threshold: float):
-    def each(a, b, ra, rb, na, nb):
+    def each(a, b, fa, fb, ma, mb, na, nb):
         if min(na, nb) < threshold * max(na, nb):
             return None
-        j, used = estimate(ra, rb, na, nb)
+        j, used = estimate(fa, fb, na, nb) if fa and fb else estimate(ma, mb, na, nb)
         return (a, b) if j >= threshold - 5 * (threshold * (1 - threshold) / max(1, used)) ** 0.5 else None
 
     return row_map(each, _PAIR)
@@ -182,17 +217,30 @@ def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     return found[0].union(found[1]).distinct()
 
 
+def _band_keys(kind: str) -> Column:
+    """A key for each band of the kind's sketch whose registers are all filled."""
+    filled = " and ".join(f"substring({kind}, {2 * ROWS} * i + {2 * k + 2}, 1) <> X'00'" for k in range(ROWS))
+    keys = f"transform(filter(sequence(0, {BANDS - 1}), i -> {filled}), i -> xxhash64('{kind}', i, substring({kind}, {2 * ROWS} * i + 1, {2 * ROWS})))"
+    return F.expr(f"case when {kind} is null then cast(array() as array<bigint>) else {keys} end")
+
+
 def find(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each document."""
+    return _found(docs, width, percent).drop("hash")
+
+
+def _found(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The rows of find() with the hash of their text."""
     t = percent / 100
     source = id_and_bytes(docs)
-    rows = stored(source.mapInArrow(_sketched(width), "doc_id long, n_shingles long, digest binary, registers binary"), "sketches")
+    hashed = source.select("*", F.xxhash64("text").alias("hash"))
+    rows = stored(hashed.mapInArrow(_sketched(width, t), "doc_id long, hash long, n_shingles long, digest binary, few binary, many binary"), "sketches")
     known = rows.where("n_shingles > 0 and doc_id is not null")
-    nodes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "nodes")
+    # the number is that of the table as written
+    nodes = known.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n"), F.first("few").alias("few"), F.first("many").alias("many"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    band = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> struct(i as i, substring(registers, {2 * ROWS} * i + 1, {2 * ROWS}) as k))")
-    full = F.filter(band, lambda b: b["k"] != F.lit(bytes(2 * ROWS)))
-    member = nodes.select("node", F.explode(F.transform(full, lambda b: F.xxhash64(b["i"], b["k"]))).alias("key"))
+    member = nodes.select("node", F.explode(F.concat(_band_keys("few"), _band_keys("many"))).alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     member = stored(member.join(shared, "key"), "members")
     fame = member.groupBy("node").agg(F.sum("size").alias("fame"))
@@ -200,11 +248,13 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     member = stored(member.join(centre, "key"), "centred")
     star = member.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
-    sketches = nodes.select("node", "registers", "n")
+    sketches = nodes.select("node", "few", "many", "n")
     of = lambda table, c, *names: table.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in names))
-    likely = lambda pairs: pairs.join(of(sketches, "a", "registers", "n"), "a").join(of(sketches, "b", "registers", "n"), "b").select("a", "b", "registers_a", "registers_b", "n_a", "n_b").mapInArrow(_likely(t), "a long, b long")
-    wanted = member.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, n long, set binary").dropDuplicates(["node"]), "sets")
+    compared = ("few_a", "few_b", "many_a", "many_b", "n_a", "n_b")
+    likely = lambda pairs: pairs.join(of(sketches, "a", "few", "many", "n"), "a").join(of(sketches, "b", "few", "many", "n"), "b").select("a", "b", *compared).mapInArrow(_likely(t), "a long, b long")
+    wanted = nodes.join(member.select("node").distinct(), "node").select(F.col("first").alias("doc_id"), "node", "digest")
+    sets = source.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(_sets(width), "node long, n long, set binary")
+    sets = stored(sets.dropDuplicates(["node"]), "sets")
     confirmed = lambda pairs: pairs.join(of(sets, "a", "set"), "a").join(of(sets, "b", "set"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long")
 
     links = stored(confirmed(stored(likely(star), "likely")), "links")
@@ -227,11 +277,14 @@ def find(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         more = more.union(confirmed(stored(exact, "prefix-pairs")))
     more = stored(more, "more-links")
     whole = components(links.union(more)) if not more.isEmpty() else first
-    named = nodes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    linked = nodes.join(whole, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("c"))
+    # written, so that a large component's rows can be split in the join
+    names = stored(linked.groupBy("c").agg(F.min("first").alias("component")), "names")
+    named = linked.join(names, "c").select("digest", "component")
     out = rows.join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def _unpacked(sets: DataFrame) -> DataFrame:
@@ -239,8 +292,7 @@ def _unpacked(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in sliced(batch):
                 values = [np.frombuffer(x, np.int64) for x in part.column("set").to_pylist()]
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("n"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))], schema=out)
@@ -250,10 +302,12 @@ def _unpacked(sets: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents kept, one of each component, with all columns; rows without a doc_id stay."""
-    keep = find(docs, width, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    chosen = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("_key"), F.xxhash64("text").alias("_text"), F.struct(*docs.columns).alias("_row"))
-    one = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_text"))).where("_n = 1")
-    return one.select("_row.*").unionByName(docs.where("doc_id is null"))
+    keep = _found(docs, width, percent).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("hash").alias("hash"))
+    # the row stands in a struct, so its columns may have any name
+    row = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("hash"))
+    chosen = rows.join(keep, ["id", "hash"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("hash"))).where("n = 1")
+    return chosen.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
