@@ -1,9 +1,11 @@
 """Interleaved document sequences: text and media references in order, media resolved by digest.
 
 interleave() parses HTML into an ordered array of structs: a text run, or a reference to a medium with its caption
-(figcaption, else alt). resolve() joins the references with a media table by digest: the media table is reduced to
-one row for each digest before the join, features are taken once for each digest, and only those narrow rows meet
-the references, so a medium that many documents share is never copied to each of them. Positions and captions stay
+(its figure's figcaption, before or behind it, else alt). All text stays, in its place: a caption is a text run where
+its figure has no medium or there is no figure, and what is still open at the page's end counts as closed there. Only
+script, style and template elements are left out. resolve() joins the references with a media table by digest: features
+are taken where the medium is read, and only those narrow rows travel, reduced to one for each digest before the join,
+so neither a medium nor its payload is ever shuffled. Text runs take no part in the join. Positions and captions stay
 with their reference; a reference without a medium stays, unresolved.
 
 A payload is stored as an 8-bit grey picture (PGM) 64 samples wide. The stored bytes are read back: features come
@@ -30,40 +32,71 @@ WIDTH = 64
 PARTS = "array<struct<position: int, kind: string, text: string, ref: string, caption: string>>"
 _PARTS = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
 _MEDIA = ("img", "audio", "video", "source", "embed")
-_SILENT = ("script", "style", "template", "noscript")
+_SILENT = ("script", "style", "template")
 
 
 class _Sequence(html.parser.HTMLParser):
+    """A page's parts in order. A figure on the stack is the place of its first part and its captions with their places."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
-        self.silent = self.figure = 0
+        self.silent: list[str] = []
+        self.figures: list[tuple[int, list[tuple[int, str]]]] = []
         self.caption: list[str] | None = None
 
     def _add(self, kind: str, text: str | None = None, ref: str | None = None, caption: str | None = None) -> None:
-        self.parts.append({"position": len(self.parts), "kind": kind, "text": text, "ref": ref, "caption": caption})
+        self.parts.append({"kind": kind, "text": text, "ref": ref, "caption": caption, "own": False})
 
     def handle_starttag(self, tag, attrs):
+        if self.silent:
+            self.silent += [tag] if tag in _SILENT else []
+            return
         if tag in _SILENT:
-            self.silent += 1
+            self.silent.append(tag)
         elif tag == "figure":
-            self.figure = len(self.parts) + 1
+            self._end_caption()
+            self.figures.append((len(self.parts), []))
         elif tag == "figcaption":
+            self._end_caption()
             self.caption = []
-        elif tag in _MEDIA and dict(attrs).get("src"):
-            a = dict(attrs)
+        elif tag in _MEDIA and (a := dict(attrs)).get("src"):
             self._add("media", ref=a["src"], caption=a.get("alt"))
 
+    def handle_startendtag(self, tag, attrs):
+        if tag not in _SILENT:
+            self.handle_starttag(tag, attrs)
+
     def handle_endtag(self, tag):
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
+        if self.silent:
+            if tag in self.silent:
+                while self.silent.pop() != tag:
+                    pass
+        elif tag == "figcaption":
+            self._end_caption()
         elif tag == "figure":
-            self.figure = 0
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join(" ".join(self.caption).split()), None
-            for part in self.parts[self.figure - 1 if self.figure else len(self.parts) :]:
-                if part["kind"] == "media":
-                    part["caption"] = said
+            self._end_caption()
+            self._end_figure()
+
+    def _end_caption(self) -> None:
+        if self.caption is None:
+            return
+        said, self.caption = " ".join(" ".join(self.caption).split()), None
+        if said and self.figures:
+            self.figures[-1][1].append((len(self.parts), said))
+        elif said:
+            self._add("text", text=said)
+
+    def _end_figure(self) -> None:
+        if not self.figures:
+            return
+        begin, captions = self.figures.pop()
+        media = [p for p in self.parts[begin:] if p["kind"] == "media" and not p["own"]]
+        for part in media if captions else ():
+            part.update(caption=" ".join(said for _, said in captions), own=True)
+        for at, said in () if media else captions[::-1]:
+            self._add("text", text=said)
+            self.parts.insert(at, self.parts.pop())
 
     def handle_data(self, data):
         if self.silent:
@@ -73,17 +106,23 @@ class _Sequence(html.parser.HTMLParser):
         elif text := " ".join(data.split()):
             self._add("text", text=text)
 
+    def whole(self) -> list[dict]:
+        self.close()
+        self._end_caption()
+        while self.figures:
+            self._end_figure()
+        return [{"position": k} | {x: part[x] for x in ("kind", "text", "ref", "caption")} for k, part in enumerate(self.parts)]
+
 
-def _parsed(page_id: int, page: str | None) -> tuple:
-    parser = _Sequence()
-    parser.feed(page or "")
-    parser.close()
-    return page_id, parser.parts
+def _parsed(page_id: int, page: bytes | None) -> tuple:
+    sequence = _Sequence()
+    sequence.feed((page or b"").decode("utf-8", "replace"))
+    return page_id, sequence.whole()
 
 
 def interleave(pages: DataFrame) -> DataFrame:
     """(id, html) -> id and parts: the page's texts and media references in order."""
-    return pages.select("id", "html").mapInArrow(row_map(_parsed, pa.schema([("id", pa.int64()), ("parts", _PARTS)])), f"id long, parts {PARTS}")
+    return pages.select("id", F.col("html").cast("binary").alias("html")).mapInArrow(row_map(_parsed, pa.schema([("id", pa.int64()), ("parts", _PARTS)])), f"id long, parts {PARTS}")
 
 
 def padded(payload: bytes) -> bytes:
@@ -118,15 +157,18 @@ def _features(digest: bytes, n_bytes: int, media: bytes) -> tuple:
 
 def media_features(media: DataFrame) -> DataFrame:
     """(digest, n_bytes, media) -> a row of features for each digest."""
-    one = media.groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("media").alias("media"))
-    return one.mapInArrow(row_map(_features, _FEATURES), FEATURES)
+    rows = media.select("digest", "n_bytes", "media").mapInArrow(row_map(_features, _FEATURES), FEATURES)
+    names = [f.name for f in _FEATURES][1:]
+    return rows.groupBy("digest").agg(F.first(F.struct(*names)).alias("f")).select("digest", "f.*")
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
-    """id, position, kind, text, caption and the features of the medium referred to; ref is sha256:<hex>."""
+    """id, position, kind, text, ref, caption, digest and the features of the medium referred to; ref is sha256:<hex>."""
     rows = sequences.select("id", F.explode("parts").alias("p")).select("id", "p.*")
-    rows = rows.withColumn("digest", F.expr("try_to_binary(substring(ref, 8), 'hex')"))
-    return rows.join(media_features(media), "digest", "left")
+    digest = F.when(F.startswith("ref", F.lit("sha256:")), F.expr("try_to_binary(substring(ref, 8), 'hex')"))
+    rows = rows.withColumn("digest", digest)
+    found = rows.where("digest is not null").join(media_features(media), "digest", "left")
+    return found.unionByName(rows.where("digest is null"), allowMissingColumns=True)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -150,3 +192,14 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     shown = resolve(interleave(figure_pages(docs)), text_media(docs)).where("kind = 'media'")
     return shown.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def interleave_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of whole web pages, behind each article the picture of the document of the page's number, if any."""
+    docs = documents(spark, sf_dir)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("long").alias("id"), "html")
+    shown = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)).alias("sha"))
+    figure = F.concat(F.lit('</article><figure><figcaption>Document '), F.col("id").cast("string"), F.lit('</figcaption><img src="sha256:'), "sha", F.lit('"></figure>'))
+    page = F.when(F.col("sha").isNull(), F.col("html")).otherwise(F.replace("html", F.lit("</article>"), figure))
+    parts = resolve(interleave(pages.join(shown, "id", "left").select("id", page.alias("html"))), text_media(docs))
+    return parts.select(F.col("id").alias("page_id"), "position", "kind", "text", "caption", "n_bytes", "media_sha256")

@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_media": media.op9_media,
     "op10_substrings": substrings.op10_substrings,
+    "interleave_pages": media.interleave_pages,
 }
 SQL: dict[str, str] = {
     "op3_decontamination": decontamination.OP3_SQL,
