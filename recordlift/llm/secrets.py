@@ -5,8 +5,11 @@ The ledger is a Parquet table of (blob, rule, version, spans): the pairs that we
 finding. A scan takes the blobs of a batch of versions, subtracts the pairs that the ledger has, runs the rules
 that are left, appends the new pairs, and joins the ledger's spans back to every path. Scanning the same table
 again, or a table that shares blobs with it, runs no rule on what was seen; a rule with a new version runs alone.
+The ledger is asked by address before any text moves: if it knows all, no text is read a second time, and up to
+`MOST_SENT` unknown addresses are sent to the texts instead of dealing all texts by address.
 
-Base rules are assign, access and hex; pem and jwt are the method's own. Positions are code points, end exclusive.
+Base rules are assign, access and hex; pem and jwt are the method's own. A private key is found with its body, up to
+its END line or, where that is missing, as far as its letters go. Positions are code points, end exclusive.
 
 Defined results: a null text is the empty text; a null doc_id is a path like any other; repeated rows each get
 their row; an empty table gives an empty result; further columns are ignored by the scan and kept by redact().
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +44,11 @@ RULES = (
     Rule("assign", 1, _KEY + "([A-Za-z0-9+/_.=-]+)", 2, 6, _KEY + "[A-Za-z0-9+/_.=-]{6}"),
     Rule("access", 1, "AKIA[A-Z0-9]+", 0, 20, "AKIA[A-Z0-9]{16}"),
     Rule("hex", 1, "[0-9a-f]+", 0, 24, "[0-9a-f]{24}"),
-    Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", 2, "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:, \\t\\r\\n-]*?-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\\r\\n]*)", 0, 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", 1, "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 1, "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\."),
 )
+#: addresses up to which they are sent to all tasks (40 bytes each)
+MOST_SENT = 500_000
 BASE = ("assign", "access", "hex")
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 LEDGER = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rule", T.StringType()), T.StructField("version", T.IntegerType()), T.StructField("spans", SPANS)])
@@ -79,25 +85,40 @@ class Ledger:
 
     def table(self) -> DataFrame:
         """What was scanned with the rules' present versions; each pair once, even if a batch was written twice."""
-        return self._all().join(F.broadcast(self._rules()), ["rule", "version"], "left_semi").dropDuplicates(["blob", "rule", "version"])
+        return self.spark.createDataFrame([], LEDGER) if (seen := self._all()) is None else seen.join(F.broadcast(self._rules()), ["rule", "version"], "left_semi").dropDuplicates(["blob", "rule", "version"])
 
-    def _all(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], LEDGER)
-        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm)
-        return self.spark.read.schema(LEDGER).parquet(self.path) if there else empty
+    def _all(self) -> DataFrame | None:
+        """What was ever scanned; None if nothing was."""
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def _rules(self) -> DataFrame:
         return self.spark.createDataFrame([(r.kind, r.version) for r in self.rules], "rule string, version int")
 
     def scan(self, versions: DataFrame, path: str = "doc_id") -> DataFrame:
         """Appends the pairs of these versions that were unseen, and returns (blob, findings map by rule) of the ledger."""
-        blobs = _addressed(versions, path).groupBy("blob").agg(F.first("text").alias("text"))
-        seen = self._all().groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))
-        unseen = blobs.join(seen, "blob", "left")
+        texts = _addressed(versions, path).select("blob", "text")
+        one = F.first("text").alias("text")
+        if (known := self._all()) is None:
+            unseen = texts.groupBy("blob").agg(one).withColumn("seen", F.array().cast("array<string>"))
+        else:
+            seen = known.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))
+            wanted = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in self.rules))
+            asked = texts.select("blob").distinct().join(seen, "blob", "left").select("blob", F.coalesce("seen", F.array().cast("array<string>")).alias("seen"))
+            todo = stored(asked.where(F.size(F.array_except(wanted, "seen")) > 0), "unseen-blobs")
+            if not (n := todo.count()):
+                return self.findings()
+            if n <= MOST_SENT:
+                unseen = texts.join(F.broadcast(todo), "blob").groupBy("blob").agg(one, F.first("seen").alias("seen"))
+            else:
+                unseen = texts.groupBy("blob").agg(one).join(todo, "blob")
         pairs = F.array(
             *(
-                F.when(F.coalesce(F.array_contains("seen", f"{r.kind}:{r.version}"), F.lit(False)), F.lit(None)).otherwise(
+                F.when(F.array_contains("seen", f"{r.kind}:{r.version}"), F.lit(None)).otherwise(
                     F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r).alias("spans"))
                 )
                 for r in self.rules
