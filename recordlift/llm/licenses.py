@@ -1,11 +1,13 @@
 """License scans by an exact set-similarity join of text blocks and license templates, in DataFrame functions only.
 
-A block is a line, cut further after . ! or ?. Templates and blocks are sets of words, ordered by how often the
-word occurs in the whole corpus, rarest first (ties by the word). A template of k words is found in a block that
-holds at least need = ceil(threshold * k) of them. Such a block must hold one of the template's k - need + 1
-rarest words (prefix filter), must have `need` words (length filter), and after the first shared word both sides
-must have need - 1 words left (positional filter). Only words of templates are counted, so the counted
-vocabulary is as large as the templates, not as the corpus; the templates are measured before they are broadcast.
+A template of m words is looked for in blocks of 2 * w consecutive words that begin at every w-th word, w being 1.25 * m
+rounded up: whatever stands within w words, over any lines and sentences, is whole in a block. Templates and blocks
+are sets of words, ordered by how often the word occurs in the whole corpus, rarest first (ties by the word). A
+template of k different words is found in a block that holds at least need = ceil(threshold * k) of them. Such a block
+must hold one of the template's k - need + 1 rarest words (prefix filter), must have `need` words (length filter), and
+after the first shared word both sides must have need - 1 words left (positional filter). Texts without any of these
+rarest words are left out first. Only words of templates are counted and kept in blocks, so the counted vocabulary and
+every block are as large as the templates at most; the templates are measured before they are broadcast.
 
 Base labels come from phrases whose words stand consecutively anywhere in the document.
 
@@ -16,30 +18,41 @@ and repeated rows each get their row; an empty table gives an empty result; furt
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlift.llm.common import documents, stored
+from recordlift.llm.license_texts import BODIES, HEADERS, NOTICES
 
 # fixed values: phrases and their labels
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# fixed values: short notices of common licenses
-TEMPLATES = {
-    "mit-notice": "released under the mit license",
-    "apache-2-notice": "licensed under the apache license version 2 0",
-    "cc-by-nc-notice": "licensed under cc by nc 4 0",
-    "gpl-3-notice": "this work is licensed under the gnu general public license version 3",
-    "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted",
-}
+TEMPLATES = NOTICES | HEADERS | BODIES
 THRESHOLD = 0.8
-_BREAK = r"\n|(?<=[.!?])\s"
+#: bytes of templates that are sent to all tasks
+MOST_BYTES = 4 << 20
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def folded(text: Column) -> Column:
+    """A-Z in lower case, all else as it is."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
 def word_line(text: Column) -> Column:
-    """The words of a text with one space between them. lower() is as good as folding A-Z here: other letters stay word characters."""
-    return F.btrim(F.regexp_replace(F.lower(text), _GAP, " "), F.lit(" "))
+    """The words of a text with one space between them."""
+    return F.btrim(F.regexp_replace(folded(text), _GAP, " "), F.lit(" "))
+
+
+def template_words(text: str) -> list[str]:
+    return [w for w in re.split(_GAP, text.translate(str.maketrans(_UPPER, _LOWER))) if w]
+
+
+def step_of(n_words: int) -> int:
+    """w for a template of so many words."""
+    return -(-5 * n_words // 4)
 
 
 def _spaces(c: Column) -> Column:
@@ -66,45 +79,43 @@ def word_ranks(lines: DataFrame, vocabulary: list[str]) -> list[str]:
 def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: a row for each document."""
     spark = docs.sparkSession
-    if sum(map(len, templates.values())) > 4 << 20:
-        raise ValueError("templates of more than 4 MB are not broadcast")
+    if (size := sum(len(t.encode()) for t in templates.values())) > MOST_BYTES:
+        raise ValueError(f"templates of {size} bytes are not broadcast")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sets = {name: sorted(set(t.split())) for name, t in templates.items()}
-    order = word_ranks(source.select(word_line(F.col("text")).alias("line")), sorted({w for s in sets.values() for w in s}))
+    split = {name: template_words(t) for name, t in templates.items()}
+    order = word_ranks(source.select(word_line(F.col("text")).alias("line")), sorted({w for words in split.values() for w in words}))
     rank = {w: i for i, w in enumerate(order)}
     index, openers = [], set()
-    for name, words in sets.items():
-        ranks = sorted(rank[w] for w in words)
+    for name, words in split.items():
+        ranks = sorted({rank[w] for w in words})
         need = math.ceil(threshold * len(ranks) - 1e-9)
-        for at, r in enumerate(ranks[: len(ranks) - need + 1]):
-            index.append((name, r, at, need, len(ranks), ranks))
+        for at, r in enumerate(ranks[: len(ranks) - need + 1] if ranks else []):
+            index.append((step_of(len(words)), r, name, at, need, len(ranks), ranks))
             openers.add(order[r])
 
-    # one pass over the texts: counts, base places, and the blocks that hold an opener, as sorted ranks
-    opener = rf"(?:^|{_GAP})(?:{'|'.join(sorted(openers))})(?:{_GAP}|$)"
-    known = F.create_map(*(F.lit(x) for w, i in rank.items() for x in (w, i)))
-    none = F.array().cast("array<array<int>>")
-
-    def ranks_of(block: Column) -> Column:
-        found = F.transform(F.array_distinct(F.split(word_line(block), " ")), lambda w: known[w])
-        return F.array_sort(F.filter(found, lambda r: r.isNotNull()))
-
-    blocks = F.transform(F.filter(F.split(F.lower("text"), _BREAK), lambda b: F.rlike(b, F.lit(opener))), ranks_of)
-    gated = F.when(F.rlike(F.lower("text"), F.lit(opener)), F.array_distinct(blocks)).otherwise(none) if index else none
+    # one pass over the texts: counts, base places, and the words of texts that hold an opener
     base = F.struct(*(phrase_places(F.col("line"), p).alias(f"p{i}") for i, p in enumerate(phrases)))
+    gate = F.rlike("line", F.lit(f" (?:{'|'.join(sorted(openers))}) ")) if openers else F.lit(False)
     rows = stored(
         source.withColumn("line", F.concat(F.lit(" "), word_line(F.col("text")), F.lit(" "))).select(
-            "doc_id", F.xxhash64("text").alias("h"), F.when(F.col("line") == "  ", 0).otherwise(_spaces(F.col("line")) - 1).cast("long").alias("n_words"), base.alias("base"), gated.alias("blocks")
+            "doc_id", F.when(F.col("line") == "  ", 0).otherwise(_spaces(F.col("line")) - 1).cast("long").alias("n_words"), base.alias("base"),
+            F.when(gate, F.btrim("line", F.lit(" "))).alias("line"), F.monotonically_increasing_id().alias("row"),
         ),
         "license-rows",
-    )
+    )
 
-    templates_index = F.broadcast(spark.createDataFrame(index, "name string, r int, at int, need int, k int, ranks array<int>"))
-    words = rows.select("doc_id", "h", F.explode("blocks").alias("block")).select("doc_id", "h", "block", F.posexplode("block").alias("pos", "r"))
-    shared = words.join(templates_index, "r").where("size(block) >= need and size(block) - pos >= need - at and k - at >= need - pos")
-    overlap = F.size(F.array_intersect("block", "ranks"))
-    found = shared.where(overlap >= F.col("need")).groupBy("doc_id", "h").agg(F.collect_set("name").alias("names"), F.max(overlap / F.col("k")).alias("share"))
-    joined = rows.alias("a").join(found.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")), "left").select("a.*", "names", "share")
+    vocabulary = F.broadcast(spark.createDataFrame(list(rank.items()), "word string, r int"))
+    templates_index = F.broadcast(spark.createDataFrame(index, "w int, r int, name string, at int, need int, k int, ranks array<int>"))
+    hits = rows.where("line is not null").select("row", F.posexplode(F.split("line", " ")).alias("place", "word")).join(vocabulary, "word")
+    # each word stands in two blocks of each size
+    sizes = F.array(*(F.lit(w) for w in sorted({i[0] for i in index}))).cast("array<int>")
+    halves = hits.select("row", "place", "r", F.explode(sizes).alias("w")).select("row", "r", "w", F.expr("explode(filter(array(place div w, place div w - 1), b -> b >= 0))").alias("block"))
+    blocks = halves.groupBy("row", "w", "block").agg(F.array_sort(F.collect_set("r")).alias("set"))
+    words = blocks.select("row", "w", "set", F.posexplode("set").alias("pos", "r"))
+    shared = words.join(templates_index, ["w", "r"]).where("size(set) >= need and size(set) - pos >= need - at and k - at >= need - pos")
+    overlap = F.size(F.array_intersect("set", "ranks"))
+    found = shared.where(overlap >= F.col("need")).groupBy("row").agg(F.collect_set("name").alias("names"), F.max(overlap / F.col("k")).alias("share"))
+    joined = rows.drop("line").join(found, "row", "left")
 
     places = F.filter(F.array(*(F.col(f"base.p{i}") for i in range(len(phrases)))), lambda p: p.isNotNull())
     labels = F.array_compact(F.array(*(F.when(F.col(f"base.p{i}").isNotNull(), F.lit(label)) for i, label in enumerate(phrases.values()))))
@@ -126,7 +137,8 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_values() -> str:
-    return ", ".join(f"('{name}', {sorted(set(t.split()))!r}::VARCHAR[])" for name, t in TEMPLATES.items())
+    split = {name: template_words(t) for name, t in TEMPLATES.items()}
+    return ", ".join(f"('{name}', {step_of(len(words))}, {sorted(set(words))!r}::VARCHAR[])" for name, words in split.items())
 
 
 OP6_SQL = (
@@ -136,9 +148,10 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 p AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + n], ' ') = phrase)) AS place
       FROM (SELECT doc_id, w, phrase, label, len(string_split(phrase, ' ')) AS n FROM w, (VALUES PHRASES) v(phrase, label) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' '))),
 o AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS own FROM p GROUP BY doc_id),
-b AS (SELECT doc_id, list_distinct(regexp_extract_all(block, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s
-      FROM (SELECT doc_id, unnest(string_split(regexp_replace(t, '([.!?])[ \t\n\x0B\f\r]', '\1' || chr(10), 'g'), chr(10))) AS block FROM d)),
-m AS (SELECT doc_id, name, len(list_intersect(s, words)) / len(words) AS share FROM b, (VALUES TEMPLATES) v(name, words) WHERE len(list_intersect(s, words)) >= ceil(0.8 * len(words) - 1e-9)),
+v AS (SELECT * FROM (VALUES TEMPLATES) v(name, w, words)),
+s AS (SELECT doc_id, size, list_distinct(w[at * size + 1:at * size + 2 * size]) AS s
+      FROM (SELECT doc_id, w.w, size, unnest(range(0, (len(w.w) - 1) // size + 1)) AS at FROM w, (SELECT DISTINCT w AS size FROM v) WHERE len(w.w) > 0)),
+m AS (SELECT doc_id, name, len(list_intersect(s, words)) / len(words) AS share FROM s JOIN v ON v.w = size WHERE len(list_intersect(s, words)) >= ceil(0.8 * len(words) - 1e-9)),
 n AS (SELECT doc_id, list(DISTINCT name) AS names, max(share) AS share FROM m GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(names, [])))), ',') AS labels, CASE WHEN own IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END AS score
