@@ -1,17 +1,23 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted transducer.
 
 Compiled once from a vocabulary file:
-- the normaliser: one space mark in front, every space to a mark, all other characters to themselves;
+- the normaliser: the file's table of replacements (the longest that fits), white space collapsed or not, one space
+  mark in front or not, every space to a mark, all other characters to themselves;
 - the pieces: an arc for each piece from the place where it begins to the place where it ends;
-- byte fallback: an arc for a character that no piece covers, which puts out its bytes' ids.
-
-Composed with an input, a state is a place in the input together with the piece that ends there. The weights are
-those of the tropical semiring. In a vocabulary of merges a path is the library's encoding exactly if merging the
-text of each two neighbouring pieces by itself gives those two pieces again; an arc costs nothing if that holds
-for it and the piece before, and infinity if not. So each place has one state of finite weight at most, and the
-shortest path is found from left to right. (Weighing pieces by their scores instead would give other ids than the
-library does for this kind of vocabulary.) No piece has a mark behind another character, so paths meet before each
-mark: the path of a text is that of its words, which are kept in a table of bounded size.
+- byte fallback: an arc for a character that no piece covers, which puts out its bytes' ids, or the unknown piece's
+  where the vocabulary has no bytes.
+
+Composed with an input, a state is a place in the input together with the piece that ends there; the path sought is
+the shortest in the tropical semiring (weights add along a path, the least sum wins).
+- In a vocabulary with a score for each piece (unigram), an arc weighs minus its piece's score, an unknown character
+  10 more than the heaviest piece, and a state needs no more than its place. Sums are those of exact weights in double
+  precision; the library adds in single precision, so near-ties of long texts may fall the other way.
+- In a vocabulary of merges a path is the library's encoding exactly if merging the text of each two neighbouring
+  pieces by itself gives those two pieces again; an arc weighs nothing if that holds for it and the piece before, and
+  infinity if not. So each place has one state of finite weight at most, and the shortest path is found from left to
+  right. (Weighing pieces by their scores instead would give other ids than the library does for this kind.)
+No piece has a mark behind another character, so paths meet before each mark: the path of a text is that of its words,
+which are kept in a table of bounded size. A unigram vocabulary with other pieces is searched over whole texts.
 
 Defined results: null and empty texts have no ids and decode to the empty text; the mark U+2581 in a text is a
 space, as in the library; repeated rows each get their row; an empty table gives an empty result; further columns
@@ -25,32 +31,162 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlift.llm.common import documents, id_and_bytes, sha256_hex
+from recordlift.llm.common import Table, documents, id_and_bytes, released, sha256_hex, sliced
 from recordlift.llm.token_shards import piece_model
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-class PieceTransducer:
-    """The compiled transducer; small enough to be sent with a task (its size is that of the vocabulary)."""
+class Normaliser:
+    """A text as its vocabulary's pieces spell it, from the specification in the vocabulary file."""
+
+    def __init__(self, spec):
+        self.prefix, self.collapse, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
+        self.units, self.strings = np.zeros(0, np.uint32), b""
+        if table := spec.precompiled_charsmap:
+            # bytes of the trie, the trie as a double array, the replacements with a zero byte behind each
+            size = int.from_bytes(table[:4], "little")
+            self.units, self.strings = np.frombuffer(table, "<u4", size // 4, 4), table[4 + size :]
+        self.plain = not len(self.units) and not self.collapse
+
+    def _longest(self, data: bytes, at: int) -> tuple[bytes, int] | None:
+        """The replacement of the longest key that stands here, and the place behind the key."""
+        offset = lambda unit: (unit >> 10) << ((unit & 0x200) >> 6)
+        found, node = None, offset(int(self.units[0]))
+        for i in range(at, len(data)):
+            node ^= data[i]
+            unit = int(self.units[node])
+            if unit & 0x800000FF != data[i]:
+                break
+            node ^= offset(unit)
+            if unit >> 8 & 1:
+                begin = int(self.units[node]) & 0x7FFFFFFF
+                found = self.strings[begin : self.strings.index(0, begin)], i + 1
+        return found
+
+    def _replaced(self, text: str) -> list[str]:
+        if not len(self.units):
+            return list(text)
+        data, at, out = text.encode(), 0, []
+        ends = set(np.cumsum([len(c.encode()) for c in text]).tolist())
+        while at < len(data):
+            if found := self._longest(data, at):
+                out.append(found[0].decode("utf-8", "replace"))
+                at = found[1]
+            else:
+                end = next(e for e in range(at + 1, at + 5) if e in ends)
+                out.append(data[at:end].decode())
+                at = end
+        return out
+
+    def __call__(self, text: str) -> str:
+        mark = MARK if self.escape else " "
+        if self.plain:
+            return (mark if self.prefix else "") + text.replace(" ", mark) if text else ""
+        parts = self._replaced(text)
+        if not self.collapse:
+            return (mark if self.prefix else "") + "".join(parts).replace(" ", mark) if text else ""
+        out, space = [], True
+        for part in parts:
+            part = part.lstrip(" ") if space else part
+            if part:
+                out.append(part)
+                space = part.endswith(" ")
+        whole = "".join(out).rstrip(" ")
+        whole = whole.replace(" ", mark)
+        while whole.endswith(mark):
+            whole = whole[: -len(mark)]
+        return (mark if self.prefix else "") + whole if whole else ""
+
+    def shown(self, text: str) -> str:
+        """The normalised text with spaces for marks and without the one in front: what decoding should give."""
+        whole = self(text).replace(MARK, " ")
+        if self.collapse:
+            return whole.lstrip(" ")
+        return whole[1:] if self.prefix and whole[:1] == " " else whole
+
+
+class Vocabulary:
+    """Pieces, byte pieces and normaliser of a vocabulary file, and what its ids put out."""
+
+    def __init__(self, sp, model):
+        self.normaliser, size = Normaliser(model.normalizer_spec), sp.get_piece_size()
+        self.unknown, self.kind = sp.unk_id(), "<u2" if size <= 1 << 16 else "<u4"
+        self.usable = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        self.text = {i: sp.id_to_piece(i) for i in self.usable}
+        self.byte_ids = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(size) if sp.is_byte(i)}
+        self.in_words = not any(MARK in p.lstrip(MARK) for p in self.text.values())
+        self.put_out = [sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
+        for b, i in self.byte_ids.items():
+            self.put_out[i] = bytes([b])
+        for i in range(size):
+            if sp.is_control(i):
+                self.put_out[i] = b""
+        self.put_out[self.unknown] = model.trainer_spec.unk_surface.encode()
+
+    def fallback(self, chars: str) -> list[int]:
+        """Ids of characters that no piece covers."""
+        return [self.byte_ids[b] for b in chars.encode()] if self.byte_ids else [self.unknown] * len(chars)
+
+
+class UnigramTransducer(Vocabulary):
+    """Pieces weighted by their scores."""
+
+    def __init__(self, sp, model):
+        super().__init__(sp, model)
+        scores = {i: p.score for i, p in enumerate(model.pieces)}
+        normal = [scores[i] for i in self.usable if model.pieces[i].type == 1]
+        most, self.unknown_weight = max(normal, default=0.0), 10.0 - min(normal, default=0.0)
+        # character -> (node it leads to, piece that ends there or -1, weight)
+        self.trie: dict[str, tuple[dict, int, float]] = {}
+        for i in sorted(self.usable, key=lambda i: len(self.text[i])):
+            own = model.pieces[i].type == 4  # a symbol of the user's, which is always taken
+            node, text = self.trie, self.text[i]
+            for ch in text[:-1]:
+                node = node.setdefault(ch, ({}, -1, 0.0))[0]
+            node[text[-1]] = (node[text[-1]][0] if text[-1] in node else {}, i, 0.1 - len(text.encode()) * most if own else -scores[i])
+
+    def path(self, word: str, seams: Table) -> list[int]:
+        """Ids of the shortest path; of equal ones that whose last arc begins first."""
+        n = len(word)
+        best: list[float] = [0.0, *[float("inf")] * n]
+        came: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        for j in range(n):
+            node, here, single = self.trie, best[j], False
+            for i in range(j, n):
+                arc = node.get(word[i])
+                if arc is None:
+                    break
+                node, piece, weight = arc
+                if piece >= 0:
+                    single = single or i == j
+                    if here + weight < best[i + 1]:
+                        best[i + 1], came[i + 1] = here + weight, (j, piece)
+            if not single and here + self.unknown_weight < best[j + 1]:
+                best[j + 1], came[j + 1] = here + self.unknown_weight, (j, -1)
+        out: list[list[int]] = []
+        while n:
+            j, piece = came[n]
+            out.append([piece] if piece >= 0 else self.fallback(word[j:n]))
+            n = j
+        return [i for part in reversed(out) for i in part]
 
-    def __init__(self, model: str):
-        import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        _check_normaliser(sp)
-        size = sp.get_piece_size()
-        usable = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.text = {i: sp.id_to_piece(i) for i in usable}
+class PieceTransducer(Vocabulary):
+    """Pieces made by merges."""
+
+    def __init__(self, sp, model):
+        super().__init__(sp, model)
+        usable = self.usable
         self.ids = {p: i for i, p in self.text.items()}
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("the vocabulary has pieces that span a space")
+        if not self.in_words:
+            raise ValueError("the vocabulary has merges that span a space")
         order = sorted(usable, key=lambda i: -sp.get_score(i))
         self.rank = {i: r for r, i in enumerate(order)}
-        self.byte_ids = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(size) if sp.is_byte(i)}
         # the last merge that makes each piece; pieces that merging never makes have no arc
         self.halves: dict[int, tuple[int, int] | None] = {}
         for i in usable:
@@ -61,12 +197,6 @@ class PieceTransducer:
         self.trie: dict[str, tuple[dict, int]] = {}
         for i in sorted(self.halves, key=lambda i: len(self.text[i])):
             self._add_arc(i)
-        self.put_out = [sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(size)]
-        for b, i in self.byte_ids.items():
-            self.put_out[i] = bytes([b])
-        for i in range(size):
-            if sp.is_control(i):
-                self.put_out[i] = b""
 
     def _add_arc(self, piece: int) -> None:
         node, text = self.trie, self.text[piece]
@@ -103,7 +233,7 @@ class PieceTransducer:
             else:
                 return True
 
-    def path(self, word: str, seams: dict[tuple[int, int], bool]) -> list[int]:
+    def path(self, word: str, seams: Table) -> list[int]:
         """Ids of the shortest path through one word. From each place the arcs' trie is followed as far as it goes."""
         n = len(word)
         # piece that ends at each place (-1: any may follow, -2: no path of finite weight), and where it began
@@ -124,7 +254,7 @@ class PieceTransducer:
                     continue
                 if before >= 0:
                     if (seam := seams.get((before, piece))) is None:
-                        seam = seams[before, piece] = self.stay_apart(before, piece)
+                        seam = seams.keep((before, piece), self.stay_apart(before, piece), 0)
                     if not seam:
                         continue
                 ends[i + 1] = (piece, j)
@@ -134,47 +264,58 @@ class PieceTransducer:
             if piece >= 0:
                 out.append(piece)
             else:
-                out.extend(self.byte_ids[b] for b in reversed(word[j:n].encode()))
+                out.extend(reversed(self.fallback(word[j:n])))
             n = j
         return out[::-1]
 
 
-def _check_normaliser(sp) -> None:
+def compiled(path: str) -> UnigramTransducer | PieceTransducer:
+    """The transducer of a vocabulary file; small enough to be sent with a task (its size is that of the vocabulary)."""
+    import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
 
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
     model = sentencepiece_model_pb2.ModelProto()
     model.ParseFromString(sp.serialized_model_proto())
-    spec = model.normalizer_spec
-    if spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or not spec.escape_whitespaces or model.trainer_spec.model_type != 2:
-        raise ValueError("only merge vocabularies with an identity normaliser and a space mark in front are compiled")
+    if model.trainer_spec.treat_whitespace_as_suffix or model.trainer_spec.model_type not in (1, 2):
+        raise ValueError("only unigram and merge vocabularies with space marks in front are compiled")
+    return (UnigramTransducer if model.trainer_spec.model_type == 1 else PieceTransducer)(sp, model)
 
 
 class Codec:
-    """Encodes and decodes in one Python worker; its tables are emptied when they reach their bound."""
+    """Encodes and decodes in one Python worker. The table of words is a task's, that of seams is the worker's."""
 
-    def __init__(self, transducer: PieceTransducer, bound: int = 400_000):
-        self.t, self.bound, self.words, self.seams = transducer, bound, {}, {}
+    def __init__(self, transducer: UnigramTransducer | PieceTransducer):
+        self.t, self.words, self.seams = transducer, Table(), Table(16 << 20)
 
     def _word(self, word: str) -> bytes:
-        if len(self.words) > self.bound:
-            self.words.clear()
-        if len(self.seams) > self.bound:
-            self.seams.clear()
-        ids = self.words[word] = np.array(self.t.path(word, self.seams), "<u2").tobytes()
-        return ids
+        ids = np.array(self.t.path(word, self.seams), self.t.kind).tobytes()
+        return self.words.keep(word, ids, 2 * len(word) + len(ids))
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u2")
         known, out = self.words, []
-        for w in _WORDS.findall(MARK + text.replace(" ", MARK)):
+        whole = self.t.normaliser(text)
+        for w in _WORDS.findall(whole) if self.t.in_words else [whole] if whole else []:
             ids = known.get(w)
             out.append(self._word(w) if ids is None else ids)
-        return np.frombuffer(b"".join(out), "<u2")
+        made = np.frombuffer(b"".join(out), self.t.kind)
+        if self.t.byte_ids:
+            return made
+        # unknown characters one behind another are one unknown piece
+        unknown = made == self.t.unknown
+        return made[~(unknown & np.concatenate(([False], unknown[:-1])))] if len(made) else made
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.t.put_out.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        parts = list(map(self.t.put_out.__getitem__, ids.tolist()))
+        if self.t.normaliser.prefix or self.t.normaliser.collapse:
+            # the mark in front goes; of a vocabulary that collapses spaces, the marks of all pieces up to the first letter
+            for k, part in enumerate(parts):
+                if ids[k] != self.t.unknown and part[:1] == b" ":
+                    parts[k] = part = part[1:]
+                    if not part and self.t.normaliser.collapse:
+                        continue
+                break
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_fallback", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
@@ -182,30 +323,36 @@ SCHEMA = "doc_id long, n_tokens long, n_fallback long, ids array<int>, decoded_s
 _here: dict[str, Codec] = {}
 
 
+def codec_of(path: str, transducer: Broadcast) -> Codec:
+    """The worker's codec; a function of the module, since functions made for a task have copies of its globals."""
+    if path not in _here:
+        _here.clear()
+        _here[path] = Codec(transducer.value)
+    return _here[path]
+
+
 def encode_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_fallback (byte ids), ids, decoded_sha256, round_trip: a row for each document."""
     path = model or piece_model()
-    compiled = docs.sparkSession.sparkContext.broadcast(PieceTransducer(path))
+    transducer = docs.sparkSession.sparkContext.broadcast(compiled(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _here:
-            _here[path] = Codec(compiled.value)
-        codec = _here[path]
+        codec = codec_of(path, transducer)
         low, high = min(codec.t.byte_ids.values(), default=0), max(codec.t.byte_ids.values(), default=-1)
-        for batch in batches:
-            docs_, texts = batch.column(0), batch.column(1)
-            for k in range(0, batch.num_rows, 512):
+        for whole in batches:
+            for batch in sliced(whole, 2 << 20):
                 ids, meta = [], []
-                for raw in texts.slice(k, 512).to_pylist():
+                for raw in batch.column(1).to_pylist():
                     text = raw.decode("utf-8", "replace")
                     x = codec.encode(text)
                     back = codec.decode(x)
                     ids.append(x)
-                    meta.append((len(x), int(((x >= low) & (x <= high)).sum()), sha256_hex(back.encode()), back == text.replace(MARK, " ")))
+                    meta.append((len(x), int(((x >= low) & (x <= high)).sum()), sha256_hex(back.encode()), back == codec.t.normaliser.shown(text)))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 n, fell, shas, same = zip(*meta, strict=True)
-                yield pa.RecordBatch.from_arrays([docs_.slice(k, 512), pa.array(n, pa.int64()), pa.array(fell, pa.int64()), lists, pa.array(shas), pa.array(same)], schema=_OUT)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fell, pa.int64()), lists, pa.array(shas), pa.array(same)], schema=_OUT)
+        released(codec.words)
 
     return id_and_bytes(docs).mapInArrow(run, SCHEMA)
 
