@@ -5,7 +5,9 @@ kept. The index is a list of immutable runs: for each cell the sorted fingerprin
 beside each a check.
 A new batch is dealt by cell, sorted, and merge-joined with the runs of its cell: a window is a repeat if its
 fingerprint is in an earlier run or belongs to a smaller doc_id of the batch. The batch's new fingerprints become
-the next run; when there are more than `fanout` runs they are merged into one (compaction).
+the next run; when there are more than `fanout` runs they are merged into one (compaction), and into more cells where
+they have outgrown them: a cell that is split gives its fingerprints' next bit away, so nothing is read anew. A cell's
+number has a leading one, so that numbers tell how many cells there were.
 
 What travels between tasks is packed: for each chunk of a scan and each cell one row with the fingerprints in the
 order of the documents, and back, for each cell and bucket of documents, one row with a bit for each window. So
@@ -48,6 +50,8 @@ CHUNK = 2_000_000
 MOST_SENT = 1_000_000
 #: bytes of text for each cell and each bucket
 SHARE = 16 << 20
+#: bytes of a cell's history beyond which compaction splits it
+MOST_CELL = 64 << 20
 _PRIME, _LEHMER = 2147483647, 48271
 _STEP, _CHECK_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -170,7 +174,7 @@ def _repeated_in(fps: np.ndarray, checks: np.ndarray, owner: np.ndarray) -> np.n
     return repeated
 
 
-def _fingerprints(bits: int, width: int, buckets: int):
+def _fingerprints(bits: int, precision: int, width: int, buckets: int):
     """Scan batches -> for each chunk and cell a row of fingerprints in the order of the documents (kind 0), and for
     each chunk and bucket a row of the repeats found already (kind 2, in a cell of its own below 0)."""
 
@@ -188,6 +192,7 @@ def _fingerprints(bits: int, width: int, buckets: int):
             mine = found[where == b]
             marks = np.concatenate([known[begins[i] : begins[i] + sizes[i]] for i in mine])
             rows.append((-1 - b, 2, _packed_ids(ids[mine], tags[mine]), _packed_counts(sizes[mine]), np.packbits(marks).tobytes(), None))
+        fps &= np.uint64(((1 << precision) - 1) << (64 - precision))
         fps, checks, owner = fps[~known], checks[~known], np.repeat(np.arange(len(ids)), sizes)[~known]
         cells = (fps >> np.uint64(64 - bits)).astype(np.int32)
         order = np.argsort(cells, kind="stable")
@@ -198,7 +203,7 @@ def _fingerprints(bits: int, width: int, buckets: int):
         for c in np.flatnonzero(np.diff(edges)).tolist():
             a, b = int(edges[c]), int(edges[c + 1])
             own, n = np.unique(owner[a:b], return_counts=True)
-            rows.append((c, 0, _packed_ids(ids[own], tags[own]), _packed_counts(n), low[6 * a : 6 * b], checks[4 * a : 4 * b]))
+            rows.append((1 << bits | c, 0, _packed_ids(ids[own], tags[own]), _packed_counts(n), low[6 * a : 6 * b], checks[4 * a : 4 * b]))
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _CELLS, strict=True)], schema=_CELLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,12 +304,28 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([table["cell"][0].as_py()], pa.int32()), pa.array([zlib.compress(_gaps(fps[new]), 1)]), pa.array([checks[new].tobytes()])], schema=schema)
 
 
+def _split(more: int):
+    """Rows of a run -> the same for 2 ** more times as many cells."""
+    schema = pa.schema([("cell", pa.int32()), ("fps", pa.binary()), ("checks", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell, data, check in zip(*(batch.column(c).to_pylist() for c in schema.names), strict=True):
+                fps, checks = _from_gaps(zlib.decompress(data)), np.frombuffer(check, "<u4")
+                edges = np.searchsorted(fps, np.arange((1 << more) + 1, dtype=np.uint64) << np.uint64(48 - more))
+                rows = [(cell << more | k, zlib.compress(_gaps((fps[a:b] << np.uint64(more)) & np.uint64((1 << 48) - 1)), 1), checks[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
 class FingerprintIndex:
     """Runs of fingerprints and checks of what was seen, under a folder of the shared file system."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, cell_bits: int = 7, buckets: int = 128, fanout: int = 8, width: int = WINDOW):
         if not 0 < cell_bits <= 22:
             raise ValueError("cell_bits is 1 to 22")
+        self.precision = cell_bits + 48
         self.spark, self.path, self.bits, self.buckets, self.fanout, self.width = spark, path or fresh_path(spark, "fingerprints"), cell_bits, buckets, fanout, width
         self.runs: list[str] = []
         self.written = 0
@@ -321,7 +342,7 @@ class FingerprintIndex:
 
     def add_tagged(self, docs: DataFrame) -> DataFrame:
         """The same for rows of tagged()."""
-        rows = docs.mapInArrow(_fingerprints(self.bits, self.width, self.buckets), CELLS)
+        rows = docs.mapInArrow(_fingerprints(self.bits, self.precision, self.width, self.buckets), CELLS)
         history = self._history()
         if history is not None:
             rows = rows.unionByName(history)
@@ -335,9 +356,17 @@ class FingerprintIndex:
         return found
 
     def compact(self) -> None:
-        """Merges all runs into one, cell by cell. Runs that were merged are left to whoever clears the folder."""
+        """Merges all runs into one, cell by cell, with twice the cells as often as one would be larger than MOST_CELL.
+        Runs that were merged are left to whoever clears the folder."""
         path = f"{self.path}/run-{self.written:06d}"
-        whole = self._history().select("cell", "fps", "checks").groupBy("cell").applyInArrow(_merged, "cell int, fps binary, checks binary")
+        rows = self._history().select("cell", "fps", "checks")
+        size = rows.groupBy("cell").agg(F.sum(F.octet_length("fps") + F.octet_length("checks")).alias("n")).agg(F.max("n")).first()[0] or 0
+        more = 0
+        while size >> more > MOST_CELL and self.bits + more < 22:
+            more += 1
+        if more:
+            rows, self.bits = rows.mapInArrow(_split(more), "cell int, fps binary, checks binary"), self.bits + more
+        whole = rows.groupBy("cell").applyInArrow(_merged, "cell int, fps binary, checks binary")
         none = F.lit(None).cast("binary")
         whole.select(F.lit(True).alias("run"), F.lit(0).alias("bucket"), "cell", none.alias("ids"), none.alias("counts"), F.col("fps").alias("bits"), "checks").write.option("compression", "zstd").parquet(path)
         self.runs, self.written = [path], self.written + 1
@@ -391,7 +420,7 @@ def _dealt_texts(buckets: int):
     return run
 
 
-def _strip(bits: int, width: int, texts: bool):
+def _strip(width: int, texts: bool):
     def marks(found: pa.Table) -> dict[tuple[int, int], dict[int, np.ndarray]]:
         out: dict[tuple[int, int], dict[int, np.ndarray]] = {}
         for cell, ids, counts, data in zip(*(found[c].to_pylist() for c in ("cell", "ids", "counts", "bits")), strict=True):
@@ -409,7 +438,8 @@ def _strip(bits: int, width: int, texts: bool):
             fps = window_hashes(word_hashes(words), width)
             starts = mine.pop(-1).copy() if -1 in mine else np.zeros(len(fps), bool)
             sent = np.flatnonzero(~starts)
-            cells = (fps[sent] >> np.uint64(64 - bits)).astype(np.int64)
+            bits = max(mine, default=1).bit_length() - 1  # a document's cells are those of one batch
+            cells = (fps[sent] >> np.uint64(64 - bits)).astype(np.int64) | 1 << bits
             order = np.argsort(cells, kind="stable")
             for c, part in mine.items():
                 a, b = np.searchsorted(cells[order], [c, c + 1])
@@ -448,7 +478,7 @@ def strip_repeats(docs: DataFrame, found: DataFrame, index: FingerprintIndex, te
 def _stripped(rows: DataFrame, found: DataFrame, index: FingerprintIndex, texts: bool) -> DataFrame:
     dealt = rows.mapInArrow(_dealt_texts(index.buckets), TEXTS)
     both = dealt.groupBy("bucket").cogroup(found.groupBy("bucket"))
-    out = both.applyInArrow(_strip(index.bits, index.width, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    out = both.applyInArrow(_strip(index.width, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string")) if texts else out.drop("kept")
 
 
