@@ -4,7 +4,8 @@ Each document is tokenised and cut into sequences of `length` tokens, the last o
 numbered in the order of the scan; a keyed Feistel network over the next power of four, walked until it falls below
 the number of sequences, permutes the numbers, so every sequence has a slot of its own and none is left out.
 Slot s stands in shard s // per_shard at byte (s % per_shard) * stride, so a reader that stopped after slot s goes
-on at s + 1 with one seek, and any range of slots is a sequential read.
+on at s + 1 with one seek, and any range of slots is a sequential read. Shards are larger where there are more
+sequences, so that there are at most 16,384 of them; a task writes a shard as it comes and holds one batch of it.
 
 A sequence is a record of 16 + 2 * length bytes, little-endian: doc_id (8), number within the document (4), tokens
 used (4), token ids (2 each; unused ones are 0).
@@ -25,6 +26,8 @@ import struct
 import sys
 import zlib
 from collections.abc import Callable, Iterator
+from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlift.llm.common import documents, fresh_path, id_and_bytes
+from recordlift.llm.common import documents, fresh_path, id_and_bytes, released, sliced
 
 LENGTH, PER_SHARD, KEY = 256, 16384, 0x5EED_0F_1D5
+MOST_SHARDS = 16384
+#: records read back at a time
+BLOCK = 4096
 NO_ID = -(1 << 63)
 CHUNK = 8 << 20
+#: new words that are encoded as one text
+GROUP = 64
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -78,37 +86,70 @@ class PieceIds:
     """Texts to uint16 ids with a public sentencepiece vocabulary.
 
     No piece has a space mark behind another character, so a text falls into independent words before each space;
-    the ids of a word are kept in a table of bounded size.
+    the ids of words are kept in tables of bounded size. New words are encoded many at a time, joined by spaces, and
+    their ids are cut where a piece begins with the mark.
     """
 
-    def __init__(self, model: str, bound: int = 400_000):
+    def __init__(self, model: str, room: int = 64 << 20):
         import sentencepiece
 
-        self.sp, self.bound, self.known = sentencepiece.SentencePieceProcessor(model_file=model), bound, {}
-        if any("▁" in p.lstrip("▁") for p in map(self.sp.id_to_piece, range(self.sp.get_piece_size()))):
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
+        if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the vocabulary has pieces that span a space")
-
-    def _words(self, texts: list[str]) -> list[list[str]]:
+        self.begins = np.array([p[:1] == "▁" for p in pieces])
+        self.room = room
+        #: word -> its ids, and word -> their bytes
+        self.known: dict[str, bytes] = {}
+        self.widths: dict[str, int] = {}
+        self.used = 0
+
+    def _encoded(self, words: list[str]) -> Iterator[np.ndarray | list[int]]:
+        """Ids of each word."""
+        plain = [w for w in words if w and " " not in w]
+        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
+        found: dict[str, np.ndarray] = {}
+        for group, ids in zip(groups, self.sp.encode([" ".join(g) for g in groups], num_threads=1), strict=True):
+            ids = np.array(ids, "<u2")
+            cuts = np.flatnonzero(self.begins[ids]).tolist()
+            if len(cuts) == len(group):
+                found.update(zip(group, map(ids.__getitem__, map(slice, cuts, [*cuts[1:], len(ids)])), strict=True))
+        for w in words:
+            yield self.sp.encode(w) if (ids := found.get(w)) is None else ids
+
+    def _words(self, texts: list[str], table: dict, made: Callable[[list[str]], list]) -> list[list[str]]:
         """The library adds a space in front, so the part behind each single space is encoded as a text of its own.
         A text with other spaces is one part."""
         texts = [t.replace("▁", " ") for t in texts]
         parts = [[t] if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") if t else [] for t in texts]
-        if len(self.known) > self.bound:
-            self.known.clear()
-        new = list(set().union(*parts).difference(self.known))
-        self.known.update(zip(new, map(_packed, self.sp.encode(new, num_threads=1)), strict=True))
+        if self.used > self.room:
+            self.release()
+        new = list(set().union(*parts).difference(table))
+        table.update(zip(new, made(new), strict=True))
+        self.used += sum(map(len, new)) * 3 + 200 * len(new)
         return parts
 
+    def _as_bytes(self, words: list[str]) -> list[bytes]:
+        return [_packed(x) if isinstance(x, list) else x.tobytes() for x in self._encoded(words)]
+
+    def _as_sizes(self, words: list[str]) -> list[int]:
+        return [2 * len(x) for x in self._encoded(words)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = self._words(texts)
+        parts = self._words(texts, self.known, self._as_bytes)
         known = self.known
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def sizes(self, texts: list[str]) -> list[int]:
         """Bytes that __call__ gives for each text."""
-        parts = self._words(texts)
-        known = self.known
-        return [sum(map(len, map(known.__getitem__, p))) for p in parts]
+        parts = self._words(texts, self.widths, self._as_sizes)
+        known = self.widths
+        return [sum(map(known.__getitem__, p)) for p in parts]
+
+    def release(self) -> None:
+        self.known.clear()
+        self.widths.clear()
+        self.used = 0
 
 
 def piece_model() -> str:
@@ -125,13 +166,16 @@ _loaded: dict[str, PieceIds] = {}
 def pieces(model: str | None = None) -> Tokenizer:
     """A tokenizer for materialise(): opened once in each Python worker. The path is the parameter."""
 
-    def open_here() -> PieceIds:
-        path = model or piece_model()
-        if path not in _loaded:
-            _loaded[path] = PieceIds(path)
-        return _loaded[path]
+    return partial(_opened, model)
 
-    return open_here
+
+def _opened(model: str | None) -> PieceIds:
+    """The worker's tokenizer; a function of the module, since functions made for a task have copies of its globals."""
+    path = model or piece_model()
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = PieceIds(path)
+    return _loaded[path]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
@@ -159,6 +203,7 @@ def _count(tokenizer: Tokenizer, length: int):
         for ids, texts in _chunks(batches):
             counts = [-(-size // (2 * length)) for size in encode.sizes(texts)]
             n, check = n + sum(counts), _check(check, ids, counts)
+        released()
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64()), "sum": pa.array([check], pa.int64())})
 
     return run
@@ -194,6 +239,7 @@ def _sequences(tokenizer: Tokenizer, length: int, per_shard: int, key: int, coun
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(slots // per_shard, pa.int32()), pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(parts, pa.binary())], schema=_RECORD)
         if (number - before.get(part, 0), check) != counted.get(part, (0, 0)):
             raise RuntimeError("the second scan saw other rows than the first: write the documents to a table")
+        released()
 
     return run
 
@@ -211,55 +257,76 @@ def shard_path(folder: str, shard: int) -> str:
     return f"{folder}/shard-{shard:08d}.bin"
 
 
-def _write(folder: str, length: int, per_shard: int, key: int):
+def _write(folder: str, length: int, per_shard: int):
     """Sorted rows of a partition -> one file for each shard in it, read back for the index."""
     stride = 16 + 2 * length
 
-    def write(store, root: str, shard: int, rows: list[tuple]) -> pa.RecordBatch:
-        base, name = shard * per_shard, f"{root}/shard-{shard:08d}.bin"
+    def packed(rows: list[tuple], first: int) -> bytes:
         data = bytearray(stride * len(rows))
         for k, (slot, doc, no, ids) in enumerate(rows):
-            if slot != base + k:
-                raise RuntimeError(f"slot {base + k} is missing")
+            if slot != first + k:
+                raise RuntimeError(f"slot {first + k} is missing")
             struct.pack_into("<qii", data, k * stride, doc, no, len(ids) // 2)
             data[k * stride + 16 : k * stride + 16 + len(ids)] = ids
-        temporary = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
-        with store.open_output_stream(temporary) as out:
-            out.write(bytes(data))
-        store.move(temporary, name)
+        return bytes(data)
+
+    def read_back(store, name: str, shard: int) -> Iterator[pa.RecordBatch]:
+        at = 0
         with store.open_input_file(name) as back:
-            stored = back.read()
-        got = [struct.unpack_from("<qii", stored, k * stride) for k in range(len(rows))]
-        crcs = [zlib.crc32(stored[k * stride + 16 : k * stride + 16 + 2 * g[2]]) for k, g in enumerate(got)]
-        columns = [[None if g[0] == NO_ID else g[0] for g in got], [g[1] for g in got], [r[0] for r in rows], [shard] * len(rows), [k * stride for k in range(len(rows))], [g[2] for g in got], crcs]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _INDEX, strict=True)], schema=_INDEX)
+            while stored := back.read(BLOCK * stride):
+                got = [struct.unpack_from("<qii", stored, k) for k in range(0, len(stored), stride)]
+                crcs = [zlib.crc32(stored[k * stride + 16 : k * stride + 16 + 2 * g[2]]) for k, g in enumerate(got)]
+                places = range(at, at + len(got))
+                columns = [[None if g[0] == NO_ID else g[0] for g in got], [g[1] for g in got], [shard * per_shard + k for k in places], [shard] * len(got), [k * stride for k in places], [g[2] for g in got], crcs]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _INDEX, strict=True)], schema=_INDEX)
+                at += len(got)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _filesystem(folder)
         store.create_dir(root, recursive=True)
-        now, rows = None, []
-        for batch in batches:
-            for slot, shard, doc, no, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now and rows:
-                    yield write(store, root, now, rows)
-                    rows = []
-                now = shard
-                rows.append((slot, doc, no, ids))
-        if rows:
-            yield write(store, root, now, rows)
+        shard, n, out = None, 0, None
+        name = lambda: f"{root}/shard-{shard:08d}.bin"
+        temporary = lambda: f"{name()}.{TaskContext.get().taskAttemptId()}.tmp"
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if out is not None:
+                out.close()
+                store.move(temporary(), name())
+                yield from read_back(store, name(), shard)
+
+        for whole in batches:
+            for batch in sliced(whole):
+                for of, rows in groupby(zip(*(batch.column(c).to_pylist() for c in ("slot", "doc_id", "seq_no", "ids")), strict=True), lambda r: r[0] // per_shard):
+                    if of != shard:
+                        yield from finished()
+                        shard, n = of, 0
+                        out = store.open_output_stream(temporary())
+                    rows = list(rows)
+                    out.write(packed(rows, shard * per_shard + n))
+                    n += len(rows)
+        yield from finished()
 
     return run
 
 
-def materialise(docs: DataFrame, folder: str, tokenizer: Tokenizer | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+def shard_size(n: int) -> int:
+    """Sequences in a shard where none are given: PER_SHARD, doubled until there are at most MOST_SHARDS."""
+    size = PER_SHARD
+    while -(-n // size) > MOST_SHARDS:
+        size *= 2
+    return size
+
+
+def materialise(docs: DataFrame, folder: str, tokenizer: Tokenizer | None = None, length: int = LENGTH, per_shard: int | None = None, key: int = KEY) -> DataFrame:
     """Writes the shards and returns their index: doc_id, seq_no, slot, shard, byte_offset, n_tokens, ids_crc32 (as read back)."""
     tokenizer, texts = tokenizer or pieces(), id_and_bytes(docs)
     found = texts.mapInArrow(_count(tokenizer, length), "part int, n long, sum long").collect()
     counted = {r.part: (r.n, r["sum"]) for r in found}
     n = sum(r.n for r in found)
+    per_shard = per_shard or shard_size(n)
     rows = texts.mapInArrow(_sequences(tokenizer, length, per_shard, key, counted), "slot long, shard int, doc_id long, seq_no int, ids binary")
     dealt = rows.repartitionById(max(1, -(-n // per_shard)), "shard").sortWithinPartitions("slot")
-    return dealt.mapInArrow(_write(folder, length, per_shard, key), "doc_id long, seq_no int, slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long")
+    return dealt.mapInArrow(_write(folder, length, per_shard), "doc_id long, seq_no int, slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long")
 
 
 def read_slots(folder: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[tuple[int, int, int, np.ndarray]]:
