@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 from recordlift.llm.common import documents, stored
 
 SHARDS = 24
+#: rows of a range that one task sums
+RANGE = 2_000_000
 
 
-def with_running_totals(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
+def with_running_totals(df: DataFrame, order: list[str], sums: dict[str, str], name: str, rows: int = 0) -> DataFrame:
     """Adds totals over all rows up to and including each, in the order given. Rows are dealt by range; only a
-    row for each range comes to the driver, and no range is summed in one task with another."""
+    row for each range comes to the driver, and no range is summed in one task with another. There are as many ranges
+    as the session has shuffle partitions, or more, so that each has at most RANGE of the rows given."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // RANGE + 1)
     dealt = stored(df.repartitionByRange(parts, *(F.asc_nulls_first(c) for c in order)).withColumn("_range", F.spark_partition_id()), name)
     totals = sorted(dealt.groupBy("_range").agg(*(F.sum(c).alias(out) for out, c in sums.items())).collect(), key=lambda r: r["_range"])
     before, offsets = dict.fromkeys(sums, 0), []
@@ -124,8 +127,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, detail: int = 8192) -> DataFram
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("key")),
         "shard-rows",
     )
+    n = rows.count()
     groups = rows.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first"), F.sum("size").alias("weight"), F.count("*").alias("n"))
-    groups = stored(with_running_totals(groups, ["first", "key"], {"upto": "weight", "rows": "n"}, "shard-groups"), "shard-totals")
+    groups = stored(with_running_totals(groups, ["first", "key"], {"upto": "weight", "rows": "n"}, "shard-groups", n), "shard-totals")
     head = groups.agg(F.max("upto"), F.max("weight")).first()
     cuts = minimax_cuts(groups, head[0] or 0, head[1] or 0, shards, detail)
     at = F.lit(shards - 1)
@@ -136,7 +140,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, detail: int = 8192) -> DataFram
     begin = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k in range(shards) for x in (k, starts.get(k, 0)))), F.col("shard")), F.lit(0))
     # the order of groups, then of members, is the order of all rows, so a row's rank is its place among all
     members = rows.join(placed.select("key", "first", "shard"), "key").withColumn("one", F.lit(1))
-    ranked = with_running_totals(members, ["first", "key", "doc_id"], {"place": "one"}, "shard-members")
+    ranked = with_running_totals(members, ["first", "key", "doc_id"], {"place": "one"}, "shard-members", n)
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - 1 - begin).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
