@@ -17,7 +17,7 @@ over the counts is fitted on a bounded sample of them (`max_rows`, by smallest h
 rows whose crc32(doc_id as text) mod 3 is not 1, and only texts are inputs of a score.
 
 Defined results: null and empty texts have no words and the score of a document without a hit; a null doc_id is not
-held out and never trains; labels that repeat a doc_id count as toxic if any does, null ones not at all; repeated
+held out and never trains; bytes that are no UTF-8 become U+FFFD; labels that repeat a doc_id count as toxic if any does, null ones not at all; repeated
 rows get equal scores; without labels of both kinds every score is 0; an empty table gives an empty result; further
 columns are ignored by score() and kept by reject().
 """
@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlift.llm.common import documents, row_map, stored
+from recordlift.llm.common import Table, bytes_of, documents, id_and_bytes, released, row_map, sliced, stored, texts_of
 
 MAX_ROWS, THRESHOLD = 20_000, 0.7
 #: candidate terms whose surroundings are counted in one pass
@@ -46,7 +47,9 @@ LEXICON_BYTES = 16 << 20
 #: labels up to which their ids go to the texts instead of the texts to them; the rows are the same either way
 SENT_LABELS = 5_000_000
 #: entries of a task's table of counts before it is sent on
-COUNTS = 500_000
+COUNTS = 150_000
+#: members of all state sets of an automaton before it is begun anew
+STATES = 300_000
 STEMS = (4, 5, 6)
 # fixed values: words that report speech
 REPORTING = frozenset("said says wrote writes called calls quoted quote quotes word term sagte schrieb nannte zitat dit écrit appelé cita dijo llamó".split())
@@ -96,7 +99,7 @@ class Matcher:
         #: for each state: the next one by letter; ends[state]: exact stem, exact word, long misspelled, short misspelled, masked
         self.step: list[dict[str, int]] = []
         self.ends: list[tuple[bool, bool, bool, bool, bool]] = []
-        self.n_steps = 0
+        self.n_steps = self.n_members = 0
         self.start = self._known(self._closed({(0, 0, "")}))
 
     def _known(self, state: frozenset) -> int:
@@ -104,6 +107,7 @@ class Matcher:
         if got is None:
             got = self.ids[state] = len(self.sets)
             self.sets.append(state)
+            self.n_members += len(state) + 10
             self.step.append({})
             ends = [(n, e) for n, e, wait in state if not wait]
             self.ends.append((
@@ -147,7 +151,7 @@ class Matcher:
 
     def match(self, word: str) -> int:
         """0: no term; 1: a term or a word that begins with a stem; 2: a misspelled or masked term; 3: a misspelled term of under 5 letters."""
-        if self.n_steps > 200_000:
+        if self.n_steps > 200_000 or self.n_members > STATES:
             self._reset()
         state, stem = self.start, False
         signs = sum(ch in MASKS for ch in word) if self.wide else 0
@@ -187,13 +191,15 @@ N_FEATURES = 7
 
 def features_of(text: str, matcher: Matcher, known: dict[str, int]) -> list[float]:
     tokens = text.lower().split()
-    if len(known) > 400_000:
-        known.clear()
     hits = []
     for i, token in enumerate(tokens):
         code = known.get(token)
         if code is None:
-            code = known[token] = matcher.match_token(token)
+            code = matcher.match_token(token)
+            if isinstance(known, Table):
+                known.keep(token, code, 2 * len(token))
+            else:
+                known[token] = code
         if code:
             hits.append((i, code))
     plain = quoted = fuzzy = short = 0
@@ -219,34 +225,37 @@ def _terms(word: str) -> list[str]:
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sent(counts: Counter) -> Iterator[pa.RecordBatch]:
-        rows = [(t, n if label else 0, 0 if label else n) for (t, label), n in counts.items()]
-        for k in range(0, len(rows), 100_000):
-            terms, toxic, clean = zip(*rows[k : k + 100_000], strict=True)
+        for rows in batched(counts.items(), 20_000):
+            terms, toxic, clean = zip(*((t, n if label else 0, 0 if label else n) for (t, label), n in rows), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["term", "toxic", "clean"])
 
     counts: Counter = Counter()
-    for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = {word_of(t) for t in (text or "").lower().split()}
-            counts.update((t, label) for t in {t for w in words if 3 <= len(w) <= 24 and w.isalpha() for t in _terms(w)})
-            if len(counts) > COUNTS:
-                yield from sent(counts)
-                counts.clear()
+    for whole in batches:
+        for batch in sliced(whole):
+            for label, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                words = {word_of(t) for t in text.lower().split()}
+                counts.update((t, label) for t in {t for w in words if 3 <= len(w) <= 24 and w.isalpha() for t in _terms(w)})
+                if len(counts) > COUNTS:
+                    yield from sent(counts)
+                    counts.clear()
     yield from sent(counts)
+    released()
 
 
 def _surroundings(wanted: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = set()
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = ["", *(word_of(t) for t in (text or "").lower().split()), ""]
-                for a, w, b in zip(words, words[1:], words[2:]):
-                    for t in _terms(w):
-                        if t in wanted:
-                            seen.add((t, label, xxhash.xxh64_intdigest(f"{a}\0{b}") >> 1))
-            terms, labels, around = zip(*seen, strict=True) if seen else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32()), pa.array(around, pa.int64())], names=["term", "label", "around"])
+        for whole in batches:
+            for batch in sliced(whole):
+                seen = set()
+                for label, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                    words = ["", *(word_of(t) for t in text.lower().split()), ""]
+                    for a, w, b in zip(words, words[1:], words[2:]):
+                        for t in _terms(w):
+                            if t in wanted:
+                                seen.add((t, label, xxhash.xxh64_intdigest(f"{a}\0{b}") >> 1))
+                terms, labels, around = zip(*seen, strict=True) if seen else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32()), pa.array(around, pa.int64())], names=["term", "label", "around"])
+        released()
 
     return run
 
@@ -299,7 +308,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, part: in
     stems = sorted(t for t in strong if t[0] != "=" and not any(t[:k] in strong for k in range(1, len(t))))
     matcher_args = (words, stems)
     last = whole.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    rows = whole.where(F.col("h") <= last).select("label", "text").mapInArrow(_featured_text(matcher_args), "label int, f array<double>").collect()
+    rows = whole.where(F.col("h") <= last).select("label", F.col("text").cast("binary").alias("text")).mapInArrow(_featured_text(matcher_args), "label int, f array<double>").collect()
     x, y = np.array([r.f for r in rows]), np.array([r.label for r in rows], float)
     return Model(tuple(words), tuple(stems), tuple(fit_logistic(x, y)))
 
@@ -321,39 +330,41 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 
 
 def _featured_text(lexicon: tuple[list[str], list[str]]):
-    known: dict[str, int] = {}
-    return row_map(lambda label, text, m: (label, features_of(text or "", m, known)), pa.schema([("label", pa.int32()), ("f", pa.list_(pa.float64()))]), lambda: Matcher(*lexicon, wide=True))
+    known = Table()
+    return row_map(lambda label, text, m: (label, features_of(text.decode("utf-8", "replace"), m, known)), pa.schema([("label", pa.int32()), ("f", pa.list_(pa.float64()))]), lambda: Matcher(*lexicon, wide=True), lambda: [known])
 
 
 def _scored(model: Model):
-    known: dict[str, int] = {}
+    known = Table()
 
-    def each(key, text: str | None, m: Matcher) -> tuple:
+    def each(key, text: bytes, m: Matcher) -> tuple:
         if not model.weights:
             return key, 0.0
-        z = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], features_of(text or "", m, known), strict=True))
+        z = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], features_of(text.decode("utf-8", "replace"), m, known), strict=True))
         return key, 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    return each, lambda: Matcher(list(model.words), list(model.stems), wide=True)
+    return each, lambda: Matcher(list(model.words), list(model.stems), wide=True), lambda: [known]
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each document."""
-    each, setup = _scored(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(row_map(each, pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]), setup), "doc_id long, score double")
+    each, setup, tables = _scored(model)
+    rows = id_and_bytes(docs).mapInArrow(row_map(each, pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]), setup, tables), "doc_id long, score double")
     held = F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"), F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, all columns kept."""
-    each, setup = _scored(model)
+    each, setup, tables = _scored(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = setup()
-        for batch in batches:
-            keep = [each(None, t, matcher)[1] < threshold for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for batch in sliced(whole):
+                keep = [each(None, t, matcher)[1] < threshold for t in bytes_of(batch.column("text"))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+        released(*tables())
 
     return docs.mapInArrow(run, docs.schema)
 
