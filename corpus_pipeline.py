@@ -34,7 +34,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("secrets", mask_secrets), ("sentencepieces", encode)]
-#: The first stage's model has no form in SQL; tests/llm/test_pipeline.py runs the stages against plain versions.
+#: The first stage's model has no form in SQL; tests/llm/test_groups.py runs the stages against plain versions.
 ORACLE_SQL = None
 
 

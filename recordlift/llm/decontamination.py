@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlift.llm.common import documents, folded_words, id_and_bytes, row_map, sha256_hex, stored
+from recordlift.llm.common import bytes_of, documents, folded_words, id_and_bytes, released, row_map, sha256_hex, sliced, stored
 
 WINDOW = 13
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -163,9 +163,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_bytes:
 
     def run(batches):
         auto = automaton(windows)
-        for batch in batches:
-            judged = (_digest(*scan(0, (t or "").encode(), auto)) for t in batch.column("text").to_pylist())
-            yield batch.filter(pa.array([not (n_hit > 0 and 20 * n_hit >= n_words) for _, n_words, n_hit, *_ in judged], pa.bool_()))
+        for whole in batches:
+            for batch in sliced(whole):
+                judged = (_digest(*scan(0, t, auto)) for t in bytes_of(batch.column("text")))
+                yield batch.filter(pa.array([not (n_hit > 0 and 20 * n_hit >= n_words) for _, n_words, n_hit, *_ in judged], pa.bool_()))
+        released()
 
     return docs.mapInArrow(run, docs.schema)
 
