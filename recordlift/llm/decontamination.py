@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from recordlift.llm.common import bytes_of, documents, folded_words, id_and_bytes, released, row_map, sha256_hex, sliced, stored
 
 WINDOW = 13
+#: bytes of windows in one automaton; a task's takes about 48 times as much memory
+MAX_BYTES = 8 << 20
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 SCHEMA = "doc_id long, n_words long, hits binary, items array<long>, spans string"
@@ -126,7 +128,7 @@ def _told(doc_id: int, text: bytes, hits: bytes | None, items: list[int] | None)
     return doc_id, n_words, hits or b"", items or [], original_spans(text, hit) if hits else ""
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_bytes: int = 64 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans: a row for each document."""
     items = _items(benchmark)
     parts = _n_parts(items, width, max_bytes)
@@ -149,7 +151,7 @@ def _digest(doc_id: int, n_words: int, hits: bytes, items: list[int], spans: str
     return doc_id, n_words, n_hit, len(items), sha256_hex(",".join(sorted(map(str, items))).encode()), items, spans
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_bytes: int = 64 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The documents that are not contaminated, all columns kept. Each row is judged by itself; with a benchmark too
     large for one automaton, rows are told apart by a number of their own."""
     items = _items(benchmark)

@@ -76,6 +76,12 @@ def word_ranks(lines: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def _one_of(words: set[str]) -> str:
+    """A pattern of the words in which each first letter is tried once."""
+    letters = {w[0] for w in words}
+    return "|".join(f"{c}(?:{'|'.join(w[1:] for w in sorted(words) if w[0] == c)})" for c in sorted(letters))
+
+
 def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: a row for each document."""
     spark = docs.sparkSession
@@ -95,7 +101,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
 
     # one pass over the texts: counts, base places, and the words of texts that hold an opener
     base = F.struct(*(phrase_places(F.col("line"), p).alias(f"p{i}") for i, p in enumerate(phrases)))
-    gate = F.rlike("line", F.lit(f" (?:{'|'.join(sorted(openers))}) ")) if openers else F.lit(False)
+    gate = F.rlike("line", F.lit(f" (?:{_one_of(openers)}) ")) if openers else F.lit(False)
     rows = stored(
         source.withColumn("line", F.concat(F.lit(" "), word_line(F.col("text")), F.lit(" "))).select(
             "doc_id", F.when(F.col("line") == "  ", 0).otherwise(_spaces(F.col("line")) - 1).cast("long").alias("n_words"), base.alias("base"),
