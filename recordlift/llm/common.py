@@ -43,32 +43,46 @@ def sha256_hex(data: bytes) -> str:
 
 
 class Table(dict):
-    """A table that a task fills as it goes; emptied when its entries take `room` bytes, and by release()."""
+    """A table that a task fills as it goes, of `room` bytes in two halves: when the young half, the dict itself, is
+    full, it becomes the old one. recall() takes an entry from the old half into the young one."""
 
     def __init__(self, room: int = 24 << 20):
         super().__init__()
-        self.room = self.left = room
+        self.room, self.left, self.old = room, room // 2, {}
 
     def keep(self, key, value, size: int):
         """Adds an entry of about `size` bytes besides the table's own share of it."""
         self.left -= size + 200
         if self.left < 0:
-            self.release()
+            self.old = self.retired()
+            self.clear()
+            self.left = self.room // 2
         self[key] = value
         return value
 
+    def retired(self) -> dict:
+        return dict(self)
+
+    def recall(self, key, size: int):
+        """The value that the old half has; None if it has none."""
+        value = self.old.get(key)
+        return None if value is None else self.keep(key, value, size)
+
     def release(self) -> None:
         self.clear()
-        self.left = self.room
+        self.left, self.old = self.room // 2, {}
 
 
 class WordHashes(Table):
     """64-bit hashes of words."""
 
-    def __init__(self, seed: int = 0, room: int = 24 << 20):
+    def __init__(self, seed: int = 0, room: int = 48 << 20):
         super().__init__(room)
         self.seed = seed
 
+    def retired(self) -> dict:
+        return {}  # to hash a word again costs no more than to look it up
+
     def __missing__(self, word: bytes) -> int:
         return self.keep(word, xxhash.xxh64_intdigest(word, self.seed), len(word))
 

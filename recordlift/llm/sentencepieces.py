@@ -254,7 +254,9 @@ class PieceTransducer(Vocabulary):
                     continue
                 if before >= 0:
                     if (seam := seams.get((before, piece))) is None:
-                        seam = seams.keep((before, piece), self.stay_apart(before, piece), 0)
+                        key = (before, piece)
+                        if (seam := seams.recall(key, 0)) is None:
+                            seam = seams.keep(key, self.stay_apart(before, piece), 0)
                     if not seam:
                         continue
                 ends[i + 1] = (piece, j)
@@ -283,14 +285,16 @@ def compiled(path: str) -> UnigramTransducer | PieceTransducer:
 
 
 class Codec:
-    """Encodes and decodes in one Python worker. The table of words is a task's, that of seams is the worker's."""
+    """Encodes and decodes in one Python worker, which keeps the tables of words and seams from task to task."""
 
     def __init__(self, transducer: UnigramTransducer | PieceTransducer):
-        self.t, self.words, self.seams = transducer, Table(), Table(16 << 20)
+        self.t, self.words, self.seams = transducer, Table(112 << 20), Table(64 << 20)
 
     def _word(self, word: str) -> bytes:
+        if (ids := self.words.recall(word, 3 * len(word))) is not None:
+            return ids
         ids = np.array(self.t.path(word, self.seams), self.t.kind).tobytes()
-        return self.words.keep(word, ids, 2 * len(word) + len(ids))
+        return self.words.keep(word, ids, 3 * len(word))
 
     def encode(self, text: str) -> np.ndarray:
         known, out = self.words, []
@@ -352,7 +356,7 @@ def encode_decode(docs: DataFrame, model: str | None = None) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 n, fell, shas, same = zip(*meta, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fell, pa.int64()), lists, pa.array(shas), pa.array(same)], schema=_OUT)
-        released(codec.words)
+        released()
 
     return id_and_bytes(docs).mapInArrow(run, SCHEMA)
 
