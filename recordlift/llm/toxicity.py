@@ -48,6 +48,8 @@ LEXICON_BYTES = 16 << 20
 SENT_LABELS = 5_000_000
 #: entries of a task's table of counts before it is sent on
 COUNTS = 150_000
+#: bytes of a task's table of tokens
+KNOWN = 112 << 20
 #: members of all state sets of an automaton before it is begun anew
 STATES = 300_000
 STEMS = (4, 5, 6)
@@ -195,11 +197,13 @@ def features_of(text: str, matcher: Matcher, known: dict[str, int]) -> list[floa
     for i, token in enumerate(tokens):
         code = known.get(token)
         if code is None:
-            code = matcher.match_token(token)
-            if isinstance(known, Table):
-                known.keep(token, code, 2 * len(token))
-            else:
-                known[token] = code
+            code = known.recall(token, 2 * len(token)) if isinstance(known, Table) else None
+            if code is None:
+                code = matcher.match_token(token)
+                if isinstance(known, Table):
+                    known.keep(token, code, 2 * len(token))
+                else:
+                    known[token] = code
         if code:
             hits.append((i, code))
     plain = quoted = fuzzy = short = 0
@@ -230,11 +234,21 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int64()), pa.array(clean, pa.int64())], names=["term", "toxic", "clean"])
 
     counts: Counter = Counter()
+    known = Table(KNOWN)
+
+    def terms_of(token: str) -> list[str]:
+        word = word_of(token)
+        terms = _terms(word) if 3 <= len(word) <= 24 and word.isalpha() else []
+        return known.keep(token, terms, 300)
+
     for whole in batches:
         for batch in sliced(whole):
             for label, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                words = {word_of(t) for t in text.lower().split()}
-                counts.update((t, label) for t in {t for w in words if 3 <= len(w) <= 24 and w.isalpha() for t in _terms(w)})
+                found: set[str] = set()
+                for token in set(text.lower().split()):
+                    terms = known.get(token)
+                    found.update(terms_of(token) if terms is None else terms)
+                counts.update((t, label) for t in found)
                 if len(counts) > COUNTS:
                     yield from sent(counts)
                     counts.clear()
@@ -244,15 +258,21 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _surroundings(wanted: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Table(KNOWN)
+
+        def terms_of(token: str) -> list[str]:
+            return known.keep(token, [t for t in _terms(word_of(token)) if t in wanted], 100)
+
         for whole in batches:
             for batch in sliced(whole):
                 seen = set()
                 for label, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                    words = ["", *(word_of(t) for t in text.lower().split()), ""]
-                    for a, w, b in zip(words, words[1:], words[2:]):
-                        for t in _terms(w):
-                            if t in wanted:
-                                seen.add((t, label, xxhash.xxh64_intdigest(f"{a}\0{b}") >> 1))
+                    tokens = ["", *text.lower().split(), ""]
+                    for i, token in enumerate(tokens[1:-1], 1):
+                        terms = known.get(token)
+                        if terms := terms_of(token) if terms is None else terms:
+                            around = xxhash.xxh64_intdigest(f"{word_of(tokens[i - 1])}\0{word_of(tokens[i + 1])}") >> 1
+                            seen.update((t, label, around) for t in terms)
                 terms, labels, around = zip(*seen, strict=True) if seen else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32()), pa.array(around, pa.int64())], names=["term", "label", "around"])
         released()
@@ -330,12 +350,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 
 
 def _featured_text(lexicon: tuple[list[str], list[str]]):
-    known = Table()
+    known = Table(KNOWN)
     return row_map(lambda label, text, m: (label, features_of(text.decode("utf-8", "replace"), m, known)), pa.schema([("label", pa.int32()), ("f", pa.list_(pa.float64()))]), lambda: Matcher(*lexicon, wide=True), lambda: [known])
 
 
 def _scored(model: Model):
-    known = Table()
+    known = Table(KNOWN)
 
     def each(key, text: bytes, m: Matcher) -> tuple:
         if not model.weights:
