@@ -44,8 +44,6 @@ MOST_SHARDS = 16384
 BLOCK = 4096
 NO_ID = -(1 << 63)
 CHUNK = 8 << 20
-#: new words that are encoded as one text
-GROUP = 64
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -85,71 +83,47 @@ def _packed(ids: list[int]) -> bytes:
 class PieceIds:
     """Texts to uint16 ids with a public sentencepiece vocabulary.
 
-    No piece has a space mark behind another character, so a text falls into independent words before each space;
-    the ids of words are kept in tables of bounded size. New words are encoded many at a time, joined by spaces, and
-    their ids are cut where a piece begins with the mark.
+    No piece has a space mark behind another character, so a text falls into independent words before each space. The
+    ids of words are kept in a table that the worker takes from chunk to chunk, task to task and scan to scan. It has
+    two halves of bounded size: when the young half is full it becomes the old one, and words of the old half that
+    occur again go over to the young one, so frequent words stay.
     """
 
-    def __init__(self, model: str, room: int = 64 << 20):
+    def __init__(self, model: str, room: int = 140 << 20):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
+        if any("▁" in p.lstrip("▁") for p in map(self.sp.id_to_piece, range(self.sp.get_piece_size()))):
             raise ValueError("the vocabulary has pieces that span a space")
-        self.begins = np.array([p[:1] == "▁" for p in pieces])
-        self.room = room
-        #: word -> its ids, and word -> their bytes
-        self.known: dict[str, bytes] = {}
-        self.widths: dict[str, int] = {}
-        self.used = 0
-
-    def _encoded(self, words: list[str]) -> Iterator[np.ndarray | list[int]]:
-        """Ids of each word."""
-        plain = [w for w in words if w and " " not in w]
-        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
-        found: dict[str, np.ndarray] = {}
-        for group, ids in zip(groups, self.sp.encode([" ".join(g) for g in groups], num_threads=1), strict=True):
-            ids = np.array(ids, "<u2")
-            cuts = np.flatnonzero(self.begins[ids]).tolist()
-            if len(cuts) == len(group):
-                found.update(zip(group, map(ids.__getitem__, map(slice, cuts, [*cuts[1:], len(ids)])), strict=True))
-        for w in words:
-            yield self.sp.encode(w) if (ids := found.get(w)) is None else ids
-
-    def _words(self, texts: list[str], table: dict, made: Callable[[list[str]], list]) -> list[list[str]]:
+        self.room, self.used = room, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _words(self, texts: list[str]) -> list[list[str]]:
         """The library adds a space in front, so the part behind each single space is encoded as a text of its own.
         A text with other spaces is one part."""
         texts = [t.replace("▁", " ") for t in texts]
         parts = [[t] if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") if t else [] for t in texts]
-        if self.used > self.room:
-            self.release()
-        new = list(set().union(*parts).difference(table))
-        table.update(zip(new, made(new), strict=True))
-        self.used += sum(map(len, new)) * 3 + 200 * len(new)
+        if self.used > self.room // 2:
+            self.old, self.young, self.used = self.young, {}, 0
+        missing = set().union(*parts).difference(self.young)
+        again = missing.intersection(self.old)
+        new = list(missing - again)
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self.young.update(zip(new, map(_packed, self.sp.encode(new, num_threads=1)), strict=True))
+        self.used += sum(map(len, missing)) * 2 + 300 * len(missing)
         return parts
 
-    def _as_bytes(self, words: list[str]) -> list[bytes]:
-        return [_packed(x) if isinstance(x, list) else x.tobytes() for x in self._encoded(words)]
-
-    def _as_sizes(self, words: list[str]) -> list[int]:
-        return [2 * len(x) for x in self._encoded(words)]
-
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = self._words(texts, self.known, self._as_bytes)
-        known = self.known
+        parts = self._words(texts)
+        known = self.young
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def sizes(self, texts: list[str]) -> list[int]:
         """Bytes that __call__ gives for each text."""
-        parts = self._words(texts, self.widths, self._as_sizes)
-        known = self.widths
-        return [sum(map(known.__getitem__, p)) for p in parts]
-
-    def release(self) -> None:
-        self.known.clear()
-        self.widths.clear()
-        self.used = 0
+        parts = self._words(texts)
+        known = self.young
+        return [sum(map(len, map(known.__getitem__, p))) for p in parts]
 
 
 def piece_model() -> str:
