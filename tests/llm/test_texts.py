@@ -49,6 +49,26 @@ def test_shards_can_be_read_in_order(spark, tmp_path, library):
         assert ids_of(doc) == (library.encode(text) if text else [])
     assert len(got[0]) == 2 * math.ceil(len(library.encode(rows()[0][1])) / 8)
     assert [x[0] for x in token_shards.read_slots(str(tmp_path), 45, 20, 8, 50)] == list(range(45, 65))
+    texts = dict(rows())
+    for r in index:
+        if r.doc_id is not None:
+            ids = library.encode(texts[r.doc_id])[8 * r.seq_no : 8 * r.seq_no + 8]
+            assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u2").tobytes()))
+
+
+def test_ids_from_a_small_table(library):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdeéü中😀.,\n\tАя019<s>", k=rng.randrange(1, 12))) for _ in range(3000)] + ["  ", " a", "b ", "", "c d", "c  d", "▁", "▁▁x"]
+    ids = token_shards.PieceIds(token_shards.piece_model(), room=20_000)
+    for k in range(0, len(words), 100):
+        texts = [" ".join(words[k : k + 7]), *words[k : k + 100]]
+        assert [np.frombuffer(x, "<u2").tolist() for x in ids(texts)] == [library.encode(t) if t else [] for t in texts]
+        assert ids.sizes(texts) == [2 * len(library.encode(t)) if t else 0 for t in texts]
+
+
+def test_shards_grow_with_the_input():
+    assert token_shards.shard_size(0) == token_shards.shard_size(10**8) == token_shards.PER_SHARD
+    assert -(-(10**12) // token_shards.shard_size(10**12)) <= token_shards.MOST_SHARDS
 
 
 def test_no_shards_of_nothing(spark, tmp_path):
