@@ -83,13 +83,14 @@ def _packed(ids: list[int]) -> bytes:
 class PieceIds:
     """Texts to uint16 ids with a public sentencepiece vocabulary.
 
-    No piece has a space mark behind another character, so a text falls into independent words before each space. The
-    ids of words are kept in a table that the worker takes from chunk to chunk, task to task and scan to scan. It has
-    two halves of bounded size: when the young half is full it becomes the old one, and words of the old half that
-    occur again go over to the young one, so frequent words stay.
+    No piece has a space mark behind another character, so a text falls into independent words before each space. A
+    chunk's words are made a dictionary of different ones and an index for each place, so only different words are
+    looked up or encoded. Their ids are kept in a table that the worker takes from chunk to chunk, task to task and
+    scan to scan. It has two halves of bounded size: when the young half is full it becomes the old one, and words of
+    the old half that occur again go over to the young one, so frequent words stay.
     """
 
-    def __init__(self, model: str, room: int = 140 << 20):
+    def __init__(self, model: str, room: int = 180 << 20):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -99,31 +100,52 @@ class PieceIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _words(self, texts: list[str]) -> list[list[str]]:
-        """The library adds a space in front, so the part behind each single space is encoded as a text of its own.
-        A text with other spaces is one part."""
-        texts = [t.replace("▁", " ") for t in texts]
-        parts = [[t] if "  " in t or t[:1] == " " or t[-1:] == " " else t.split(" ") if t else [] for t in texts]
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
         if self.used > self.room // 2:
             self.old, self.young, self.used = self.young, {}, 0
-        missing = set().union(*parts).difference(self.young)
-        again = missing.intersection(self.old)
-        new = list(missing - again)
-        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        self.young.update(zip(new, map(_packed, self.sp.encode(new, num_threads=1)), strict=True))
+        young, old = self.young, self.old
+        missing = [w for w in words if w not in young]
+        new = [w for w in missing if w not in old]
+        young.update((w, old[w]) for w in missing if w in old)
+        young.update(zip(new, map(_packed, self.sp.encode(new, num_threads=1)), strict=True))
         self.used += sum(map(len, missing)) * 2 + 300 * len(missing)
-        return parts
+        return [young[w] for w in words]
+
+    def _chunk(self, texts: list[str]) -> tuple[dict[int, bytes], list[int], list[bytes], np.ndarray, np.ndarray]:
+        """Ids of texts with other than single spaces between words, places of the rest, and of these the ids of
+        their different words, which word stands where, and where each text's words end. The library adds a space in
+        front, so the part behind each single space is encoded as a text of its own."""
+        texts = [t.replace("▁", " ") for t in texts]
+        odd = [k for k, t in enumerate(texts) if not t or "  " in t or t[0] == " " or t[-1] == " "]
+        alone = dict(zip(odd, map(_packed, self.sp.encode([texts[k] for k in odd], num_threads=1)), strict=True))
+        plain = [k for k in range(len(texts)) if k not in alone]
+        parts = pc.split_pattern(pa.array([texts[k] for k in plain], pa.string()), " ")
+        coded = parts.values.dictionary_encode()
+        # words have no space, so one string of them all is cut faster than each is taken by itself
+        words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ") if plain else []
+        return alone, plain, self._ids_of(words), coded.indices.to_numpy(), parts.offsets.to_numpy()[1:]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = self._words(texts)
-        known = self.young
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        alone, plain, ids, word, ends = self._chunk(texts)
+        if plain:
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+            begin, whole = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u2")
+            n = size[word]
+            upto = np.cumsum(n)
+            data = whole[np.repeat(begin[word] - (upto - n), n) + np.arange(upto[-1])].tobytes()
+            cuts = [0, *(2 * upto[ends - 1]).tolist()]
+            alone.update(zip(plain, (data[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
+        return [alone[k] for k in range(len(texts))]
 
     def sizes(self, texts: list[str]) -> list[int]:
         """Bytes that __call__ gives for each text."""
-        parts = self._words(texts)
-        known = self.young
-        return [sum(map(len, map(known.__getitem__, p))) for p in parts]
+        alone, plain, ids, word, ends = self._chunk(texts)
+        out = {k: len(x) for k, x in alone.items()}
+        if plain:
+            upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))[word])
+            out.update(zip(plain, np.diff(upto[ends - 1], prepend=0).tolist(), strict=True))
+        return [out[k] for k in range(len(texts))]
 
 
 def piece_model() -> str:
