@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from recordlift.llm.common import Table, documents, id_and_bytes, released, sha256_hex, sliced
-from recordlift.llm.token_shards import piece_model
+from recordlift.llm.token_shards import packed, piece_model
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -288,12 +288,13 @@ class Codec:
     """Encodes and decodes in one Python worker, which keeps the tables of words and seams from task to task."""
 
     def __init__(self, transducer: UnigramTransducer | PieceTransducer):
-        self.t, self.words, self.seams = transducer, Table(112 << 20), Table(64 << 20)
+        self.t, self.words, self.seams = transducer, Table(192 << 20), Table(64 << 20)
 
     def _word(self, word: str) -> bytes:
         if (ids := self.words.recall(word, 3 * len(word))) is not None:
             return ids
-        ids = np.array(self.t.path(word, self.seams), self.t.kind).tobytes()
+        path = self.t.path(word, self.seams)
+        ids = packed(path) if self.t.kind == "<u2" else np.array(path, self.t.kind).tobytes()
         return self.words.keep(word, ids, 3 * len(word))
 
     def encode(self, text: str) -> np.ndarray:

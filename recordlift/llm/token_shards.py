@@ -72,7 +72,7 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY, rounds: int = 4) -> np
     return out.astype(np.int64)
 
 
-def _packed(ids: list[int]) -> bytes:
+def packed(ids: list[int]) -> bytes:
     """Little-endian 16-bit ids."""
     out = array.array("H", ids)
     if sys.byteorder == "big":
@@ -108,7 +108,7 @@ class PieceIds:
         missing = [w for w in words if w not in young]
         new = [w for w in missing if w not in old]
         young.update((w, old[w]) for w in missing if w in old)
-        young.update(zip(new, map(_packed, self.sp.encode(new, num_threads=1)), strict=True))
+        young.update(zip(new, map(packed, self.sp.encode(new, num_threads=1)), strict=True))
         self.used += sum(map(len, missing)) * 2 + 300 * len(missing)
         return [young[w] for w in words]
 
@@ -118,7 +118,7 @@ class PieceIds:
         front, so the part behind each single space is encoded as a text of its own."""
         texts = [t.replace("▁", " ") for t in texts]
         odd = [k for k, t in enumerate(texts) if not t or "  " in t or t[0] == " " or t[-1] == " "]
-        alone = dict(zip(odd, map(_packed, self.sp.encode([texts[k] for k in odd], num_threads=1)), strict=True))
+        alone = dict(zip(odd, map(packed, self.sp.encode([texts[k] for k in odd], num_threads=1)), strict=True))
         plain = [k for k in range(len(texts)) if k not in alone]
         parts = pc.split_pattern(pa.array([texts[k] for k in plain], pa.string()), " ")
         coded = parts.values.dictionary_encode()
@@ -257,7 +257,7 @@ def _write(folder: str, length: int, per_shard: int):
     """Sorted rows of a partition -> one file for each shard in it, read back for the index."""
     stride = 16 + 2 * length
 
-    def packed(rows: list[tuple], first: int) -> bytes:
+    def record_bytes(rows: list[tuple], first: int) -> bytes:
         data = bytearray(stride * len(rows))
         for k, (slot, doc, no, ids) in enumerate(rows):
             if slot != first + k:
@@ -298,7 +298,7 @@ def _write(folder: str, length: int, per_shard: int):
                         shard, n = of, 0
                         out = store.open_output_stream(temporary())
                     rows = list(rows)
-                    out.write(packed(rows, shard * per_shard + n))
+                    out.write(record_bytes(rows, shard * per_shard + n))
                     n += len(rows)
         yield from finished()
 
