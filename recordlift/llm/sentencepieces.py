@@ -288,7 +288,7 @@ class Codec:
     """Encodes and decodes in one Python worker, which keeps the tables of words and seams from task to task."""
 
     def __init__(self, transducer: UnigramTransducer | PieceTransducer):
-        self.t, self.words, self.seams = transducer, Table(192 << 20), Table(64 << 20)
+        self.t, self.words, self.seams = transducer, Table(72 << 20), Table(32 << 20)
 
     def _word(self, word: str) -> bytes:
         if (ids := self.words.recall(word, 3 * len(word))) is not None:
