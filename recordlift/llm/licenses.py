@@ -155,8 +155,8 @@ p AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: array
       FROM (SELECT doc_id, w, phrase, label, len(string_split(phrase, ' ')) AS n FROM w, (VALUES PHRASES) v(phrase, label) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' '))),
 o AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS own FROM p GROUP BY doc_id),
 v AS (SELECT * FROM (VALUES TEMPLATES) v(name, w, words)),
-s AS (SELECT doc_id, size, list_distinct(w[at * size + 1:at * size + 2 * size]) AS s
-      FROM (SELECT doc_id, w.w, size, unnest(range(0, (len(w.w) - 1) // size + 1)) AS at FROM w, (SELECT DISTINCT w AS size FROM v) WHERE len(w.w) > 0)),
+s AS (SELECT doc_id, size, list_distinct(w[nth * size + 1:nth * size + 2 * size]) AS s
+      FROM (SELECT doc_id, w.w, size, unnest(range(0, (len(w.w) - 1) // size + 1)) AS nth FROM w, (SELECT DISTINCT w AS size FROM v) WHERE len(w.w) > 0)),
 m AS (SELECT doc_id, name, len(list_intersect(s, words)) / len(words) AS share FROM s JOIN v ON v.w = size WHERE len(list_intersect(s, words)) >= ceil(0.8 * len(words) - 1e-9)),
 n AS (SELECT doc_id, list(DISTINCT name) AS names, max(share) AS share FROM m GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,

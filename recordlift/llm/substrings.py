@@ -325,7 +325,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, cell_bits: int = 7, buckets: int = 128, fanout: int = 8, width: int = WINDOW):
         if not 0 < cell_bits <= 22:
             raise ValueError("cell_bits is 1 to 22")
-        self.precision = cell_bits + 48
+        self.precision = min(64, cell_bits + 48)
         self.spark, self.path, self.bits, self.buckets, self.fanout, self.width = spark, path or fresh_path(spark, "fingerprints"), cell_bits, buckets, fanout, width
         self.runs: list[str] = []
         self.written = 0
