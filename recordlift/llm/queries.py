@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlift.llm import decontamination, licenses, media, near_dedup, secrets, sentencepieces, sharding, substrings, token_shards, toxicity
+from recordlift.llm import decontamination, fill_middle, licenses, media, near_dedup, secrets, sentencepieces, sharding, substrings, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": token_shards.op1_token_shards,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_media": media.op9_media,
     "op10_substrings": substrings.op10_substrings,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
     "interleave_pages": media.interleave_pages,
 }
 SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ SQL: dict[str, str] = {
     "op6_licenses": licenses.OP6_SQL,
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op10_substrings": substrings.OP10_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
 }
