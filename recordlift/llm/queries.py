@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordlift.llm import decontamination, fill_middle, licenses, media, near_dedup, secrets, sentencepieces, sharding, substrings, token_shards, toxicity
+from recordlift.llm import decontamination, fill_middle, licenses, media, near_dedup, ngram_scores, secrets, sentencepieces, sharding, spelling, substrings, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": token_shards.op1_token_shards,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media": media.op9_media,
     "op10_substrings": substrings.op10_substrings,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_ngram_scores": ngram_scores.op12_ngram_scores,
+    "op13_spelling": spelling.op13_spelling,
     "interleave_pages": media.interleave_pages,
 }
 SQL: dict[str, str] = {
@@ -29,4 +31,5 @@ SQL: dict[str, str] = {
     "op7_near_dedup": near_dedup.OP7_SQL,
     "op10_substrings": substrings.OP10_SQL,
     "op11_fill_middle": fill_middle.OP11_SQL,
+    "op13_spelling": spelling.OP13_SQL,
 }
