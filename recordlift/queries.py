@@ -20,6 +20,7 @@ from recordlift.operators.tokens import classified
 from recordlift.operators.trace import trace
 from recordlift.plans.config import NAME_KEY, Spec, compile_config, validate_config
 from recordlift.plans.parse import first_records, parse, tokens_of
+from recordlift.sources.encodings import encoded
 from recordlift.sources.exports import csv_escaped, write_csv, write_json_array, write_parquet
 from recordlift.sources.files import decode_files, read_files
 from recordlift.sources.shared import fresh_path
@@ -346,6 +347,32 @@ def decode_bytes(spark, sf_dir):
     return decode_files(docs.unionByName(names)).select("doc_id", "text", "encoding", "odd_encoding")
 
 
+RUSSIAN = "в начале года город строит новую дорогу и мост через реку жители ждут открытия Весной Москва Пётр сказал что это хорошо".split()
+WESTERN = "forêt déjà très où élèves français für größere Bäume später señor años corazón também não está".split()
+ENCODINGS = ("utf-8-sig", "cp1251", "koi8-r", "cp866", "iso8859-5", "latin-1", "utf-16-le", "utf-16-be")
+
+
+@query(
+    f"""WITH w AS (SELECT c_custkey, CASE WHEN c_custkey % 8 = 5 THEN {WESTERN!r} ELSE {RUSSIAN!r} END AS words FROM customer)
+    SELECT c_custkey AS doc_id, array_to_string(list_transform(range(1, 13), lambda k: words[1 + (c_custkey * k + k * k) % len(words)]), ' ') || ' ' || c_custkey AS text,
+    {list(ENCODINGS)!r}[1 + c_custkey % 8] AS encoding, c_custkey % 8 > 0 AS odd_encoding FROM w"""
+)
+def detect_encodings(spark, sf_dir):
+    """Texts of words that the customers' keys choose, written in eight encodings that statistics have to tell apart."""
+    key, place = F.col("c_custkey"), F.pmod(F.col("c_custkey"), F.lit(8))
+
+    def text(words: list[str]) -> Column:
+        listed = F.array(*(F.lit(w) for w in words))
+        chosen = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.get(listed, F.pmod(key * k + k * k, F.lit(len(words))).cast("int")))
+        return F.concat(F.array_join(chosen, " "), F.lit(" "), key.cast("string"))
+
+    content = F.when(place == 0, text(RUSSIAN).cast("binary"))
+    for k, name in enumerate(ENCODINGS[1:], 1):
+        content = content.when(place == k, encoded(text(WESTERN), name) if name == "latin-1" else encoded(text(RUSSIAN), name))
+    files = table(spark, sf_dir, "customer").select(key.alias("doc_id"), content.alias("content"))
+    return decode_files(files, guess=True).select("doc_id", "text", "encoding", "odd_encoding")
+
+
 # --- predicates and rules ----------------------------------------------------------------------------------------
 
 _BARE = "trim(t, '.,;:!?()[]{}')"

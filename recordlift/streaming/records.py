@@ -14,11 +14,11 @@ from recordlift.plans.parse import raw_records
 from recordlift.sources.files import decode_files
 
 
-def stream_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def stream_files(spark: SparkSession, path: str, glob: str = "*", guess: bool = False) -> DataFrame:
     """A stream of (doc_id, text, encoding, odd_encoding) from files that arrive in a folder."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)
-    return decode_files(files.where("length > 0").select(F.col("path").alias("doc_id"), "content"))
+    return decode_files(files.where("length > 0").select(F.col("path").alias("doc_id"), "content"), guess)
 
 
 def stream_records(docs: DataFrame, spec: Spec, lost: bool = False) -> DataFrame:
