@@ -68,12 +68,17 @@ def _mask(triggers: tuple[Trigger, ...], test) -> Column:
     return reduce(lambda a, b: a + b, (b.cast("long") for b in bits), F.lit(0).cast("long"))
 
 
-def annotated(text: Column, spec: Spec) -> Column:
+def splitting(spec: Spec) -> str:
+    """How texts are split: without record detection the tokenizer's setting has no effect."""
+    return spec.split_by if spec.record_trigger is not None else "whitespace"
+
+
+def annotated(text: Column, spec: Spec, trigs: Column | None = None) -> Column:
     """array<struct<i, tok, trig, gstop, stop, coll, mult, heur>>: trig is a trigger's index; gstop says that a word of
-    the global stop list stands there; the others hold a bit for each trigger."""
-    # without record detection the tokenizer's setting has no effect
-    split = spec.split_by if spec.record_trigger is not None else "whitespace"
-    pairs = F.transform(tokenize(text, split), lambda t: F.struct(t.alias("tok"), letters(t).alias("clean")))
+    the global stop list stands there; the others hold a bit for each trigger.
+
+    trigs, if given, has the triggers looked up already; it may end behind the last keyword."""
+    pairs = F.transform(tokenize(text, splitting(spec)), lambda t: F.struct(t.alias("tok"), letters(t).alias("clean")))
 
     def facts(x: Column, i: Column) -> Column:
         tok, clean = x["tok"], x["clean"]
@@ -85,7 +90,7 @@ def annotated(text: Column, spec: Spec) -> Column:
             return t.detect(tok) & ~t.unless(tok) if t.unless else t.detect(tok)
 
         return F.struct(
-            i.cast("int").alias("i"), tok.alias("tok"), classified(tok, clean, spec).alias("trig"),
+            i.cast("int").alias("i"), tok.alias("tok"), (classified(tok, clean, spec) if trigs is None else F.coalesce(F.get(trigs, i), F.lit(NONE)).cast("int")).alias("trig"),
             (clean.isin(*spec.stop) if spec.stop else F.lit(False)).alias("gstop"),
             _mask(spec.triggers, lambda t: clean.isin(*t.stop) if t.stop else None).alias("stop"),
             _mask(spec.triggers, lambda t: holds(t.collect)).alias("coll"),

@@ -1,6 +1,7 @@
 """The plan from documents to records: clean, tokenise, classify, cut, assign, normalise, validate, mark duplicates.
 
 Up to the marking of duplicates every step is a function of one document, so it needs no shuffle and runs on streams.
+A configuration with many aliases is the exception: its keywords are looked up in a join (operators/alias_index.py).
 """
 
 from __future__ import annotations
@@ -9,18 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlift.functions.text import clean_text
+from recordlift.operators.alias_index import many_aliases, with_triggers
 from recordlift.operators.assign import assigned
 from recordlift.operators.duplicates import mark_duplicates
 from recordlift.operators.records import with_columns
 from recordlift.operators.segment import segmented
-from recordlift.operators.tokens import annotated
+from recordlift.operators.tokens import annotated, splitting
 from recordlift.plans.config import Spec
 
 
 def tokens_of(docs: DataFrame, spec: Spec) -> DataFrame:
     """(doc_id, text) -> doc_id and annotated tokens; a null text is empty."""
     text: Column = clean_text(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.select("doc_id", text.alias("text")).select("doc_id", annotated(F.col("text"), spec).alias("toks"))
+    cleaned = docs.select("doc_id", text.alias("text"))
+    if not many_aliases(spec):
+        return cleaned.select("doc_id", annotated(F.col("text"), spec).alias("toks"))
+    known = with_triggers(cleaned, spec, splitting(spec))
+    return known.select("doc_id", annotated(F.col("text"), spec, F.col("trigs")).alias("toks"))
 
 
 def raw_records(docs: DataFrame, spec: Spec, lost: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ from recordlift.functions.rules import rule
 from recordlift.functions.steps import step
 from recordlift.functions.text import clean_text, letters, strip, tokenize, words
 from recordlift.operators import profile
+from recordlift.operators.alias_index import nearest
 from recordlift.operators.selftest import run_tests
 from recordlift.operators.tokens import classified
 from recordlift.operators.trace import trace
@@ -483,6 +484,36 @@ def classify_frequency(spark, sf_dir):
     return rows.groupBy("name").agg(F.count("*").alias("cnt"))
 
 
+_ASCII_WORDS = "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+'))"
+
+
+@query(
+    f"""WITH v AS (SELECT DISTINCT {_ASCII_WORDS} AS word FROM documents),
+    b AS (SELECT item_id AS trig, unnest(w) AS own, unnest(range(len(w))) AS nth FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+') AS w FROM benchmark)),
+    f AS (SELECT own, min({{'trig': trig, 'nth': nth}}) AS first FROM b GROUP BY own),
+    m AS (SELECT word, min({{'distance': levenshtein(word, own), 'first': first}}) AS best FROM v JOIN f ON word[1] = own[1] AND abs(len(word) - len(own)) <= 1 AND levenshtein(word, own) <= 1 GROUP BY word)
+    SELECT word, CAST(best.distance AS INTEGER) AS distance, CAST(best.first.trig AS INTEGER) AS trig, CAST(best.first.nth AS INTEGER) AS nth FROM m"""
+)
+def alias_index(spark, sf_dir):
+    """All words of the benchmark's items as aliases, looked up for all words of the documents."""
+    found = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("([a-z]+)"))
+    words = table(spark, sf_dir, "documents").select(F.explode(found).alias("word")).distinct()
+    aliases = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("int").alias("trig"), F.posexplode(found).alias("nth", "alias"))
+    return nearest(words, aliases)
+
+
+@query(fields_sql())
+def extract_many_aliases(spark, sf_dir):
+    """Each customer's text has keywords of its own, every third one with a letter left out: thousands of aliases."""
+    n = table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0]
+    codes = [str(k).translate(str.maketrans("0123456789", "bcdfghjkmn")) for k in range(n + 1)]
+    made = spec(cell={"aliases": ["cell", *(f"cell{c}" for c in codes)]}, prio={"aliases": ["prio", *(f"prio{c}" for c in codes)]})
+    own = "translate(cast(o_custkey as string), '0123456789', 'bcdfghjkmn')"
+    keyword = lambda name: f"concat('{name}', if(o_orderkey % 3 = 0, substring({own}, 2), {own}))"
+    record = _record(cell=f"concat({keyword('cell')}, ' ', o_orderkey, '.')", prio=f"concat({keyword('prio')}, ' ', o_orderpriority)")
+    return _fields(parse(registry(spark, sf_dir, record), made))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN '''' ELSE '' END || substr('=+-@x', CAST(o_orderkey % 5 + 1 AS BIGINT), 1) || o_orderstatus AS value FROM orders")
 def csv_escape(spark, sf_dir):
     value = F.expr("concat(substr('=+-@x', cast(o_orderkey % 5 + 1 as int), 1), o_orderstatus)")
