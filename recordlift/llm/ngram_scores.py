@@ -477,11 +477,12 @@ def score_texts(docs: DataFrame, mu: tuple[float, ...] = MU, filter_bytes: int =
     )
     # equal rows have one key; each has its share of the sum
     share = (F.col("n_tokens") - F.col("known")) / F.col("rare_tokens")
-    done = scored.drop("rare", "times").join(sums, "row", "left")
-    return done.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce(F.round(F.col("rare_known") * share).cast("long"), F.lit(0))).alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("rare_base") * share, F.lit(0.0))).alias("base_score"), "score",
-    )
+    # rows without rare words have no key and take no part in the join
+    done = scored.where("row is not null").drop("rare", "times").join(sums, "row", "left")
+    base = F.col("base") + F.coalesce(F.col("rare_base") * share, F.lit(0.0))
+    known = F.col("known") + F.coalesce(F.round(F.col("rare_known") * share).cast("long"), F.lit(0))
+    shown = lambda rows, n_known, base: rows.select("doc_id", "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(totals.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return shown(scored.where("row is null"), F.col("known"), F.col("base")).unionByName(shown(done, known, base))
 
 
 def op12_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
