@@ -42,7 +42,7 @@ TIMES = 2  #: occurrences of a word
 FACTOR = 10  #: a form is at least so many times as frequent
 DAMAGE = 31  #: where this divides a run's hash, the run loses a character
 #: words that share a half, up to which they are compared one by one; words of a shard; words that a task counts at a time
-HOT, PER_SHARD, HELD = 256, 20_000, 200_000
+HOT, PER_SHARD, HELD = 64, 5_000, 200_000
 #: hot halves that are sent to all tasks
 MOST_SENT = 1_000_000
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
