@@ -33,6 +33,13 @@ def id_and_bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def plainly_named(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with their columns named c0, c1, ..., and the name that the text has then: so columns of any name, with
+    dots or twice the same, can pass through a function on Arrow batches. toDF(*docs.columns) gives them back."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("text")]
+
+
 def folded_words(text: bytes) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z."""
     return text.translate(_FOLD).split()

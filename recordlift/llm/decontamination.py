@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlift.llm.common import bytes_of, documents, folded_words, id_and_bytes, released, row_map, sha256_hex, sliced, stored
+from recordlift.llm.common import bytes_of, documents, folded_words, id_and_bytes, plainly_named, released, row_map, sha256_hex, sliced, stored
 
 WINDOW = 13
 #: bytes of windows in one automaton; a task's takes about 48 times as much memory
@@ -156,22 +156,23 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, max_bytes:
     large for one automaton, rows are told apart by a number of their own."""
     items = _items(benchmark)
     parts = _n_parts(items, width, max_bytes)
+    plain, text = plainly_named(docs)
     if parts > 1:
-        rows, number = numbered(docs)
-        texts = rows.select(number, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+        rows, number = numbered(plain)
+        texts = rows.select(number, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
         bad = part_hits(texts, items, parts, width).where("20 * n_hit >= n_words")
-        return rows.join(bad.select(F.col("number").alias(number)), number, "left_anti").select(*docs.columns)
+        return rows.join(bad.select(F.col("number").alias(number)), number, "left_anti").select(*plain.columns).toDF(*docs.columns)
     windows = _windows(items, width)
 
     def run(batches):
         auto = automaton(windows)
         for whole in batches:
             for batch in sliced(whole):
-                judged = (_digest(*scan(0, t, auto)) for t in bytes_of(batch.column("text")))
+                judged = (_digest(*scan(0, t, auto)) for t in bytes_of(batch.column(text)))
                 yield batch.filter(pa.array([not (n_hit > 0 and 20 * n_hit >= n_words) for _, n_words, n_hit, *_ in judged], pa.bool_()))
         released()
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

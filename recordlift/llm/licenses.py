@@ -3,7 +3,9 @@
 A template of m words is looked for in blocks of 2 * w consecutive words that begin at every w-th word, w being 1.25 * m
 rounded up: whatever stands within w words, over any lines and sentences, is whole in a block. Templates and blocks
 are sets of words, ordered by how often the word occurs in the whole corpus, rarest first (ties by the word). A
-template of k different words is found in a block that holds at least need = ceil(threshold * k) of them. Such a block
+template of k different words is found in a block that holds at least need = ceil(threshold * k) of them - all of them if k is
+under WHOLE, since among few words the missing one may be the one that tells licenses apart - and none of the words by
+which another license of the family differs (BARRED). Such a block
 must hold one of the template's k - need + 1 rarest words (prefix filter), must have `need` words (length filter), and
 after the first shared word both sides must have need - 1 words left (positional filter). Texts without any of these
 rarest words are left out first. Only words of templates are counted and kept in blocks, so the counted vocabulary and
@@ -30,6 +32,10 @@ from recordlift.llm.license_texts import BODIES, HEADERS, NOTICES
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 TEMPLATES = NOTICES | HEADERS | BODIES
 THRESHOLD = 0.8
+#: different words under which a template must stand whole
+WHOLE = 10
+# fixed values: words that make another license of a notice or header
+BARRED = {"gpl-3-notice": ("affero", "lesser"), "gpl-header": ("affero", "lesser")}
 #: bytes of templates that are sent to all tasks
 MOST_BYTES = 4 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,6 +61,11 @@ def step_of(n_words: int) -> int:
     return -(-5 * n_words // 4)
 
 
+def needed(k: int, threshold: float) -> int:
+    """How many of a template's k different words a block must hold."""
+    return k if k < WHOLE else math.ceil(threshold * k - 1e-9)
+
+
 def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
@@ -89,14 +100,14 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
         raise ValueError(f"templates of {size} bytes are not broadcast")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     split = {name: template_words(t) for name, t in templates.items()}
-    order = word_ranks(source.select(word_line(F.col("text")).alias("line")), sorted({w for words in split.values() for w in words}))
+    order = word_ranks(source.select(word_line(F.col("text")).alias("line")), sorted({w for words in (*split.values(), *BARRED.values()) for w in words}))
     rank = {w: i for i, w in enumerate(order)}
     index, openers = [], set()
     for name, words in split.items():
         ranks = sorted({rank[w] for w in words})
-        need = math.ceil(threshold * len(ranks) - 1e-9)
+        need, barred = needed(len(ranks), threshold), [rank[w] for w in BARRED.get(name, ())]
         for at, r in enumerate(ranks[: len(ranks) - need + 1] if ranks else []):
-            index.append((step_of(len(words)), r, name, at, need, len(ranks), ranks))
+            index.append((step_of(len(words)), r, name, at, need, len(ranks), ranks, barred))
             openers.add(order[r])
 
     # one pass over the texts: counts, base places, and the words of texts that hold an opener
@@ -111,7 +122,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
     )
 
     vocabulary = F.broadcast(spark.createDataFrame(list(rank.items()), "word string, r int"))
-    templates_index = F.broadcast(spark.createDataFrame(index, "w int, r int, name string, at int, need int, k int, ranks array<int>"))
+    templates_index = F.broadcast(spark.createDataFrame(index, "w int, r int, name string, at int, need int, k int, ranks array<int>, barred array<int>"))
     hits = rows.where("line is not null").select("row", F.posexplode(F.split("line", " ")).alias("place", "word")).join(vocabulary, "word")
     # each word stands in two blocks of each size
     sizes = F.array(*(F.lit(w) for w in sorted({i[0] for i in index}))).cast("array<int>")
@@ -120,7 +131,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrase
     words = blocks.select("row", "w", "set", F.posexplode("set").alias("pos", "r"))
     shared = words.join(templates_index, ["w", "r"]).where("size(set) >= need and size(set) - pos >= need - at and k - at >= need - pos")
     overlap = F.size(F.array_intersect("set", "ranks"))
-    found = shared.where(overlap >= F.col("need")).groupBy("row").agg(F.collect_set("name").alias("names"), F.max(overlap / F.col("k")).alias("share"))
+    found = shared.where((overlap >= F.col("need")) & ~F.arrays_overlap("set", "barred")).groupBy("row").agg(F.collect_set("name").alias("names"), F.max(overlap / F.col("k")).alias("share"))
     joined = rows.drop("line").join(found, "row", "left")
 
     places = F.filter(F.array(*(F.col(f"base.p{i}") for i in range(len(phrases)))), lambda p: p.isNotNull())
@@ -144,7 +155,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_values() -> str:
     split = {name: template_words(t) for name, t in TEMPLATES.items()}
-    return ", ".join(f"('{name}', {step_of(len(words))}, {sorted(set(words))!r}::VARCHAR[])" for name, words in split.items())
+    return ", ".join(f"('{name}', {step_of(len(words))}, {sorted(set(words))!r}::VARCHAR[], {needed(len(set(words)), THRESHOLD)}, {list(BARRED.get(name, ()))!r}::VARCHAR[])" for name, words in split.items())
 
 
 OP6_SQL = (
@@ -154,10 +165,10 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 p AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: array_to_string(w[i + 1:i + n], ' ') = phrase)) AS place
       FROM (SELECT doc_id, w, phrase, label, len(string_split(phrase, ' ')) AS n FROM w, (VALUES PHRASES) v(phrase, label) WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' '))),
 o AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS own FROM p GROUP BY doc_id),
-v AS (SELECT * FROM (VALUES TEMPLATES) v(name, w, words)),
+v AS (SELECT * FROM (VALUES TEMPLATES) v(name, w, words, need, barred)),
 s AS (SELECT doc_id, size, list_distinct(w[nth * size + 1:nth * size + 2 * size]) AS s
       FROM (SELECT doc_id, w.w, size, unnest(range(0, (len(w.w) - 1) // size + 1)) AS nth FROM w, (SELECT DISTINCT w AS size FROM v) WHERE len(w.w) > 0)),
-m AS (SELECT doc_id, name, len(list_intersect(s, words)) / len(words) AS share FROM s JOIN v ON v.w = size WHERE len(list_intersect(s, words)) >= ceil(0.8 * len(words) - 1e-9)),
+m AS (SELECT doc_id, name, len(list_intersect(s, words)) / len(words) AS share FROM s JOIN v ON v.w = size WHERE len(list_intersect(s, words)) >= need AND NOT list_has_any(s, barred)),
 n AS (SELECT doc_id, list(DISTINCT name) AS names, max(share) AS share FROM m GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(names, [])))), ',') AS labels, CASE WHEN own IS NOT NULL THEN 1.0 ELSE coalesce(share, 0.0) END AS score

@@ -226,11 +226,11 @@ def _band_keys(kind: str) -> Column:
 
 def find(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each document."""
-    return _found(docs, width, percent).drop("hash")
+    return _found(docs, width, percent).drop("hash", "component")
 
 
 def _found(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The rows of find() with the hash of their text."""
+    """The rows of find() with the hash of their text and the number of their component, null for those without words."""
     t = percent / 100
     source = id_and_bytes(docs)
     hashed = source.select("*", F.xxhash64("text").alias("hash"))
@@ -280,11 +280,11 @@ def _found(docs: DataFrame, width: int, percent: int) -> DataFrame:
     linked = nodes.join(whole, "node", "left").select("digest", "first", F.coalesce("component", "node").alias("c"))
     # written, so that a large component's rows can be split in the join
     names = stored(linked.groupBy("c").agg(F.min("first").alias("component")), "names")
-    named = linked.join(names, "c").select("digest", "component")
+    named = linked.join(names, "c").select("digest", F.col("component").alias("least"), F.col("c").alias("component"))
     out = rows.join(named, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    least = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    least = F.when(F.col("doc_id").isNotNull(), least)
+    return out.select("doc_id", "hash", "component", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
 
 
 def _unpacked(sets: DataFrame) -> DataFrame:
@@ -301,12 +301,14 @@ def _unpacked(sets: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents kept, one of each component, with all columns; rows without a doc_id stay."""
-    keep = _found(docs, width, percent).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("hash").alias("hash"))
+    """The documents kept, one row of each component and one of each text without words and its id, with all columns;
+    rows without a doc_id stay. Where rows of a component share its smallest id, the text of the smallest hash stays."""
+    alone = F.when(F.col("component").isNull(), F.col("hash"))
+    keep = _found(docs, width, percent).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id"), "component", alone.alias("alone")).agg(F.min("hash").alias("hash"))
     # the row stands in a struct, so its columns may have any name
     row = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
     rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("hash"))
-    chosen = rows.join(keep, ["id", "hash"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("hash"))).where("n = 1")
+    chosen = rows.join(keep.select("id", "hash"), ["id", "hash"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("id", "hash").orderBy("hash"))).where("n = 1")
     return chosen.select("row").unionByName(rows.where("id is null").select("row")).select("row.*")
 
 

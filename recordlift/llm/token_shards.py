@@ -22,6 +22,7 @@ long; repeated rows are sequences of their own; an empty table writes no shard;
 from __future__ import annotations
 
 import array
+import json
 import struct
 import sys
 import zlib
@@ -320,15 +321,33 @@ def materialise(docs: DataFrame, folder: str, tokenizer: Tokenizer | None = None
     counted = {r.part: (r.n, r["sum"]) for r in found}
     n = sum(r.n for r in found)
     per_shard = per_shard or shard_size(n)
+    write_manifest(folder, {"sequences": n, "length": length, "per_shard": per_shard, "stride": 16 + 2 * length, "key": key})
     rows = texts.mapInArrow(_sequences(tokenizer, length, per_shard, key, counted), "slot long, shard int, doc_id long, seq_no int, ids binary")
     dealt = rows.repartitionById(max(1, -(-n // per_shard)), "shard").sortWithinPartitions("slot")
     return dealt.mapInArrow(_write(folder, length, per_shard), "doc_id long, seq_no int, slot long, shard int, byte_offset long, n_tokens int, ids_crc32 long")
 
 
-def read_slots(folder: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(slot, doc_id, seq_no, ids) from slot `first` on, one read for each shard touched."""
+def write_manifest(folder: str, facts: dict[str, int]) -> None:
+    """What a reader must know of the shards, beside them."""
     store, root = _filesystem(folder)
-    stride, slot = 16 + 2 * length, first
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(json.dumps(facts).encode())
+
+
+def read_manifest(folder: str) -> dict[str, int]:
+    store, root = _filesystem(folder)
+    with store.open_input_file(f"{root}/manifest.json") as f:
+        return json.loads(f.read())
+
+
+def read_slots(folder: str, first: int, count: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(slot, doc_id, seq_no, ids) from slot `first` on, as many as there are up to `count`: one read for each shard
+    touched. Lengths and sizes are those of the manifest."""
+    facts = read_manifest(folder)
+    per_shard, count = facts["per_shard"], min(count, facts["sequences"] - first)
+    store, root = _filesystem(folder)
+    stride, slot = facts["stride"], first
     while slot < first + count:
         shard, at = divmod(slot, per_shard)
         take = min(per_shard - at, first + count - slot)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlift.llm.common import Table, bytes_of, documents, id_and_bytes, released, row_map, sliced, stored, texts_of
+from recordlift.llm.common import Table, bytes_of, documents, id_and_bytes, plainly_named, released, row_map, sliced, stored, texts_of
 
 MAX_ROWS, THRESHOLD = 20_000, 0.7
 #: candidate terms whose surroundings are counted in one pass
@@ -377,16 +377,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, all columns kept."""
     each, setup, tables = _scored(model)
+    plain, text = plainly_named(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = setup()
         for whole in batches:
             for batch in sliced(whole):
-                keep = [each(None, t, matcher)[1] < threshold for t in bytes_of(batch.column("text"))]
+                keep = [each(None, t, matcher)[1] < threshold for t in bytes_of(batch.column(text))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
         released(*tables())
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,7 +354,7 @@ def plain_substrings(data):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batches, bits", [(1, 3), (2, 18), (6, 3)])
+@pytest.mark.parametrize("batches, bits", [(1, 3), (2, 16), (2, 17), (2, 18), (1, 22), (6, 3)])
 def test_substrings(spark, batches, bits):
     texts = [t for _, t in rows(n=60 if bits < 9 else 3) if bits < 9 or len(t or "") < 5000] + family(11, 40 if bits < 9 else 4)
     data = list(enumerate(texts))
@@ -364,6 +364,18 @@ def test_substrings(spark, batches, bits):
     assert len(index.runs) <= 3
 
 
+def test_many_cells_of_small_shares(spark, monkeypatch):
+    """As many cells as a corpus of over a terabyte has."""
+    data = [(d, t) for d, t in enumerate(family(11, 6)) if len(t or "") < 3000] + [(999, "x" * 70_000)]
+    monkeypatch.setattr(substrings, "SHARE", 1)
+    made = []
+    index = substrings.FingerprintIndex
+    monkeypatch.setattr(substrings, "FingerprintIndex", lambda *a, **b: made.append(index(*a, **(b | {"buckets": 50}))) or made[-1])
+    got = substrings.dedup_substrings(frame(spark, data)).collect()
+    assert made[0].bits == 17 and made[0].precision == 64
+    assert sorted(map(tuple, got)) == plain_substrings(data)
+
+
 def test_substrings_of_odd_rows(spark):
     data = with_oddities(rows(n=10))
     got = substrings.dedup_substrings(frame(spark, data), texts=True).collect()
@@ -472,6 +484,38 @@ def test_equal_fingerprints_are_verified(spark, fanout):
 
 # --- pipeline ---
 
+ODD = ["a.b", "row", "id", "hash", "c0", "_number", "component"]
+
+
+def odd_table(spark, data):
+    """Columns with a dot and with names that stages might use, shared and missing ids."""
+    made = [(i, t, *[f"{k}{c}" for c in ODD]) for k, (i, t) in enumerate(data)]
+    return spark.createDataFrame(made, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in ODD))
+
+
+def test_stages_keep_odd_columns(spark):
+    from recordlift.llm import decontamination, secrets
+
+    data = [(1, "a b c d e f"), (1, "z y x w v u"), (2, "a b c d e f"), (2, "a b c d e f g"), (3, None), (3, " "), (3, ""), (None, "a b c d e f"), (None, None), (4, "p q r s t u v w x y z one two three four"), (4, "other words")]
+    docs = odd_table(spark, data)
+    whole = {tuple(r) for r in docs.collect()}
+    kept = near_dedup.dedup(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= whole
+    texts = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    # null and empty texts of an id are one text
+    left = [(1, "a b c d e f"), (1, "z y x w v u"), (2, "a b c d e f g"), (3, " "), (3, ""), (None, "a b c d e f"), (None, ""), (4, data[9][1]), (4, "other words")]
+    assert texts == sorted(left, key=str)
+    benchmark = spark.createDataFrame([(7, "p q r s t u v w x y z one two")], "item_id long, text string")
+    for size in (decontamination.MAX_BYTES, 100):
+        clean = decontamination.clean(docs, benchmark, max_bytes=size)
+        assert clean.columns == docs.columns and {tuple(r) for r in clean.collect()} == {r for r in whole if r[1] != data[9][1]}
+    model = toxicity.Model(("zz",), (), (1.0,))
+    assert toxicity.reject(docs, toxicity.Model((), (), ())).columns == docs.columns
+    assert {tuple(r) for r in toxicity.reject(docs, toxicity.Model((), (), ())).collect()} == whole and model.words
+    assert {tuple(r) for r in secrets.redact(docs).collect()} == whole
+
+
+
 
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
