@@ -1,7 +1,7 @@
 """Statistics of a table of records: totals, error codes, fill, repeated values, lost tokens.
 
 All are partial aggregates; ranks come from window limits that keep a few rows in each task before the shuffle.
-"First seen" is the order of doc_id, then of the record in its document.
+"First seen" is the order of doc_seq where records have it, then of doc_id, then of the record in its document.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlift.functions.text import strip
+from recordlift.operators.duplicates import free_name
 from recordlift.plans.config import Spec
+from recordlift.sources.shared import stored
 
 TOP_ERRORS, TOP_VALUES, TOP_LOST, PREVIEW = 10, 8, 50, 50
 
@@ -23,8 +25,9 @@ def _has_error() -> Column:
     return F.coalesce(F.col("err"), F.lit("")) != ""
 
 
-def _seen() -> Column:
-    return F.min(F.struct("doc_id", "rec_idx")).alias("seen")
+def place(records: DataFrame) -> list[str]:
+    """The columns that order records."""
+    return [c for c in ("doc_seq", "doc_id", "rec_idx") if c in records.columns]
 
 
 def summary(records: DataFrame) -> DataFrame:
@@ -36,8 +39,8 @@ def summary(records: DataFrame) -> DataFrame:
 
 def top_errors(records: DataFrame, most: int = TOP_ERRORS) -> DataFrame:
     """code, cnt: the most frequent error codes, the earlier seen first among equals."""
-    codes = records.where(_has_error()).select("doc_id", "rec_idx", F.posexplode(F.transform(F.split("err", ";"), strip)).alias("at", "code")).where("code <> ''")
-    counted = codes.groupBy("code").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "rec_idx", "at")).alias("seen"))
+    codes = records.where(_has_error()).select(*place(records), F.posexplode(F.transform(F.split("err", ";"), strip)).alias("at", "code")).where("code <> ''")
+    counted = codes.groupBy("code").agg(F.count("*").alias("cnt"), F.min(F.struct(*place(records), "at")).alias("seen"))
     return counted.orderBy(F.desc("cnt"), "seen").limit(most).select("code", "cnt")
 
 
@@ -52,8 +55,9 @@ def field_fill(records: DataFrame, spec: Spec) -> DataFrame:
 def value_counts(records: DataFrame, spec: Spec) -> DataFrame:
     """field, value, cnt, seen: how often each value stands in each declared column."""
     cells = F.array(*(F.struct(F.lit(c).alias("field"), _text(c).alias("value")) for c in spec.columns))
-    rows = records.select("doc_id", "rec_idx", F.explode(cells).alias("c")).select("doc_id", "rec_idx", "c.*").where("value <> ''")
-    return rows.groupBy("field", "value").agg(F.count("*").alias("cnt"), _seen())
+    order = place(records)
+    rows = records.select(*order, F.explode(cells).alias("c")).select(*order, "c.*").where("value <> ''")
+    return rows.groupBy("field", "value").agg(F.count("*").alias("cnt"), F.min(F.struct(*order)).alias("seen"))
 
 
 def value_distribution(records: DataFrame, spec: Spec, most: int = TOP_VALUES) -> DataFrame:
@@ -72,8 +76,8 @@ def value_distribution(records: DataFrame, spec: Spec, most: int = TOP_VALUES) -
 
 def lost_tokens(records: DataFrame, most: int | None = TOP_LOST) -> DataFrame:
     """token, cnt: the tokens of the column lost, the most frequent first; None gives all."""
-    rows = records.select("doc_id", "rec_idx", F.posexplode("lost").alias("at", "token"))
-    counted = rows.groupBy("token").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "rec_idx", "at")).alias("seen"))
+    rows = records.select(*place(records), F.posexplode("lost").alias("at", "token"))
+    counted = rows.groupBy("token").agg(F.count("*").alias("cnt"), F.min(F.struct(*place(records), "at")).alias("seen"))
     return counted.select("token", "cnt") if most is None else counted.orderBy(F.desc("cnt"), "seen").limit(most).select("token", "cnt")
 
 
@@ -84,4 +88,18 @@ def lost_summary(records: DataFrame) -> DataFrame:
 
 def preview(records: DataFrame, most: int = PREVIEW) -> DataFrame:
     """The first records, as they would be shown."""
-    return records.orderBy("doc_id", "rec_idx").limit(most)
+    return records.orderBy(*place(records)).limit(most)
+
+
+def numbered(records: DataFrame, ranges: int | None = None, name: str = "record_no") -> DataFrame:
+    """The records with a number in their order, from 0 without gaps, at any size: ranges of the order are sorted each
+    by itself and written; the counts of the ranges before one are its offset. A range may begin within a document."""
+    order = place(records)
+    dealt = records.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    # an id has the partition in its upper bits and the row's place in the 33 lower ones
+    number = F.monotonically_increasing_id()
+    part, nth = (free_name(c, records.columns) for c in ("range_no", "range_nth"))
+    rows = stored(dealt.withColumn(part, F.shiftright(number, 33)).withColumn(nth, number.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    counts = rows.groupBy(part).agg(F.count("*").alias("range_n"))
+    offsets = counts.select(part, (F.sum("range_n").over(Window.orderBy(part)) - F.col("range_n")).alias("range_offset"))  # a row for each range
+    return rows.join(F.broadcast(offsets), part).withColumn(name, F.col("range_offset") + F.col(nth)).drop(part, nth, "range_offset")

@@ -85,7 +85,7 @@ def _rule_codes(spec: Spec, held: dict[str, str]) -> list[Column]:
 
 
 def with_columns(fields: DataFrame, spec: Spec, lost: bool = False) -> DataFrame:
-    """doc_id, rec_idx, the declared columns and err (null: absent), and lost, the tokens without a field, if asked."""
+    """doc_seq if given, doc_id, rec_idx, the declared columns and err (null: absent), and lost, the tokens without a field, if asked."""
     held = {c: f"_values_{k}" for k, c in enumerate(dict.fromkeys(t.column for t in spec.triggers))}
     rows = fields.select("*", *(values_of(c, spec).alias(name) for c, name in held.items()))
     codes = F.array_sort(F.array_distinct(F.array_compact(F.concat(_guess_codes(spec), _stop_codes(spec), *_rule_codes(spec, held)))))
@@ -95,4 +95,5 @@ def with_columns(fields: DataFrame, spec: Spec, lost: bool = False) -> DataFrame
     if lost:
         gone = F.filter("toks", lambda t: (t["trig"] < 0) & ~t["gstop"] & ~_covered(t))
         more = [F.transform(gone, lambda t: t["tok"]).alias("lost")]
-    return rows.select("doc_id", "rec_idx", *(shown[c].alias(c) for c in spec.output), *more)
+    own = ["doc_seq", "doc_id", "rec_idx"] if "doc_seq" in fields.columns and "doc_seq" not in spec.output else ["doc_id", "rec_idx"]
+    return rows.select(*own, *(shown[c].alias(c) for c in spec.output), *more)

@@ -14,13 +14,14 @@ def slices(toks: Column, start_at: Column) -> Column:
 
 
 def segmented(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(doc_id, toks) -> a row for each record: doc_id, rec_idx, toks. Without record detection a document is one
+    """(doc_id, further columns, toks) -> a row for each record: these, rec_idx, toks. Without record detection a document is one
     record, even an empty one; with it an empty document has none."""
+    own = [c for c in docs.columns if c != "toks"]
     if spec.record_trigger is None:
-        return docs.select("doc_id", F.lit(0).alias("rec_idx"), "toks")
+        return docs.select(*own, F.lit(0).alias("rec_idx"), "toks")
     names = [t.name for t in spec.triggers]
     wanted = names.index(spec.record_trigger) if spec.record_trigger in names else -2
     begin = F.transform(F.filter("toks", lambda t: t["trig"] == wanted), lambda t: t["i"])
     start_at = F.when(F.size("toks") > 0, F.array_distinct(F.concat(F.array(F.lit(0)), begin))).otherwise(F.array().cast("array<int>"))
-    placed = docs.select("doc_id", "toks", start_at.alias("start_at"))
-    return placed.select("doc_id", F.posexplode(slices(F.col("toks"), F.col("start_at"))).alias("rec_idx", "toks"))
+    placed = docs.select(*own, "toks", start_at.alias("start_at"))
+    return placed.select(*own, F.posexplode(slices(F.col("toks"), F.col("start_at"))).alias("rec_idx", "toks"))

@@ -17,16 +17,23 @@ from recordlift.operators.records import with_columns
 from recordlift.operators.segment import segmented
 from recordlift.operators.tokens import annotated, splitting
 from recordlift.plans.config import Spec
+from recordlift.sources.shared import stored
+
+
+def identity(docs: DataFrame, spec: Spec) -> list[str]:
+    """The columns that tell documents apart and order them: doc_seq too where it is given and no field of records."""
+    return ["doc_seq", "doc_id"] if "doc_seq" in docs.columns and "doc_seq" not in spec.output else ["doc_id"]
 
 
 def tokens_of(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(doc_id, text) -> doc_id and annotated tokens; a null text is empty."""
+    """(doc_seq if given, doc_id, text) -> these without text, and annotated tokens; a null text is empty."""
+    own = identity(docs, spec)
     text: Column = clean_text(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    cleaned = docs.select("doc_id", text.alias("text"))
+    cleaned = docs.select(*own, text.alias("text"))
     if not many_aliases(spec):
-        return cleaned.select("doc_id", annotated(F.col("text"), spec).alias("toks"))
+        return cleaned.select(*own, annotated(F.col("text"), spec).alias("toks"))
     known = with_triggers(cleaned, spec, splitting(spec))
-    return known.select("doc_id", annotated(F.col("text"), spec, F.col("trigs")).alias("toks"))
+    return known.select(*own, annotated(F.col("text"), spec, F.col("trigs")).alias("toks"))
 
 
 def raw_records(docs: DataFrame, spec: Spec, lost: bool = False) -> DataFrame:
@@ -35,7 +42,8 @@ def raw_records(docs: DataFrame, spec: Spec, lost: bool = False) -> DataFrame:
 
 
 def parse(docs: DataFrame, spec: Spec, lost: bool = False) -> DataFrame:
-    """(doc_id, text) -> doc_id, rec_idx, the declared columns and err; null stands for an absent field.
+    """(doc_id, text) -> doc_id, rec_idx, the declared columns and err; null stands for an absent field. Documents with
+    doc_seq (read_files() gives it) keep it in front, and "doc_seq, doc_id, rec_idx" is the order of the records.
 
     lost adds the array of tokens that no field took, kept only if the configuration has log_suspicious.
     """
@@ -44,12 +52,14 @@ def parse(docs: DataFrame, spec: Spec, lost: bool = False) -> DataFrame:
 
 
 def first_records(docs: DataFrame, spec: Spec, most: int) -> DataFrame:
-    """The first `most` records by doc_id and their order: only as many of the first documents are parsed as it takes,
-    twice as many each time they gave too few."""
-    n = most
+    """The first `most` records in the order of their documents: only as many of the first documents are parsed as it
+    takes, twice as many each time they gave too few. Documents that tie with the last one are parsed with it."""
+    own, n = identity(docs, spec), most
     while True:
-        first = docs.orderBy("doc_id").limit(n)
-        rows = parse(first, spec).orderBy("doc_id", "rec_idx").limit(most)
-        if rows.count() == most or first.count() < n:
-            return rows
+        last = docs.select(F.struct(*own).alias("at")).orderBy("at").limit(n).agg(F.count("*").alias("n"), F.max("at").alias("at"))
+        last = stored(last, "first-documents")  # one row
+        first = docs.join(F.broadcast(last.select("at")), F.struct(*own) <= F.col("at")).drop("at")
+        rows = stored(parse(first, spec).orderBy(*own, "rec_idx").limit(most), "first-records")
+        if rows.count() == most or last.first().n < n:
+            return rows.orderBy(*own, "rec_idx")
         n *= 2

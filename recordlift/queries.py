@@ -22,7 +22,7 @@ from recordlift.operators.trace import trace
 from recordlift.plans.config import NAME_KEY, Spec, compile_config, validate_config
 from recordlift.plans.parse import first_records, parse, tokens_of
 from recordlift.sources.encodings import encoded
-from recordlift.sources.exports import csv_escaped, write_csv, write_json_array, write_parquet
+from recordlift.sources.exports import csv_escaped, write_csv, write_json_array, write_one_csv, write_one_json, write_parquet
 from recordlift.sources.files import decode_files, read_files
 from recordlift.sources.shared import fresh_path
 
@@ -582,6 +582,66 @@ def scan_folders(spark, sf_dir):
     return read_files(spark, folders, glob="part-*").select("doc_seq", "encoding", "text")
 
 
+def _one_file(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("length", F.sha2("content", 256).alias("digest"))
+
+
+ONE_CSV_SQL = f"""chr(65279) || 'cell,prio,price,stat,err' || chr(13) || chr(10) || string_agg(CAST(o_orderkey AS VARCHAR) || ',' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE chr(39) || '=' || o_orderpriority END
+    || ',' || {PRICE_SQL} || ',' || repeat(chr(34), 3) || o_orderstatus || ',Ж' || repeat(chr(34), 3) || ',' || chr(13) || chr(10), '' ORDER BY o_custkey, o_orderkey)"""
+MEMBER_SQL = lambda name, value: f"""'    "{name}": "' || {value} || '"'"""
+ONE_JSON_SQL = "'[' || chr(10) || string_agg('  {' || chr(10) || " + " || ',' || chr(10) || ".join(
+    MEMBER_SQL(n, v) for n, v in (("cell", "CAST(o_orderkey AS VARCHAR)"), ("prio", "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '=' || o_orderpriority END"), ("price", PRICE_SQL), ("stat", "chr(92) || chr(34) || o_orderstatus || ',Ж' || chr(92) || chr(34)"), ("err", "''"))
+) + " || chr(10) || '  }', ',' || chr(10) ORDER BY o_custkey, o_orderkey) || chr(10) || ']'"
+
+
+@query(f"SELECT CAST(strlen(t) AS BIGINT) AS length, sha256(t) AS digest FROM (SELECT {ONE_CSV_SQL} AS t FROM orders)")
+def sink_one_csv(spark, sf_dir):
+    """All records as one file in their order, byte by byte."""
+    return _one_file(spark, _written(*risky(spark, sf_dir), write_one_csv))
+
+
+@query(f"SELECT CAST(strlen(t) AS BIGINT) AS length, sha256(t) AS digest FROM (SELECT {ONE_JSON_SQL} AS t FROM orders)")
+def sink_one_json(spark, sf_dir):
+    return _one_file(spark, _written(*risky(spark, sf_dir), write_one_json))
+
+
+def ordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of records for each nation in two folders: the list of folders has another order than their paths."""
+    folders = []
+    for name, key, nation in (("supplier", "s_suppkey", "s_nationkey"), ("customer", "c_custkey", "c_nationkey")):
+        lines = table(spark, sf_dir, name).repartition(F.col(nation)).sortWithinPartitions(nation, key)
+        folders.append(path := fresh_path(spark, f"ordered-{name}"))
+        lines.select(F.concat(F.lit("cell "), F.col(key), F.lit(f" stat {name} prio "), F.pmod(F.col(key), F.lit(5)), F.lit(" zz")).alias("value"), F.format_string("%03d", nation).alias("nation")).write.partitionBy("nation").text(path)
+    return read_files(spark, folders, glob="part-*")
+
+
+ORDERED_SQL = """o AS (SELECT *, row_number() OVER (ORDER BY doc_seq, nation, key) - 1 AS record_no FROM (
+    SELECT 0 AS doc_seq, s_nationkey AS nation, s_suppkey AS key, 'supplier' AS kind FROM supplier UNION ALL SELECT 1, c_nationkey, c_custkey, 'customer' FROM customer))"""
+
+
+@query(f"WITH {ORDERED_SQL} SELECT doc_seq, record_no, CAST(key AS VARCHAR) AS cell, kind AS stat FROM o")
+def record_numbers(spark, sf_dir):
+    """Numbers without gaps in the order of the list of folders, their files, and the records in a file."""
+    rows = profile.numbered(parse(ordered_files(spark, sf_dir), spec(stat={"multi_token": {"enabled": True, "token_rule": "regex:^[a-y]"}})))
+    return rows.select("doc_seq", "record_no", "cell", "stat")
+
+
+@query(f"WITH {ORDERED_SQL} SELECT CAST(key AS VARCHAR) AS cell, kind AS stat FROM o ORDER BY record_no LIMIT 50")
+def preview_of_files(spark, sf_dir):
+    """The first records in the order of the list, not of the paths."""
+    made = spec(stat={"multi_token": {"enabled": True, "token_rule": "regex:^[a-y]"}})
+    return first_records(ordered_files(spark, sf_dir), made, profile.PREVIEW).select("cell", "stat")
+
+
+@query(f"WITH {ORDERED_SQL} SELECT 'p' || key % 5 AS value, count(*) AS cnt, CAST(min(record_no) AS BIGINT) AS first_no FROM o GROUP BY 1")
+def first_seen_in_files(spark, sf_dir):
+    """How often each value stands, and the number of the record that it is first seen in."""
+    rows = profile.numbered(parse(ordered_files(spark, sf_dir), spec(stat={"multi_token": {"enabled": True, "token_rule": "regex:^[a-y]"}}, prio={"normalization": {"pipeline": ["digits_only", "regex_sub:^ -> p"]}})))
+    seen = rows.select("doc_seq", "doc_id", "rec_idx", F.col("record_no").alias("first_no"))
+    counts = profile.value_counts(rows.drop("record_no"), spec()).where("field = 'prio'").select("value", "cnt", "seen.*")
+    return counts.join(seen, ["doc_seq", "doc_id", "rec_idx"]).select("value", "cnt", "first_no")
+
+
 PROBLEMS = ["missing key: 'triggers'", "csv_columns must be a list of strings", "tokenizer.split_by must be one of whitespace, whitespace_and_punctuation", "dedup.key 'x' is not in csv_columns", "tests[0]: expect is missing", "max_distance must be a whole number"]
 PROBLEMS_SQL = ", ".join(f"({k}::BIGINT, '{p.replace(chr(39), 2 * chr(39))}')" for k, p in enumerate(PROBLEMS))
 

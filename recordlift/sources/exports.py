@@ -1,15 +1,21 @@
-"""Records to CSV, JSON and, where openpyxl is installed, XLSX."""
+"""Records to CSV, JSON and, where openpyxl is installed, XLSX: as part files, or as one file in the records' order."""
 
 from __future__ import annotations
 
+import csv
+import io
 import json
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlift.operators.profile import place
 from recordlift.plans.config import Spec
+from recordlift.sources.shared import fresh_path
 
 BOM = "\ufeff"
 #: rows of a sheet; a larger table is refused, not cut
@@ -33,6 +39,57 @@ def write_csv(records: DataFrame, path: str, spec: Spec, mode: str = "error") ->
     cells.write.mode(mode).option("header", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def joined(spark: SparkSession, folder: str, path: str, head: bytes = b"", tail: bytes = b"", cut: int = 0) -> None:
+    """Part files, in the order of their numbers, as one file: head, the parts' bytes less the last `cut` ones of all,
+    tail. The bytes are copied from stream to stream by the Hadoop file system of either path; the file appears under
+    its name once it is whole. ValueError if there is one already."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (folder, path))
+    store, out_store = source.getFileSystem(conf), target.getFileSystem(conf)
+    if out_store.exists(target):
+        raise ValueError(f"{path} exists")
+    listed = [f for f in store.listStatus(source) if f.getPath().getName().startswith("part-") and f.getLen() > 0]
+    parts = sorted(listed, key=lambda f: (int(re.match(r"part-(\d+)", f.getPath().getName())[1]), f.getPath().getName()))
+    unfinished = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.unfinished")
+    out = out_store.create(unfinished, True)
+    try:
+        out.write(head)
+        left = sum(f.getLen() for f in parts) - cut
+        for f in parts:
+            n = min(f.getLen(), left)
+            stream = jvm.org.apache.commons.io.input.BoundedInputStream(store.open(f.getPath()), n)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+            finally:
+                stream.close()
+            left -= n
+        out.write(tail)
+    finally:
+        out.close()
+    if not out_store.rename(unfinished, target):
+        raise OSError(f"{path} could not be named")
+
+
+def write_one_csv(records: DataFrame, path: str, spec: Spec) -> None:
+    """One CSV file in the records' order: a byte-order mark, the header, CRLF, doubled quotation marks."""
+    rows = shown(records.orderBy(*place(records)), spec)
+    folder = fresh_path(records.sparkSession, "csv-parts")
+    cells = rows.select(*(csv_escaped(F.col(f"`{c}`")).alias(c) for c in spec.output))
+    cells.write.option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    header = io.StringIO()
+    csv.writer(header).writerow(spec.output)
+    joined(records.sparkSession, folder, path, (BOM + header.getvalue()).encode())
+
+
+def write_one_json(records: DataFrame, path: str, spec: Spec) -> None:
+    """One array of objects in the records' order, indented by two spaces."""
+    rows = shown(records.orderBy(*place(records)), spec)
+    folder = fresh_path(records.sparkSession, "json-parts")
+    rows.select(json_object(spec).alias("value")).write.option("lineSep", ",\n").text(folder)
+    none = rows.isEmpty()
+    joined(records.sparkSession, folder, path, b"[" if none else b"[\n", b"]" if none else b"\n]", 0 if none else 2)
+
+
 def write_json(records: DataFrame, path: str, spec: Spec, mode: str = "error") -> None:
     """Part files with one object a line."""
     shown(records, spec).write.mode(mode).json(path)
@@ -71,7 +128,7 @@ def write_json_array(records: DataFrame, path: str, spec: Spec, mode: str = "err
 
 
 def write_parquet(records: DataFrame, path: str, spec: Spec, mode: str = "error") -> None:
-    records.select("doc_id", "rec_idx", *(F.col(f"`{c}`") for c in spec.output)).write.mode(mode).parquet(path)
+    records.select(*place(records), *(F.col(f"`{c}`") for c in spec.output)).write.mode(mode).parquet(path)
 
 
 def write_xlsx(records: DataFrame, path: str, spec: Spec) -> bool:
@@ -83,7 +140,7 @@ def write_xlsx(records: DataFrame, path: str, spec: Spec) -> bool:
         from openpyxl.styles import Font, PatternFill
     except ImportError:
         return False
-    rows = shown(records.orderBy("doc_id", "rec_idx"), spec)
+    rows = shown(records.orderBy(*place(records)), spec)
     if rows.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
         raise ValueError(f"a sheet holds {SHEET_ROWS} records")
     book = Workbook(write_only=True)

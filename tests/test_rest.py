@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from recordlift.operators import profile
-from recordlift.operators.duplicates import count_duplicates
+from recordlift.operators.duplicates import count_duplicates, mark_duplicates
 from recordlift.operators.selftest import run_tests, test_totals
 from recordlift.operators.trace import trace
 from recordlift.plans.config import NAME_KEY, compile_config, load_config, validate_config
 from recordlift.plans.parse import first_records, parse
-from recordlift.sources.exports import write_csv, write_json, write_json_array, write_parquet, write_xlsx
+from recordlift.sources.exports import write_csv, write_json, write_json_array, write_one_csv, write_one_json, write_parquet, write_xlsx
 from recordlift.sources.files import read_files
 from recordlift.streaming.records import stream_files, stream_records, write_records
 from tests.registry import CONFIG, TEXT
@@ -40,7 +40,7 @@ def test_config_file(tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps(CONFIG, ensure_ascii=False), encoding="utf-8")
     spec = load_config(str(path))
-    assert [t.name for t in spec.triggers] == ["kapitän", "firma", "kai", "vermerk", "fracht", "platz", "rumpf"]
+    assert [t.name for t in spec.triggers] == ["vermerk", "fracht", "tonnen", "siegel", "platz"]
 
 
 def parsed(spark, texts, raw, **more):
@@ -50,10 +50,10 @@ def parsed(spark, texts, raw, **more):
 def test_statistics_of_the_sample(spark):
     spec = compile_config(CONFIG)
     rows = parsed(spark, [TEXT], CONFIG, lost=True).cache()
-    assert tuple(profile.summary(rows).first()) == (6, 1, 5, 83.3, 0)
-    assert [tuple(r) for r in profile.top_errors(rows).collect()] == [("geschwärzt", 3), ("kaiFehlt", 1), ("errKAPITÄN", 1), ("errFIRMA", 1), ("namensLänge", 1), ("rumpfForm", 1)]
-    assert {r.field: (r.filled, r.percent) for r in profile.field_fill(rows, spec).collect()}["rumpf"] == (4, 67)
-    assert [tuple(r) for r in profile.lost_tokens(rows).collect()] == [("Hafenbuch", 1), ("XX.7", 1), ("Holm", 1)]
+    assert tuple(profile.summary(rows).first()) == (5, 1, 4, 80.0, 0)
+    assert [tuple(r) for r in profile.top_errors(rows).collect()] == [("geschwärzt", 3), ("keineZahl", 1), ("nurBuchstaben", 1)]
+    assert {r.field: (r.filled, r.percent) for r in profile.field_fill(rows, spec).collect()}["siegel"] == (2, 40)
+    assert [tuple(r) for r in profile.lost_tokens(rows).collect()] == [("Hafenbuch", 1)]
     empty = parsed(spark, [], CONFIG)
     assert tuple(profile.summary(empty).first()) == (0, 0, 0, 0.0, 0)
     assert {r.unique for r in profile.value_distribution(empty, spec).collect()} == {0}
@@ -84,6 +84,33 @@ def test_files_keep_the_order_of_the_list(spark, tmp_path):
     assert [(r.doc_seq, r.text) for r in rows.collect()] == [(0, "b1"), (0, "b"), (1, "a1"), (1, "a")]
 
 
+def test_unused_columns_are_not_computed(spark):
+    """The window of duplicates keeps plain columns: statistics of errors need neither prices nor names."""
+    columns = "doc_id long, rec_idx int, key string, unused string, err string"
+    rows = spark.createDataFrame([(1, 0, "x", "y", None), (1, 1, "x", "y", None)], columns)
+    raw = {NAME_KEY: "p", "csv_columns": ["key", "unused"], "triggers": base()["triggers"], "dedup": {"key": "key"}}
+    marked = mark_duplicates(rows, compile_config(raw))
+    plan = profile.summary(marked)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unused") == 1 and "Window" in plan  # where the rows come from
+    assert [r.err for r in marked.orderBy("rec_idx").collect()] == [None, "errDUP"]
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 7])
+def test_order_of_documents_through_the_plan(spark, ranges):
+    docs = spark.createDataFrame([(d % 3, f"d{d}", "x alpha %d alpha %d" % (d, d + 1)) for d in range(9)] + [(0, None, "alpha 9"), (1, "none", "")], "doc_seq int, doc_id string, text string")
+    spec = compile_config(base(record_detection={"trigger": "a"}, log_suspicious=True, dedup={"key": "a"}))
+    rows = parse(docs, spec, lost=True)
+    assert rows.columns[:3] == ["doc_seq", "doc_id", "rec_idx"]
+    order = lambda r: (r.doc_seq, r.doc_id is not None, r.doc_id or "", r.rec_idx)
+    got = profile.numbered(rows, ranges).collect()
+    assert [order(r) for r in sorted(got, key=lambda r: r.record_no)] == sorted(map(order, got)) and sorted(r.record_no for r in got) == list(range(28))
+    assert [order(r) for r in profile.preview(rows, 5).collect()] == sorted(map(order, got))[:5]
+    assert [order(r) for r in first_records(docs, spec, 5).collect()] == sorted(map(order, got))[:5]
+    assert profile.lost_tokens(rows).first().token == "x"
+    first = {r.value: r.seen.doc_seq for r in profile.value_counts(rows, spec).collect()}
+    assert first["3"] == 0 and first["9"] == 0 and first["2"] == 1
+
+
 @pytest.mark.parametrize("most", [1, 3, 7, 50])
 def test_first_records_are_those_of_the_whole(spark, most):
     docs = spark.createDataFrame([(i, "alpha 1 alpha 2" if i % 3 == 0 else "") for i in range(12)], "doc_id long, text string")
@@ -101,14 +128,14 @@ def test_trace(spark):
 
 def test_self_tests(spark):
     cases = [
-        {"description": "captain", "input": "Platz 1. Rumpf DE-4 Kapitän Ida Kern.", "expect": {"platz": "001", "rumpf": "de-4", "halter": "IDA KERN"}},
-        {"input": "Platz 9 Rumpf DE-5 Ida Kern Fracht Heu", "expect_record": -1, "expect": {"halter": "IDA KERN", "err": "errKAPITÄN"}},
-        {"input": "Platz 3 Firma Blau & Co", "expect": {"halter": "Blau"}},
+        {"description": "cargo", "input": "Platz 1. Fracht Eisen Erz. Tonnen 12,44", "expect": {"platz": "001", "fracht": "Erz", "tonnen": "12.4"}},
+        {"input": "Platz 8 Platz 9 Z777 QRST Vermerk ok", "expect_record": -1, "expect": {"siegel": "QRST", "err": "nurBuchstaben"}},
+        {"input": "Platz 3 Ladung Blau & Co", "expect": {"fracht": "Blau"}},
         {"input": "", "expect": {}},
     ]
     results = run_tests(spark, compile_config(CONFIG | {"tests": cases})).orderBy("nth").collect()
     assert [r.status for r in results] == ["pass", "pass", "fail", "fail"]
-    assert [tuple(d) for d in results[2].details] == [("halter", "Blau", "Blau & Co", False)]
+    assert [tuple(d) for d in results[2].details] == [("fracht", "Blau", "Blau & Co", False)]
     assert results[3].details[0].field == "(records)"
     assert tuple(test_totals(run_tests(spark, compile_config(CONFIG | {"tests": cases}))).first()) == (4, 2, 2)
     assert run_tests(spark, compile_config(CONFIG)).count() == 0
@@ -145,6 +172,25 @@ def test_exports(spark, tmp_path):
     assert write_xlsx(rows, str(tmp_path / "x.xlsx"), spec) in (True, False)
 
 
+def test_one_file(spark, tmp_path):
+    spec = compile_config(base(record_detection={"trigger": "a"}))
+    texts = [f'alpha {k} beta "q,{k}" gamma =Ж' for k in range(40)]
+    rows = parsed(spark, texts, base(record_detection={"trigger": "a"})).repartition(7)
+    write_one_csv(rows, str(tmp_path / "x.csv"), spec)
+    data = (tmp_path / "x.csv").read_bytes().decode("utf-8")
+    assert data == "\ufeffa,b,c,err\r\n" + "".join(f'{k},"""q,{k}""",\'=Ж,\r\n' for k in range(40))
+    write_one_json(rows, str(tmp_path / "x.json"), spec)
+    text = (tmp_path / "x.json").read_text()
+    assert text == json.dumps([{"a": str(k), "b": f'"q,{k}"', "c": "=Ж", "err": ""} for k in range(40)], indent=2, ensure_ascii=False)
+    write_one_json(rows.limit(0), str(tmp_path / "none.json"), spec)
+    assert (tmp_path / "none.json").read_text() == "[]"
+    write_one_csv(rows.limit(0), str(tmp_path / "none.csv"), spec)
+    assert (tmp_path / "none.csv").read_bytes() == b"\xef\xbb\xbfa,b,c,err\r\n"
+    with pytest.raises(ValueError):
+        write_one_csv(rows, str(tmp_path / "x.csv"), spec)
+    assert {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"x.csv", "x.json", "none.json", "none.csv"}
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("alpha 1 alpha 1")
