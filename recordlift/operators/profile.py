@@ -62,13 +62,17 @@ def value_counts(records: DataFrame, spec: Spec) -> DataFrame:
 
 def value_distribution(records: DataFrame, spec: Spec, most: int = TOP_VALUES) -> DataFrame:
     """field, unique, filled, repeated_total, repeated (array of value, cnt; at most `most`) for each declared column."""
-    counts = value_counts(records, spec)
+    return distribution(value_counts(records, spec), spec, most)
+
+
+def distribution(counts: DataFrame, spec: Spec, most: int = TOP_VALUES) -> DataFrame:
+    """The same from counts of values: field, value, cnt, seen."""
     totals = counts.groupBy("field").agg(F.count("*").alias("unique"), F.sum("cnt").alias("filled"), F.count_if(F.col("cnt") > 1).alias("repeated_total"))
     rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("cnt"), "seen"))
     few = counts.where("cnt > 1").withColumn("rank", rank).where(F.col("rank") <= most)
     listed = few.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "cnt"))).alias("rows"))
     listed = listed.select("field", F.transform("rows", lambda r: F.struct(r["value"].alias("value"), r["cnt"].alias("cnt"))).alias("repeated"))
-    every = records.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(spec.columns)], "field string")
+    every = counts.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(spec.columns)], "field string")
     out = every.join(totals, "field", "left").join(listed, "field", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("field", zero("unique"), zero("filled"), zero("repeated_total"), F.coalesce("repeated", F.array().cast("array<struct<value: string, cnt: bigint>>")).alias("repeated"))

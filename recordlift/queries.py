@@ -16,6 +16,7 @@ from recordlift.functions.steps import step
 from recordlift.functions.text import clean_text, letters, strip, tokenize, words
 from recordlift.operators import profile
 from recordlift.operators.alias_index import nearest
+from recordlift.operators.incremental import ProfileTable
 from recordlift.operators.selftest import run_tests
 from recordlift.operators.tokens import classified
 from recordlift.operators.trace import trace
@@ -24,7 +25,7 @@ from recordlift.plans.parse import first_records, parse, tokens_of
 from recordlift.sources.encodings import encoded
 from recordlift.sources.exports import csv_escaped, write_csv, write_json_array, write_one_csv, write_one_json, write_parquet
 from recordlift.sources.files import decode_files, read_files
-from recordlift.sources.shared import fresh_path
+from recordlift.sources.shared import fresh_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -257,6 +258,37 @@ def preview(spark, sf_dir):
     return first_records(docs, made, profile.PREVIEW).select("doc_id", "cell", "err")
 
 
+def kept_profile(spark: SparkSession, sf_dir: str) -> tuple[ProfileTable, list[int]]:
+    """The profile of the mixed texts after two runs: half of the customers in an older version first, then all as they
+    are; and how many texts each run parsed."""
+    docs, made = mixed_text(spark, sf_dir)
+    docs, kept = stored(docs, "texts"), ProfileTable(spark, fresh_path(spark, "profile"), made)
+    older = docs.where("doc_id % 2 = 0").withColumn("text", F.expr("if(doc_id % 3 = 0, concat(text, ' cell 0 void zz'), text)"))
+    return kept, [kept.add(older), kept.add(docs)]
+
+
+@query(
+    f"""WITH {MIXED_SQL}, d AS (SELECT count(DISTINCT doc_id) FILTER (doc_id % 2 = 0) AS first_run, count(DISTINCT doc_id) FILTER (doc_id % 2 = 1 OR doc_id % 3 = 0) AS second_run FROM m)
+    SELECT count(*) AS total, count_if(err = '') AS clean, count_if(err <> '') AS with_errors, round_even(100.0 * count_if(err <> '') / count(*), 1) AS error_rate, count_if(contains(err, 'errDUP')) AS duplicates,
+    any_value(first_run) AS first_run, any_value(second_run) AS second_run FROM m, d"""
+)
+def profile_incremental(spark, sf_dir):
+    """The totals of a profile that was brought up to date, and how many texts each run had to parse."""
+    kept, runs = kept_profile(spark, sf_dir)
+    return kept.summary().select("*", F.lit(runs[0]).cast("long").alias("first_run"), F.lit(runs[1]).cast("long").alias("second_run"))
+
+
+@query(SQL["value_distribution"])
+def profile_incremental_values(spark, sf_dir):
+    rows = kept_profile(spark, sf_dir)[0].value_distribution()
+    return rows.withColumn("repeated", F.array_join(F.transform("repeated", lambda r: F.concat_ws("=", r["value"], r["cnt"].cast("string"))), ","))
+
+
+@query(SQL["top_errors"])
+def profile_incremental_errors(spark, sf_dir):
+    return kept_profile(spark, sf_dir)[0].top_errors()
+
+
 def unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of customers, each behind tokens that no field takes."""
     docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat_ws(" ", "c_mktsegment", F.concat(F.lit("Nation"), F.col("c_nationkey").cast("string")), F.lit("cell"), F.col("c_custkey").cast("string")).alias("text"))
