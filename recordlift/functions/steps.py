@@ -101,7 +101,11 @@ def _pad(v: Column, n: int, char: str, left: bool) -> Column:
 
 def _spaces_to_commas(v: Column, keywords: str) -> Column:
     """A comma before the keywords, then a capital behind every comma."""
-    v = F.regexp_replace(v, java_pattern(f"(?<=[^{WS[1:-1]},]){WS}+(?=(?:{keywords})\\b)", "iuU"), ", ")
+    return capitals(F.regexp_replace(v, java_pattern(f"(?<=[^{WS[1:-1]},]){WS}+(?=(?:{keywords})\\b)", "iuU"), ", "))
+
+
+def capitals(v: Column) -> Column:
+    """A capital behind every comma and its white space, which becomes one space."""
     parts = F.split(v, f",{WS}+(?=[{CAPITALISED}])", -1)
     return F.array_join(F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.upper(F.substr(p, F.lit(1), F.lit(1))), F.substr(p, F.lit(2), F.length(p)))).otherwise(p)), ", ")
 

@@ -23,24 +23,60 @@ def _bit(mask: Column, field: Column) -> Column:
     return (field >= 0) & (F.call_function("shiftright", mask, F.greatest(field, F.lit(0))).bitwiseAND(F.lit(1).cast("long")) == 1)
 
 
-def _notable(t: Column) -> Column:
-    """Keywords, stop words, and tokens that a heuristic may recognise."""
-    return (t["trig"] >= 0) | t["gstop"] | (t["stop"] != 0) | (t["heur"] != 0)
-
-
 def _table(values: list, kind: str, field: Column) -> Column:
     """values[field], for a field from -1 on: the first value stands for none."""
     return F.get(F.array(*(F.lit(v).cast(kind) for v in values)), field + 1)
 
 
+class Compiled:
+    """What the machine asks of a configuration, as literals of the plan: a field is a bit of a long."""
+
+    def __init__(self, spec: Spec):
+        names = [t.name for t in spec.triggers]
+        guessing = [i for i, t in enumerate(spec.triggers) if t.detect is not None]
+        self._allowed = [sum(1 << h for h in guessing if spec.triggers[h].after in (None, f)) for f in (None, *names)]
+        self._most = [0, *(t.collect_most for t in spec.triggers)]
+        self._multi = sum(1 << i for i, t in enumerate(spec.triggers) if t.multi is not None)
+        self._collecting = sum(1 << i for i, t in enumerate(spec.triggers) if t.collect is not None)
+        #: without collectors and multi-token fields, only notable tokens can change the state
+        self.only_notable = not self._multi and not self._collecting
+
+    def notable(self, t: Column) -> Column:
+        """Keywords, stop words, and tokens that a heuristic may recognise."""
+        return (t["trig"] >= 0) | t["gstop"] | (t["stop"] != 0) | (t["heur"] != 0)
+
+    def stops(self, t: Column, field: Column) -> Column:
+        return _bit(t["stop"], field)
+
+    def collects(self, t: Column, field: Column) -> Column:
+        return _bit(t["coll"], field)
+
+    def fits(self, t: Column, field: Column) -> Column:
+        return _bit(t["mult"], field)
+
+    def most(self, field: Column) -> Column:
+        """How many tokens the field's collector takes."""
+        return _table(self._most, "int", field)
+
+    def is_multi(self, field: Column) -> Column:
+        return _bit(F.lit(self._multi).cast("long"), field)
+
+    def is_collecting(self, field: Column) -> Column:
+        return _bit(F.lit(self._collecting).cast("long"), field)
+
+    def guess(self, t: Column, base: Column) -> Column:
+        """The first trigger whose heuristic recognises the token behind this field; -1 for none."""
+        able = t["heur"].bitwiseAND(_table(self._allowed, "long", base))
+        return let(able, lambda m: F.when(m == 0, F.lit(-1)).otherwise(F.bit_count(m.bitwiseAND(-m) - 1).cast("int")))
+
+
 def openings(toks: Column, spec: Spec) -> Column:
     """The fields of a record in the order they were closed: field, [start, end) in the document's tokens, kind."""
-    names = [t.name for t in spec.triggers]
-    guessing = [i for i, t in enumerate(spec.triggers) if t.detect is not None]
-    allowed = [sum(1 << h for h in guessing if spec.triggers[h].after in (None, f)) for f in (None, *names)]
-    most = [0, *(t.collect_most for t in spec.triggers)]
-    multi = sum(1 << i for i, t in enumerate(spec.triggers) if t.multi is not None)
-    collecting = sum(1 << i for i, t in enumerate(spec.triggers) if t.collect is not None)
+    return machine(toks, Compiled(spec))
+
+
+def machine(toks: Column, rules) -> Column:
+    """The same for rules of any kind with Compiled's methods."""
     none = F.lit(-1)
 
     def opening(acc: Column, end: Column) -> Column:
@@ -48,18 +84,16 @@ def openings(toks: Column, spec: Spec) -> Column:
 
     def advance(acc: Column, t: Column) -> Column:
         in_collector = acc["kind"] == COLLECTING
-        stays = in_collector & (t["trig"] < 0) & (t["i"] - acc["start"] < _table(most, "int", acc["cur"])) & _bit(t["coll"], acc["cur"])
+        stays = in_collector & (t["trig"] < 0) & (t["i"] - acc["start"] < rules.most(acc["cur"])) & rules.collects(t, acc["cur"])
 
         def chosen(s: Column) -> Column:
             # s: cur, the open field once a collector is left; last, the last closed one
-            stopped = t["gstop"] | _bit(t["stop"], s["cur"])
+            stopped = t["gstop"] | rules.stops(t, s["cur"])
             keyword = ~stopped & (t["trig"] >= 0)
-            is_multi = _bit(F.lit(multi).cast("long"), s["cur"])
-            accepted = ~stopped & ~keyword & is_multi & _bit(t["mult"], s["cur"])
+            is_multi = rules.is_multi(s["cur"])
+            accepted = ~stopped & ~keyword & is_multi & rules.fits(t, s["cur"])
             base = F.when(s["cur"] >= 0, s["cur"]).otherwise(s["last"])
-            able = t["heur"].bitwiseAND(_table(allowed, "long", base))
-            lowest = let(able, lambda m: F.when(m == 0, none).otherwise(F.bit_count(m.bitwiseAND(-m) - 1).cast("int")))
-            guess = F.when(stopped | keyword | accepted, none).otherwise(lowest)
+            guess = F.when(stopped | keyword | accepted, none).otherwise(rules.guess(t, base))
             return F.struct(
                 s["cur"].alias("cur"), keyword.alias("keyword"), guess.alias("guess"),
                 (~stopped & ~keyword & is_multi & ~accepted).alias("rejected"),
@@ -71,7 +105,7 @@ def openings(toks: Column, spec: Spec) -> Column:
             saved = (acc["cur"] >= 0) & (left | opens | d["rejected"])
             cur = F.when(d["keyword"], t["trig"]).when(d["guess"] >= 0, d["guess"]).when(d["rejected"], none).otherwise(d["cur"])
             start = F.when(d["keyword"], t["i"] + 1).when(d["guess"] >= 0, t["i"]).otherwise(acc["start"])
-            kind = F.when(d["guess"] >= 0, F.when(_bit(F.lit(collecting).cast("long"), d["guess"]), COLLECTING).otherwise(GUESSED)).when(opens | left | d["rejected"], KEYWORD).otherwise(acc["kind"])
+            kind = F.when(d["guess"] >= 0, F.when(rules.is_collecting(d["guess"]), COLLECTING).otherwise(GUESSED)).when(opens | left | d["rejected"], KEYWORD).otherwise(acc["kind"])
             return F.struct(
                 cur.cast("int").alias("cur"), F.when(saved, acc["cur"]).otherwise(acc["last"]).cast("int").alias("last"), start.cast("int").alias("start"), kind.cast("int").alias("kind"),
                 F.when(saved, F.concat(acc["done"], opening(acc, t["i"]))).otherwise(acc["done"]).alias("done"),
@@ -79,14 +113,13 @@ def openings(toks: Column, spec: Spec) -> Column:
 
         entered = F.struct(F.when(in_collector, none).otherwise(acc["cur"]).alias("cur"), F.when(in_collector, acc["cur"]).otherwise(acc["last"]).alias("last"))
         # most tokens just follow the open field, or none
-        follows = ~in_collector & ~_notable(t) & ~_bit(F.lit(multi).cast("long"), acc["cur"])
+        follows = ~in_collector & ~rules.notable(t) & ~rules.is_multi(acc["cur"])
         return F.when(follows | stays, acc).otherwise(let(let(entered, chosen), moved))
 
     zero = F.lit(0).cast("int")
     start = F.struct(none.cast("int").alias("cur"), none.cast("int").alias("last"), zero.alias("start"), zero.alias("kind"), F.array().cast(OPENINGS).alias("done"))
     end = F.coalesce(F.get(toks, F.lit(0))["i"], F.lit(0)) + F.size(toks)
-    # without collectors and multi-token fields, only these tokens can change the state
-    events = toks if multi or collecting else F.filter(toks, _notable)
+    events = F.filter(toks, rules.notable) if rules.only_notable else toks
     return F.aggregate(events, start, advance, lambda acc: F.when(acc["cur"] >= 0, F.concat(acc["done"], opening(acc, end))).otherwise(acc["done"]))
 
 

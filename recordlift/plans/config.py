@@ -85,7 +85,7 @@ def _trigger_problems(name: str, t: Any, columns: list) -> list[str]:
     return found
 
 
-def validate_config(raw: Any) -> list[str]:
+def validate_config(raw: Any, most_triggers: int | None = MOST_TRIGGERS) -> list[str]:
     """All that is wrong with the configuration; empty if it can be compiled. Never raises."""
     if not isinstance(raw, dict):
         return ["the configuration must be an object"]
@@ -101,8 +101,8 @@ def validate_config(raw: Any) -> list[str]:
         if not isinstance(triggers, dict) or not triggers:
             found.append("triggers must be an object that is not empty")
         else:
-            if len(triggers) > MOST_TRIGGERS:
-                found.append(f"triggers: more than {MOST_TRIGGERS}")
+            if most_triggers is not None and len(triggers) > most_triggers:
+                found.append(f"triggers: more than {most_triggers}")
             for name, t in triggers.items():
                 found += _trigger_problems(name, t, columns)
     if "tokenizer" in raw:
@@ -166,6 +166,16 @@ def _compiled(name: str, t: dict) -> Trigger:
     )
 
 
+def in_order(triggers: dict[str, dict]) -> list[tuple[str, dict]]:
+    """Triggers by their heuristics' priority (100 without one), equal ones as they were written."""
+
+    def rank(item: tuple[str, dict]) -> int:
+        priority = (item[1].get("heuristics") or {}).get("priority", 100)
+        return 100 if priority is None else priority
+
+    return sorted(triggers.items(), key=rank)
+
+
 def compile_config(raw: dict[str, Any]) -> Spec:
     """The specification of a valid configuration; ValueError with all problems otherwise, or for an unknown predicate.
 
@@ -173,12 +183,11 @@ def compile_config(raw: dict[str, Any]) -> Spec:
     """
     if problems := validate_config(raw):
         raise ValueError("\n".join(problems))
-    rank = lambda item: (lambda p: 100 if p is None else p)((item[1].get("heuristics") or {}).get("priority", 100))
     dedup, detection = raw.get("dedup") or {}, raw.get("record_detection") or {}
     if "detect_by" in (detection.get("continuation_heuristics") or {}):
         predicate(detection["continuation_heuristics"]["detect_by"])  # accepted and checked; it never changes a result
     return Spec(
-        name=raw[NAME_KEY], columns=tuple(raw["csv_columns"]), triggers=tuple(_compiled(n, t) for n, t in sorted(raw["triggers"].items(), key=rank)),
+        name=raw[NAME_KEY], columns=tuple(raw["csv_columns"]), triggers=tuple(_compiled(n, t) for n, t in in_order(raw["triggers"])),
         max_distance=raw.get("max_distance", 1), require_first_char=raw.get("require_first_char", True), stop=frozenset(w.lower() for w in raw.get("stop_words", [])),
         keep_lost=bool(raw.get("log_suspicious", False)), split_by=(raw.get("tokenizer") or {}).get("split_by") or "whitespace", record_trigger=detection.get("trigger"),
         dedup_key=dedup.get("key"), dedup_code=dedup.get("error_code", "errDUP"), dedup_case=dedup.get("case_sensitive", False), tests=tuple(raw.get("tests", [])), version=raw.get("version", "1.0"), raw=raw,

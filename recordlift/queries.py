@@ -21,6 +21,7 @@ from recordlift.operators.selftest import run_tests
 from recordlift.operators.tokens import classified
 from recordlift.operators.trace import trace
 from recordlift.plans.config import NAME_KEY, Spec, compile_config, validate_config
+from recordlift.plans.many import config_table, parse_many
 from recordlift.plans.parse import first_records, parse, tokens_of
 from recordlift.sources.encodings import encoded
 from recordlift.sources.exports import csv_escaped, write_csv, write_json_array, write_one_csv, write_one_json, write_parquet
@@ -325,6 +326,36 @@ def self_test(spark, sf_dir):
     return run_tests(spark, compile_config(BASE | {"tests": cases})).select("nth", "status")
 
 
+def priced(k: int) -> dict:
+    """The configuration of one of a hundred forms of the orders: keywords, steps and rules of its own."""
+    word = str(k).translate(str.maketrans("0123456789", "bcdfghjkmn"))
+    raw = BASE | {"dedup": {"key": "prio", "error_code": f"twice{k}"}} if k % 4 == 0 else dict(BASE)
+    raw["triggers"] = {n: t | {"aliases": [n + word]} for n, t in BASE["triggers"].items()}
+    raw["triggers"]["prio"] |= {"normalization": {"pipeline": ["uppercase" if k % 2 else "lowercase"]}}
+    raw["triggers"]["price"] |= {"validation": {"rule": f"regex:[0-9]+[.][0-{k % 10}][0-9]", "error_code": f"price{k}"}}
+    if k % 3 == 0:
+        raw["triggers"]["prio"] |= {"heuristics": {"if_missing_after": "cell", "detect_by": "regex:^[0-9]-", "priority": 5, "error_code": f"no{k}"}}
+    return raw
+
+
+@query(
+    f"""WITH o AS (SELECT *, o_custkey % 100 AS k, {PRICE_SQL} AS price FROM orders)
+    SELECT o_custkey AS doc_id, 'form' || k AS config_id, CAST(o_orderkey AS VARCHAR) AS cell, CASE WHEN k % 2 = 1 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS prio, price, o_orderstatus AS stat,
+    nullif(concat_ws('; ', CASE WHEN k % 3 = 0 AND o_orderkey % 7 = 0 THEN 'no' || k END, CASE WHEN NOT regexp_full_match(price, '[0-9]+[.][0-' || k % 10 || '][0-9]') THEN 'price' || k END,
+      CASE WHEN k % 4 = 0 AND row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) > 1 THEN 'twice' || k END), '') AS err FROM o"""
+)
+def extract_many_configurations(spark, sf_dir):
+    """A hundred configurations, each customer's text in one of them, in one plan."""
+    configs = config_table(spark, {f"form{k}": priced(k) for k in range(100)})
+    word = "translate(cast(o_custkey % 100 as string), '0123456789', 'bcdfghjkmn')"
+    field = lambda n, v: f"concat('{n}', {word}, ' ', {v})"
+    prio = f"if(o_custkey % 100 % 3 = 0 and o_orderkey % 7 = 0, o_orderpriority, {field('prio', 'o_orderpriority')})"
+    record = _record(cell=field("cell", "concat(cast(o_orderkey as string), '.')"), prio=prio, price=field("price", PRICE), stat=field("stat", "o_orderstatus"))
+    docs = registry(spark, sf_dir, record).withColumn("config_id", F.concat(F.lit("form"), F.pmod("doc_id", F.lit(100)).cast("string")))
+    rows = parse_many(docs, configs)
+    return rows.select("doc_id", "config_id", *(F.try_element_at("cells", F.lit(c)).alias(c) for c in ("cell", "prio", "price", "stat")), "err")
+
+
 # --- text --------------------------------------------------------------------------------------------------------
 
 WS_SQL = r"[\x1c-\x20\x09-\x0d\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
