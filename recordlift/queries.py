@@ -16,8 +16,12 @@ from recordlift.functions.steps import step
 from recordlift.functions.text import clean_text, letters, strip, tokenize, words
 from recordlift.operators import profile
 from recordlift.operators.alias_index import nearest
+from recordlift.operators.compare import changes, multiset_difference
 from recordlift.operators.incremental import ProfileTable
+from recordlift.operators.ordered_joins import asof_join, overlaps
+from recordlift.operators.rollups import cube_sets, error_facts, subtotals
 from recordlift.operators.selftest import run_tests
+from recordlift.operators.sessions import sessions, windowed
 from recordlift.operators.tokens import classified
 from recordlift.operators.trace import trace
 from recordlift.plans.config import NAME_KEY, Spec, compile_config, validate_config
@@ -27,6 +31,7 @@ from recordlift.sources.encodings import encoded
 from recordlift.sources.exports import csv_escaped, write_csv, write_json_array, write_one_csv, write_one_json, write_parquet
 from recordlift.sources.files import decode_files, read_files
 from recordlift.sources.shared import fresh_path, stored
+from recordlift.streaming.windows import stream_firsts, stream_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -356,6 +361,146 @@ def extract_many_configurations(spark, sf_dir):
     return rows.select("doc_id", "config_id", *(F.try_element_at("cells", F.lit(c)).alias(c) for c in ("cell", "prio", "price", "stat")), "err")
 
 
+# --- comparing and summing up results ---------------------------------------------------------------------------
+
+
+def two_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The orders under two configurations; either lacks some orders."""
+    docs = lambda n: registry(spark, sf_dir, f"if(o_orderkey % {n} = 0, null, {_record()})")
+    after = spec(prio={"normalization": {"pipeline": ["lowercase"]}}, price={"validation": {"rule": "regex:[0-9]+[.][0-4][0-9]", "error_code": "errPRICE"}})
+    return _fields(parse(docs(13), spec()), "doc_id"), _fields(parse(docs(11), after), "doc_id")
+
+
+TWO_SQL = f"""b AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS cell, o_orderpriority AS prio, {PRICE_SQL} AS price, o_orderstatus AS stat, CAST(NULL AS VARCHAR) AS err FROM orders WHERE o_orderkey % 13 <> 0),
+    a AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS cell, lower(o_orderpriority) AS prio, {PRICE_SQL} AS price, o_orderstatus AS stat, CASE WHEN NOT regexp_full_match({PRICE_SQL}, '[0-9]+[.][0-4][0-9]') THEN 'errPRICE' END AS err FROM orders WHERE o_orderkey % 11 <> 0)"""
+
+
+@query(
+    f"""WITH {TWO_SQL} SELECT doc_id, cell, 'changed' AS change, 'prio' AS field, b.prio AS before, a.prio AS after FROM a JOIN b USING (doc_id, cell) WHERE a.prio <> b.prio
+    UNION ALL SELECT doc_id, cell, 'changed', 'err', NULL, a.err FROM a JOIN b USING (doc_id, cell) WHERE a.err IS NOT NULL
+    UNION ALL SELECT doc_id, cell, 'removed', NULL, NULL, NULL FROM b ANTI JOIN a USING (doc_id, cell) UNION ALL SELECT doc_id, cell, 'added', NULL, NULL, NULL FROM a ANTI JOIN b USING (doc_id, cell)"""
+)
+def compare_configurations(spark, sf_dir):
+    """What another configuration changes, field by field."""
+    return changes(*two_results(spark, sf_dir), ["doc_id", "cell"]).select("keys.doc_id", "keys.cell", "change", "field", "before", "after")
+
+
+@query(f"WITH {TWO_SQL} SELECT prio, stat, err, CAST(sum(n) AS BIGINT) AS n FROM (SELECT prio, stat, err, -1 AS n FROM b UNION ALL SELECT prio, stat, err, 1 FROM a) GROUP BY prio, stat, err HAVING sum(n) <> 0")
+def compare_counts(spark, sf_dir):
+    """Rows as often as one result has more of them than the other."""
+    before, after = (df.select("prio", "stat", "err") for df in two_results(spark, sf_dir))
+    return multiset_difference(before, after).select("row.*", "n")
+
+
+FACTS_SQL = f"""{MIXED_SQL}, f AS (SELECT CAST(doc_id % 10 AS VARCHAR) AS grp, code, CASE code WHEN 'errPRICE' THEN 'price' WHEN 'errSTOP' THEN 'stat' ELSE 'prio' END AS field, doc_id
+    FROM (SELECT doc_id, unnest(string_split(err, '; ')) AS code FROM m WHERE err <> ''))"""
+TOTALS_SQL = "CAST(grouping(grp, field, code) AS INTEGER) AS grouping_id, count(*) AS cnt, count(DISTINCT doc_id) AS distinct_doc_id"
+
+
+@query(f"WITH {FACTS_SQL} SELECT grp, field, code, {TOTALS_SQL} FROM f GROUP BY ROLLUP (grp, field, code)")
+def error_rollup(spark, sf_dir):
+    """Error codes by group of documents and column, with subtotals and exact numbers of documents."""
+    records, made = mixed(spark, sf_dir)
+    return subtotals(error_facts(records, made, F.pmod("doc_id", F.lit(10))), ["grp", "field", "code"], "doc_id")
+
+
+@query(f"WITH {FACTS_SQL} SELECT grp, field, code, {TOTALS_SQL} FROM f GROUP BY CUBE (grp, field, code)")
+def error_cube(spark, sf_dir):
+    records, made = mixed(spark, sf_dir)
+    columns = ["grp", "field", "code"]
+    return subtotals(error_facts(records, made, F.pmod("doc_id", F.lit(10))), columns, "doc_id", cube_sets(columns))
+
+
+# --- events ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT p.event_id, c.event_id AS click_id, c.value AS click_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts"""
+)
+def asof_clicks(spark, sf_dir):
+    """Each purchase with the user's last click before it."""
+    events = table(spark, sf_dir, "events")
+    found = asof_join(events.where("event_type = 'purchase'"), events.where("event_type = 'click'"), ["user_id"], "ts", per_range=1000)
+    return found.select("event_id", F.col("matched.event_id").alias("click_id"), F.col("matched.value").alias("click_value"))
+
+
+SPAN_SQL = "epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60000000) AS BIGINT) AS e"
+
+
+@query(
+    f"""WITH x AS (SELECT event_id, event_type, {SPAN_SQL} FROM events) SELECT a.event_id AS error_id, b.event_id AS signup_id FROM x a JOIN x b ON a.s < b.e AND b.s < a.e AND a.s < a.e AND b.s < b.e
+    WHERE a.event_type = 'error' AND b.event_type = 'signup'"""
+)
+def overlapping_events(spark, sf_dir):
+    """Errors and sign-ups whose spans of `value` minutes overlap, of all users."""
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = table(spark, sf_dir, "events").select("event_id", "event_type", start.alias("s"), (start + F.floor(F.col("value") * 60000000)).alias("e"))
+    pairs = overlaps(spans.where("event_type = 'error'"), spans.where("event_type = 'signup'"), ("s", "e"), ("s", "e"), per_bin=50)
+    return pairs.select(F.col("a.event_id").alias("error_id"), F.col("b.event_id").alias("signup_id"))
+
+
+SESSIONS_SQL = """s AS (SELECT user_id, ts, value, sum(CASE WHEN ts - before <= INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS nth
+    FROM (SELECT user_id, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)),
+    z AS (SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events, round(sum(value), 4) AS total FROM s GROUP BY user_id, nth)"""
+SIX_HOURS = 6 * 3600 * 1_000_000
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT * FROM z")
+def event_sessions(spark, sf_dir):
+    """Runs of a user's events without a gap of over six hours."""
+    rows = sessions(table(spark, sf_dir, "events"), "user_id", "ts", SIX_HOURS, "value")
+    return rows.withColumn("total", F.round("total", 4))
+
+
+def arriving(spark: SparkSession, events: DataFrame, files: int) -> DataFrame:
+    """The events as a stream: files in the order of time, and behind them one far ahead that lets all windows end."""
+    path = fresh_path(spark, "arriving")
+    columns = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    low, high = columns.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(files):
+        begin, end = low + (high - low) * k / files, low + (high - low) * (k + 1) / files
+        inside = (F.col("ts") >= F.lit(begin)) & ((F.col("ts") < F.lit(end)) if k < files - 1 else F.lit(True))
+        columns.where(inside).coalesce(1).write.parquet(f"{path}/{k:04d}")
+    columns.limit(1).select(F.lit(-1).cast("long").alias("user_id"), (F.lit(high) + F.expr("interval 1000 days")).alias("ts"), "event_type", "value").write.parquet(f"{path}/{files:04d}")
+    return spark.readStream.schema(columns.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*").where("ts is not null")
+
+
+def appended(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """All that a stream gives out until its input ends."""
+    path = fresh_path(spark, "appended")
+    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", fresh_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT user_id, session_start, session_end + INTERVAL 6 HOUR AS session_end, n_events, total FROM z")
+def stream_event_sessions(spark, sf_dir):
+    """The same sessions from a stream with a watermark, each given out once."""
+    rows = appended(spark, stream_sessions(arriving(spark, table(spark, sf_dir, "events"), 3), "user_id", "ts", "6 hours", "1 hour", "value"))
+    ends = {c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")}
+    return rows.withColumns(ends).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_events(spark, sf_dir):
+    """One event of each user and type from a stream that remembers them for longer than it lasts."""
+    return appended(spark, stream_firsts(arriving(spark, table(spark, sf_dir, "events"), 3), ["user_id", "event_type"], "ts", "60 days")).where("user_id >= 0").select("user_id", "event_type")
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_windows(spark, sf_dir):
+    return windowed(table(spark, sf_dir, "events"), "ts", "1 day", by=["event_type"], value="value").withColumn("total", F.round("total", 4))
+
+
+@query(
+    """SELECT w AS window_start, w + INTERVAL 2 HOUR AS window_end, count(*) AS n_events, round(sum(value), 4) AS total
+    FROM (SELECT value, unnest([time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE * k FOR k IN range(4)]) AS w FROM events) GROUP BY w"""
+)
+def sliding_windows(spark, sf_dir):
+    """Windows of two hours that begin every half hour."""
+    return windowed(table(spark, sf_dir, "events"), "ts", "2 hours", "30 minutes", value="value").withColumn("total", F.round("total", 4))
+
+
 # --- text --------------------------------------------------------------------------------------------------------
 
 WS_SQL = r"[\x1c-\x20\x09-\x0d\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
