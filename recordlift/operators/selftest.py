@@ -9,14 +9,23 @@ from recordlift.plans.config import Spec
 from recordlift.plans.parse import parse
 
 
+CASES = "nth long, description string, text string, expect map<string,string>, record int"
+
+
 def run_tests(spark: SparkSession, spec: Spec) -> DataFrame:
-    """nth, description, status (pass or fail), details: array of field, expected, got, ok. A case whose record is
-    missing fails; a negative record number counts from the end."""
+    """nth, description, status (pass or fail), details: array of field, expected, got, ok, for the configuration's own
+    cases."""
     cases = [(k, str(t.get("description", f"Test #{k + 1}")), str(t.get("input", "")), {f: str(v) for f, v in t.get("expect", {}).items()}, int(t.get("expect_record", 0))) for k, t in enumerate(spec.tests)]
-    table = spark.createDataFrame(cases, "nth long, description string, text string, expect map<string,string>, record int")
+    return run_cases(spark.createDataFrame(cases, CASES), spec)
+
+
+def run_cases(table: DataFrame, spec: Spec) -> DataFrame:
+    """The same for a table of cases with the columns of CASES, of any size. A case whose record is missing fails; a
+    negative record number counts from the end; a null text is empty, and a case that expects nothing of a record passes
+    if there is one. nth tells cases apart."""
     got = F.array(*(F.struct(F.lit(c).alias("key"), F.coalesce(F.col(f"`{c}`"), F.lit("")).alias("value")) for c in spec.output))
     parsed = parse(table.select(F.col("nth").alias("doc_id"), "text"), spec).select("doc_id", "rec_idx", got.alias("got"))
-    # cases are part of the configuration, so an input's records are few
+    # a case's input is a short text, so its records are few
     whole = parsed.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rec_idx", "got"))), lambda r: F.map_from_entries(r["got"])).alias("records"))
     rows = table.join(whole, table.nth == whole.doc_id, "left").withColumn("records", F.coalesce("records", F.array().cast("array<map<string,string>>")))
     record = F.try_element_at("records", F.when(F.col("record") >= 0, F.col("record") + 1).otherwise(F.col("record")))

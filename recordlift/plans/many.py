@@ -11,8 +11,11 @@ small by its size. Documents of a configuration that isn't in the table, or with
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +76,28 @@ def config_table(spark: SparkSession, configs: dict[str, dict[str, Any]]) -> Dat
     return spark.createDataFrame(rows, CONFIGS)
 
 
+_PROBLEMS = pa.schema([("config_id", pa.string()), ("nth", pa.int32()), ("problem", pa.string())])
+
+
+def problems_of(configs: DataFrame) -> DataFrame:
+    """(config_id, config as JSON) -> config_id, nth, problem: all that is wrong with each configuration; a text that is
+    no JSON has one problem, a null text too. Configurations without a problem have no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = validate_config(json.loads(text or ""), None)
+                except ValueError:
+                    found = ["the configuration is no JSON"]
+                rows += [(key, k, p) for k, p in enumerate(found)]
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PROBLEMS, strict=True)], schema=_PROBLEMS)
+
+    return configs.select(F.col("config_id").cast("string").alias("config_id"), F.col("config").cast("string").alias("config")).mapInArrow(run, "config_id string, nth int, problem string")
+
+
 def _indices(test) -> Column:
     """The triggers for which the test holds, in order."""
     return F.array_compact(F.transform("trigs", lambda t, k: F.when(test(t), k.cast("int"))))

@@ -5,6 +5,7 @@ Extraction is tested by round trips: registry text is made of columns, parsed ag
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +18,16 @@ from recordlift.functions.text import clean_text, letters, strip, tokenize, word
 from recordlift.operators import profile
 from recordlift.operators.alias_index import nearest
 from recordlift.operators.compare import changes, multiset_difference
+from recordlift.operators.duplicates import mark_duplicates
 from recordlift.operators.incremental import ProfileTable
 from recordlift.operators.ordered_joins import asof_join, overlaps
 from recordlift.operators.rollups import cube_sets, error_facts, subtotals
-from recordlift.operators.selftest import run_tests
+from recordlift.operators.selftest import run_cases
 from recordlift.operators.sessions import sessions, windowed
 from recordlift.operators.tokens import classified
 from recordlift.operators.trace import trace
-from recordlift.plans.config import NAME_KEY, Spec, compile_config, validate_config
-from recordlift.plans.many import config_table, parse_many
+from recordlift.plans.config import NAME_KEY, Spec, compile_config
+from recordlift.plans.many import config_table, parse_many, problems_of
 from recordlift.plans.parse import first_records, parse, tokens_of
 from recordlift.sources.encodings import encoded
 from recordlift.sources.exports import csv_escaped, write_csv, write_json_array, write_one_csv, write_one_json, write_parquet
@@ -324,41 +326,30 @@ def trace_events(spark, sf_dir):
     return events.groupBy("event", "field").agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS nth, unnest(['pass', 'fail', 'pass', 'fail']) AS status")
-def self_test(spark, sf_dir):
-    text = "cell 7. prio 1-URGENT price 5.00 stat F cell 8 prio 5-LOW"
-    cases = [{"input": text, "expect": {"cell": "7", "err": ""}}, {"input": text, "expect": {"stat": "P"}}, {"input": text, "expect": {"cell": "8", "prio": "5-LOW", "stat": ""}, "expect_record": -1}, {"input": text, "expect": {}, "expect_record": 2}]
-    return run_tests(spark, compile_config(BASE | {"tests": cases})).select("nth", "status")
-
-
-def priced(k: int) -> dict:
-    """The configuration of one of a hundred forms of the orders: keywords, steps and rules of its own."""
-    word = str(k).translate(str.maketrans("0123456789", "bcdfghjkmn"))
-    raw = BASE | {"dedup": {"key": "prio", "error_code": f"twice{k}"}} if k % 4 == 0 else dict(BASE)
-    raw["triggers"] = {n: t | {"aliases": [n + word]} for n, t in BASE["triggers"].items()}
-    raw["triggers"]["prio"] |= {"normalization": {"pipeline": ["uppercase" if k % 2 else "lowercase"]}}
-    raw["triggers"]["price"] |= {"validation": {"rule": f"regex:[0-9]+[.][0-{k % 10}][0-9]", "error_code": f"price{k}"}}
-    if k % 3 == 0:
-        raw["triggers"]["prio"] |= {"heuristics": {"if_missing_after": "cell", "detect_by": "regex:^[0-9]-", "priority": 5, "error_code": f"no{k}"}}
-    return raw
+@query(
+    """SELECT doc_id, least(n, 9) AS n_events, greatest(n - 9, 0) AS dropped FROM (SELECT o_custkey AS doc_id, CAST(sum(7 + len(string_split(o_orderpriority, ' '))) AS BIGINT) AS n FROM orders GROUP BY o_custkey)"""
+)
+def trace_capped(spark, sf_dir):
+    """At most nine events of a text, and how many more there were."""
+    events = trace(registry(spark, sf_dir, _record()), spec(), most=9)
+    return events.groupBy("doc_id").agg(F.count("*").alias("n_events"), F.max("dropped").alias("dropped"))
 
 
 @query(
-    f"""WITH o AS (SELECT *, o_custkey % 100 AS k, {PRICE_SQL} AS price FROM orders)
-    SELECT o_custkey AS doc_id, 'form' || k AS config_id, CAST(o_orderkey AS VARCHAR) AS cell, CASE WHEN k % 2 = 1 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS prio, price, o_orderstatus AS stat,
-    nullif(concat_ws('; ', CASE WHEN k % 3 = 0 AND o_orderkey % 7 = 0 THEN 'no' || k END, CASE WHEN NOT regexp_full_match(price, '[0-9]+[.][0-' || k % 10 || '][0-9]') THEN 'price' || k END,
-      CASE WHEN k % 4 = 0 AND row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) > 1 THEN 'twice' || k END), '') AS err FROM o"""
+    """SELECT o_orderkey AS nth, CASE WHEN o_orderkey % 5 IN (0, 3) THEN 'fail' ELSE 'pass' END AS status,
+    CASE o_orderkey % 5 WHEN 0 THEN 'stat' WHEN 3 THEN '(records)' END AS failed FROM orders"""
 )
-def extract_many_configurations(spark, sf_dir):
-    """A hundred configurations, each customer's text in one of them, in one plan."""
-    configs = config_table(spark, {f"form{k}": priced(k) for k in range(100)})
-    word = "translate(cast(o_custkey % 100 as string), '0123456789', 'bcdfghjkmn')"
-    field = lambda n, v: f"concat('{n}', {word}, ' ', {v})"
-    prio = f"if(o_custkey % 100 % 3 = 0 and o_orderkey % 7 = 0, o_orderpriority, {field('prio', 'o_orderpriority')})"
-    record = _record(cell=field("cell", "concat(cast(o_orderkey as string), '.')"), prio=prio, price=field("price", PRICE), stat=field("stat", "o_orderstatus"))
-    docs = registry(spark, sf_dir, record).withColumn("config_id", F.concat(F.lit("form"), F.pmod("doc_id", F.lit(100)).cast("string")))
-    rows = parse_many(docs, configs)
-    return rows.select("doc_id", "config_id", *(F.try_element_at("cells", F.lit(c)).alias(c) for c in ("cell", "prio", "price", "stat")), "err")
+def self_test(spark, sf_dir):
+    """A case for each order: what its text must give, what it cannot give, and a record that there isn't."""
+    kind = F.pmod("o_orderkey", F.lit(5))
+    expected = {"cell": F.col("o_orderkey").cast("string"), "prio": F.col("o_orderpriority"), "stat": F.when(kind == 0, F.concat("o_orderstatus", F.lit("?"))).otherwise(F.col("o_orderstatus")), "err": F.lit("")}
+    cases = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("nth"), F.lit("order").alias("description"), F.concat(F.lit("cell 7 prio x "), F.expr(_record())).alias("text"), F.create_map(*(x for k, v in expected.items() for x in (F.lit(k), v))).alias("expect"),
+        F.when(kind == 3, 2).when(kind == 4, -1).otherwise(1).alias("record"),
+    )
+    results = run_cases(cases, spec())
+    failed = F.array_join(F.transform(F.filter("details", lambda d: ~d["ok"]), lambda d: d["field"]), ",")
+    return results.select("nth", "status", F.nullif(failed, F.lit("")).alias("failed"))
 
 
 # --- comparing and summing up results ---------------------------------------------------------------------------
@@ -850,17 +841,29 @@ def first_seen_in_files(spark, sf_dir):
     return counts.join(seen, ["doc_seq", "doc_id", "rec_idx"]).select("value", "cnt", "first_no")
 
 
-PROBLEMS = ["missing key: 'triggers'", "csv_columns must be a list of strings", "tokenizer.split_by must be one of whitespace, whitespace_and_punctuation", "dedup.key 'x' is not in csv_columns", "tests[0]: expect is missing", "max_distance must be a whole number"]
-PROBLEMS_SQL = ", ".join(f"({k}::BIGINT, '{p.replace(chr(39), 2 * chr(39))}')" for k, p in enumerate(PROBLEMS))
+DEFECTS = {
+    1: ("'{}'", ["missing key: \'parser_name\'", "missing key: \'csv_columns\'", "missing key: \'triggers\'"]),
+    2: ("""'{"NAME":"p","csv_columns":["a"],"triggers":{"T":{"aliases":[],"search_mode":"none"}}}'""", ["trigger \'T\': aliases must be a list that is not empty", "trigger \'T\': search_mode must be one of exact, fuzzy, regex"]),
+    3: ("""'{"NAME":"p","csv_columns":["a"],"dedup":{"key":"T"},"max_distance":"1","triggers":{"a":{"aliases":["a"],"search_mode":"exact"}}}'""", ["dedup.key \'T\' is not in csv_columns", "max_distance must be a whole number"]),
+    4: ("'no JSON T'", ["the configuration is no JSON"]),
+}
+DEFECTS = {k: (text.replace("NAME", NAME_KEY), [p.replace("parser_name", NAME_KEY) for p in found]) for k, (text, found) in DEFECTS.items()}
+_DEFECT_ROWS = ", ".join(f"({k}, {i}, '{p.replace(chr(39), 2 * chr(39))}')" for k, (_, found) in DEFECTS.items() for i, p in enumerate(found))
 
 
-@query(f"SELECT nth, problem FROM (VALUES {PROBLEMS_SQL}) v(nth, problem)")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS config_id, nth, replace(problem, 'T', o_orderstatus || o_orderkey) AS problem FROM orders JOIN (VALUES {_DEFECT_ROWS}) v(kind, nth, problem) ON o_orderkey % 5 = kind")
 def config_problems(spark, sf_dir):
-    """All problems of a configuration, not the first one only."""
-    found = validate_config({NAME_KEY: "p", "csv_columns": 5, "tokenizer": {"split_by": "x"}, "dedup": {"key": "x"}, "tests": [{"input": ""}], "max_distance": "1"})
-    return spark.createDataFrame(list(enumerate(found)), "nth long, problem string")
+    """All problems of configurations that the orders' keys make, a fifth of them without any."""
+    good = json.dumps(BASE).replace("'", "")
+    text = F.lit(good)
+    for k, (defect, _) in DEFECTS.items():
+        text = F.when(F.pmod("o_orderkey", F.lit(5)) == k, F.replace(F.expr(defect), F.lit("T"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")))).otherwise(text)
+    return problems_of(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("config_id"), text.alias("config")))
 
 
-@query("SELECT c_custkey, lower(trim(c_name)) AS value FROM customer")
+@query("SELECT c_custkey, c_mktsegment AS value, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) > 1 AS again FROM customer")
 def normalize_key(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.lower(strip(F.concat(F.lit(" "), F.col("c_name"), F.lit(" ")))).alias("value"))
+    """Keys of duplicates are compared without case and outer white space."""
+    rows = table(spark, sf_dir, "customer").select(F.lit(0).alias("doc_id"), F.col("c_custkey").cast("int").alias("rec_idx"), F.concat(F.lit(" "), F.when(F.pmod("c_custkey", F.lit(2)) == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")), F.lit("\u00a0")).alias("prio"), F.lit(None).cast("string").alias("err"))
+    marked = mark_duplicates(rows, spec(dedup={"key": "prio"}))
+    return marked.select(F.col("rec_idx").cast("long").alias("c_custkey"), F.upper(strip(F.col("prio"))).alias("value"), (F.coalesce("err", F.lit("")) == "errDUP").alias("again"))
