@@ -30,7 +30,7 @@ SINGLE_BYTE = {"cp1251": CYRILLIC, "koi8-r": CYRILLIC, "cp866": CYRILLIC, "iso88
 UTF_16 = {"utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}
 CONFIDENCE = 0.7
 #: bytes beyond ASCII from which the statistics count in full
-ENOUGH = 6
+ENOUGH = 4
 
 #: kinds of characters: no letter of ASCII, letter of ASCII, small letter, capital, other sign, no character
 SPACE, ASCII, SMALL, CAPITAL, SIGN, NOTHING = range(6)
