@@ -185,6 +185,48 @@ def test_contamination_is_the_same_in_parts(spark):
     assert [r[1] for r in whole[1]].count(clean) == 2 and data[3][1] not in [r[1] for r in whole[1]]
 
 
+def brute_hits(words, items, width):
+    """Hit words and items of one document, each window tried at each place."""
+    hit, own = [False] * len(words), set()
+    for item, text in items:
+        theirs = folded(text)
+        n = min(width, len(theirs))
+        for window in {tuple(theirs[i : i + n]) for i in range(len(theirs) - n + 1)} if n else ():
+            for s in range(len(words) - n + 1):
+                if tuple(words[s : s + n]) == window:
+                    hit[s : s + n] = [True] * n
+                    own.add(item)
+    return hit, sorted(own)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 6, 13])
+def test_windows_against_brute_force(width):
+    rng = random.Random(width)
+    for vocabulary in (["a", "b"], [f"v{i}" for i in range(6)], ["ä", "x", "YZ", "0"]):
+        for _ in range(40):
+            items = [(i, ", ".join(rng.choices(vocabulary, k=rng.randrange(0, 3 * width + 3)))) for i in range(rng.randrange(0, 5))]
+            finder = decontamination.Finder(decontamination.windows_of([(i, t.encode()) for i, t in items], width))
+            parts = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 9))) for _ in range(3)] + [t for _, t in items]
+            words = folded(" ".join(rng.sample(parts, len(parts))))
+            found = finder.find([w.encode() for w in words])
+            hit, own = brute_hits(words, items, width)
+            assert (([False] * len(words), []) if found is None else (found[0].tolist(), found[1])) == (hit, own)
+
+
+def test_equal_letters_are_told_apart_by_text(monkeypatch):
+    monkeypatch.setattr(decontamination, "crc32", lambda word: len(word))
+    finder = decontamination.Finder(decontamination.windows_of([(1, b"aa b cc d"), (2, b"x")], 3))
+    assert finder.find(b"aa b cc e".split())[0].tolist() == [True, True, True, False]
+    assert finder.find(b"zz y xx w".split()) is None
+    assert finder.find(b"y x".split())[1] == [2]
+
+
+def test_an_item_is_held_once():
+    words = [f"word{i}" for i in range(7000)]
+    windows = decontamination.windows_of([(1, " ".join(words).encode()), (2, " ".join(words).encode())])
+    assert len(windows.blocks) == 1000 and len(windows.text) == len(" ".join(words)) + 2 and len(windows.hashes) == 7000 - 12
+
+
 def test_contamination_spans_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "é W1,  w2! no")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "w1 w2")], "item_id long, text string")
