@@ -47,7 +47,8 @@ def letters(words: list[bytes]) -> str:
     """One of 128 letters for each word. The automaton looks through a node's letters one by one, so more of them make it
     slow; the 49 bits of a block tell blocks apart well enough."""
     codes = np.fromiter(map(crc32, words), np.uint32, len(words))
-    return ((codes & 0x7F) + 0x30).astype(np.uint8).tobytes().decode("latin-1")
+    # the product's high bits differ for words that differ little, which a checksum's low bits don't
+    return ((codes * np.uint32(0x9E3779B1) >> np.uint32(25)) + 0x30).astype(np.uint8).tobytes().decode("latin-1")
 
 
 @dataclass(frozen=True)
