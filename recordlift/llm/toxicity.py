@@ -10,6 +10,10 @@ edits, letter awaited after a swap), made once when first reached, so a word is
 terms. Signs that mask letters (f**l) stand for any letter. Matcher's default is narrower: same first letter, 5
 letters or more, no swaps, no masks; learn() and score() use the wide one.
 
+A lexicon of over `LEXICON_BYTES` is a trie for each part of it. A task then gathers the different tokens of many texts,
+up to `TOKENS` bytes of them, and looks them up in one part after the other; the best code of any part counts, which
+is what one trie of all terms gives. Parts come to the driver one at a time, in the terms' order.
+
 Scores: a hit weighs as evidence of abuse or, where quotation marks or a reporting word stand within 3 words of it,
 as quotation; a misspelled hit counts apart, and one of a term under 5 letters, which honest words often resemble,
 apart from both, so that the fit decides what each is worth. The lexicon is gathered from all training rows. Only the logistic model
@@ -27,23 +31,26 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlift.llm.common import Table, bytes_of, documents, id_and_bytes, plainly_named, released, row_map, sliced, stored, texts_of
+from recordlift.llm.common import Table, documents, id_and_bytes, plainly_named, released, sliced, stored, texts_of
 
 MAX_ROWS, THRESHOLD = 20_000, 0.7
 #: candidate terms whose surroundings are counted in one pass
 PART = 500_000
-#: bytes of a lexicon that is sent to the tasks; a larger one is refused, not cut
-LEXICON_BYTES = 16 << 20
+#: bytes of terms in one trie; a task's takes about 100 times as much memory
+LEXICON_BYTES = 2 << 20
+#: bytes of different tokens, and of texts, that are looked up together where the lexicon has several parts
+TOKENS, TEXTS = 24 << 20, 64 << 20
 #: labels up to which their ids go to the texts instead of the texts to them; the rows are the same either way
 SENT_LABELS = 5_000_000
 #: entries of a task's table of counts before it is sent on
@@ -74,7 +81,7 @@ def masked_of(token: str) -> str:
 class Matcher:
     """The lexicon's trie with lazily determinised Levenshtein automata."""
 
-    def __init__(self, words: list[str], stems: list[str], edits: int = 1, wide: bool = False):
+    def __init__(self, words: Sequence[str], stems: Sequence[str], edits: int = 1, wide: bool = False):
         self.edits, self.wide = edits, wide
         self.children: list[dict[str, int]] = [{}]
         self.word_end, self.stem_end, self.fuzzy = [False], [False], [False]
@@ -186,12 +193,33 @@ class Model:
     words: tuple[str, ...]
     stems: tuple[str, ...]
     weights: tuple[float, ...]  # intercept first; empty: no evidence, score 0
+    more: tuple[Broadcast, ...] = ()  # words and stems of the lexicon's further parts
+
+    def lexicon(self) -> Iterator[tuple[Sequence[str], Sequence[str]]]:
+        yield self.words, self.stems
+        for part in self.more:
+            yield part.value
+
+
+class Told:
+    """Codes of tokens, looked up in the lexicon's parts one after the other."""
+
+    def __init__(self, tokens: set[str], model: Model):
+        self.codes: dict[str, int] = {}
+        for words, stems in model.lexicon():
+            matcher = Matcher(words, stems, wide=True)
+            for token in tokens:
+                if code := matcher.match_token(token):
+                    self.codes[token] = min(code, self.codes.get(token, code))
+
+    def match_token(self, token: str) -> int:
+        return self.codes.get(token, 0)
 
 
 N_FEATURES = 7
 
 
-def features_of(text: str, matcher: Matcher, known: dict[str, int]) -> list[float]:
+def features_of(text: str, matcher: Matcher | Told, known: dict[str, int]) -> list[float]:
     tokens = text.lower().split()
     hits = []
     for i, token in enumerate(tokens):
@@ -297,9 +325,9 @@ def _evidence(toxic: Column, clean: Column, share: float) -> Column:
     return 2 * (got(toxic, share) + got(clean, 1 - share))
 
 
-def strong_terms(train: DataFrame, candidates: DataFrame, share: float, part: int = PART) -> set[str]:
+def strong_terms(train: DataFrame, candidates: DataFrame, share: float, part: int = PART) -> DataFrame:
     """The candidates (term) whose distinct surroundings pass all tests."""
-    found: set[str] = set()
+    found = candidates.limit(0)
     parts = candidates.count() // part + 1
     for k in range(parts):
         wanted = frozenset(r.term for r in candidates.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).toLocalIterator())
@@ -308,13 +336,32 @@ def strong_terms(train: DataFrame, candidates: DataFrame, share: float, part: in
         around = train.mapInArrow(_surroundings(wanted), "term string, label int, around long").distinct()
         counts = around.groupBy("term").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"))
         passed = counts.where("toxic >= 3 and toxic >= 4 * clean").where(_evidence(F.col("toxic"), F.col("clean"), share) >= 12).select("term")
-        found.update(r.term for r in passed.toLocalIterator())
-        if (size := sum(len(t.encode()) for t in found)) > LEXICON_BYTES:
-            raise ValueError(f"a lexicon of {size} bytes or more is not sent to the tasks")
+        found = found.unionByName(stored(passed, "toxicity-strong"))
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, part: int = PART) -> Model:
+def lexicon_parts(strong: DataFrame, most_bytes: int) -> Iterator[tuple[list[str], list[str]]]:
+    """Words and stems in parts of at most most_bytes, one at least. A stem that begins with another is left out: the
+    other, which comes before it in order, finds whatever it finds."""
+    words, stems, size, last = [], [], 0, None
+    for (term,) in strong.orderBy("term").toLocalIterator():
+        if term[0] != "=":
+            if last and term.startswith(last):
+                continue
+            last = term
+        own = len(term.encode())
+        if size and size + own > most_bytes:
+            yield words, stems
+            words, stems, size = [], [], 0
+        size += own
+        if term[0] == "=":
+            words.append(term[1:])
+        else:
+            stems.append(term)
+    yield words, stems
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, part: int = PART, most_bytes: int = LEXICON_BYTES) -> Model:
     whole = stored(training_rows(docs, labels), "toxicity-train")
     train = whole.select("label", "text")
     sizes = {r.label: r.n for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -323,14 +370,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, part: in
     share = sizes[1] / (sizes[0] + sizes[1])
     counts = train.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     candidates = stored(counts.where("toxic >= 2 and toxic >= 4 * clean").select("term"), "toxicity-terms")
-    strong = strong_terms(train, candidates, share, part)
-    words = sorted(t[1:] for t in strong if t[0] == "=")
-    stems = sorted(t for t in strong if t[0] != "=" and not any(t[:k] in strong for k in range(1, len(t))))
-    matcher_args = (words, stems)
+    parts = lexicon_parts(strong_terms(train, candidates, share, part), most_bytes)
+    words, stems = next(parts)
+    model = Model(tuple(words), tuple(stems), (), tuple(docs.sparkSession.sparkContext.broadcast(p) for p in parts))
     last = whole.select("h").orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
-    rows = whole.where(F.col("h") <= last).select("label", F.col("text").cast("binary").alias("text")).mapInArrow(_featured_text(matcher_args), "label int, f array<double>").collect()
+    rows = whole.where(F.col("h") <= last).select("label", "text").mapInArrow(_featured_rows(model), "label int, f array<double>").collect()
     x, y = np.array([r.f for r in rows]), np.array([r.label for r in rows], float)
-    return Model(tuple(words), tuple(stems), tuple(fit_logistic(x, y)))
+    return replace(model, weights=tuple(fit_logistic(x, y)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> list[float]:
@@ -349,43 +395,75 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
     return w.tolist()
 
 
-def _featured_text(lexicon: tuple[list[str], list[str]]):
+def _together(batches: Iterator[pa.RecordBatch], column: str | int) -> Iterator[tuple[list[pa.RecordBatch], set[str]]]:
+    """Batches whose tokens are looked up together, and these tokens."""
+    group, tokens, room, size = [], set(), TOKENS, 0
+    for whole in batches:
+        for batch in sliced(whole):
+            for text in texts_of(batch.column(column)):
+                new = set(text.lower().split()) - tokens
+                room -= sum(map(len, new))
+                tokens |= new
+            group.append(batch)
+            size += batch.nbytes
+            if room < 0 or size > TEXTS:
+                yield group, tokens
+                group, tokens, room, size = [], set(), TOKENS, 0
+    if group:
+        yield group, tokens
+
+
+def featured(batches: Iterator[pa.RecordBatch], column: str | int, model: Model) -> Iterator[tuple[pa.RecordBatch, Iterator[list[float]]]]:
+    """Batches, each with the features of its texts."""
     known = Table(KNOWN)
-    return row_map(lambda label, text, m: (label, features_of(text.decode("utf-8", "replace"), m, known)), pa.schema([("label", pa.int32()), ("f", pa.list_(pa.float64()))]), lambda: Matcher(*lexicon, wide=True), lambda: [known])
+    try:
+        if model.more:
+            for group, tokens in _together(batches, column):
+                told = Told(tokens, model)
+                for batch in group:
+                    yield batch, (features_of(t, told, {}) for t in texts_of(batch.column(column)))
+        else:
+            matcher = Matcher(model.words, model.stems, wide=True)
+            for whole in batches:
+                for batch in sliced(whole):
+                    yield batch, (features_of(t, matcher, known) for t in texts_of(batch.column(column)))
+    finally:
+        released(known)
 
 
-def _scored(model: Model):
-    known = Table(KNOWN)
+def _featured_rows(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, features in featured(batches, 1, model):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features), pa.list_(pa.float64()))], names=["label", "f"])
 
-    def each(key, text: bytes, m: Matcher) -> tuple:
-        if not model.weights:
-            return key, 0.0
-        z = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], features_of(text.decode("utf-8", "replace"), m, known), strict=True))
-        return key, 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    return run
 
-    return each, lambda: Matcher(list(model.words), list(model.stems), wide=True), lambda: [known]
+
+def _scores(features: Iterator[list[float]], weights: tuple[float, ...]) -> list[float]:
+    if not weights:
+        return [0.0 for _ in features]
+    sums = (weights[0] + sum(w * f for w, f in zip(weights[1:], own, strict=True)) for own in features)
+    return [1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) for z in sums]
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each document."""
-    each, setup, tables = _scored(model)
-    rows = id_and_bytes(docs).mapInArrow(row_map(each, pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]), setup, tables), "doc_id long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, features in featured(batches, 1, model):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(features, model.weights), pa.float64())], names=["doc_id", "score"])
+
+    rows = id_and_bytes(docs).mapInArrow(run, "doc_id long, score double")
     held = F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"), F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, all columns kept."""
-    each, setup, tables = _scored(model)
     plain, text = plainly_named(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = setup()
-        for whole in batches:
-            for batch in sliced(whole):
-                keep = [each(None, t, matcher)[1] < threshold for t in bytes_of(batch.column(text))]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-        released(*tables())
+        for batch, features in featured(batches, text, model):
+            yield batch.filter(pa.array([s < threshold for s in _scores(features, model.weights)], pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 

@@ -325,6 +325,25 @@ def test_lexicon_is_gathered_from_all_rows(spark):
     assert "zzgrumpf" in model.words
 
 
+def test_a_lexicon_in_parts_scores_alike(spark, monkeypatch):
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    whole, parts = (toxicity.learn(docs, labels, most_bytes=m) for m in (toxicity.LEXICON_BYTES, 30))
+    assert not whole.more and len(parts.more) > 1
+    assert sorted(w for words, _ in parts.lexicon() for w in words) == list(whole.words)
+    data = frame(spark, with_oddities(rows()) + [(90, " ".join(whole.words)), (91, "f**l " + whole.words[0][:-1] + "x")])
+    for table in (docs, data):
+        want = sorted(map(str, toxicity.score(table, whole).collect()))
+        assert sorted(map(str, toxicity.score(table, parts).collect())) == want
+        assert sorted(map(str, toxicity.reject(table, parts).collect())) == sorted(map(str, toxicity.reject(table, whole).collect()))
+    assert toxicity.score(docs.limit(0), parts).count() == 0
+    # few tokens at a time, in this process
+    monkeypatch.setattr(toxicity, "TOKENS", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows()])], names=["text"])
+    each = [[f for _, own in toxicity.featured(iter([batch, batch]), "text", m) for f in own] for m in (whole, parts)]
+    assert len(each[0]) == 2 * batch.num_rows and each[0] == each[1]
+
+
 @pytest.mark.parametrize("part", [toxicity.PART, 2000])
 def test_copies_do_not_displace_terms(spark, part):
     rng = random.Random(9)
