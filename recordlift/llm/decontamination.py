@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from recordlift.llm.common import bytes_of, documents, folded_words, id_and_bytes, plainly_named, released, row_map, sha256_hex, sliced, stored
 
 WINDOW = 13
-#: bytes of items in one automaton; a task's takes about 20 times as much memory
+#: bytes of items in one automaton; for 16 MB of random words it took 15 times as much memory, windows included
 MAX_BYTES = 16 << 20
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 

@@ -47,7 +47,7 @@ from recordlift.llm.common import Table, documents, id_and_bytes, plainly_named,
 MAX_ROWS, THRESHOLD = 20_000, 0.7
 #: candidate terms whose surroundings are counted in one pass
 PART = 500_000
-#: bytes of terms in one trie; a task's takes about 100 times as much memory
+#: bytes of terms in one trie; one of random words took 160 times as much memory, without the automaton's states
 LEXICON_BYTES = 2 << 20
 #: bytes of different tokens, and of texts, that are looked up together where the lexicon has several parts
 TOKENS, TEXTS = 24 << 20, 64 << 20
