@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlift.functions.text import strip
 from recordlift.operators.assign import COLLECTING, GUESSED, _bit, _table
 from recordlift.plans.config import Spec
 
@@ -27,9 +26,10 @@ def _stopped(t: Column, o: Column) -> Column:
     return (o["kind"] != COLLECTING) & ~first & (t["gstop"] | _bit(t["stop"], o["field"]))
 
 
-def raw_value(o: Column) -> Column:
-    kept = F.filter(_within(o), lambda t: ~_stopped(t, o))
-    return strip(F.array_join(F.transform(kept, lambda t: t["tok"]), " "))
+def raw_value(o: Column, stopping: bool = True) -> Column:
+    """The field's tokens; these have no white space, so neither has the value at its ends."""
+    kept = F.filter(_within(o), lambda t: ~_stopped(t, o)) if stopping else _within(o)
+    return F.array_join(F.transform(kept, lambda t: t["tok"]), " ")
 
 
 def values_of(column: str, spec: Spec) -> Column:
@@ -37,7 +37,7 @@ def values_of(column: str, spec: Spec) -> Column:
     own = [i for i, t in enumerate(spec.triggers) if t.column == column]
 
     def value(o: Column) -> Column:
-        raw = raw_value(o)
+        raw = raw_value(o, bool(spec.stop) or any(spec.triggers[i].stop for i in own))
         made = [spec.triggers[i].normalize(raw) for i in own]
         chosen = reduce(lambda c, x: c.when(o["field"] == x[0], x[1]), zip(own, made, strict=True), F) if len(own) > 1 else made[0]
         return F.struct(o["field"].alias("field"), chosen.alias("value"))
@@ -65,7 +65,10 @@ def _stop_codes(spec: Spec) -> Column:
     if not spec.stop and not any(t.stop for t in spec.triggers):
         return _no_codes()
     codes = ["errSTOP", *(t.stop_code for t in spec.triggers)]
-    inside = F.transform(F.filter("fields", lambda o: F.exists(_within(o), lambda t: _stopped(t, o))), lambda o: _table(codes, "string", o["field"]))
+    able = [i for i, t in enumerate(spec.triggers) if spec.stop or t.stop]
+    inside = F.transform(F.filter("fields", lambda o: o["field"].isin(*able) & F.exists(_within(o), lambda t: _stopped(t, o))), lambda o: _table(codes, "string", o["field"]))
+    if not spec.stop:
+        return inside
     outside = F.exists("toks", lambda t: t["gstop"] & ~_covered(t))
     return F.concat(inside, F.when(outside, F.array(F.lit("errSTOP"))).otherwise(_no_codes()))
 
@@ -89,6 +92,8 @@ def with_columns(fields: DataFrame, spec: Spec, lost: bool = False) -> DataFrame
     held = {c: f"_values_{k}" for k, c in enumerate(dict.fromkeys(t.column for t in spec.triggers))}
     rows = fields.select("*", *(values_of(c, spec).alias(name) for c, name in held.items()))
     codes = F.array_sort(F.array_distinct(F.array_compact(F.concat(_guess_codes(spec), _stop_codes(spec), *_rule_codes(spec, held)))))
+    # a column of its own, since it is used twice
+    rows, codes = rows.withColumn("_codes", codes), F.col("_codes")
     shown = {c: F.when(F.size(held[c]) > 0, F.array_join(F.transform(held[c], lambda v: v["value"]), " ")) if c in held else F.lit(None).cast("string") for c in spec.columns}
     shown["err"] = F.coalesce(F.when(F.size(codes) > 0, F.array_join(codes, "; ")), shown.get("err", F.lit(None).cast("string")))
     more = []

@@ -138,6 +138,7 @@ class Looked:
     """What the machine asks of a configuration, looked up in the document's own row."""
 
     only_notable = False
+    stopping = guessing = collecting = True
 
     def _of(self, field: Column) -> Column:
         return F.get(F.col("trigs"), field)

@@ -109,3 +109,17 @@ def test_plan_runs_the_machine_once_and_without_shuffle(spark):
     # one aggregate() for cleaning, one for the machine
     assert plan.count("aggregate(") == 2
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_values_pass_no_regular_expression(spark):
+    """What costs most for each token and value is only in the plan where the configuration asks for it."""
+    from pyspark.sql import functions as F
+
+    from recordlift.operators.assign import openings
+    from recordlift.operators.records import values_of
+    from recordlift.queries import spec
+
+    toks, fields = (F.expr(f"cast(null as array<struct<{kind}>>)") for kind in ("i:int,tok:string,trig:int,gstop:boolean,stop:bigint,coll:bigint,mult:bigint,heur:bigint", "field:int,start:int,end:int,kind:int"))
+    plan = lambda c: spark.range(0).select(toks.alias("toks"), fields.alias("fields")).select(c)._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" not in plan(values_of("prio", spec()))
+    assert "shiftright" not in plan(openings(F.col("toks"), spec()))
