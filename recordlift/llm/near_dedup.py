@@ -45,6 +45,8 @@ REGISTERS = 1 << P
 #: shingles of a set up to which every register sees all of them
 FEW = 2048
 SMALL = 40
+#: bits of a hash that name the bucket in which a shingle's rarity is counted
+RARITY = 20
 _words = WordHashes(seed=7)
 _rng = np.random.Generator(np.random.PCG64(0x5EED))
 # multipliers and summands of the hash functions of small sets, one for each register
@@ -186,20 +188,57 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def _bucket(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - RARITY)).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each bucket of hashes: partial counts of each task, summed up."""
+    out = pa.schema([("bucket", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARITY, np.int64)
+        for batch in batches:
+            counts += np.bincount(_bucket(batch.column(0).flatten().to_numpy()), minlength=1 << RARITY)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], schema=out)
+
+    found = sets.select("s").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << RARITY, np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _prefixes(frequencies: np.ndarray, threshold: float):
+    """The places of a set's prefix, rarest shingles first; those of no other set are left out."""
+    out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("x", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                sizes, rows = part.column("n").to_numpy(), [[], [], [], []]
+                for node, n, s in zip(part.column("node").to_numpy(), sizes, part.column("s"), strict=True):
+                    x = s.values.to_numpy()
+                    df = frequencies[_bucket(x)]
+                    order = np.lexsort((x, df))[: int(n - np.ceil(threshold * n - 1e-9) + 1)]
+                    at = np.flatnonzero(df[order] > 1)
+                    for column, values in zip(rows, (np.full(len(at), node), np.full(len(at), n), at.astype(np.int32), x[order[at]]), strict=True):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(rows, out, strict=True)], schema=out)
+
+    return run
+
+
 def prefix_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a of left, b of right; node, n, s: array<long>) that may reach the threshold: an exact filter.
 
-    With shingles rarest first, two sets that reach it share one within the first n - ceil(t n) + 1 of the larger
+    Rarity is that of a shingle's bucket of hashes, so that it is counted and looked up without a join; any order that
+    all sets share is exact. With shingles rarest first, two sets that reach it share one within the first n - ceil(t n) + 1 of the larger
     and the first n - ceil(2 t / (1 + t) n) + 1 of the smaller; the rest behind the shared one must suffice too.
     """
     both = left.select("node", "n", "s").unionByName(right.select("node", "n", "s")).dropDuplicates(["node"])
-    shown = stored(both.select("node", "n", F.explode("s").alias("x")), "shingles")
-    rarity = shown.groupBy("x").agg(F.count("*").alias("df"))
-    placed = stored(
-        shown.join(rarity, "x").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("order"))
-        .select("node", "n", F.posexplode(F.expr(f"slice(order, 1, cast(n - ceil({threshold} * n - 1e-9) + 1 as int))")).alias("at", "o")).where("o.df > 1").select("node", "n", "at", "o.x"),
-        "prefixes",
-    )
+    placed = stored(both.mapInArrow(_prefixes(_frequencies(both), threshold), "node long, n long, at int, x long"), "prefixes")
     small = F.expr(f"at <= n - ceil({2 * threshold / (1 + threshold)} * n - 1e-9)")
     t = threshold / (1 + threshold)
 

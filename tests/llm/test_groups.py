@@ -571,3 +571,16 @@ def test_pipeline_stages(spark):
                 assert left[d] == "".join(want) + t[at_:]
             assert secrets.RULES and out.where(F.col("n_chars") != F.length("text")).isEmpty()
         at = spark.createDataFrame(out.collect(), docs.schema)
+
+
+def test_prefix_pairs_without_a_join_of_all_shingles(spark):
+    """Rarity is counted in buckets: every pair that reaches the threshold is found."""
+    rng = random.Random(5)
+    base = [rng.getrandbits(62) for _ in range(40)]
+    sets = [sorted({*rng.sample(base, rng.randrange(30, 41)), *(rng.getrandbits(62) for _ in range(rng.randrange(4)))}) for _ in range(60)]
+    rows = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "node long, n long, s array<long>")
+    assert near_dedup._frequencies(rows).sum() == sum(map(len, sets))
+    got = {(r.a, r.b) for r in near_dedup.prefix_pairs(rows, rows, 0.8).collect()}
+    wanted = {(i, j) for j in range(60) for i in range(j) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+    assert wanted and wanted <= got
+    assert near_dedup.prefix_pairs(rows.limit(0), rows.limit(0), 0.8).count() == 0
