@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from recordlift.operators.profile import place
 from recordlift.plans.config import Spec
-from recordlift.sources.shared import fresh_path
+from recordlift.sources.shared import fresh_path, stored
 
 BOM = "\ufeff"
 #: rows of a sheet; a larger table is refused, not cut
@@ -70,9 +70,25 @@ def joined(spark: SparkSession, folder: str, path: str, head: bytes = b"", tail:
         raise OSError(f"{path} could not be named")
 
 
+def digest_of(spark: SparkSession, path: str) -> tuple[int, str]:
+    """Length and sha256 of one file of any size. A digest of one file is serial; its bytes pass through a small buffer
+    of the Hadoop file system's stream, so no row or task has to hold the file."""
+    jvm = spark._jvm
+    source = jvm.org.apache.hadoop.fs.Path(path)
+    store = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    stream = jvm.java.security.DigestInputStream(store.open(source), digest)
+    try:
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, jvm.java.io.OutputStream.nullOutputStream(), 1 << 16, False)
+    finally:
+        stream.close()
+    return store.getFileStatus(source).getLen(), bytes(digest.digest()).hex()
+
+
 def write_one_csv(records: DataFrame, path: str, spec: Spec) -> None:
     """One CSV file in the records' order: a byte-order mark, the header, CRLF, doubled quotation marks."""
-    rows = shown(records.orderBy(*place(records)), spec)
+    # written, since sorting reads its input twice
+    rows = shown(stored(records, "records").orderBy(*place(records)), spec)
     folder = fresh_path(records.sparkSession, "csv-parts")
     cells = rows.select(*(csv_escaped(F.col(f"`{c}`")).alias(c) for c in spec.output))
     cells.write.option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
@@ -83,7 +99,8 @@ def write_one_csv(records: DataFrame, path: str, spec: Spec) -> None:
 
 def write_one_json(records: DataFrame, path: str, spec: Spec) -> None:
     """One array of objects in the records' order, indented by two spaces."""
-    rows = shown(records.orderBy(*place(records)), spec)
+    # written, since sorting reads its input twice
+    rows = shown(stored(records, "records").orderBy(*place(records)), spec)
     folder = fresh_path(records.sparkSession, "json-parts")
     rows.select(json_object(spec).alias("value")).write.option("lineSep", ",\n").text(folder)
     none = rows.isEmpty()

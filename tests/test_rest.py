@@ -218,3 +218,18 @@ def test_queries_against_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_digest_of_a_file_that_no_row_holds(spark, tmp_path):
+    """Length and digest come from a stream; the reader of whole files refuses one beyond its limit."""
+    import hashlib
+
+    from recordlift.queries import _one_file
+
+    data = "строка\n".encode() * 50_000
+    (tmp_path / "one.txt").write_bytes(data)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert [tuple(r) for r in _one_file(spark, str(tmp_path / "one.txt")).collect()] == [(len(data), hashlib.sha256(data).hexdigest())]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
