@@ -147,7 +147,7 @@ class Looked:
         return (t["trig"] >= 0) | t["gstop"] | (F.size(t["stop"]) > 0) | (F.size(t["heur"]) > 0)
 
     def stops(self, t: Column, field: Column) -> Column:
-        return F.array_contains(t["stop"], field)
+        return t["gstop"] | F.array_contains(t["stop"], field)
 
     def collects(self, t: Column, field: Column) -> Column:
         return F.array_contains(t["coll"], field)

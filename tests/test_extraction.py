@@ -123,3 +123,29 @@ def test_plain_values_pass_no_regular_expression(spark):
     plan = lambda c: spark.range(0).select(toks.alias("toks"), fields.alias("fields")).select(c)._jdf.queryExecution().analyzed().toString()
     assert "regexp_replace" not in plan(values_of("prio", spec()))
     assert "shiftright" not in plan(openings(F.col("toks"), spec()))
+
+
+def test_notes_are_of_keywords_alone_where_nothing_else_is_asked(spark):
+    """A token that changes no state has no note, and a record is cut from its document without its neighbours."""
+    from recordlift.operators.segment import cut
+    from recordlift.plans.parse import notes_of
+    from recordlift.queries import spec
+
+    docs = spark.createDataFrame([(1, "x cell 1. prio a b price 2 stat F cell 3. stat O P"), (2, "")], "doc_id long, text string")
+    rows = notes_of(docs, spec())
+    assert rows.schema["notes"].dataType.elementType.names == ["i", "trig"]
+    got = cut(rows, spec()).orderBy("doc_id", "rec_idx").collect()
+    assert [(r.doc_id, r.rec_idx, r.base, r.words, [n.i for n in r.notes]) for r in got] == [(1, 0, 0, ["x"], []), (1, 1, 1, "cell 1. prio a b price 2 stat F".split(), [1, 3, 6, 8]), (1, 2, 10, "cell 3. stat O P".split(), [10, 12])]
+
+
+def test_values_of_fields_opened_once_and_twice(spark):
+    """Stop words and repeated fields, alone and together, in records beside plain ones."""
+    from recordlift.queries import spec
+
+    made = spec(stop_words=["junk"], stat={"stop_words": ["void"], "stop_word_error": "errST"}, log_suspicious=True)
+    texts = ["cell 1 stat A", "cell 2 stat A void B", "cell 3 stat A stat B void", "cell 4 junk stat", "cell 5 prio void stat C junk D", "cell 6 stat void", "junk y cell"]
+    rows = parse(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), made, lost=True).orderBy("doc_id", "rec_idx").collect()
+    assert [(r.cell, r.prio, r.stat, r.err, r.lost) for r in rows] == [
+        ("1", None, "A", None, []), ("2", None, "A B", "errST", []), ("3", None, "A B", "errST", []), ("4", None, None, "errSTOP", []), ("5", "void", "C D", "errST", []), ("6", None, None, "errST", []),
+        (None, None, None, "errSTOP", ["y"]), (None, None, None, None, []),
+    ]
