@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,22 +92,25 @@ def _literal(values: list, kind: str) -> Column:
 def log_likelihoods(latin: Column) -> Column:
     """array<double> in the order of SINGLE_BYTE, from the bytes as the characters U+0000 to U+00FF."""
     runs = F.array_join(F.regexp_extract_all(latin, F.lit(r"([\x00-\x7f]?[\u0080-ÿ]+[\x00-\x7f]?)"), F.lit(1)), " ")
-    models = [model(e) for e in SINGLE_BYTE]
+    codes = F.transform(F.split(runs, ""), F.ascii)
 
-    def added(acc: Column, c: Column) -> Column:
-        code = F.ascii(c)
+    def sums(c: Column) -> Column:
+        # a character and the one before it in one number; two characters of ASCII are told alike by all
+        pairs = F.filter(F.transform(c, lambda x, i: x + 256 * F.when(i == 0, 32).otherwise(F.get(c, i - 1))), lambda p: p.bitwiseAND(F.lit(0x8080)) != 0)
+        return let(pairs, lambda ps: F.array(*(F.aggregate(ps, F.lit(0.0), partial(_added, *_pair_scores(e))) for e in SINGLE_BYTE)))
 
-        def score(k: int, x: Column) -> Column:
-            kinds, letters, steps = models[k]
-            of = lambda b: F.get(_literal(kinds, "int"), b)
-            step = F.get(_literal(steps, "double"), of(acc["before"]) * 6 + of(x))
-            # two characters of ASCII are told alike by all
-            return acc["sums"][k] + F.when((x < 128) & (acc["before"] < 128), 0.0).otherwise(F.get(_literal(letters, "double"), x) + step)
+    return let(codes, sums)
 
-        return let(code, lambda x: F.struct(x.alias("before"), F.array(*(score(k, x) for k in range(len(models)))).alias("sums")))
 
-    start = F.struct(F.lit(32).alias("before"), _literal([0.0] * len(models), "double").alias("sums"))
-    return F.aggregate(F.split(runs, ""), start, added, lambda acc: acc["sums"])
+def _pair_scores(encoding: str) -> tuple[list[int], list[float]]:
+    """Where the scores of what stands behind each byte begin, and the scores: a row of 256 for each kind before."""
+    kinds, letters, steps = model(encoding)
+    return [256 * k for k in kinds], [letters[x] + steps[before * 6 + kinds[x]] for before in range(6) for x in range(256)]
+
+
+def _added(begin: list[int], scores: list[float], acc: Column, pair: Column) -> Column:
+    place = F.get(_literal(begin, "int"), F.shiftright(pair, 8)) + pair.bitwiseAND(F.lit(255))
+    return acc + F.get(_literal(scores, "double"), place)
 
 
 def _upper_halves(latin: Column, first: bool) -> Column:

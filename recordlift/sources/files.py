@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordlift.functions.text import let
 from recordlift.sources.encodings import CONFIDENCE, SINGLE_BYTE, guessed, single_byte, utf_16
 
 _HIGH = bytes(b for b in range(0x80, 0x100) if b != 0x98)
@@ -28,7 +29,7 @@ def guessed_encoding(content: Column, confidence: float = CONFIDENCE) -> Column:
     """The encoding by statistics where they are confident, else by the rules of encoding_of()."""
     by_rule = encoding_of(content)
     by_bytes = F.when(by_rule != "utf-8-sig", guessed(content))
-    return F.coalesce(utf_16(content), F.when(by_bytes["confidence"] >= confidence, by_bytes["encoding"]), by_rule)
+    return F.coalesce(utf_16(content), let(by_bytes, lambda b: F.when(b["confidence"] >= confidence, b["encoding"])), by_rule)
 
 
 def decoded_as(content: Column, encoding: Column) -> Column:

@@ -54,3 +54,25 @@ def test_encoding_of_columns(spark):
     for name in (*SINGLE_BYTE, "utf-16-le", "utf-16-be"):
         if name != "latin-1":
             assert bytes(row.select(encoded(F.col("t"), name)).first()[0]) == RUSSIAN.encode(name)
+
+
+def test_pairs_are_scored_as_kinds_and_letters(spark):
+    """The table of pairs has the sums of the model, and the statistics stand once in the plan."""
+    from pyspark.sql import functions as F
+
+    from recordlift.sources.encodings import SINGLE_BYTE, _pair_scores, log_likelihoods, model
+    from recordlift.sources.files import guessed_encoding
+
+    content = "в начале Пётр, é и z".encode("cp1251", "ignore") + b"\x98\xe9 ab\xff"
+    row = spark.createDataFrame([(content, bytearray(b"plain"))], "c binary, p binary").select(log_likelihoods(F.decode("c", "iso-8859-1")).alias("x"), log_likelihoods(F.decode("p", "iso-8859-1")).alias("none")).first()
+    import re
+
+    runs = " ".join(re.findall("[\x00-\x7f]?[\x80-\xff]+[\x00-\x7f]?", content.decode("latin-1"))).encode("latin-1")
+    for got, name in zip(row.x, SINGLE_BYTE, strict=True):
+        kinds, letters, steps = model(name)
+        begin, scores = _pair_scores(name)
+        wanted = sum(letters[x] + steps[kinds[a] * 6 + kinds[x]] for a, x in zip(b" " + runs, runs) if a > 127 or x > 127)
+        assert abs(got - wanted) < 1e-9 and scores[begin[32] + 0xE9] == letters[0xE9] + steps[kinds[32] * 6 + kinds[0xE9]]
+    assert row.none == [0.0] * len(SINGLE_BYTE)
+    plan = spark.range(1).select(guessed_encoding(F.lit(content)).alias("e"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") == 1
