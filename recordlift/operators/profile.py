@@ -66,7 +66,8 @@ def value_distribution(records: DataFrame, spec: Spec, most: int = TOP_VALUES) -
 
 
 def distribution(counts: DataFrame, spec: Spec, most: int = TOP_VALUES) -> DataFrame:
-    """The same from counts of values: field, value, cnt, seen."""
+    """The same from counts of values: field, value, cnt, seen. They are written, since totals and ranks both read them."""
+    counts = stored(counts, "value-counts")
     totals = counts.groupBy("field").agg(F.count("*").alias("unique"), F.sum("cnt").alias("filled"), F.count_if(F.col("cnt") > 1).alias("repeated_total"))
     rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("cnt"), "seen"))
     few = counts.where("cnt > 1").withColumn("rank", rank).where(F.col("rank") <= most)

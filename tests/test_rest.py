@@ -233,3 +233,15 @@ def test_digest_of_a_file_that_no_row_holds(spark, tmp_path):
         assert [tuple(r) for r in _one_file(spark, str(tmp_path / "one.txt")).collect()] == [(len(data), hashlib.sha256(data).hexdigest())]
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_totals_and_ranks_share_one_count_of_values(spark):
+    """The records are parsed once for both, so no part of a parse is left in the plan."""
+    from recordlift.operators.profile import value_distribution
+    from recordlift.plans.parse import parse
+    from recordlift.queries import spec
+
+    docs = spark.createDataFrame([(1, "cell 1 stat A cell 2 stat A"), (2, "cell 2 stat B")], "doc_id long, text string")
+    rows = value_distribution(parse(docs, spec()), spec())
+    assert "levenshtein" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.field, r.unique, r.filled, [(x["value"], x["cnt"]) for x in r.repeated]) for r in rows.orderBy("field").collect()] == [("cell", 2, 3, [("2", 2)]), ("price", 0, 0, []), ("prio", 0, 0, []), ("stat", 2, 3, [("A", 2)])]
