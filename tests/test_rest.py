@@ -245,3 +245,15 @@ def test_totals_and_ranks_share_one_count_of_values(spark):
     rows = value_distribution(parse(docs, spec()), spec())
     assert "levenshtein" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.field, r.unique, r.filled, [(x["value"], x["cnt"]) for x in r.repeated]) for r in rows.orderBy("field").collect()] == [("cell", 2, 3, [("2", 2)]), ("price", 0, 0, []), ("prio", 0, 0, []), ("stat", 2, 3, [("A", 2)])]
+
+
+def test_trace_sorts_and_shuffles_nothing(spark):
+    from recordlift.operators.trace import trace
+    from recordlift.queries import spec
+
+    docs = spark.createDataFrame([(1, "x cell 1 stat A cell 2 y"), (2, "")], "doc_id long, text string")
+    rows = trace(docs, spec(), most=6)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    got = [(r.rec_idx, r.tok_idx, r.token, r.event, r.dropped) for r in rows.orderBy("rec_idx", "tok_idx").collect()]
+    assert got == [(0, 0, "x", "LOST", 2), (1, 0, "cell", "TRIGGER", 2), (1, 1, "1", "ADD", 2), (1, 2, "stat", "TRIGGER", 2), (1, 3, "A", "ADD", 2), (2, 0, "cell", "TRIGGER", 2)]
