@@ -38,10 +38,9 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     rows = different.select(F.struct(*(F.col("row")[k].alias(k) for k in keys)).alias("keys"), F.col("row"), "n", (F.col("n") > 0).alias("new"))
     # as many rows as a row stands more often on its side
     each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.abs("n")))).drop("n", "copy")
-    sides = each.groupBy("keys", "new").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    met = sides.groupBy("keys").agg(F.max(F.when(~F.col("new"), F.col("rows"))).alias("old"), F.max(F.when(F.col("new"), F.col("rows"))).alias("fresh"))
-    none = F.array().cast(met.schema["old"].dataType)
-    pairs = F.arrays_zip(F.coalesce("old", none).alias("old"), F.coalesce("fresh", none).alias("fresh"))
+    side = lambda held: F.sort_array(F.collect_list(F.when(held, F.col("row"))))
+    met = each.groupBy("keys").agg(side(~F.col("new")).alias("old"), side(F.col("new")).alias("fresh"))
+    pairs = F.arrays_zip("old", "fresh")
     paired = met.select("keys", F.posexplode(pairs).alias("nth", "p"))
     old, fresh = F.col("p.old"), F.col("p.fresh")
     text = lambda side, c: side[c].cast("string")

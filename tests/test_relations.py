@@ -106,3 +106,13 @@ def test_streamed_firsts(spark, tmp_path):
     got = streamed(spark, tmp_path, lambda s: stream_firsts(s, ["u"], "t", "600 seconds")).collect()
     # 1 is forgotten by the time it comes again, since a batch went by behind the watermark
     assert sorted((r.u, r.file) for r in got) == [(1, "b0"), (1, "b5"), (2, "b0"), (3, "b1"), (8, "b4"), (9, "b3")]
+
+
+def test_both_sides_of_changes_meet_in_one_shuffle(spark):
+    """Rows that differ are dealt by their keys once: one aggregation of lists, not two."""
+    from recordlift.operators.compare import changes
+
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, "z"), (3, "y")], "k int, v string")
+    rows = changes(a, b, ["k"])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+    assert sorted((r.keys_k, r.change, r.before, r.after) for r in rows.selectExpr("keys.k as keys_k", "change", "before", "after").collect()) == [(1, "changed", "x", "z"), (2, "removed", None, None), (3, "added", None, None)]
