@@ -176,9 +176,14 @@ def with_columns(fields: DataFrame, spec: Spec, lost: bool = False) -> DataFrame
     shown["err"] = F.coalesce(F.when(F.size(codes) > 0, F.array_join(codes, "; ")), shown.get("err", F.lit(None).cast("string")))
     more = []
     if lost:
-        taken = F.filter("notes", lambda t: (t["trig"] >= 0) | (t["gstop"] if "gstop" in rules.asked else F.lit(False)))
-        barred = F.transform(taken, lambda t: t["i"])
-        free = F.filter(F.transform("words", lambda w, k: F.struct((k + of.base).cast("int").alias("i"), w.alias("tok"))), lambda t: ~_covered(t["i"]) & ~F.array_contains(barred, t["i"]))
-        more = [F.transform(free, lambda t: t["tok"]).alias("lost")]
+        taken = F.filter("notes", lambda t: ((t["trig"] >= 0) | (t["gstop"] if "gstop" in rules.asked else F.lit(False))) & ~_covered(t["i"]))
+        covered = F.aggregate("fields", F.lit(0), lambda n, o: n + o["end"] - o["start"])
+
+        def gone(barred: Column) -> Column:
+            free = F.filter(F.transform("words", lambda w, k: F.struct((k + of.base).cast("int").alias("i"), w.alias("tok"))), lambda t: ~_covered(t["i"]) & ~F.array_contains(barred, t["i"]))
+            # ranges of fields don't overlap
+            return F.when(covered + F.size(barred) < F.size("words"), F.transform(free, lambda t: t["tok"])).otherwise(_no_codes())
+
+        more = [let(F.transform(taken, lambda t: t["i"]), gone).alias("lost")]
     own = ["doc_seq", "doc_id", "rec_idx"] if "doc_seq" in fields.columns and "doc_seq" not in spec.output else ["doc_id", "rec_idx"]
     return rows.select(*own, *(shown[c].alias(c) for c in spec.output), *more)
