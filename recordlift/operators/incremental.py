@@ -69,18 +69,22 @@ class ProfileTable:
         records = stored(parse(rows, self.spec, lost=True), "profile-records")
         err = F.coalesce("err", F.lit(""))
         document = rows.select("doc_id", F.lit(DOCUMENT).alias("kind"), F.lit("").alias("field"), F.col("version").alias("value"), F.lit(0).alias("rec_idx"), F.lit(0).alias("place"))
-        kinds = F.array_compact(F.array(F.lit(TOTAL), F.when(err != "", FAULTY), F.when(F.contains(err, F.lit("errDUP")), DUPLICATES)))
-        fact = lambda kind, field, value, place: F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"), value.alias("value"), place.alias("place"))
-        facts = [F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.lit("").alias("field"), F.lit("").alias("value"), F.lit(0).alias("place")))]
-        codes = F.transform(F.split(err, ";"), profile.strip)
-        facts.append(F.filter(F.transform(codes, lambda c, i: fact(CODE, "", c, i)), lambda x: x["value"] != ""))
-        cells = F.array(*(fact(VALUE, c, profile._text(c), F.lit(0)) for c in dict.fromkeys(self.spec.columns)))
-        facts.append(F.filter(cells, lambda x: x["value"] != ""))
-        facts.append(F.transform("lost", lambda t, i: fact(LOST, "", t, i)))
-        each = records.select("doc_id", "rec_idx", F.explode(F.concat(*facts)).alias("f")).select("doc_id", "f.kind", "f.field", "f.value", "rec_idx", "f.place")
-        first = F.min(F.struct("rec_idx", "place")).alias("first")
+        fact = lambda kind, field, value, place: F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"), value.alias("value"), place.cast("int").alias("place"))
+        none, zero = F.lit(""), F.lit(0)
+        # what a record does not have is null here and left out below; lists are only made where there is something to list
+        facts = [fact(TOTAL, "", none, zero), F.when(err != "", fact(FAULTY, "", none, zero)), F.when(F.contains(err, F.lit("errDUP")), fact(DUPLICATES, "", none, zero))]
+        facts += [F.when(profile._text(c) != "", fact(VALUE, c, profile._text(c), zero)) for c in dict.fromkeys(self.spec.columns)]
+        codes = F.when(err != "", F.transform(F.split(err, ";"), lambda c, i: fact(CODE, "", profile.strip(c), i)))
+        lost = F.when(F.size("lost") > 0, F.transform("lost", lambda t, i: fact(LOST, "", t, i)))
+        listed = F.array().cast("array<struct<kind: string, field: string, value: string, place: int>>")
+        found = F.explode(F.concat(F.array(*facts), F.coalesce(codes, listed), F.coalesce(lost, listed))).alias("f")
+        each = records.select("doc_id", "rec_idx", found).where(F.col("f").isNotNull() & ((F.col("f.kind") != CODE) | (F.col("f.value") != "")))
+        each = each.select("doc_id", "f.kind", "f.field", "f.value", "rec_idx", "f.place")
+        # both in one number, so that rows are counted by hash and not sorted
+        first = F.min(F.shiftleft(F.col("rec_idx").cast("long"), 32) + F.col("place")).alias("first")
         counted = each.unionByName(document.select(*each.columns)).groupBy("doc_id", "kind", "field", "value").agg(F.count("*").alias("cnt"), first)
-        return counted.select("doc_id", "kind", "field", "value", "cnt", "first.rec_idx", "first.place")
+        low = F.col("first").bitwiseAND(F.lit((1 << 32) - 1))
+        return counted.select("doc_id", "kind", "field", "value", "cnt", F.shiftright("first", 32).cast("int").alias("rec_idx"), low.cast("int").alias("place"))
 
     def _current(self, kind: str) -> DataFrame:
         """The partial counts that hold."""

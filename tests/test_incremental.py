@@ -60,3 +60,10 @@ def test_versions_given_and_repeated(spark, tmp_path):
     rows = spark.createDataFrame([("a", "alpha 1", "1"), ("a", "alpha 2 alpha 3", "2"), ("a", "alpha 2 alpha 3", "2"), ("b", "alpha 5", None)], "doc_id string, text string, version string")
     assert kept.add(rows) == 2
     same(spark, kept, [("a", "alpha 2 alpha 3"), ("b", "alpha 5")])
+
+
+def test_partial_counts_are_taken_by_hash(spark, tmp_path):
+    kept = ProfileTable(spark, str(tmp_path / "p"), SPEC)
+    rows = kept._partial(table(spark, [("a", "alpha 1")]).selectExpr("doc_id", "text", "'v' as version"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
