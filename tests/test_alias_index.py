@@ -63,3 +63,20 @@ def test_ten_thousand_aliases(spark):
     docs = spark.createDataFrame([(k, f"ax{code(k)} one bx{code(k)}q two") for k in range(0, 5000, 250)], "doc_id long, text string")
     got = parse(docs, compile_config(raw)).collect()
     assert len(got) == 20 and {(r.a, r.b) for r in got} == {("one", "two")}
+
+
+def test_aliases_of_a_table(spark):
+    """Further aliases come as rows, also those of a trigger that the configuration lacks and of a regular expression."""
+    raw = {NAME_KEY: "more", "csv_columns": ["a", "b", "c"], "record_detection": {"trigger": "a"}, "triggers": {"a": {"aliases": ["first"], "search_mode": "exact"}, "b": {"aliases": ["second"], "search_mode": "fuzzy"}, "c": {"aliases": ["c[0-9]"], "search_mode": "regex"}}}
+    more = spark.createDataFrame([("a", "Anfang"), ("b", "zweiter"), ("b", "anfang"), ("c", "wort"), ("d", "wort"), (None, "wort"), ("a", None)], "trigger string, alias string")
+    text = "anfang x wort zweitr. y C1 z  first u ANFANG, second v, zweiter w"
+    got = parse(spark.createDataFrame([(1, text), (2, ""), (1, text)], "doc_id long, text string"), compile_config(raw), aliases=more).collect()
+    assert sorted(((r.a, r.b, r.c) for r in got), key=str) == sorted(2 * [("x wort", "y", "z"), ("u", None, None), (None, "v, w", None)], key=str)
+
+
+def test_a_word_that_is_an_alias_meets_no_other(spark):
+    """Of the words only those that are no alias are searched, so a dense table gives one row for each word."""
+    aliases = spark.createDataFrame([(0, k, f"x{a}{b}", "fuzzy") for k, (a, b) in enumerate((a, b) for a in "abcdefgh" for b in "abcdefgh")], alias_index.ALIASES)
+    words = spark.createDataFrame([(f"x{a}{b}",) for a in "abcdefgh" for b in "abcdefgh"] + [("xaaa",)], "word string")
+    got = nearest(words, aliases)
+    assert {(r.word, r.distance) for r in got.collect()} == {(f"x{a}{b}", 0) for a in "abcdefgh" for b in "abcdefgh"} | {("xaaa", 1)}
