@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from recordlift.functions.predicates import predicate
 from recordlift.functions.rules import rule
 from recordlift.functions.steps import normalizer, step
-from recordlift.functions.text import clean_text, java_template, tokenize, words
+from recordlift.functions.text import clean_text, java_template, letters, letters_spaced, spaced, split_spaced, tokenize, words
 
 
 def applied(spark, f, values):
@@ -92,3 +93,14 @@ def test_brackets_nested_deeply(spark):
     deep = 10_500
     values = ["a " + "[" * deep + "x" + "]" * deep + " b", "[" * deep + "x] y", "c " + "[q] " * deep + "d", "[" * 3 + "]" * 5]
     assert applied(spark, clean_text, values) == ["a b", "[" * (deep - 1) + " y", "c d", "]]"]
+
+
+def test_letters_of_all_tokens_in_one_pass(spark):
+    """They stand beside their tokens, also where a token has none, for spaces and letters of any kind."""
+    texts = ["", " ", "a", " Ab1, 23 c-D. ", "ΑΣ ΑΣ' Σ ΣΑ", "İx y  z\x1cÄ　\U0001d4d0b", "x,,y ,z, ,w,", "\U0001d4d0,b  ,c\n,d"]
+    for split_by in ("whitespace", "whitespace_and_punctuation"):
+        toks = applied(spark, lambda c, s=split_by: split_spaced(spaced(c, s)), texts)
+        assert toks == applied(spark, lambda c, s=split_by: tokenize(c, s), texts)
+        assert applied(spark, lambda c, s=split_by: letters_spaced(spaced(c, s)), texts) == applied(spark, lambda c, s=split_by: F.transform(tokenize(c, s), letters), texts)
+        wanted = [re.sub(r"(?<=\S),", " , ", t) if split_by != "whitespace" else t for t in texts]
+        assert toks == [t.split() for t in wanted]
