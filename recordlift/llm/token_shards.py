@@ -28,7 +28,7 @@ import sys
 import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import groupby
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,10 @@ MOST_SHARDS = 16384
 BLOCK = 4096
 NO_ID = -(1 << 63)
 CHUNK = 8 << 20
+#: bytes whose places to cut are found at a time
+CUT = 4 << 20
+#: sequences in a batch
+SEQUENCES = 50_000
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -81,72 +85,145 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class _Half:
+    """Ids of segments, one behind another, and where each segment's begin."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.begin, self.size, self.ids = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), np.zeros(1 << 12, np.uint16)
+        self.used = 0
+
+    def add(self, segments: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
+        n, to = len(self.place), len(self.place) + len(segments)
+        self.begin, self.size, self.ids = (_with_room(x, k) for x, k in ((self.begin, to), (self.size, to), (self.ids, self.used + len(ids))))
+        self.place.update(zip(segments, range(n, to)))
+        self.begin[n:to], self.size[n:to] = self.used + np.cumsum(size) - size, size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def places(self, segments: list[bytes]) -> np.ndarray:
+        """-1 for those that are not there."""
+        return np.fromiter(map(self.place.get, segments, repeat(-1)), np.int64, len(segments))
+
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
+        size = self.size[places].astype(np.int64)
+        upto = np.cumsum(size)
+        return self.ids[np.repeat(self.begin[places] - (upto - size), size) + np.arange(size.sum())]
+
+
+def _with_room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate((x, np.zeros(max(n, len(x) + len(x) // 2) - len(x), x.dtype)))
+
+
 class PieceIds:
     """Texts to uint16 ids with a public sentencepiece vocabulary.
 
-    No piece has a space mark behind another character, so a text falls into independent words before each space. A
-    chunk's words are made a dictionary of different ones and an index for each place, so only different words are
-    looked up or encoded. Their ids are kept in a table that the worker takes from chunk to chunk, task to task and
-    scan to scan. It has two halves of bounded size: when the young half is full it becomes the old one, and words of
-    the old half that occur again go over to the young one, so frequent words stay.
+    Where no piece has a byte behind the one in front of it, no merge goes over that place, so texts fall into segments
+    there that are encoded by themselves: words, and the punctuation and line ends about them. A chunk's segments are
+    made a dictionary of different ones and an index for each place, so only different ones are looked up or encoded.
+    Their ids are kept in a table that the worker takes from chunk to chunk, task to task and scan to scan. It has two
+    halves of bounded size: when the young half is full it becomes the old one, and segments of the old half that occur
+    again go over to the young one, so frequent ones stay.
+
+    That holds for merges without a normaliser, with a space added in front and a line end that is a piece of its own;
+    with any other vocabulary the library encodes whole texts.
     """
 
     def __init__(self, model: str, room: int = 180 << 20):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        if any("▁" in p.lstrip("▁") for p in map(self.sp.id_to_piece, range(self.sp.get_piece_size()))):
-            raise ValueError("the vocabulary has pieces that span a space")
         self.room, self.used = room, 0
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of different words."""
+        spec = sentencepiece_model_pb2.ModelProto()
+        spec.ParseFromString(self.sp.serialized_model_proto())
+        normal, trained = spec.normalizer_spec, spec.trainer_spec
+        joined = np.zeros((256, 256), bool)
+        for piece in spec.pieces:
+            if piece.type != piece.BYTE:
+                text = np.frombuffer(piece.piece.replace("▁", " ").encode(), np.uint8)
+                joined[text[:-1], text[1:]] = True
+        line_end = self.sp.encode("\n")
+        self.cuts = len(line_end) == 2 and not (joined[10].any() or joined[:, 10].any()) and trained.byte_fallback and trained.model_type == trained.BPE and not trained.treat_whitespace_as_suffix
+        self.cuts = self.cuts and normal.add_dummy_prefix and normal.escape_whitespaces and not (normal.precompiled_charsmap or normal.remove_extra_whitespaces)
+        joined[:, 0x80:0xC0] = True  # within a character
+        self.cut, self.line_end = ~joined.reshape(-1), line_end[-1]
+        self.young, self.old = self._half(), self._half()
+
+    def _half(self) -> _Half:
+        half = _Half()
+        if self.cuts:
+            half.add([b"\n"], np.array([1]), np.array([self.line_end], np.uint16))
+        return half
+
+    def _encoded(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of segments without line ends. They are encoded with one in front of each: it is joined with
+        nothing, so it keeps them apart from each other and from the space that the library adds."""
+        out = self.sp.encode(["\n" + b"\n".join(segments[k : k + 32]).decode() for k in range(0, len(segments), 32)], num_threads=1)
+        n = np.fromiter(map(len, out), np.int64, len(out))
+        ids = np.fromiter(chain.from_iterable(out), np.uint16, n.sum())
+        ids = np.delete(ids, np.cumsum(n) - n)
+        ends = ids == self.line_end
+        size = np.diff(np.append(np.flatnonzero(ends), len(ids))) - 1
+        if len(size) != len(segments):
+            raise RuntimeError("segments and their ids differ in number")
+        return size, ids[~ends]
+
+    def _places(self, segments: list[bytes]) -> np.ndarray:
+        """Where different segments stand in the young half."""
         if self.used > self.room // 2:
-            self.old, self.young, self.used = self.young, {}, 0
+            self.old, self.young, self.used = self.young, self._half(), 0
         young, old = self.young, self.old
-        missing = [w for w in words if w not in young]
-        new = [w for w in missing if w not in old]
-        young.update((w, old[w]) for w in missing if w in old)
-        young.update(zip(new, map(packed, self.sp.encode(new, num_threads=1)), strict=True))
-        self.used += sum(map(len, missing)) * 2 + 300 * len(missing)
-        return [young[w] for w in words]
-
-    def _chunk(self, texts: list[str]) -> tuple[dict[int, bytes], list[int], list[bytes], np.ndarray, np.ndarray]:
-        """Ids of texts with other than single spaces between words, places of the rest, and of these the ids of
-        their different words, which word stands where, and where each text's words end. The library adds a space in
-        front, so the part behind each single space is encoded as a text of its own."""
-        texts = [t.replace("▁", " ") for t in texts]
-        odd = [k for k, t in enumerate(texts) if not t or "  " in t or t[0] == " " or t[-1] == " "]
-        alone = dict(zip(odd, map(packed, self.sp.encode([texts[k] for k in odd], num_threads=1)), strict=True))
-        plain = [k for k in range(len(texts)) if k not in alone]
-        parts = pc.split_pattern(pa.array([texts[k] for k in plain], pa.string()), " ")
-        coded = parts.values.dictionary_encode()
-        # words have no space, so one string of them all is cut faster than each is taken by itself
-        words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), " ")[0].as_py().split(" ") if plain else []
-        return alone, plain, self._ids_of(words), coded.indices.to_numpy(), parts.offsets.to_numpy()[1:]
+        at = young.places(segments)
+        if len(far := np.flatnonzero(at < 0)):
+            missing = [segments[k] for k in far.tolist()]
+            before = old.places(missing)
+            known, new = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+            for group, found in ((known, lambda _: (old.size[before[known]], old.ids_at(before[known]))), (new, self._encoded)):
+                if len(group):
+                    at[far[group]] = len(young.place) + np.arange(len(group))
+                    taken = [missing[k] for k in group.tolist()]
+                    young.add(taken, *found(taken))
+            self.used += sum(map(len, missing)) * 2 + 300 * len(missing)
+        return at
+
+    def _chunk(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment its place in the young half, and the number of segments up to each text's end."""
+        joined = pa.array([f" {t}".replace("▁", " ") if t else t for t in texts], pa.large_string())
+        upto = np.frombuffer(joined.buffers()[1], np.int64, len(texts) + 1)
+        data = np.frombuffer(joined.buffers()[2] or b"", np.uint8, upto[-1])
+        found = [np.zeros(1, np.int64)]
+        for at in range(0, len(data) - 1, CUT):
+            block = data[at : at + CUT + 1]
+            pair = block[:-1].astype(np.uint16)
+            pair <<= 8
+            pair |= block[1:]
+            cuts = self.cut[pair]
+            cuts[upto[(upto > at) & (upto <= at + len(pair))] - (at + 1)] = True
+            found.append(np.flatnonzero(cuts) + (at + 1))
+        begin = np.concatenate((*found, [len(data)] if len(data) else []), dtype=np.int64, casting="unsafe")
+        segments = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), joined.buffers()[2]])
+        coded = segments.dictionary_encode()
+        # no byte of UTF-8 is 255, so one string of them all is cut faster than each is taken by itself
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.binary())), b"\xff")[0].as_py().split(b"\xff") if len(segments) else []
+        return self._places(names)[coded.indices.to_numpy()], np.searchsorted(begin, upto[1:])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        alone, plain, ids, word, ends = self._chunk(texts)
-        if plain:
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-            begin, whole = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u2")
-            n = size[word]
-            upto = np.cumsum(n)
-            data = whole[np.repeat(begin[word] - (upto - n), n) + np.arange(upto[-1])].tobytes()
-            cuts = [0, *(2 * upto[ends - 1]).tolist()]
-            alone.update(zip(plain, (data[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
-        return [alone[k] for k in range(len(texts))]
+        if not self.cuts:
+            return list(map(packed, self.sp.encode(texts, num_threads=1)))
+        places, ends = self._chunk(texts)
+        size = self.young.size[places].astype(np.int64)
+        data = self.young.ids_at(places).astype("<u2", copy=False).tobytes()
+        cuts = (2 * np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], ends))]).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def sizes(self, texts: list[str]) -> list[int]:
         """Bytes that __call__ gives for each text."""
-        alone, plain, ids, word, ends = self._chunk(texts)
-        out = {k: len(x) for k, x in alone.items()}
-        if plain:
-            upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))[word])
-            out.update(zip(plain, np.diff(upto[ends - 1], prepend=0).tolist(), strict=True))
-        return [out[k] for k in range(len(texts))]
+        if not self.cuts:
+            return [2 * len(ids) for ids in self.sp.encode(texts, num_threads=1)]
+        places, ends = self._chunk(texts)
+        upto = np.concatenate(([0], np.cumsum(self.young.size[places], dtype=np.int64)))
+        return (2 * np.diff(upto[ends], prepend=0)).tolist()
 
 
 def piece_model() -> str:
@@ -188,7 +265,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
             at = to
 
 
-def _check(value: int, ids: list[int], counts: list[int]) -> int:
+def _check(value: int, ids: list[int], counts: list[int] | np.ndarray) -> int:
     return zlib.crc32(np.array(counts, "<i8").tobytes(), zlib.crc32(np.array(ids, "<i8").tobytes(), value))
 
 
@@ -221,19 +298,21 @@ def _sequences(tokenizer: Tokenizer, length: int, per_shard: int, key: int, coun
         encode, part, check = tokenizer(), TaskContext.get().partitionId(), 0
         number = before.get(part, 0)
         for ids, texts in _chunks(batches):
-            rows, counts = [], []
-            for doc, x in zip(ids, encode(texts), strict=True):
-                counts.append(-(-len(x) // width))
-                rows.extend((doc, k // width, x[k : k + width]) for k in range(0, len(x), width))
-            check = _check(check, ids, counts)
-            if not rows:
-                continue
-            if number + len(rows) > n:
+            coded = encode(texts)
+            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            counts = -(-size // width)
+            check, total = _check(check, ids, counts), int(counts.sum())
+            if number + total > n:
                 raise RuntimeError("the second scan saw other rows than the first: write the documents to a table")
-            slots = permuted(np.arange(number, number + len(rows)), n, key)
-            number += len(rows)
-            docs, nos, parts = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(slots // per_shard, pa.int32()), pa.array(docs, pa.int64()), pa.array(nos, pa.int32()), pa.array(parts, pa.binary())], schema=_RECORD)
+            nos = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+            begin = np.append(np.repeat(np.cumsum(size) - size, counts) + nos * width, size.sum())
+            docs, data = np.repeat(np.array(ids, np.int64), counts), b"".join(coded)
+            for at in range(0, total, SEQUENCES):
+                to = min(at + SEQUENCES, total)
+                slots, offsets = permuted(np.arange(number + at, number + to), n, key), (begin[at : to + 1] - begin[at]).astype(np.int32)
+                parts = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets), pa.py_buffer(data[begin[at] : begin[to]])])
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), pa.array(docs[at:to]), pa.array(nos[at:to].astype(np.int32)), parts], schema=_RECORD)
+            number += total
         if (number - before.get(part, 0), check) != counted.get(part, (0, 0)):
             raise RuntimeError("the second scan saw other rows than the first: write the documents to a table")
         released()

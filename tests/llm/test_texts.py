@@ -67,6 +67,36 @@ def test_ids_from_a_small_table(library):
         assert ids.sizes(texts) == [2 * len(library.encode(t)) if t else 0 for t in texts]
 
 
+def test_segments_are_those_of_whole_texts(library):
+    rng = random.Random(13)
+    chars = "abcdeéü中😀.,\n\tАя019<s>▁\u3000\xa0\u200b'\"-=(){}/\\#@_:;!?\x00ﬁ\x7f" + " " * 6
+    ids = token_shards.PieceIds(token_shards.piece_model(), room=20_000)
+    for _ in range(60):
+        texts = ["".join(rng.choices(chars, k=rng.randrange(60))) for _ in range(40)] + ["", " ", "  ", "\n", "<0x0A>", "</s>", "<unk>"]
+        want = [library.encode(t) if t else [] for t in texts]
+        assert [np.frombuffer(x, "<u2").tolist() for x in ids(texts)] == want
+        assert ids.sizes(texts) == [2 * len(x) for x in want]
+    ids.cuts = False  # as for vocabularies whose texts can't be cut
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids(texts)] == want
+    assert ids.sizes(texts) == [2 * len(x) for x in want]
+
+
+def test_a_word_is_encoded_once_whatever_stands_behind_it(library):
+    class Counting:
+        characters = 0
+
+        def encode(self, texts, **more):
+            self.characters += sum(map(len, texts))
+            return library.encode(texts, **more)
+
+    rng = random.Random(14)
+    words = list({"".join(rng.choices("abcdefgh", k=12)) for _ in range(500)})
+    ids = token_shards.PieceIds(token_shards.piece_model())
+    ids.sp = Counting()
+    ids.sizes([" ".join(w + end for w in words) for end in ("", ",", ".", ".\nThe", "!", ":")])
+    assert ids.sp.characters < 2 * sum(map(len, words))
+
+
 def test_shards_grow_with_the_input():
     assert token_shards.shard_size(0) == token_shards.shard_size(10**8) == token_shards.PER_SHARD
     assert -(-(10**12) // token_shards.shard_size(10**12)) <= token_shards.MOST_SHARDS
