@@ -8,6 +8,9 @@ from recordlift.functions.predicates import predicate
 from recordlift.functions.rules import rule
 from recordlift.functions.steps import normalizer, step
 from recordlift.functions.text import clean_text, java_template, letters, letters_spaced, spaced, split_spaced, tokenize, words
+from recordlift.operators.tokens import classified
+from recordlift.plans.config import compile_config
+from tests.plain import edits
 
 
 def applied(spark, f, values):
@@ -104,3 +107,31 @@ def test_letters_of_all_tokens_in_one_pass(spark):
         assert applied(spark, lambda c, s=split_by: letters_spaced(spaced(c, s)), texts) == applied(spark, lambda c, s=split_by: F.transform(tokenize(c, s), letters), texts)
         wanted = [re.sub(r"(?<=\S),", " , ", t) if split_by != "whitespace" else t for t in texts]
         assert toks == [t.split() for t in wanted]
+
+
+def test_even_text_meets_no_pattern_before_it_is_split(spark, capsys):
+    """Texts of ASCII and single spaces are told from others without a pattern, and split by one space."""
+    spark.createDataFrame([("a",)], "v string").select(spaced(clean_text(F.col("v")))).explain(True)
+    assert "^ -~" not in capsys.readouterr().out
+    rng = random.Random(21)
+    chars = "aB5.,[]\x00\x07\x1b\x7f\t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2009\u3000\u200bяé😀" + " " * 12
+    texts = ["".join(rng.choices(chars, k=rng.randrange(12))) for _ in range(3000)]
+    got = applied(spark, tokenize, texts)
+    assert got == [re.findall(r"[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", t) for t in texts]
+    assert applied(spark, lambda c: letters_spaced(spaced(c)), texts) == [["".join(c for c in w.lower() if c.isalpha()) for w in g] for g in got]
+
+
+def test_the_nearest_keyword(spark, capsys):
+    """Distance first, then the order of the triggers; the same word is found without a distance."""
+    raw = {"parser_name": "x", "csv_columns": ["a"], "max_distance": 2, "triggers": {k: {"aliases": v, "search_mode": "fuzzy", "csv_column": "a"} for k, v in {"a": ["prio", "pair"], "b": ["price", "prio"], "c": ["pri", "cell"]}.items()}}
+    made = compile_config(raw)
+    tried = ["prio", "price", "pri", "pair", "prie", "pric", "prioc", "pr", "p", "pairs", "cel", "cell", "cellar", "xprio", "", "pxrxixo"]
+
+    def nearest(word):
+        found = [(edits(word, a), i) for i, t in enumerate(made.triggers) for a in t.aliases if word and a[0] == word[0]]
+        return min((f for f in found if f[0] <= 2), default=(0, -1))[1]
+
+    assert applied(spark, lambda c: classified(c, c, made), tried) == list(map(nearest, tried))
+    spark.createDataFrame([("a",)], "v string").select(classified(F.col("v"), F.col("v"), made)).explain(True)
+    shown = capsys.readouterr().out
+    assert "= prio)" in shown and "transform" not in shown
