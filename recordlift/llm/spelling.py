@@ -17,6 +17,9 @@ Only counts travel: words are counted in each task before they are shuffled, and
 where they are found. Forms grow tenfold in count at each step, so the chain to a root is as short as the logarithm of
 the largest count; it is followed by doubling.
 
+All other joins are sorted ones (SORTED): Spark sizes these tables by their compressed files or as they are before an
+explode, a hundredth of what they are, and would send gigabytes through the driver as long as that looks small.
+
 Defined results: null and empty texts have no words; a null doc_id counts as empty text in the hash; rows that repeat
 count as often as they stand; only doc_id and text are read, so further columns of any name do not matter; an empty
 table, or one without such words, gives an empty result. Ties for the form go to the smallest word in code-point order.
@@ -43,10 +46,11 @@ FACTOR = 10  #: a form is at least so many times as frequent
 DAMAGE = 31  #: where this divides a run's hash, the run loses a character
 #: words that share a half, up to which they are compared one by one; words of a shard; words that a task counts at a time
 HOT, PER_SHARD, HELD = 64, 5_000, 200_000
-#: hot halves that are sent to all tasks
-MOST_SENT = 1_000_000
+#: bytes of hot halves that are sent to all tasks, and those that one takes there besides its text
+MOST_SENT, PER_SENT = 32 << 20, 300
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LEFT, RIGHT = 0, 1
+SORTED = "merge"  #: hint for joins of which neither side may be broadcast
 
 _COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
@@ -180,7 +184,7 @@ def _in_hot(patterns: DataFrame, sent: DataFrame) -> DataFrame:
         named = rows.select("side", "segment", F.col("word").alias(word), F.col("n").alias(n), rest(F.col("word"), F.col("segment"), F.col("side")).alias("rest"))
         return named.select("side", "segment", word, n, F.explode(_keys(F.col("rest"), owner)).alias("k")).select("side", "segment", word, n, "k.kind", "k.key")
 
-    pairs = keyed(sent, False, "word", "own_n").join(keyed(patterns, True, "other", "other_n"), ["side", "segment", "kind", "key"])
+    pairs = keyed(sent, False, "word", "own_n").join(keyed(patterns, True, "other", "other_n").hint(SORTED), ["side", "segment", "kind", "key"])
     u, v = F.col("other"), F.col("word")
     first = F.startswith(v, F.substr(u, F.lit(1), F.floor(F.length(u) / 2).cast("int")))
     pairs = pairs.where((u != v) & ((F.col("side") == LEFT) | ~first))
@@ -198,8 +202,8 @@ def near_words(words: DataFrame, least: int = LEAST, hot: int = HOT, per_shard:
     shards = max(1, -(-words.count() // per_shard))
     patterns, sent = _halves(words), _sent(words, least)
     many = stored(patterns.groupBy("side", "segment").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("side", "segment"), "hot-halves")
-    n_hot = many.count()
-    side = F.broadcast(many) if n_hot <= MOST_SENT else many
+    n_hot, sent_bytes = many.agg(F.count("*"), F.sum(F.octet_length("segment") + PER_SENT)).first()
+    side = F.broadcast(many) if n_hot and sent_bytes <= MOST_SENT else many.hint(SORTED)
     usual = (lambda rows: rows.join(side, ["side", "segment"], "left_anti")) if n_hot else lambda rows: rows
     shard = F.pmod(F.xxhash64("side", "segment"), F.lit(shards)).alias("shard")
     to_scan = usual(sent).select(shard, F.lit(None).cast("int").alias("side"), "word", "n").distinct()
@@ -216,7 +220,7 @@ def roots(forms: DataFrame, longest: int) -> DataFrame:
     links = stored(forms.where("form is not null").select("word", F.col("form").alias("root")), "forms")
     for _ in range(max(0, math.ceil(math.log2(max(1, longest))))):
         ahead = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        links = stored(links.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "forms")
+        links = stored(links.join(ahead.hint(SORTED), "root", "left").select("word", F.coalesce("further", "root").alias("root")), "forms")
     return links
 
 
@@ -227,13 +231,13 @@ def variants(docs: DataFrame, least: int = LEAST, times: int = TIMES, factor: in
     near = near_words(words, least, hot, per_shard)
     is_form = F.col("best_n") >= factor * F.col("n")
     forms = stored(
-        words.join(near, "word", "left").select(
+        words.join(near.hint(SORTED), "word", "left").select(
             "word", "n", F.coalesce("cnt", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("best")).alias("form"), F.when(is_form, F.col("best_n")).alias("form_n")
         ),
         "variants",
     )
     top = forms.agg(F.max("form_n")).first()[0] or 1
-    return forms.join(roots(forms, int(math.log(top, factor)) + 1), "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return forms.join(roots(forms, int(math.log(top, factor)) + 1).hint(SORTED), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,19 @@ def test_query_against_sql(spark):
         db.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
         assert got == sorted((w, f or "", r, n, k, m or 0) for w, f, r, n, k, m in db.execute(spelling.OP13_SQL).fetchall())
     assert len(got) > 100
+
+
+@pytest.mark.parametrize("most_sent", [spelling.MOST_SENT, 0])
+def test_only_hot_halves_are_sent(spark, monkeypatch, most_sent):
+    """Spark takes the tables for small, since it sizes them as compressed files or before an explode."""
+    monkeypatch.setattr(spelling, "MOST_SENT", most_sent)
+    sides = []
+    monkeypatch.setattr(spelling, "stored", lambda rows, name, stored=spelling.stored: (sides.append((name, rows)), stored(rows, name))[1])
+    data = corpus(5)
+    got = spelling.variants(frame(spark, data), hot=3, per_shard=50).select("word", "n", "n_near", "form", "form_n", "root")
+    assert sorted(map(tuple, got.collect())) == plain_variants(data)
+    plans = [(name, rows._jdf.queryExecution().sparkPlan().toString()) for name, rows in [*sides, ("roots", got)]]
+    assert sum("SortMergeJoin" in plan for _, plan in plans) >= 3
+    for name, plan in plans:
+        sent = plan.count("BroadcastHashJoin") + plan.count("BroadcastNestedLoopJoin")
+        assert sent == (4 if name == "variants" and most_sent else 0), plan
